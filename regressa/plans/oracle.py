@@ -86,7 +86,7 @@ def _missing_documents() -> str:
            "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)")
     inner = _unpivot_union(cols, lambda c: (
         f"SELECT '{c}' AS column, count(*) - count({c}) AS missing_count, count(*) AS n FROM {src}"))
-    return (f"SELECT "column", missing_count, round(missing_count * 100.0 / n, 2) AS missing_pct "
+    return ('SELECT "column", missing_count, round(missing_count * 100.0 / n, 2) AS missing_pct '
             f"FROM ({inner}) WHERE missing_count > 0")
 
 
