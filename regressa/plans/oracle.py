@@ -128,3 +128,122 @@ ORACLE = {
         lambda c: (f"SELECT '{c}' AS column, {c} AS value, count(*) AS count FROM orders "
                    f"WHERE {c} IS NOT NULL GROUP BY {c}")),
 }
+
+
+# --- cleaning -------------------------------------------------------------
+
+LI_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate"
+LI_NULLS = ("(SELECT * REPLACE (nullif(l_quantity, 50) AS l_quantity, "
+            "nullif(l_returnflag, 'R') AS l_returnflag) FROM lineitem)")
+DOCS = ("(SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d "
+        "LEFT JOIN labels l ON d.doc_id = l.doc_id)")
+EV_GAPS = ("(SELECT * REPLACE (CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value) "
+           "FROM events)")
+
+
+def _mode_sql(col: str, src: str) -> str:
+    return (f"(SELECT {col} FROM {src} WHERE {col} IS NOT NULL GROUP BY {col} "
+            f"ORDER BY count(*) DESC, {col} LIMIT 1)")
+
+
+LI_HASH = ("md5(concat_ws(':', concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+           "epoch_us(l_shipdate)), '42'))")
+
+
+def _split_cte(src: str = "lineitem", hash_expr: str = LI_HASH, key: str = LI_KEY) -> str:
+    return (f"(SELECT *, row_number() OVER (ORDER BY {hash_expr}, {key}) AS split_rank, "
+            f"row_number() OVER (ORDER BY {hash_expr}, {key}) <= "
+            f"ceil(count(*) OVER () * 0.2) AS is_test FROM {src})")
+
+
+O_HASH = "md5(concat_ws(':', concat_ws('|', o_orderkey), '42'))"
+
+ORACLE.update({
+    "impute_lineitem": (
+        f"SELECT {LI_KEY}, round(coalesce(l_quantity, (SELECT median(l_quantity) FROM {LI_NULLS})), 6) "
+        f"AS l_quantity, coalesce(l_returnflag, {_mode_sql('l_returnflag', LI_NULLS)}) AS l_returnflag "
+        f"FROM {LI_NULLS}"),
+    "fill_mean_documents": (
+        f"SELECT doc_id, lang, round(coalesce(quality::DOUBLE, (SELECT avg(quality) FROM {DOCS})), 6) "
+        f"AS quality, round(coalesce(toxic::DOUBLE, (SELECT avg(toxic) FROM {DOCS})), 6) AS toxic "
+        f"FROM {DOCS}"),
+    "fill_median_documents": (
+        f"SELECT doc_id, lang, round(coalesce(quality::DOUBLE, (SELECT median(quality) FROM {DOCS})), 6) "
+        f"AS quality, round(coalesce(toxic::DOUBLE, (SELECT median(toxic) FROM {DOCS})), 6) AS toxic "
+        f"FROM {DOCS}"),
+    "fill_mode_documents": (
+        f"SELECT doc_id, coalesce(lang, {_mode_sql('lang', DOCS)}) AS lang, "
+        f"coalesce(quality, {_mode_sql('quality', DOCS)}) AS quality, "
+        f"coalesce(toxic, {_mode_sql('toxic', DOCS)}) AS toxic FROM {DOCS}"),
+    "ffill_events": (
+        f"SELECT event_id, last_value(value IGNORE NULLS) OVER (ORDER BY ts, event_id "
+        f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM {EV_GAPS}"),
+    "bfill_events": (
+        f"SELECT event_id, first_value(value IGNORE NULLS) OVER (ORDER BY ts, event_id "
+        f"ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS value FROM {EV_GAPS}"),
+    "ffill_events_by_user": (
+        f"SELECT event_id, user_id, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id "
+        f"ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value "
+        f"FROM {EV_GAPS}"),
+    "drop_null_rows_documents": (
+        "SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d "
+        "JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang IS NOT NULL AND d.source IS NOT NULL "
+        "AND d.n_chars IS NOT NULL AND l.quality IS NOT NULL AND l.toxic IS NOT NULL"),
+    "dedup_orders": f"SELECT DISTINCT * FROM {O_DUP}",
+    "dedup_first_lineitem": (
+        "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_quantity, 6) AS l_quantity, "
+        "round(l_extendedprice, 6) AS l_extendedprice, round(l_discount, 6) AS l_discount, "
+        "round(l_tax, 6) AS l_tax, l_returnflag, l_linestatus, l_shipdate FROM lineitem "
+        "QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber "
+        "ORDER BY l_shipdate, l_partkey, l_suppkey) = 1"),
+    "outliers_lineitem": (
+        f"WITH t AS {LI}, s AS (SELECT avg(l_extendedprice) AS m1, stddev_samp(l_extendedprice) AS s1, "
+        f"avg(net_price) AS m2, stddev_samp(net_price) AS s2 FROM t) "
+        f"SELECT {LI_KEY}, round(l_extendedprice, 6) AS l_extendedprice, round(net_price, 6) AS net_price "
+        f"FROM t, s WHERE abs(l_extendedprice - m1) <= 3 * s1 AND abs(net_price - m2) <= 3 * s2"),
+    "select_features_lineitem": (
+        f"SELECT {LI_KEY}, round(l_extendedprice, 6) AS l_extendedprice, "
+        f"round(l_discount, 6) AS l_discount, round(net_price, 6) AS net_price FROM {LI}"),
+    "capped_sample_lineitem": (
+        "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_quantity, 6) AS l_quantity, "
+        "round(l_extendedprice, 6) AS l_extendedprice, round(l_discount, 6) AS l_discount, "
+        "round(l_tax, 6) AS l_tax, l_returnflag, l_linestatus, l_shipdate FROM lineitem "
+        f"ORDER BY {LI_HASH}, {LI_KEY} LIMIT 5000"),
+    "split_lineitem": f"SELECT {LI_KEY}, is_test FROM {_split_cte()}",
+    "hash_split_lineitem": (
+        f"SELECT {LI_KEY}, substring({LI_HASH}, 1, 8) < '33333333' AS is_test FROM lineitem"),
+    "folds_lineitem": (
+        f"WITH s AS {_split_cte()}, c AS (SELECT count(*) FILTER (WHERE is_test) AS nt, "
+        f"count(*) FILTER (WHERE NOT is_test) AS ntr FROM s) "
+        f"SELECT {LI_KEY}, is_test, CASE WHEN is_test THEN NULL ELSE CAST(CASE "
+        f"WHEN split_rank - nt - 1 < (ntr % 5) * (ntr // 5 + 1) "
+        f"THEN (split_rank - nt - 1) // (ntr // 5 + 1) "
+        f"ELSE (ntr % 5) + (split_rank - nt - 1 - (ntr % 5) * (ntr // 5 + 1)) // (ntr // 5) "
+        f"END AS INTEGER) END AS fold FROM s, c"),
+    "onehot_lineitem": (
+        f"SELECT {LI_KEY}, CAST(l_returnflag = 'N' AS INTEGER) AS l_returnflag_N, "
+        f"CAST(l_returnflag = 'R' AS INTEGER) AS l_returnflag_R, "
+        f"CAST(l_linestatus = 'O' AS INTEGER) AS l_linestatus_O FROM lineitem"),
+    "label_orders": (
+        "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) "
+        "AS o_orderstatus, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) "
+        "AS o_orderpriority FROM orders"),
+    "target_encode_orders": (
+        f"WITH s AS {_split_cte('orders', O_HASH, 'o_orderkey')}, "
+        "tr AS (SELECT * FROM s WHERE NOT is_test), g AS (SELECT avg(o_totalprice) AS g FROM tr), "
+        "a AS (SELECT o_orderstatus AS v, (sum(o_totalprice) + 10 * (SELECT g FROM g)) / "
+        "(count(*) + 10) AS enc FROM tr GROUP BY 1), "
+        "b AS (SELECT o_orderpriority AS v, (sum(o_totalprice) + 10 * (SELECT g FROM g)) / "
+        "(count(*) + 10) AS enc FROM tr GROUP BY 1) "
+        "SELECT o_orderkey, is_test, round(coalesce(a.enc, (SELECT g FROM g)), 6) AS o_orderstatus, "
+        "round(coalesce(b.enc, (SELECT g FROM g)), 6) AS o_orderpriority FROM s "
+        "LEFT JOIN a ON s.o_orderstatus = a.v LEFT JOIN b ON s.o_orderpriority = b.v"),
+    "scale_lineitem": (
+        f"WITH s AS {_split_cte()}, m AS (SELECT "
+        + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in
+                    ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+        + " FROM s WHERE NOT is_test) SELECT " + LI_KEY + ", "
+        + ", ".join(f"round(({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END, 6) AS {c}"
+                    for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+        + " FROM s, m"),
+})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regressa.functions.columns import round_doubles
-from regressa.operators import profile, validate
+from regressa.operators import clean, encode, profile, validate
 from regressa.sources.tables import table
 
 NET_PRICE = "l_extendedprice * (1 - l_discount) * (1 + l_tax)"
@@ -102,3 +102,159 @@ QUERIES = {
     "numeric_domain_lineitem": q_numeric_domain_lineitem,
     "categorical_domain_orders": q_categorical_domain_orders,
 }
+
+
+# --- cleaning -------------------------------------------------------------
+
+def lineitem_with_nulls(spark, sf):
+    """lineitem with real gaps: quantity 50 and return flag 'R' blanked."""
+    li = table(spark, sf, "lineitem")
+    return li.withColumn("l_quantity", F.expr("nullif(l_quantity, 50)")).withColumn(
+        "l_returnflag", F.expr("nullif(l_returnflag, 'R')"))
+
+
+def documents_labelled(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    return docs.join(table(spark, sf, "labels"), "doc_id", "left")
+
+
+def events_with_gaps(spark, sf):
+    ev = table(spark, sf, "events")
+    return ev.withColumn("value", F.expr("CASE WHEN event_type = 'error' THEN NULL ELSE value END"))
+
+
+def q_impute_lineitem(spark, sf):
+    li = lineitem_with_nulls(spark, sf).withColumn("net_price", F.expr(NET_PRICE))
+    model = clean.fit_impute(li, "net_price")
+    return round_doubles(model.transform(li).select(*LINEITEM_KEY, "l_quantity", "l_returnflag"))
+
+
+def _fill_documents(method):
+    def q(spark, sf):
+        d = documents_labelled(spark, sf).select("doc_id", "lang", "quality", "toxic")
+        cols = ["quality", "toxic"] if method != "mode" else None
+        model = clean.fit_fill(d, method, cols)
+        return round_doubles(model.transform(d))
+    return q
+
+
+def q_ffill_events(spark, sf):
+    ev = events_with_gaps(spark, sf)
+    out = clean.fill_ordered(ev, ["value"], ["ts", "event_id"], direction="forward")
+    return out.select("event_id", "value")
+
+
+def q_bfill_events(spark, sf):
+    ev = events_with_gaps(spark, sf)
+    out = clean.fill_ordered(ev, ["value"], ["ts", "event_id"], direction="backward")
+    return out.select("event_id", "value")
+
+
+def q_ffill_events_by_user(spark, sf):
+    ev = events_with_gaps(spark, sf)
+    out = clean.fill_ordered(ev, ["value"], ["ts", "event_id"], partition_by=["user_id"])
+    return out.select("event_id", "user_id", "value")
+
+
+def q_drop_null_rows_documents(spark, sf):
+    return clean.drop_null_rows(documents_labelled(spark, sf))
+
+
+def q_dedup_orders(spark, sf):
+    o = table(spark, sf, "orders")
+    return clean.drop_duplicates(o.unionByName(o.where(F.year("o_orderdate") == 1995)))
+
+
+def q_dedup_first_lineitem(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return round_doubles(clean.drop_duplicates(
+        li, subset=["l_orderkey", "l_linenumber"],
+        order_by=["l_shipdate", "l_partkey", "l_suppkey"]))
+
+
+def q_outliers_lineitem(spark, sf):
+    li = lineitem_regression(spark, sf)
+    bounds = clean.fit_outlier_bounds(li, ["l_extendedprice", "net_price"])
+    return round_doubles(clean.remove_outliers(li, bounds).select(
+        *LINEITEM_KEY, "l_extendedprice", "net_price"))
+
+
+def q_select_features_lineitem(spark, sf):
+    li = lineitem_regression(spark, sf)
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    picked = clean.select_features_by_correlation(li, "net_price", 2, cols)
+    return round_doubles(li.select(*LINEITEM_KEY, *picked, "net_price"))
+
+
+def q_capped_sample_lineitem(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return round_doubles(clean.capped_sample(li, LINEITEM_KEY, 5000, seed=42))
+
+
+# --- encoding, split, folds -------------------------------------------------
+
+def q_split_lineitem(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return encode.exact_split(li, LINEITEM_KEY, 0.2, 42).select(*LINEITEM_KEY, "is_test")
+
+
+def q_hash_split_lineitem(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return encode.hash_split(li, LINEITEM_KEY, 0.2, 42).select(*LINEITEM_KEY, "is_test")
+
+
+def q_folds_lineitem(spark, sf):
+    li = table(spark, sf, "lineitem")
+    ranked = encode.exact_split(li, LINEITEM_KEY, 0.2, 42, with_rank=True)
+    return encode.assign_folds(ranked, 5).select(*LINEITEM_KEY, "is_test", "fold")
+
+
+def q_onehot_lineitem(spark, sf):
+    li = table(spark, sf, "lineitem")
+    model = encode.fit_one_hot(li, ["l_returnflag", "l_linestatus"])
+    return model.transform(li.select(*LINEITEM_KEY, "l_returnflag", "l_linestatus"))
+
+
+def q_label_orders(spark, sf):
+    o = table(spark, sf, "orders")
+    model = encode.fit_label(o, ["o_orderstatus", "o_orderpriority"])
+    return model.transform(o.select("o_orderkey", "o_orderstatus", "o_orderpriority"))
+
+
+def q_target_encode_orders(spark, sf):
+    o = encode.exact_split(table(spark, sf, "orders"), ["o_orderkey"], 0.2, 42)
+    model = encode.fit_target(o.where(~F.col("is_test")), ["o_orderstatus", "o_orderpriority"],
+                              "o_totalprice", smoothing=10.0)
+    return round_doubles(model.transform(
+        o.select("o_orderkey", "is_test", "o_orderstatus", "o_orderpriority")))
+
+
+def q_scale_lineitem(spark, sf):
+    li = encode.exact_split(table(spark, sf, "lineitem"), LINEITEM_KEY, 0.2, 42)
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    model = encode.fit_scaler(li.where(~F.col("is_test")), cols)
+    return round_doubles(model.transform(li.select(*LINEITEM_KEY, *cols)))
+
+
+QUERIES.update({
+    "impute_lineitem": q_impute_lineitem,
+    "fill_mean_documents": _fill_documents("mean"),
+    "fill_median_documents": _fill_documents("median"),
+    "fill_mode_documents": _fill_documents("mode"),
+    "ffill_events": q_ffill_events,
+    "bfill_events": q_bfill_events,
+    "ffill_events_by_user": q_ffill_events_by_user,
+    "drop_null_rows_documents": q_drop_null_rows_documents,
+    "dedup_orders": q_dedup_orders,
+    "dedup_first_lineitem": q_dedup_first_lineitem,
+    "outliers_lineitem": q_outliers_lineitem,
+    "select_features_lineitem": q_select_features_lineitem,
+    "capped_sample_lineitem": q_capped_sample_lineitem,
+    "split_lineitem": q_split_lineitem,
+    "hash_split_lineitem": q_hash_split_lineitem,
+    "folds_lineitem": q_folds_lineitem,
+    "onehot_lineitem": q_onehot_lineitem,
+    "label_orders": q_label_orders,
+    "target_encode_orders": q_target_encode_orders,
+    "scale_lineitem": q_scale_lineitem,
+})
