@@ -69,7 +69,7 @@ def ks_pvalue_sql(lam: str, dialect: str = "spark", terms: int = 100) -> str:
     if dialect == "spark":
         series = f"aggregate(sequence(1, {terms}), CAST(0 AS DOUBLE), (acc, k) -> acc + {term})"
     else:
-        series = f"list_sum(list_transform(range(1, {terms + 1}), k -> {term}))"
+        series = f"list_sum(list_transform(range(1, {terms + 1}), lambda k: {term}))"
     return (f"(CASE WHEN ({lam}) < 0.05 THEN 1.0 "
             f"ELSE least(1.0, greatest(0.0, 2.0 * {series})) END)")
 

@@ -247,3 +247,231 @@ ORACLE.update({
                     for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
         + " FROM s, m"),
 })
+
+
+# --- single-feature OLS ------------------------------------------------------
+
+from regressa.functions.stats import ks_pvalue_sql, norm_ppf_sql  # noqa: E402
+
+OLS = (f"WITH s AS {_split_cte(LI)}, "
+       "fit AS (SELECT regr_slope(net_price, l_extendedprice) AS b, "
+       "regr_intercept(net_price, l_extendedprice) AS a FROM s WHERE NOT is_test), "
+       f"allp AS (SELECT {LI_KEY}, is_test, l_extendedprice AS x, net_price AS y, "
+       "a + b * l_extendedprice AS prediction FROM s, fit), "
+       "t AS (SELECT * FROM allp WHERE is_test) ")
+
+_R2 = ("CASE WHEN var_pop(y) * count(y) > 0 THEN 1 - sum((y - prediction) * (y - prediction)) / "
+       "(var_pop(y) * count(y)) WHEN sum((y - prediction) * (y - prediction)) = 0 THEN 1.0 "
+       "ELSE 0.0 END")
+
+
+def _metrics_select(src: str, group: str = "") -> str:
+    g = f"{group}, " if group else ""
+    gb = f" GROUP BY {group}" if group else ""
+    return (f"SELECT {g}count(*) AS n, round({_R2}, 6) AS r2, "
+            "round(sqrt(avg((y - prediction) * (y - prediction))), 4) AS rmse, "
+            "round(avg(abs(y - prediction)), 4) AS mae, "
+            "round(CASE WHEN count_if(y = 0) > 0 THEN 'inf'::DOUBLE "
+            "ELSE avg(abs((y - prediction) / y)) * 100 END, 5) AS mape, "
+            f"CAST(count_if(y = 0) AS BIGINT) AS zero_targets FROM {src}{gb}")
+
+
+_HET = (OLS + ", n AS (SELECT count(*) AS n FROM t), "
+        f"r AS (SELECT *, row_number() OVER (ORDER BY prediction, {LI_KEY}) AS rn FROM t), "
+        "g AS (SELECT CAST(least(2, (rn - 1) // greatest(n // 3, 1)) AS INTEGER) AS \"group\", "
+        "count(*) AS n, var_samp(y - prediction) AS variance FROM r, n GROUP BY 1) "
+        "SELECT \"group\", n, round(variance, 2) AS variance, "
+        "round(max(variance) OVER () / min(variance) OVER (), 6) AS ratio, "
+        "coalesce(max(variance) OVER () / min(variance) OVER () > 3, false) AS detected FROM g")
+
+_BREAK = (OLS + ", q AS (SELECT quantile_cont(prediction, 0.25) AS q1, "
+          "quantile_cont(prediction, 0.5) AS q2, quantile_cont(prediction, 0.75) AS q3 FROM t), "
+          "b AS (SELECT t.*, CASE WHEN prediction <= q1 THEN 'Low' WHEN prediction <= q2 "
+          "THEN 'Medium-Low' WHEN prediction <= q3 THEN 'Medium-High' ELSE 'High' END AS range "
+          "FROM t, q) SELECT range, count(*) AS count, round(" + _R2 + ", 6) AS r2, "
+          "round(sqrt(avg((y - prediction) * (y - prediction))), 4) AS rmse, "
+          "round(avg(abs(y - prediction)), 4) AS mae FROM b GROUP BY range")
+
+_HIST = (OLS + ", r AS (SELECT y - prediction AS r FROM t), "
+         "m AS (SELECT min(r) AS lo, max(r) AS hi, CASE WHEN max(r) > min(r) THEN "
+         "(max(r) - min(r)) / 30 ELSE 1.0 END AS w FROM r), "
+         "b AS (SELECT CAST(least(30, CAST(floor((r - lo) / w) AS INTEGER) + 1) AS INTEGER) "
+         "AS bin, lo, w FROM r, m) "
+         "SELECT bin, round(any_value(lo) + (bin - 1) * any_value(w), 3) AS lower, "
+         "round(any_value(lo) + bin * any_value(w), 3) AS upper, count(*) AS count "
+         "FROM b GROUP BY bin")
+
+_QQ = (OLS + ", n AS (SELECT count(*) AS n FROM t), "
+       f"r AS (SELECT row_number() OVER (ORDER BY y - prediction, {LI_KEY}) AS i, "
+       "y - prediction AS sample FROM t) "
+       "SELECT i, round(" + norm_ppf_sql("(CAST(0.01 AS DOUBLE) + CAST(0.98 AS DOUBLE) * (i - 1) / (n - 1))") +
+       ", 6) AS theoretical, round(sample, 2) AS sample FROM r, n")
+
+
+def _ks_sql(shift: float) -> str:
+    val = f"CASE WHEN is_ref THEN value ELSE value * {shift} END" if shift != 1.0 else "value"
+    lam = "(sqrt(n_ref * n_new / (n_ref + n_new)) * d)"
+    p = ks_pvalue_sql(lam, dialect="duckdb")
+    return ("WITH ev AS (SELECT *, day(ts) <= 15 AS is_ref FROM events), "
+            f"long AS (SELECT 'value' AS feature, ({val})::DOUBLE AS v, is_ref FROM ev "
+            "UNION ALL SELECT 'user_id', user_id::DOUBLE, is_ref FROM ev), "
+            "c AS (SELECT feature, v, count_if(is_ref) AS r, count_if(NOT is_ref) AS w "
+            "FROM long WHERE v IS NOT NULL GROUP BY feature, v), "
+            "cum AS (SELECT feature, "
+            "sum(r) OVER (PARTITION BY feature ORDER BY v ROWS UNBOUNDED PRECEDING) AS cr, "
+            "sum(w) OVER (PARTITION BY feature ORDER BY v ROWS UNBOUNDED PRECEDING) AS cw, "
+            "sum(r) OVER (PARTITION BY feature) AS nr, sum(w) OVER (PARTITION BY feature) AS nw "
+            "FROM c), "
+            "st AS (SELECT feature, max(abs(cr / nr - cw / nw)) AS d, "
+            "CAST(any_value(nr) AS BIGINT) AS n_ref, CAST(any_value(nw) AS BIGINT) AS n_new "
+            "FROM cum GROUP BY feature) "
+            f"SELECT feature, 'kolmogorov_smirnov' AS test, round(d, 6) AS statistic, "
+            f"round({p}, 6) AS p_value, n_ref, n_new, {p} < 0.05 AS drifted FROM st")
+
+
+_CHISQ = ("WITH ev AS (SELECT *, day(ts) <= 15 AS is_ref FROM events), "
+          "a AS (SELECT event_type AS c, count(*) AS o FROM ev WHERE is_ref AND event_type "
+          "IS NOT NULL GROUP BY 1), b AS (SELECT event_type AS c, count(*) AS o FROM ev "
+          "WHERE NOT is_ref AND event_type IS NOT NULL GROUP BY 1), "
+          "j AS (SELECT coalesce(a.o, 0) AS o_ref, coalesce(b.o, 0) AS o_new FROM a "
+          "FULL OUTER JOIN b ON a.c = b.c), "
+          "tot AS (SELECT sum(o_ref) AS n_ref, sum(o_new) AS n_new, count(*) AS k FROM j) "
+          "SELECT 'event_type' AS feature, 'chi_square' AS test, round(sum(CASE WHEN e > 0 "
+          "THEN (o_new - e) * (o_new - e) / e WHEN o_new > 0 THEN 'inf'::DOUBLE ELSE 0 END), 6) "
+          "AS statistic, CAST(any_value(k) - 1 AS INTEGER) AS dof, "
+          "CAST(any_value(n_ref) AS BIGINT) AS n_ref, CAST(any_value(n_new) AS BIGINT) AS n_new "
+          "FROM (SELECT j.*, tot.*, o_ref * n_new / n_ref AS e FROM j, tot)")
+
+_MEANSHIFT = ("WITH ev AS (SELECT *, day(ts) <= 15 AS is_ref, CASE WHEN day(ts) <= 15 THEN value "
+              "ELSE value * 1.5 END AS v2 FROM events), "
+              "x AS (SELECT 'value' AS feature, avg(v2) FILTER (WHERE NOT is_ref) AS rm, "
+              "avg(v2) FILTER (WHERE is_ref) AS fm, stddev_samp(v2) FILTER (WHERE is_ref) AS fs "
+              "FROM ev UNION ALL SELECT 'user_id', avg(user_id) FILTER (WHERE NOT is_ref), "
+              "avg(user_id) FILTER (WHERE is_ref), stddev_samp(user_id) FILTER (WHERE is_ref) "
+              "FROM ev) SELECT feature, round(rm, 6) AS recent_mean, round(fm, 6) AS reference_mean, "
+              "round(fs, 6) AS reference_std, round(abs(rm - fm) / fs, 6) AS drift_magnitude, "
+              "coalesce(abs(rm - fm) > 2 * fs, false) AS drifted FROM x")
+
+_MET3 = ("SELECT 'r2' AS metric, {r2} AS value FROM {src} UNION ALL "
+         "SELECT 'rmse', sqrt(avg((y - prediction) * (y - prediction))) FROM {src} UNION ALL "
+         "SELECT 'mae', avg(abs(y - prediction)) FROM {src}")
+
+_DEGR = (OLS + ", cur_t AS (SELECT t.*, a + b * x * 1.1 AS p2 FROM t, fit), "
+         "cur AS (" + _MET3.format(r2=_R2.replace("prediction", "p2"), src="cur_t")
+         .replace("(y - prediction)", "(y - p2)") + "), "
+         "base AS (" + _MET3.format(r2=_R2, src="t") + "), "
+         "d AS (SELECT cur.metric, cur.value AS current, base.value AS baseline, "
+         "CASE WHEN cur.metric = 'r2' THEN base.value - cur.value ELSE cur.value - base.value END "
+         "/ abs(base.value) * 100 AS degradation_pct FROM cur JOIN base ON cur.metric = base.metric) "
+         "SELECT metric, round(current, 4) AS current, round(baseline, 4) AS baseline, "
+         "round(degradation_pct, 4) AS degradation_pct, coalesce(degradation_pct > 10, false) "
+         "AS degraded, CASE WHEN max(CASE WHEN degradation_pct > 10 THEN degradation_pct END) "
+         "OVER () IS NULL THEN 'none' WHEN max(CASE WHEN degradation_pct > 10 THEN "
+         "degradation_pct END) OVER () > 25 THEN 'high' WHEN max(CASE WHEN degradation_pct > 10 "
+         "THEN degradation_pct END) OVER () > 15 THEN 'medium' ELSE 'low' END AS severity FROM d")
+
+_ALERTS = (OLS + ", fed AS (SELECT t.*, CAST(year(l_shipdate) AS INTEGER) AS batch_year, "
+           "a + b * CASE WHEN year(l_shipdate) >= 2000 THEN x * 1.1 ELSE x END AS p2 "
+           "FROM t, fit), "
+           "per AS (SELECT batch_year, " + _R2.replace("prediction", "p2") + " AS r2, "
+           "sqrt(avg((y - p2) * (y - p2))) AS rmse, avg(abs(y - p2)) AS mae FROM fed "
+           "GROUP BY batch_year), "
+           "base AS (" + _MET3.format(r2=_R2, src="t") + "), "
+           "lng AS (SELECT batch_year, 'r2' AS metric, r2 AS current FROM per UNION ALL "
+           "SELECT batch_year, 'rmse', rmse FROM per UNION ALL SELECT batch_year, 'mae', mae "
+           "FROM per), "
+           "al AS (SELECT lng.batch_year, lng.metric, lng.current, base.value AS baseline, "
+           "CASE WHEN lng.metric = 'r2' THEN base.value - lng.current ELSE lng.current - "
+           "base.value END / abs(base.value) * 100 AS degradation_pct FROM lng JOIN base "
+           "ON lng.metric = base.metric) ")
+_ALERT_ROWS = ("SELECT batch_year, metric, round(current, 4) AS current, "
+               "round(baseline, 4) AS baseline, round(degradation_pct, 4) AS degradation_pct, "
+               "CASE WHEN degradation_pct > 25 THEN 'high' ELSE 'medium' END AS severity "
+               "FROM al WHERE degradation_pct > 10")
+
+ORACLE.update({
+    "ols_metrics_lineitem": OLS + _metrics_select("t"),
+    "score_lineitem": (
+        f"WITH s AS {_split_cte(LI)}, "
+        "fit AS (SELECT regr_slope(net_price, l_extendedprice) AS b, "
+        "regr_intercept(net_price, l_extendedprice) AS a, avg(net_price) AS m, "
+        "stddev_pop(net_price) AS sd FROM s WHERE NOT is_test) "
+        f"SELECT {LI_KEY}, round(a + b * l_extendedprice, 2) AS predicted_net_price, "
+        "CAST(0.8 AS DOUBLE) AS confidence, round((a + b * l_extendedprice - m) / sd, 4) AS z_vs_training, "
+        "coalesce(abs((a + b * l_extendedprice - m) / sd) > 1, false) AS unusual FROM s, fit"),
+    "prediction_summary_lineitem": (
+        OLS + "SELECT count(prediction) AS count, round(avg(prediction), 4) AS mean, "
+        "round(stddev_pop(prediction), 4) AS std FROM allp"),
+    "residual_stats_lineitem": (
+        OLS + "SELECT round(avg(y - prediction), 4) AS mean, "
+        "round(stddev_samp(y - prediction), 4) AS std, round(skewness(y - prediction), 4) "
+        "AS skewness, round(kurtosis(y - prediction), 4) AS kurtosis FROM t"),
+    "residual_cards_lineitem": (
+        OLS + "SELECT round(avg(y - prediction), 4) AS mean, "
+        "round(stddev_pop(y - prediction), 4) AS std, round(min(y - prediction), 2) AS min, "
+        "round(max(y - prediction), 2) AS max FROM t"),
+    "heteroscedasticity_lineitem": _HET,
+    "performance_breakdown_lineitem": _BREAK,
+    "residual_histogram_lineitem": _HIST,
+    "qq_points_lineitem": _QQ,
+    "standardized_residuals_lineitem": (
+        OLS + f"SELECT {LI_KEY}, round(prediction, 2) AS prediction, "
+        "round((y - prediction) / (SELECT stddev_samp(y - prediction) FROM t), 4) "
+        "AS std_residual FROM t"),
+    "predicted_vs_actual_lineitem": (
+        OLS + f"SELECT {LI_KEY}, round(y, 6) AS actual, round(prediction, 2) AS predicted, "
+        "round(abs(y - prediction), 2) AS abs_error FROM t"),
+    "identity_line_lineitem": (
+        OLS + "SELECT round(least(min(y), min(prediction)), 2) AS lo, "
+        "round(greatest(max(y), max(prediction)), 2) AS hi FROM t"),
+    "prediction_range_lineitem": (
+        OLS + "SELECT round(min(prediction), 2) AS min, round(max(prediction), 2) AS max FROM t"),
+    "ks_drift_events": _ks_sql(1.0),
+    "ks_drift_events_shifted": _ks_sql(1.5),
+    "chisq_events": _CHISQ,
+    "mean_shift_events": _MEANSHIFT,
+    "degradation_lineitem": _DEGR,
+    "batch_monitor_lineitem": (
+        OLS + "SELECT count(*) AS batch_size, count(prediction) AS successful_predictions, "
+        "CAST(count(*) - count(prediction) AS BIGINT) AS failed_predictions, "
+        f"round({_R2}, 6) AS r2, round(sqrt(avg((y - prediction) * (y - prediction))), 4) "
+        "AS rmse, round(avg(abs(y - prediction)), 4) AS mae FROM t"),
+    "batch_alerts_lineitem": _ALERTS + _ALERT_ROWS,
+    "monitoring_recent_lineitem": (
+        _ALERTS + ", rows AS (" + _ALERT_ROWS + ") SELECT * FROM rows ORDER BY batch_year * 10 + "
+        "CASE WHEN metric = 'r2' THEN 2 WHEN metric = 'rmse' THEN 1 ELSE 0 END DESC LIMIT 10"),
+    "monitoring_totals_lineitem": (
+        _ALERTS + ", rows AS (" + _ALERT_ROWS + ") SELECT count(*) AS total_alerts, "
+        "CAST(count_if(severity = 'high') AS BIGINT) AS high_severity, "
+        "CAST(count_if(severity = 'medium') AS BIGINT) AS medium_severity FROM rows"),
+})
+
+
+def _positive_zero(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB's round can
+    return -0.0 where Spark's returns 0.0, and a value hash tells them apart."""
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _positive_zero(sql[j + len(key):k])
+        out.append(sql[i:j] + "(round(" + inner + ") + 0.0)")
+        i = k + 1
+
+
+ORACLE = {name: _positive_zero(sql) for name, sql in ORACLE.items()}

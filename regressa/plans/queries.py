@@ -258,3 +258,274 @@ QUERIES.update({
     "target_encode_orders": q_target_encode_orders,
     "scale_lineitem": q_scale_lineitem,
 })
+
+
+# --- single-feature OLS: predictions, metrics, diagnostics, chart data -----
+# Model: net_price ~ l_extendedprice (M1, normal-equation solver) fitted on
+# the training rows of the exact split; closed form, so SQL can check it.
+
+def _rounded(df: DataFrame, spec: dict) -> DataFrame:
+    return df.select(*[F.round(F.col(c), spec[c]).alias(c) if c in spec else F.col(c)
+                       for c in df.columns])
+
+
+def ols_split(spark, sf):
+    from regressa.plans import models
+
+    li = lineitem_regression(spark, sf)
+    sp = encode.exact_split(li, LINEITEM_KEY, 0.2, 42)
+    data = sp.select(*LINEITEM_KEY, "is_test", F.col("l_extendedprice").alias("x"),
+                     F.col("net_price").alias("y"))
+    fit = models.fit_model("linear", data.where(~F.col("is_test")), ["x"])
+    return data, fit
+
+
+def ols_test_predictions(spark, sf):
+    data, fit = ols_split(spark, sf)
+    return fit.predict(data.where(F.col("is_test")))
+
+
+def q_ols_metrics_lineitem(spark, sf):
+    from regressa.operators import metrics
+
+    m = metrics.regression_metrics(ols_test_predictions(spark, sf))
+    return _rounded(m, {"r2": 6, "rmse": 4, "mae": 4, "mape": 5})
+
+
+def q_score_lineitem(spark, sf):
+    """R2-R4 over every lineitem row with the training-time pipeline."""
+    from regressa.config import RegressionParams
+    from regressa.operators import score
+    from regressa.plans import models
+
+    li = lineitem_regression(spark, sf)
+    sp = encode.exact_split(li, LINEITEM_KEY, 0.2, 42)
+    train = sp.where(~F.col("is_test")).select("l_extendedprice", "net_price")
+    pre = models.fit_preprocessor(train, "net_price", RegressionParams(), scale=False)
+    fit = models.fit_model("linear", pre.transform(train), pre.feature_names)
+    scored = score.score_batch(li, pre, fit, keep=LINEITEM_KEY, confidence=True)
+    scored = score.prediction_vs_training(scored, "predicted_net_price", pre.target_mean,
+                                          pre.target_std)
+    return _rounded(scored, {"predicted_net_price": 2, "z_vs_training": 4})
+
+
+def q_prediction_summary_lineitem(spark, sf):
+    from regressa.operators import score
+
+    data, fit = ols_split(spark, sf)
+    return _rounded(score.prediction_summary(fit.predict(data), "prediction"),
+                    {"mean": 4, "std": 4})
+
+
+def q_residual_stats_lineitem(spark, sf):
+    from regressa.operators import diagnostics
+
+    return _rounded(diagnostics.residual_stats(ols_test_predictions(spark, sf)),
+                    {"mean": 4, "std": 4, "skewness": 4, "kurtosis": 4})
+
+
+def q_residual_cards_lineitem(spark, sf):
+    from regressa.operators import diagnostics
+
+    return _rounded(diagnostics.residual_cards(ols_test_predictions(spark, sf)),
+                    {"mean": 4, "std": 4, "min": 2, "max": 2})
+
+
+def q_heteroscedasticity_lineitem(spark, sf):
+    from regressa.operators import diagnostics
+
+    out = diagnostics.heteroscedasticity(ols_test_predictions(spark, sf), LINEITEM_KEY)
+    return _rounded(out, {"variance": 2, "ratio": 6})
+
+
+def q_performance_breakdown_lineitem(spark, sf):
+    from regressa.operators import diagnostics
+
+    out = diagnostics.performance_breakdown(ols_test_predictions(spark, sf))
+    return _rounded(out, {"r2": 6, "rmse": 4, "mae": 4})
+
+
+def q_residual_histogram_lineitem(spark, sf):
+    from regressa.operators import chartdata
+
+    out = chartdata.residual_histogram(ols_test_predictions(spark, sf))
+    return _rounded(out, {"lower": 3, "upper": 3})
+
+
+def q_qq_points_lineitem(spark, sf):
+    from regressa.operators import chartdata
+
+    out = chartdata.qq_points(ols_test_predictions(spark, sf), LINEITEM_KEY)
+    return _rounded(out, {"theoretical": 6, "sample": 2})
+
+
+def q_standardized_residuals_lineitem(spark, sf):
+    from regressa.operators import chartdata
+
+    out = chartdata.standardized_residuals(ols_test_predictions(spark, sf), LINEITEM_KEY)
+    return _rounded(out, {"prediction": 2, "std_residual": 4})
+
+
+def q_predicted_vs_actual_lineitem(spark, sf):
+    from regressa.operators import chartdata
+
+    out = chartdata.predicted_vs_actual(ols_test_predictions(spark, sf), LINEITEM_KEY)
+    return _rounded(out, {"actual": 6, "predicted": 2, "abs_error": 2})
+
+
+def q_identity_line_lineitem(spark, sf):
+    from regressa.operators import chartdata
+
+    return _rounded(chartdata.identity_line(ols_test_predictions(spark, sf)), {"lo": 2, "hi": 2})
+
+
+def q_prediction_range_lineitem(spark, sf):
+    from regressa.operators import chartdata
+
+    return _rounded(chartdata.prediction_range(ols_test_predictions(spark, sf)),
+                    {"min": 2, "max": 2})
+
+
+# --- monitoring -------------------------------------------------------------
+
+def events_halves(spark, sf, shift: float = 1.0):
+    """Days 1-15 (reference) and 16 onward (new) of the events table; the new
+    half optionally has ``value`` scaled (a drifted feed)."""
+    ev = table(spark, sf, "events")
+    ref = ev.where(F.dayofmonth("ts") <= 15)
+    new = ev.where(F.dayofmonth("ts") > 15).withColumn("value", F.col("value") * F.lit(shift))
+    return ref, new
+
+
+def _ks(shift):
+    def q(spark, sf):
+        from regressa.operators import drift
+
+        ref, new = events_halves(spark, sf, shift)
+        out = drift.ks_drift(ref.select("value", "user_id"), new.select("value", "user_id"))
+        return _rounded(out, {"statistic": 6, "p_value": 6})
+    return q
+
+
+def q_chisq_events(spark, sf):
+    from regressa.operators import drift
+
+    ref, new = events_halves(spark, sf)
+    out = drift.chi_square_counts(ref.select("event_type"), new.select("event_type"))
+    return _rounded(out, {"statistic": 6})
+
+
+def q_drift_report_events(spark, sf):
+    from regressa.operators import drift
+
+    ref, new = events_halves(spark, sf, 1.5)
+    cols = ["value", "user_id", "event_type"]
+    return _rounded(drift.detect_drift(ref.select(*cols), new.select(*cols)),
+                    {"statistic": 6, "p_value": 6})
+
+
+def q_mean_shift_events(spark, sf):
+    from regressa.operators import drift
+
+    ref, new = events_halves(spark, sf, 1.5)
+    out = drift.mean_shift_drift(ref.select("value", "user_id"), new.select("value", "user_id"))
+    return _rounded(out, {"recent_mean": 6, "reference_mean": 6, "reference_std": 6,
+                          "drift_magnitude": 6})
+
+
+def _ols_current_vs_baseline(spark, sf):
+    """Baseline: test metrics of the OLS model; current: the same rows with
+    a feed that reports extended price 10% high (input drift)."""
+    from regressa.operators import drift, metrics
+
+    data, fit = ols_split(spark, sf)
+    test = data.where(F.col("is_test"))
+    base = metrics.regression_metrics(fit.predict(test))
+    cur = metrics.regression_metrics(fit.predict(test.withColumn("x", F.col("x") * 1.1)))
+    return drift.metrics_long(cur), drift.metrics_long(base)
+
+
+def q_degradation_lineitem(spark, sf):
+    from regressa.operators import drift
+
+    cur, base = _ols_current_vs_baseline(spark, sf)
+    out = drift.degradation_alert(cur, base)
+    return _rounded(out, {"current": 4, "baseline": 4, "degradation_pct": 4})
+
+
+def q_batch_monitor_lineitem(spark, sf):
+    from regressa.operators import drift
+
+    data, fit = ols_split(spark, sf)
+    test = data.where(F.col("is_test"))
+    out = drift.monitor_batch(fit.predict(test), test.select(*LINEITEM_KEY, "y"), LINEITEM_KEY)
+    return _rounded(out, {"r2": 6, "rmse": 4, "mae": 4})
+
+
+def monitored_batches(spark, sf):
+    """Per ship-year batches of the test rows; from 2000 on the feed reports
+    extended price 10% high. Returns per-batch metrics and the baseline."""
+    from regressa.operators import drift, metrics
+
+    data, fit = ols_split(spark, sf)
+    test = data.where(F.col("is_test")).withColumn("batch_year", F.year("l_shipdate"))
+    fed = test.withColumn("x", F.when(F.col("batch_year") >= 2000, F.col("x") * 1.1)
+                          .otherwise(F.col("x")))
+    per = metrics.regression_metrics(fit.predict(fed), group_cols=["batch_year"])
+    base = drift.metrics_long(metrics.regression_metrics(fit.predict(test)))
+    return per, base
+
+
+def q_batch_alerts_lineitem(spark, sf):
+    from regressa.operators import drift
+
+    per, base = monitored_batches(spark, sf)
+    out = drift.batch_alerts(per, base, ["batch_year"])
+    return _rounded(out, {"current": 4, "baseline": 4, "degradation_pct": 4})
+
+
+def q_monitoring_recent_lineitem(spark, sf):
+    from regressa.operators import drift
+
+    per, base = monitored_batches(spark, sf)
+    alerts = drift.batch_alerts(per, base, ["batch_year"])
+    recent, _ = drift.monitoring_report(alerts.withColumn(
+        "__ts", F.col("batch_year") * 10 + F.when(F.col("metric") == "r2", 2)
+        .when(F.col("metric") == "rmse", 1).otherwise(0)), "__ts", 10)
+    return _rounded(recent.drop("__ts"), {"current": 4, "baseline": 4, "degradation_pct": 4})
+
+
+def q_monitoring_totals_lineitem(spark, sf):
+    from regressa.operators import drift
+
+    per, base = monitored_batches(spark, sf)
+    _, totals = drift.monitoring_report(drift.batch_alerts(per, base, ["batch_year"]),
+                                        "batch_year")
+    return totals
+
+
+QUERIES.update({
+    "ols_metrics_lineitem": q_ols_metrics_lineitem,
+    "score_lineitem": q_score_lineitem,
+    "prediction_summary_lineitem": q_prediction_summary_lineitem,
+    "residual_stats_lineitem": q_residual_stats_lineitem,
+    "residual_cards_lineitem": q_residual_cards_lineitem,
+    "heteroscedasticity_lineitem": q_heteroscedasticity_lineitem,
+    "performance_breakdown_lineitem": q_performance_breakdown_lineitem,
+    "residual_histogram_lineitem": q_residual_histogram_lineitem,
+    "qq_points_lineitem": q_qq_points_lineitem,
+    "standardized_residuals_lineitem": q_standardized_residuals_lineitem,
+    "predicted_vs_actual_lineitem": q_predicted_vs_actual_lineitem,
+    "identity_line_lineitem": q_identity_line_lineitem,
+    "prediction_range_lineitem": q_prediction_range_lineitem,
+    "ks_drift_events": _ks(1.0),
+    "ks_drift_events_shifted": _ks(1.5),
+    "chisq_events": q_chisq_events,
+    "drift_report_events": q_drift_report_events,
+    "mean_shift_events": q_mean_shift_events,
+    "degradation_lineitem": q_degradation_lineitem,
+    "batch_monitor_lineitem": q_batch_monitor_lineitem,
+    "batch_alerts_lineitem": q_batch_alerts_lineitem,
+    "monitoring_recent_lineitem": q_monitoring_recent_lineitem,
+    "monitoring_totals_lineitem": q_monitoring_totals_lineitem,
+})
