@@ -63,59 +63,93 @@ def residual_cards(pred: DataFrame, y: str = "y", p: str = "prediction") -> Data
 
 
 # Royston (1995), AS R94 polynomial coefficients, in natural
-# order (constant term first).
+# order (constant term first): weights (c1, c2), small-sample mean and log-sd
+# (c3, c4, with g for the transform), large-sample mean and log-sd (c5, c6).
 _SW_C1 = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
 _SW_C2 = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
 _SW_C3 = (0.5440, -0.39978, 0.025054, -6.714e-4)
-_SW_C4 = (1.3822, -0.77857, 0.062767)
+_SW_C4 = (1.3822, -0.77857, 0.062767, -0.0020322)
+_SW_C5 = (-1.5861, -0.31082, -0.083751, 0.0038915)
+_SW_C6 = (-0.4803, -0.082676, 0.0030302)
+_SW_G = (-2.273, 0.459)
 
 
 def _poly(c, x):
     return sum(ci * x ** i for i, ci in enumerate(c))
 
 
+def shapiro_weights(n: int, summ2: float):
+    """``(a_n, a_{n-1} or None, fac)``: the two adjusted extreme weights and the
+    divisor that turns the remaining normal scores into weights."""
+    nd = NormalDist()
+    m_n = nd.inv_cdf((n - 0.375) / (n + 0.25))
+    u = 1.0 / math.sqrt(n)
+    a_n = m_n / math.sqrt(summ2) + _poly(_SW_C1, u)
+    if n > 5:
+        m_n1 = nd.inv_cdf((n - 1 - 0.375) / (n + 0.25))
+        a_n1 = m_n1 / math.sqrt(summ2) + _poly(_SW_C2, u)
+        fac = math.sqrt((summ2 - 2 * m_n ** 2 - 2 * m_n1 ** 2) /
+                        (1 - 2 * a_n ** 2 - 2 * a_n1 ** 2))
+        return a_n, a_n1, fac
+    fac = math.sqrt((summ2 - 2 * m_n ** 2) / (1 - 2 * a_n ** 2))
+    return a_n, None, fac
+
+
+def shapiro_pvalue(w: float, n: int) -> float:
+    """Royston's normalising transformation of ``W`` (exact for n = 3)."""
+    if n == 3:
+        return max(0.0, 6.0 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    if w >= 1.0:
+        return 1.0
+    y = math.log(1.0 - w)
+    if n <= 11:
+        gamma = _poly(_SW_G, n)
+        if y >= gamma:
+            return 1e-99
+        y = -math.log(gamma - y)
+        mu, sig = _poly(_SW_C3, n), math.exp(_poly(_SW_C4, n))
+    else:
+        ln_n = math.log(n)
+        mu, sig = _poly(_SW_C5, ln_n), math.exp(_poly(_SW_C6, ln_n))
+    return 1.0 - NormalDist(mu, sig).cdf(y)
+
+
 def shapiro_wilk(pred: DataFrame, key_cols, y: str = "y", p: str = "prediction",
                  max_n: int = SHAPIRO_MAX_N) -> DataFrame:
-    """Shapiro-Wilk W of the residuals (Royston's AS R94 weights) when
-    ``12 <= n <= max_n``; one row ``(n, statistic, p_value, is_normal)``.
+    """Shapiro-Wilk test of the residuals (Royston's AS R94) when
+    ``3 <= n <= max_n``; one row ``(n, statistic, p_value, is_normal)`` with
+    ``is_normal = p > 0.05``; null statistic outside that range.
 
     Order statistics come from the distributed row number; the expected
-    normal scores ``m_i`` are an AS 241 column expression. Only scalars (n,
-    two sums) reach the driver; the p-value uses Royston's normalising
-    transform for n >= 12 (null below, and null statistic above ``max_n``)."""
+    normal scores ``m_i`` are an AS 241 column expression; only scalars (n and
+    three sums) reach the driver."""
     spark = pred.sparkSession
     schema = "n long, statistic double, p_value double, is_normal boolean"
     r = pred.select(*key_cols, (F.col(y) - F.col(p)).alias("r")).where(F.col("r").isNotNull())
     n = r.count()
-    if n < 12 or n > max_n:
+    if n < 3 or n > max_n:
         return spark.createDataFrame([(n, None, None, None)], schema)
     ranked = with_row_number(r, ["r", *key_cols], name="i")
     m_expr = norm_ppf_sql(f"(CAST(i AS DOUBLE) - CAST(0.375 AS DOUBLE)) / CAST({n + 0.25!r} AS DOUBLE)")
     ranked = ranked.withColumn("m", F.expr(m_expr))
     summ2 = ranked.agg(F.sum(F.col("m") * F.col("m")).alias("s")).first()["s"]
-    nd = NormalDist()
-    m_n = nd.inv_cdf((n - 0.375) / (n + 0.25))
-    m_n1 = nd.inv_cdf((n - 1 - 0.375) / (n + 0.25))
-    u = 1.0 / math.sqrt(n)
-    a_n = m_n / math.sqrt(summ2) + _poly(_SW_C1, u)
-    a_n1 = m_n1 / math.sqrt(summ2) + _poly(_SW_C2, u)
-    fac = math.sqrt((summ2 - 2 * m_n ** 2 - 2 * m_n1 ** 2) / (1 - 2 * a_n ** 2 - 2 * a_n1 ** 2))
-    a = (F.when(F.col("i") == n, F.lit(a_n)).when(F.col("i") == 1, F.lit(-a_n))
-         .when(F.col("i") == n - 1, F.lit(a_n1)).when(F.col("i") == 2, F.lit(-a_n1))
-         .otherwise(F.col("m") / F.lit(fac)))
+    i = F.col("i")
+    if n == 3:
+        a = F.when(i == 3, F.lit(math.sqrt(0.5))).when(i == 1, F.lit(-math.sqrt(0.5))) \
+            .otherwise(F.lit(0.0))
+    else:
+        a_n, a_n1, fac = shapiro_weights(n, summ2)
+        a = F.when(i == n, F.lit(a_n)).when(i == 1, F.lit(-a_n))
+        if a_n1 is not None:
+            a = a.when(i == n - 1, F.lit(a_n1)).when(i == 2, F.lit(-a_n1))
+        a = a.otherwise(F.col("m") / F.lit(fac))
     s = ranked.agg(F.sum(a * F.col("r")).alias("num"),
                    (F.var_pop("r") * F.count("r")).alias("den")).first()
-    w = min(1.0, (s["num"] ** 2) / s["den"]) if s["den"] else None
-    pval = None
-    if w is not None and w < 1.0:
-        ln_n = math.log(n)
-        mu = _poly(_SW_C3, ln_n)
-        sig = math.exp(_poly(_SW_C4, ln_n))
-        z = (math.log(1.0 - w) - mu) / sig
-        pval = 1.0 - nd.cdf(z)
-    elif w is not None:
-        pval = 1.0
-    return spark.createDataFrame([(n, w, pval, None if pval is None else pval > 0.05)], schema)
+    if not s["den"]:
+        return spark.createDataFrame([(n, None, None, None)], schema)
+    w = min(1.0, (s["num"] ** 2) / s["den"])
+    pval = shapiro_pvalue(w, n)
+    return spark.createDataFrame([(n, w, pval, pval > 0.05)], schema)
 
 
 def heteroscedasticity(pred: DataFrame, key_cols, y: str = "y", p: str = "prediction") -> DataFrame:

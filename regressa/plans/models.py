@@ -34,6 +34,10 @@ from regressa.config import RegressionParams
 from regressa.functions.columns import categorical_columns, numeric_columns
 from regressa.operators import clean, encode
 
+# The reference grows forest trees without a depth limit; MLlib caps depth at
+# 30 and a full-depth forest is driver-memory heavy, so the default is 10
+# (override with ``max_depth``; ``None`` means 30).
+DEFAULT_FOREST_DEPTH = 10
 FEATURES = "features"
 LABEL = "y"
 PREDICTION = "prediction"
@@ -285,7 +289,7 @@ def build_estimator(name: str, hp: dict, moments: dict, seed: int = 42):
                                 maxIter=1000, tol=1e-9, **lin)
     tree = dict(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, seed=seed)
     if name == "random_forest":
-        depth = hp.get("max_depth", 12)
+        depth = hp.get("max_depth", DEFAULT_FOREST_DEPTH)
         mf = hp.get("max_features", None)
         strategy = {None: "all", "sqrt": "sqrt", "log2": "log2"}.get(mf, "all")
         return RandomForestRegressor(

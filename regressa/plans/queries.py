@@ -529,3 +529,149 @@ QUERIES.update({
     "monitoring_recent_lineitem": q_monitoring_recent_lineitem,
     "monitoring_totals_lineitem": q_monitoring_totals_lineitem,
 })
+
+
+# --- models, CV, tuning, workflow (no SQL oracle: iterative fits) ----------
+
+REGRESSION_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+                       "l_linestatus"]
+
+
+def lineitem_prepared(spark, sf, params=None):
+    """Exact split, folds, training-side fills / one-hot / scaler."""
+    from regressa.config import RegressionParams
+    from regressa.plans import workflow
+
+    params = params or RegressionParams()
+    li = lineitem_regression(spark, sf).select(*LINEITEM_KEY, *REGRESSION_FEATURES, "net_price")
+    prepared, pre, keys, _ = workflow.prepare(li, "net_price", params, LINEITEM_KEY)
+    return prepared, pre, params
+
+
+def _comparison(spark, sf, names, tuning_on=False):
+    from regressa.operators import metrics
+    from regressa.plans import workflow
+
+    prepared, pre, params = lineitem_prepared(spark, sf)
+    rows, cv, fitted = workflow.evaluate_models(prepared, pre.feature_names, names, params)
+    return metrics.comparison_table(spark, rows), cv, fitted, prepared, pre
+
+
+def q_model_comparison_lineitem(spark, sf):
+    comp, _, _, _, _ = _comparison(spark, sf, ["linear", "ridge", "lasso", "elastic_net"])
+    return round_doubles(comp)
+
+
+def q_cv_summary_lineitem(spark, sf):
+    from regressa.operators import metrics
+
+    _, cv, _, _, _ = _comparison(spark, sf, ["linear", "ridge", "lasso", "elastic_net"])
+    scores = spark.createDataFrame(cv, "Model string, fold int, score double")
+    return round_doubles(metrics.cv_summary(scores))
+
+
+def _single_model(name, hp=None):
+    def q(spark, sf):
+        from regressa.operators import metrics
+        from regressa.plans import models
+
+        prepared, pre, params = lineitem_prepared(spark, sf)
+        train = prepared.where(~F.col("is_test"))
+        fit = models.fit_model(name, train, pre.feature_names, hp, params.random_state)
+        m = metrics.regression_metrics(fit.predict(prepared.where(F.col("is_test"))))
+        return round_doubles(m.select(F.lit(name).alias("Model"), "n", "r2", "rmse", "mae"))
+    return q
+
+
+def q_feature_importance_lineitem(spark, sf):
+    from regressa.operators import diagnostics
+    from regressa.plans import models
+
+    prepared, pre, params = lineitem_prepared(spark, sf)
+    fit = models.fit_model("random_forest", prepared.where(~F.col("is_test")), pre.feature_names,
+                           {}, params.random_state)
+    imp, method = fit.importances()
+    fi = diagnostics.feature_importance(spark, pre.feature_names, imp, method)
+    return round_doubles(diagnostics.top_features(fi, 20))
+
+
+def q_tuning_ridge_lineitem(spark, sf):
+    from regressa.plans import tuning
+
+    prepared, pre, params = lineitem_prepared(spark, sf)
+    train = prepared.where(~F.col("is_test"))
+    best, score, results = tuning.search("ridge", train, pre.feature_names, params.cv_folds,
+                                         "grid", seed=params.random_state)
+    rows = [(float(hp["alpha"]), mean, std, hp == best) for hp, mean, std in results]
+    return round_doubles(spark.createDataFrame(
+        rows, "alpha double, mean_cv_score double, std_cv_score double, is_best boolean"))
+
+
+def q_workflow_lineitem(spark, sf):
+    from regressa.config import RegressionParams
+    from regressa.plans import workflow
+
+    params = RegressionParams(models_to_include=("linear", "ridge", "lasso", "elastic_net"),
+                              tuning_method="grid")
+    li = lineitem_regression(spark, sf).select(*LINEITEM_KEY, *REGRESSION_FEATURES, "net_price")
+    res = workflow.run_workflow(li, "net_price", params, LINEITEM_KEY)
+    stages = [(k, bool(v)) for k, v in res.stages.items()]
+    out = spark.createDataFrame(stages, "stage string, ok boolean")
+    return out.withColumn("best_model", F.lit(res.best_name)).withColumn(
+        "tuned", F.lit(bool(res.tuning.get("accepted"))))
+
+
+def _from_comparison(fn):
+    def q(spark, sf):
+        comp, _, _, _, _ = _comparison(spark, sf, ["linear", "ridge", "lasso", "elastic_net"])
+        return round_doubles(fn(comp))
+    return q
+
+
+def q_shapiro_part(spark, sf):
+    """I6 on a table small enough for the test (part: OLS of retail price on
+    part key, test rows)."""
+    from regressa.operators import diagnostics
+    from regressa.plans import models
+
+    part = encode.exact_split(table(spark, sf, "part"), ["p_partkey"], 0.2, 42)
+    data = part.select("p_partkey", "is_test", F.col("p_partkey").cast("double").alias("x"),
+                       F.col("p_retailprice").alias("y"))
+    fit = models.fit_model("linear", data.where(~F.col("is_test")), ["x"])
+    pred = fit.predict(data.where(F.col("is_test")))
+    return round_doubles(diagnostics.shapiro_wilk(pred, ["p_partkey"]))
+
+
+def flagship(spark, sf):
+    """validate -> fill -> one-hot -> exact split -> scale -> linear + ridge
+    with 5-fold CV -> ranked comparison."""
+    from regressa.config import RegressionParams
+    from regressa.plans import workflow
+
+    params = RegressionParams(models_to_include=("linear", "ridge"), hyperparameter_tuning=False)
+    li = lineitem_regression(spark, sf).select(*LINEITEM_KEY, *REGRESSION_FEATURES, "net_price")
+    res = workflow.run_workflow(li, "net_price", params, LINEITEM_KEY)
+    if not res.success:
+        raise RuntimeError(f"workflow failed: {res.stages}")
+    return res.comparison
+
+
+QUERIES.update({
+    "model_comparison_lineitem": q_model_comparison_lineitem,
+    "cv_summary_lineitem": q_cv_summary_lineitem,
+    "random_forest_lineitem": _single_model("random_forest"),
+    "gradient_boosting_lineitem": _single_model("gradient_boosting"),
+    "svr_lineitem": _single_model("svr"),
+    "feature_importance_lineitem": q_feature_importance_lineitem,
+    "tuning_ridge_lineitem": q_tuning_ridge_lineitem,
+    "workflow_lineitem": q_workflow_lineitem,
+    "shapiro_part": q_shapiro_part,
+    "recommendations_lineitem": _from_comparison(lambda c: __import__(
+        "regressa.operators.diagnostics", fromlist=["x"]).recommendations(c)),
+    "interpretation_lineitem": _from_comparison(lambda c: __import__(
+        "regressa.operators.diagnostics", fromlist=["x"]).interpretation(c, "net_price")),
+    "complexity_vs_r2_lineitem": _from_comparison(lambda c: __import__(
+        "regressa.operators.chartdata", fromlist=["x"]).complexity_vs_r2(c)),
+    "cv_error_bars_lineitem": _from_comparison(lambda c: __import__(
+        "regressa.operators.chartdata", fromlist=["x"]).cv_error_bars(c)),
+})

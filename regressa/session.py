@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "regressa") -> SparkSession:
+                app_name: str = "regressa", driver_memory: str | None = "8g") -> SparkSession:
     """Session with the settings every operator assumes (UTC, AQE on)."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        # Only takes effect when this call starts the JVM (local runs).
+        builder = builder.config("spark.driver.memory", driver_memory)
     builder = (
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
