@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from regressa.functions.columns import categorical_columns, numeric_columns, role_of
-from regressa.operators.ranking import exact_quantiles, unpivot_numeric, with_row_number
+from regressa.operators.ranking import exact_quantiles, unpivot_numeric
 from regressa.session import cut_lineage
 
 # Fixed value: fill for a categorical column that has no mode.
@@ -41,11 +41,19 @@ def hash_of_keys(df: DataFrame, key_cols, seed: int):
 
 def capped_sample(df: DataFrame, key_cols, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement, reproducible
-    under any partitioning: the ``n`` smallest seeded key hashes. Uses the
-    distributed row number, so no task holds more than one range partition."""
-    h = df.withColumn("__h", hash_of_keys(df, key_cols, seed))
-    ranked = with_row_number(h, ["__h", *key_cols], name="__rn")
-    return ranked.where(F.col("__rn") <= n).drop("__h", "__rn")
+    under any partitioning: the ``n`` smallest seeded key hashes (exact for a
+    unique key). The n-th smallest hash comes from a few histogram passes;
+    the sample is then a narrow filter, no row is sorted or shuffled."""
+    from regressa.operators.ranking import hash_rank_thresholds
+
+    h = hash_of_keys(df, key_cols, seed)
+    total = df.count()
+    if n >= total:
+        return df
+    if n <= 0:
+        return df.limit(0)
+    (t,) = hash_rank_thresholds(df, h, [n - 1])
+    return df.where(h <= F.lit(t))
 
 
 def drop_null_rows(df: DataFrame, subset=None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regressa.operators.clean import hash_of_keys
-from regressa.operators.ranking import with_row_number
+from regressa.operators.ranking import hash_rank_thresholds, with_row_number
 
 # Rows up to which a fitted mapping table is broadcast; above it the join
 # shuffles (the check is a count of the mapping, not of the data).
@@ -177,18 +177,47 @@ def select_features(df: DataFrame, feature_names) -> DataFrame:
 
 
 def exact_split(df: DataFrame, key_cols, test_size: float = 0.2, seed: int = 42,
-                with_rank: bool = False) -> DataFrame:
-    """The ``ceil(n * test_size)`` rows with the smallest seeded key hash
-    are the test set (``is_test``). Exact in size, reproducible under any
-    partitioning, and distributed (range-partitioned row number)."""
+                folds: int | None = None) -> DataFrame:
+    """E9 (+ E10 when ``folds``): the ``ceil(n * test_size)`` rows with the
+    smallest seeded key hash are the test set (``is_test``); the training rows,
+    in hash order, are cut into ``folds`` contiguous folds (KFold without
+    shuffle on the seeded order: the first ``n_train % k`` folds hold one row
+    more). Test rows get a null fold.
+
+    Distributed and exact: one count and a few histogram passes find the hash
+    values at the boundary ranks (:func:`hash_rank_thresholds`), then the split
+    is a narrow projection comparing each row's hash with them; no row is
+    shuffled. Sizes are exact when the key is unique (copies of one key share
+    a hash and always land on the same side)."""
     key_cols = list(key_cols)
+    h = hash_of_keys(df, key_cols, seed)
     n = df.count()
     n_test = math.ceil(n * test_size)
-    h = df.withColumn("__h", hash_of_keys(df, key_cols, seed))
-    ranked = with_row_number(h, ["__h", *key_cols], name="split_rank")
-    out = ranked.withColumn("is_test", F.col("split_rank") <= F.lit(n_test)).drop("__h")
-    out = out.withColumn("split_rank", F.col("split_rank").cast("long"))
-    return out if with_rank else out.drop("split_rank")
+    ranks = [n_test - 1] if n_test > 0 else []
+    sizes = []
+    if folds:
+        q, rem = divmod(n - n_test, folds)
+        sizes = [q + 1 if j < rem else q for j in range(folds)]
+        pos = n_test
+        for s in sizes[:-1]:
+            pos += s
+            ranks.append(pos - 1)
+    ranks = [r for r in ranks if 0 <= r < n]
+    th = hash_rank_thresholds(df, h, ranks) if ranks else []
+    out = df.withColumn("__h", h)
+    if n_test > 0:
+        t_test, th_f = th[0], th[1:]
+        is_test = F.col("__h") <= F.lit(t_test)
+    else:
+        th_f = th
+        is_test = F.lit(False)
+    out = out.withColumn("is_test", is_test)
+    if folds:
+        fold = F.lit(folds - 1)
+        for j in reversed(range(len(th_f))):
+            fold = F.when(F.col("__h") <= F.lit(th_f[j]), F.lit(j)).otherwise(fold)
+        out = out.withColumn("fold", F.when(~F.col("is_test"), fold.cast("int")))
+    return out.drop("__h")
 
 
 def hash_split(df: DataFrame, key_cols, test_size: float = 0.2, seed: int = 42) -> DataFrame:
@@ -199,17 +228,7 @@ def hash_split(df: DataFrame, key_cols, test_size: float = 0.2, seed: int = 42)
     return df.withColumn("is_test", F.substring(h, 1, 8) < F.lit(thr))
 
 
-def assign_folds(split_ranked: DataFrame, k: int = 5) -> DataFrame:
-    """Contiguous folds over the shuffled training rows (KFold without
-    shuffle applied to the seeded order): the first ``n % k`` folds hold
-    ``n // k + 1`` rows, the rest ``n // k``. Input comes from
-    ``exact_split(..., with_rank=True)``; test rows get a null fold."""
-    n_test = split_ranked.where(F.col("is_test")).count()
-    n_train = split_ranked.count() - n_test
-    q, rem = divmod(n_train, k)
-    r = F.col("split_rank") - F.lit(n_test) - 1  # 0-based position among train rows
-    big = rem * (q + 1)
-    fold = F.when(r < big, F.floor(r / F.lit(q + 1))).otherwise(
-        F.lit(rem) + F.floor((r - F.lit(big)) / F.lit(max(q, 1))))
-    return split_ranked.withColumn(
-        "fold", F.when(~F.col("is_test"), fold.cast("int")))
+def assign_folds(df: DataFrame, key_cols, k: int = 5, test_size: float = 0.2,
+                 seed: int = 42) -> DataFrame:
+    """Split plus ``fold`` (see :func:`exact_split`)."""
+    return exact_split(df, key_cols, test_size, seed, folds=k)

@@ -16,6 +16,11 @@ from regressa.functions.columns import categorical_columns, numeric_columns, rol
 from regressa.operators.ranking import exact_quantiles
 
 
+def _num(c: str):
+    """A numeric column as double with NaN as missing (pandas semantics)."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """Rows ``(column, null_count)`` from one aggregation."""
     agg = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"c{i}") for i, c in enumerate(df.columns)])
@@ -65,6 +70,9 @@ def describe(df: DataFrame, columns=None, approx: bool = False,
     """Per numeric column ``count, mean, std (ddof=1), min, q25, q50, q75,
     max``. Quantiles are exact with linear interpolation unless ``approx``."""
     cols = list(columns) if columns else numeric_columns(df)
+    # NaN counts as missing, as in pandas.
+    df = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
+                     if dict(df.dtypes)[c] in ("double", "float") else F.col(c) for c in cols])
     moments = df.agg(*[
         F.struct(F.count(F.col(c)).alias("count"), F.avg(F.col(c)).alias("mean"),
                  F.stddev_samp(F.col(c)).alias("std"),
@@ -127,8 +135,7 @@ def correlation_matrix(df: DataFrame, columns=None) -> DataFrame:
     if len(cols) < 2:
         raise ValueError("correlation needs at least two numeric columns")
     pairs = list(combinations(cols, 2))
-    agg = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}")
-                   for i, (a, b) in enumerate(pairs)])
+    agg = df.agg(*[F.corr(_num(a), _num(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     entries = []
     for i, (a, b) in enumerate(pairs):
         entries.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
@@ -142,8 +149,7 @@ def target_correlation(df: DataFrame, target: str, columns=None) -> DataFrame:
     """P8 (and C12 ranking): ``(feature, corr, abs_corr)`` with the target,
     strongest first."""
     cols = [c for c in (columns or numeric_columns(df)) if c != target]
-    agg = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"c{i}")
-                   for i, c in enumerate(cols)])
+    agg = df.agg(*[F.corr(_num(c), _num(target)).alias(f"c{i}") for i, c in enumerate(cols)])
     out = agg.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("corr"))
         for i, c in enumerate(cols)])).alias("r")).select("r.*")

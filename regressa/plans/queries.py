@@ -205,8 +205,8 @@ def q_hash_split_lineitem(spark, sf):
 
 def q_folds_lineitem(spark, sf):
     li = table(spark, sf, "lineitem")
-    ranked = encode.exact_split(li, LINEITEM_KEY, 0.2, 42, with_rank=True)
-    return encode.assign_folds(ranked, 5).select(*LINEITEM_KEY, "is_test", "fold")
+    return encode.exact_split(li, LINEITEM_KEY, 0.2, 42, folds=5).select(
+        *LINEITEM_KEY, "is_test", "fold")
 
 
 def q_onehot_lineitem(spark, sf):
