@@ -44,15 +44,16 @@ def capped_sample(df: DataFrame, key_cols, n: int, seed: int = 42) -> DataFrame:
     under any partitioning: the ``n`` smallest seeded key hashes (exact for a
     unique key). The n-th smallest hash comes from a few histogram passes;
     the sample is then a narrow filter, no row is sorted or shuffled."""
-    from regressa.operators.ranking import hash_rank_thresholds
+    from regressa.operators.ranking import hash_prefix_histogram, hash_rank_thresholds
 
     h = hash_of_keys(df, key_cols, seed)
-    total = df.count()
+    hist = hash_prefix_histogram(df, h, 4)
+    total = sum(c for _, c in hist)
     if n >= total:
         return df
     if n <= 0:
         return df.limit(0)
-    (t,) = hash_rank_thresholds(df, h, [n - 1])
+    (t,) = hash_rank_thresholds(df, h, [n - 1], histogram=hist)
     return df.where(h <= F.lit(t))
 
 

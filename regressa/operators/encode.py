@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regressa.operators.clean import hash_of_keys
-from regressa.operators.ranking import hash_rank_thresholds, with_row_number
+from regressa.operators.ranking import (hash_prefix_histogram, hash_rank_thresholds,
+                                        with_row_number)
 
 # Rows up to which a fitted mapping table is broadcast; above it the join
 # shuffles (the check is a count of the mapping, not of the data).
@@ -191,7 +192,8 @@ def exact_split(df: DataFrame, key_cols, test_size: float = 0.2, seed: int = 42,
     a hash and always land on the same side)."""
     key_cols = list(key_cols)
     h = hash_of_keys(df, key_cols, seed)
-    n = df.count()
+    hist = hash_prefix_histogram(df, h, 4)  # also gives the row count
+    n = sum(c for _, c in hist)
     n_test = math.ceil(n * test_size)
     ranks = [n_test - 1] if n_test > 0 else []
     sizes = []
@@ -203,7 +205,7 @@ def exact_split(df: DataFrame, key_cols, test_size: float = 0.2, seed: int = 42,
             pos += s
             ranks.append(pos - 1)
     ranks = [r for r in ranks if 0 <= r < n]
-    th = hash_rank_thresholds(df, h, ranks) if ranks else []
+    th = hash_rank_thresholds(df, h, ranks, histogram=hist) if ranks else []
     out = df.withColumn("__h", h)
     if n_test > 0:
         t_test, th_f = th[0], th[1:]

@@ -182,46 +182,72 @@ def unpivot_numeric(df: DataFrame, columns: Sequence[str], id_cols: Sequence[str
     return casted.unpivot(id_cols, list(columns), name, value)
 
 
-def hash_rank_thresholds(df: DataFrame, hash_col, ranks, digits=(4, 8)) -> list:
+# Largest number of rows in the wanted prefix buckets that the last pass may
+# collect directly (as distinct hashes with counts) instead of refining the
+# prefix once more.
+DIRECT_BUCKET_ROWS = 50_000
+
+
+def hash_prefix_histogram(df: DataFrame, hash_col, width: int = 4) -> list:
+    """Row counts per ``width``-digit hash prefix, sorted (at most 16^width
+    rows, combined map-side). Their sum is the row count."""
+    h = df.select(_as_col(hash_col).alias("__h")).where(F.col("__h").isNotNull())
+    rows = h.groupBy(F.substring("__h", 1, width).alias("p")).agg(
+        F.count(F.lit(1)).alias("n")).collect()
+    return sorted((r["p"], r["n"]) for r in rows)
+
+
+def hash_rank_thresholds(df: DataFrame, hash_col, ranks, histogram=None) -> list:
     """Exact values at 0-based ``ranks`` in the ascending order of a uniform
     hex hash column (e.g. ``md5``), without sorting or shuffling rows.
 
-    Pass 1 counts rows per 4-hex-digit prefix (at most 65,536 groups, combined
-    map-side); pass 2 counts, inside the prefixes that hold a wanted rank, per
-    8-digit prefix; pass 3 collects the distinct hashes (with their counts) of
-    the few 8-digit prefixes left, about ``n / 16^8`` each. The driver only
-    sees these small histograms, so the cost is a few narrow aggregations
-    whatever the table size; a hash repeated many times is one counted row.
+    Pass 1 counts rows per 4-hex-digit prefix (at most 65,536 groups,
+    combined map-side; pass ``histogram`` to reuse one). While the buckets
+    holding the wanted ranks are large, one more pass refines them by 4 more
+    digits; once they hold at most ``DIRECT_BUCKET_ROWS`` rows, a last pass
+    collects their distinct hashes with counts. The driver only sees these
+    bounded histograms; a hash repeated many times is one counted row.
     """
     h = df.select(_as_col(hash_col).alias("__h")).where(F.col("__h").isNotNull())
     ranks = [int(r) for r in ranks]
-    prefixes = [""] * len(ranks)
-    rem = list(ranks)
-    prev = 0
-    for width in digits:
-        wanted = sorted({p for p in prefixes})
-        src = h if prev == 0 else h.where(F.substring("__h", 1, prev).isin(wanted))
-        counts = src.groupBy(F.substring("__h", 1, width).alias("p")).agg(
-            F.count(F.lit(1)).alias("n")).collect()
+    hist = histogram if histogram is not None else hash_prefix_histogram(df, hash_col, 4)
+    prefixes, rem, sizes = [], [], []
+    for r in ranks:
+        acc = 0
+        for p, n in hist:
+            if r < acc + n:
+                prefixes.append(p)
+                rem.append(r - acc)
+                sizes.append(n)
+                break
+            acc += n
+        else:
+            raise ValueError(f"rank {r} is beyond the row count")
+    width = 4
+    while sum(sizes[i] for i in {prefixes.index(p) for p in set(prefixes)}) > DIRECT_BUCKET_ROWS \
+            and width < 32:
+        wanted = sorted(set(prefixes))
+        nxt = min(width + 4, 32)
+        counts = (h.where(F.substring("__h", 1, width).isin(wanted))
+                  .groupBy(F.substring("__h", 1, nxt).alias("p"))
+                  .agg(F.count(F.lit(1)).alias("n")).collect())
         children: dict[str, list] = {}
         for r in counts:
-            children.setdefault(r["p"][:prev], []).append((r["p"], r["n"]))
+            children.setdefault(r["p"][:width], []).append((r["p"], r["n"]))
         for i, parent in enumerate(prefixes):
             acc = 0
             for p, n in sorted(children.get(parent, [])):
                 if rem[i] < acc + n:
-                    prefixes[i], rem[i] = p, rem[i] - acc
+                    prefixes[i], rem[i], sizes[i] = p, rem[i] - acc, n
                     break
                 acc += n
-            else:
-                raise ValueError(f"rank {ranks[i]} is beyond the row count")
-        prev = width
+        width = nxt
     wanted = sorted(set(prefixes))
-    vals = (h.where(F.substring("__h", 1, prev).isin(wanted))
+    vals = (h.where(F.substring("__h", 1, width).isin(wanted))
             .groupBy("__h").agg(F.count(F.lit(1)).alias("n")).collect())
     by_prefix: dict[str, list] = {}
     for r in vals:
-        by_prefix.setdefault(r["__h"][:prev], []).append((r["__h"], r["n"]))
+        by_prefix.setdefault(r["__h"][:width], []).append((r["__h"], r["n"]))
     out = []
     for i, p in enumerate(prefixes):
         acc = 0

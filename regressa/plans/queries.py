@@ -274,8 +274,10 @@ def ols_split(spark, sf):
 
     li = lineitem_regression(spark, sf)
     sp = encode.exact_split(li, LINEITEM_KEY, 0.2, 42)
+    # The narrow projection is reused by the fit and every diagnostic: cache it
+    # (the assembled training set, as the workflow does).
     data = sp.select(*LINEITEM_KEY, "is_test", F.col("l_extendedprice").alias("x"),
-                     F.col("net_price").alias("y"))
+                     F.col("net_price").alias("y")).cache()
     fit = models.fit_model("linear", data.where(~F.col("is_test")), ["x"])
     return data, fit
 

@@ -63,3 +63,14 @@ def test_hash_rank_thresholds_match_sorting(spark):
     hashes = sorted(hashlib.md5(str(i).encode()).hexdigest() for i in range(n))
     ranks = [0, 1, 999, 2500, 4999]
     assert hash_rank_thresholds(df, "h", ranks) == [hashes[r] for r in ranks]
+
+
+def test_hash_rank_thresholds_refines_large_buckets(spark, monkeypatch):
+    import regressa.operators.ranking as R
+
+    monkeypatch.setattr(R, "DIRECT_BUCKET_ROWS", 1)
+    n = 3000
+    df = spark.range(n).withColumn("h", F.md5(F.col("id").cast("string")))
+    hashes = sorted(hashlib.md5(str(i).encode()).hexdigest() for i in range(n))
+    ranks = [0, 1234, 2999]
+    assert R.hash_rank_thresholds(df, "h", ranks) == [hashes[r] for r in ranks]
