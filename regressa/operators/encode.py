@@ -24,12 +24,26 @@ BROADCAST_MAX_ROWS = 1_000_000
 NULL_LABEL = "nan"
 
 
+# One-hot output columns a single categorical column may create. Categories
+# become columns, so their list must reach the driver; beyond this the fit
+# stops with an error (use label or target encoding) instead of collecting an
+# unbounded list.
+MAX_ONE_HOT_CATEGORIES = 10_000
+
+
 def _category_lists(df: DataFrame, cols) -> dict[str, list[str]]:
-    """Sorted distinct non-null values per column (distributed distinct)."""
+    """Sorted distinct non-null values per column (distributed distinct),
+    after checking their number against ``MAX_ONE_HOT_CATEGORIES``."""
     if not cols:
         return {}
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [], list(cols), "column", "value").where(F.col("value").isNotNull()).distinct()
+    sizes = {r["column"]: r["k"] for r in
+             long.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
+    big = {c: k for c, k in sizes.items() if k > MAX_ONE_HOT_CATEGORIES}
+    if big:
+        raise ValueError(f"too many categories for one-hot encoding: {big}; "
+                         "use encode_categorical='label' or 'target'")
     out: dict[str, list[str]] = {c: [] for c in cols}
     for r in long.collect():
         out[r["column"]].append(r["value"])

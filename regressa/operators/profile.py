@@ -57,6 +57,45 @@ def table_summary(df: DataFrame) -> DataFrame:
     )
 
 
+# Bytes per value of fixed-width types (strings are measured per value).
+_FIXED_WIDTH = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8,
+                "boolean": 1, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def memory_usage(df: DataFrame) -> DataFrame:
+    """P1 memory: ``(column, bytes)`` estimated from the data in one scan:
+    fixed-width types count their width per non-null value, strings their
+    UTF-8 length. Plus a ``__total__`` row."""
+    exprs = []
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        if t == "string":
+            e = F.coalesce(F.sum(F.octet_length(F.col(f.name))), F.lit(0))
+        elif t in _FIXED_WIDTH:
+            e = F.count(F.col(f.name)) * F.lit(_FIXED_WIDTH[t])
+        else:
+            e = F.coalesce(F.sum(F.octet_length(F.col(f.name).cast("string"))), F.lit(0))
+        exprs.append(e.cast("long").alias(f"c{len(exprs)}"))
+    agg = df.agg(*exprs)
+    names = [f.name for f in df.schema.fields]
+    long = agg.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("bytes"))
+        for i, c in enumerate(names)])).alias("r")).select("r.*")
+    total = agg.select(F.lit("__total__").alias("column"),
+                       sum((F.col(f"c{i}") for i in range(len(names))), F.lit(0)).cast("long")
+                       .alias("bytes"))
+    return long.unionByName(total)
+
+
+def dtype_counts(df: DataFrame) -> dict[str, int]:
+    """P1 dtypes: number of columns per Spark type (schema only)."""
+    out: dict[str, int] = {}
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        out[t] = out.get(t, 0) + 1
+    return out
+
+
 def column_roles(df: DataFrame) -> dict[str, list[str]]:
     """P10: role lists from the schema."""
     out: dict[str, list[str]] = {"numeric": [], "categorical": [], "other": []}

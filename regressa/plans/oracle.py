@@ -447,6 +447,44 @@ ORACLE.update({
 })
 
 
+_DOCS6 = ("(SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d "
+          "LEFT JOIN labels l ON d.doc_id = l.doc_id)")
+_LI_WIDTH = {"l_orderkey": 8, "l_partkey": 8, "l_suppkey": 8, "l_linenumber": 4,
+             "l_quantity": 8, "l_extendedprice": 8, "l_discount": 8, "l_tax": 8,
+             "l_returnflag": None, "l_linestatus": None, "l_shipdate": 8}
+
+
+def _mem_expr(c, w):
+    return (f"CAST(coalesce(sum(octet_length({c}::BLOB)), 0) AS BIGINT)" if w is None
+            else f"CAST(count({c}) * {w} AS BIGINT)")
+
+
+ORACLE.update({
+    "memory_usage_lineitem": (
+        " UNION ALL ".join(f"SELECT '{c}' AS column, {_mem_expr(c, w)} AS bytes FROM lineitem"
+                           for c, w in _LI_WIDTH.items())
+        + " UNION ALL SELECT '__total__', CAST(" +
+        " + ".join(_mem_expr(c, w) for c, w in _LI_WIDTH.items()) + " AS BIGINT) FROM lineitem"),
+    "null_counts_documents": " UNION ALL ".join(
+        f"SELECT '{c}' AS column, count(*) - count({c}) AS null_count FROM {_DOCS6}"
+        for c in ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]),
+    "row_change_documents": (
+        f"SELECT (SELECT count(*) FROM {_DOCS6}) AS original_rows, "
+        f"(SELECT count(*) FROM {_DOCS6} WHERE lang IS NOT NULL AND source IS NOT NULL AND "
+        "n_chars IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL) AS processed_rows, "
+        f"(SELECT count(*) FROM {_DOCS6}) - (SELECT count(*) FROM {_DOCS6} WHERE lang IS NOT NULL "
+        "AND source IS NOT NULL AND n_chars IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT "
+        "NULL) AS removed_rows"),
+    "scoring_input_check_lineitem": (
+        "SELECT 'missing_feature' AS check, 'error' AS severity, 'l_comment' AS column_name, "
+        "true AS failed UNION ALL SELECT 'extra_feature', 'warning', 'l_shipdate', true "
+        "UNION ALL SELECT 'all_null_feature', 'error', 'l_quantity', true UNION ALL "
+        + " UNION ALL ".join(f"SELECT 'all_null_feature', 'error', '{c}', count({c}) = 0 "
+                             "FROM lineitem" for c in ["l_extendedprice", "l_discount", "l_tax",
+                                                       "l_returnflag", "l_linestatus"])),
+})
+
+
 def _positive_zero(sql: str) -> str:
     """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB's round can
     return -0.0 where Spark's returns 0.0, and a value hash tells them apart."""

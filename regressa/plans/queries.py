@@ -677,3 +677,38 @@ QUERIES.update({
     "cv_error_bars_lineitem": _from_comparison(lambda c: __import__(
         "regressa.operators.chartdata", fromlist=["x"]).cv_error_bars(c)),
 })
+
+
+# --- more profiling / validation queries ------------------------------------
+
+def q_memory_usage_lineitem(spark, sf):
+    return profile.memory_usage(table(spark, sf, "lineitem"))
+
+
+def q_null_counts_documents(spark, sf):
+    return profile.null_counts(documents_labelled(spark, sf))
+
+
+def q_row_change_documents(spark, sf):
+    d = documents_labelled(spark, sf)
+    return profile.row_change(d, clean.drop_null_rows(d))
+
+
+def q_scoring_input_check_lineitem(spark, sf):
+    """V9 on a scoring batch: lineitem whose quantity column is blanked (an
+    upstream failure), checked against a feature list that also expects a
+    column the batch lacks."""
+    batch = table(spark, sf, "lineitem").withColumn("l_quantity",
+                                                    F.lit(None).cast("double"))
+    expected = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+                "l_linestatus", "l_comment"]
+    return validate.validate_scoring_input(batch.drop("l_orderkey", "l_partkey", "l_suppkey",
+                                                      "l_linenumber"), expected)
+
+
+QUERIES.update({
+    "memory_usage_lineitem": q_memory_usage_lineitem,
+    "null_counts_documents": q_null_counts_documents,
+    "row_change_documents": q_row_change_documents,
+    "scoring_input_check_lineitem": q_scoring_input_check_lineitem,
+})
