@@ -264,7 +264,32 @@ def label_moments(train: DataFrame) -> dict:
     return {"n": r["n"], "sd_pop": r["sp"] or 0.0, "sd_samp": r["ss"] or 0.0}
 
 
-def build_estimator(name: str, hp: dict, moments: dict, seed: int = 42):
+def _memory_mb(value: str) -> int:
+    v = value.strip().lower()
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    if v and v[-1] == "b":
+        v = v[:-1]
+    if v and v[-1] in units:
+        return int(float(v[:-1]) * units[v[-1]])
+    return int(int(v) / (1024 * 1024))
+
+
+def tree_memory_budget_mb(spark) -> int:
+    """``maxMemoryInMB`` for tree learners: a quarter of the heap share of one
+    concurrent task (driver heap / cores in local mode, executor heap /
+    executor cores on a cluster), between 16 and 256 MB."""
+    conf = spark.sparkContext.getConf()
+    if spark.sparkContext.master.startswith("local"):
+        heap = _memory_mb(conf.get("spark.driver.memory", "1g"))
+        tasks = spark.sparkContext.defaultParallelism
+    else:
+        heap = _memory_mb(conf.get("spark.executor.memory", "1g"))
+        tasks = int(conf.get("spark.executor.cores", "1"))
+    return int(max(16, min(256, heap / max(tasks, 1) / 4)))
+
+
+def build_estimator(name: str, hp: dict, moments: dict, seed: int = 42,
+                    tree_memory_mb: int = 256):
     """Spark ML estimator for a model name and reference-style hyper-parameters."""
     n = max(moments["n"], 1)
     lin = dict(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION,
@@ -287,7 +312,8 @@ def build_estimator(name: str, hp: dict, moments: dict, seed: int = 42):
         reg = l1 + l2
         return LinearRegression(regParam=reg, elasticNetParam=(l1 / reg) if reg > 0 else 0.0,
                                 maxIter=1000, tol=1e-9, **lin)
-    tree = dict(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, seed=seed)
+    tree = dict(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, seed=seed,
+                maxMemoryInMB=tree_memory_mb)
     if name == "random_forest":
         depth = hp.get("max_depth", DEFAULT_FOREST_DEPTH)
         mf = hp.get("max_features", None)
@@ -315,7 +341,8 @@ def fit_model(name: str, train: DataFrame, feature_names, hp: dict | None = None
                     seed=seed, iterations=int(hp.get("iterations", 60)))
         return FittedModel(name, list(feature_names), m, hp)
     data = assemble(train.where(F.col(LABEL).isNotNull()), feature_names)
-    est = build_estimator(name, hp, label_moments(train), seed)
+    est = build_estimator(name, hp, label_moments(train), seed,
+                          tree_memory_budget_mb(train.sparkSession))
     return FittedModel(name, list(feature_names), est.fit(data), hp)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from regressa.functions.columns import round_doubles
 from regressa.operators import clean, encode, profile, validate
+from regressa.session import balance
 from regressa.sources.tables import table
 
 NET_PRICE = "l_extendedprice * (1 - l_discount) * (1 + l_tax)"
@@ -276,8 +277,8 @@ def ols_split(spark, sf):
     sp = encode.exact_split(li, LINEITEM_KEY, 0.2, 42)
     # The narrow projection is reused by the fit and every diagnostic: cache it
     # (the assembled training set, as the workflow does).
-    data = sp.select(*LINEITEM_KEY, "is_test", F.col("l_extendedprice").alias("x"),
-                     F.col("net_price").alias("y")).cache()
+    data = balance(sp.select(*LINEITEM_KEY, "is_test", F.col("l_extendedprice").alias("x"),
+                             F.col("net_price").alias("y"))).cache()
     fit = models.fit_model("linear", data.where(~F.col("is_test")), ["x"])
     return data, fit
 
