@@ -485,6 +485,33 @@ ORACLE.update({
 })
 
 
+_FOLDS = (f"WITH s AS {_split_cte(LI)}, c AS (SELECT count(*) FILTER (WHERE is_test) AS nt, "
+          "count(*) FILTER (WHERE NOT is_test) AS ntr FROM s), "
+          "tr AS (SELECT l_extendedprice AS x, net_price AS y, CAST(CASE "
+          "WHEN split_rank - nt - 1 < (ntr % 5) * (ntr // 5 + 1) "
+          "THEN (split_rank - nt - 1) // (ntr // 5 + 1) "
+          "ELSE (ntr % 5) + (split_rank - nt - 1 - (ntr % 5) * (ntr // 5 + 1)) // (ntr // 5) "
+          "END AS INTEGER) AS fold FROM s, c WHERE NOT is_test), "
+          "fs AS (SELECT fold, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, "
+          "sum(x * y) AS sxy FROM tr GROUP BY fold), "
+          "tot AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, "
+          "sum(sxy) AS sxy FROM fs), "
+          "co AS (SELECT fs.fold, tot.n - fs.n AS n, tot.sx - fs.sx AS sx, tot.sy - fs.sy AS sy, "
+          "tot.sxx - fs.sxx AS sxx, tot.sxy - fs.sxy AS sxy FROM fs, tot), "
+          "fit AS (SELECT fold, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b, sx, sy, n FROM co), "
+          "fit2 AS (SELECT fold, b, (sy - b * sx) / n AS a FROM fit), "
+          "p AS (SELECT tr.fold, y, a + b * x AS prediction FROM tr JOIN fit2 ON tr.fold = fit2.fold), "
+          "sc AS (SELECT fold, " + _R2 + " AS score FROM p GROUP BY fold) ")
+
+ORACLE.update({
+    "cv_scores_ols_lineitem": _FOLDS + "SELECT 'linear' AS Model, fold, round(score, 6) AS score FROM sc",
+    "cv_summary_ols_lineitem": (
+        _FOLDS + "SELECT 'linear' AS Model, round(avg(score), 6) AS mean_cv_score, "
+        "round(stddev_pop(score), 6) AS std_dev, round(min(score), 6) AS min_score, "
+        "round(max(score), 6) AS max_score FROM sc"),
+})
+
+
 def _positive_zero(sql: str) -> str:
     """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB's round can
     return -0.0 where Spark's returns 0.0, and a value hash tells them apart."""

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from regressa.functions.columns import round_doubles
 from regressa.operators import clean, encode, profile, validate
-from regressa.session import balance
 from regressa.sources.tables import table
 
 NET_PRICE = "l_extendedprice * (1 - l_discount) * (1 + l_tax)"
@@ -277,8 +276,8 @@ def ols_split(spark, sf):
     sp = encode.exact_split(li, LINEITEM_KEY, 0.2, 42)
     # The narrow projection is reused by the fit and every diagnostic: cache it
     # (the assembled training set, as the workflow does).
-    data = balance(sp.select(*LINEITEM_KEY, "is_test", F.col("l_extendedprice").alias("x"),
-                             F.col("net_price").alias("y"))).cache()
+    data = sp.select(*LINEITEM_KEY, "is_test", F.col("l_extendedprice").alias("x"),
+                     F.col("net_price").alias("y")).cache()
     fit = models.fit_model("linear", data.where(~F.col("is_test")), ["x"])
     return data, fit
 
@@ -713,3 +712,34 @@ QUERIES.update({
     "row_change_documents": q_row_change_documents,
     "scoring_input_check_lineitem": q_scoring_input_check_lineitem,
 })
+
+
+# --- cross-validation of the closed-form model (A1, A7) ---------------------
+
+def _ols_cv_scores(spark, sf):
+    from regressa.plans import tuning
+
+    li = lineitem_regression(spark, sf)
+    sp = encode.exact_split(li, LINEITEM_KEY, 0.2, 42, folds=5)
+    train = sp.where(~F.col("is_test")).select(
+        "fold", F.col("l_extendedprice").alias("x"), F.col("net_price").alias("y")).cache()
+    scores = tuning.cross_val_scores("linear", train, ["x"], {}, 5, "r2")
+    return spark.createDataFrame([("linear", i, float(s)) for i, s in enumerate(scores)],
+                                 "Model string, fold int, score double")
+
+
+def q_cv_scores_ols_lineitem(spark, sf):
+    return _rounded(_ols_cv_scores(spark, sf), {"score": 6})
+
+
+def q_cv_summary_ols_lineitem(spark, sf):
+    from regressa.operators import metrics
+
+    return _rounded(metrics.cv_summary(_ols_cv_scores(spark, sf)),
+                    {"mean_cv_score": 6, "std_dev": 6, "min_score": 6, "max_score": 6})
+
+
+QUERIES.update({
+    "cv_scores_ols_lineitem": q_cv_scores_ols_lineitem,
+    "cv_summary_ols_lineitem": q_cv_summary_ols_lineitem,
+})
