@@ -302,7 +302,7 @@ def q_score_lineitem(spark, sf):
 
     li = lineitem_regression(spark, sf)
     sp = encode.exact_split(li, LINEITEM_KEY, 0.2, 42)
-    train = sp.where(~F.col("is_test")).select("l_extendedprice", "net_price")
+    train = sp.where(~F.col("is_test")).select("l_extendedprice", "net_price").cache()
     pre = models.fit_preprocessor(train, "net_price", RegressionParams(), scale=False)
     fit = models.fit_model("linear", pre.transform(train), pre.feature_names)
     scored = score.score_batch(li, pre, fit, keep=LINEITEM_KEY, confidence=True)
