@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from regressa import messages as M
 from regressa.functions.columns import categorical_columns, numeric_columns, role_of
 from regressa.operators.ranking import exact_quantiles, unpivot_numeric
 from regressa.session import cut_lineage
@@ -145,10 +146,10 @@ def fit_impute(df: DataFrame, target: str | None) -> FillModel:
     modes = _modes(df, cat)
     for c in with_nulls:
         if c in num:
-            steps.append(f"Filled missing values in '{c}' with median")
+            steps.append(M.STEP_FILLED_MEDIAN.format(column=c))
         elif c in cat:
             values[c] = modes.get(c, UNKNOWN)
-            steps.append(f"Filled missing values in '{c}' with mode")
+            steps.append(M.STEP_FILLED_MODE.format(column=c))
     return FillModel(values, steps, widen)
 
 

@@ -12,6 +12,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from regressa import messages as M
 from regressa.functions.stats import kurtosis_unbiased, norm_ppf_sql, skewness_unbiased
 from regressa.operators.metrics import metric_aggs
 from regressa.operators.ranking import exact_quantiles, with_row_number
@@ -194,37 +195,30 @@ def performance_breakdown(pred: DataFrame, y: str = "y", p: str = "prediction")
     return out.orderBy("__o").select("range", F.col("n").alias("count"), "r2", "rmse", "mae")
 
 
+def _rec(t) -> "F.Column":
+    return F.struct(F.lit(t[0]).alias("title"), F.lit(t[1]).alias("detail"),
+                    F.lit(t[2]).alias("kind"))
+
+
 def recommendations(comparison: DataFrame) -> DataFrame:
     """Advice rows for the winning model: R2 < .5 low, < .7 moderate, else
     good; tree models and regularised models get a note."""
     best = comparison.orderBy(F.desc_nulls_last("test_r2"), "Model").limit(1)
     r2 = F.col("test_r2")
-    perf = F.struct(
-        F.when(r2 < 0.5, "Low R2 Score").when(r2 < 0.7, "Moderate R2 Score")
-        .otherwise("Good R2 Score").alias("title"),
-        F.when(r2 < 0.5, "Consider adding more features or trying non-linear models")
-        .when(r2 < 0.7, "Try feature engineering or ensemble methods")
-        .otherwise("Model is performing well").alias("detail"),
-        F.when(r2 < 0.5, "warning").when(r2 < 0.7, "info").otherwise("success").alias("kind"))
+    perf = (F.when(r2 < 0.5, _rec(M.REC_LOW_R2)).when(r2 < 0.7, _rec(M.REC_MODERATE_R2))
+            .otherwise(_rec(M.REC_GOOD_R2)))
     m = F.col("Model")
-    model_note = F.struct(
-        F.when(m.isin("random_forest", "gradient_boosting"), "Tree-Based Model")
-        .when(m.isin("ridge", "lasso", "elastic_net"), "Regularized Model").alias("title"),
-        F.when(m.isin("random_forest", "gradient_boosting"),
-               "Good for capturing non-linear relationships")
-        .when(m.isin("ridge", "lasso", "elastic_net"), "Good for preventing overfitting")
-        .alias("detail"),
-        F.lit("info").alias("kind"))
+    model_note = (F.when(m.isin("random_forest", "gradient_boosting"), _rec(M.REC_TREE))
+                  .when(m.isin("ridge", "lasso", "elastic_net"), _rec(M.REC_REGULARIZED)))
     rows = best.select("Model", F.explode(F.array(perf, model_note)).alias("rec"))
-    return rows.where(F.col("rec.title").isNotNull()).select("Model", "rec.*")
+    return rows.where(F.col("rec").isNotNull()).select("Model", "rec.*")
 
 
 def interpretation(comparison: DataFrame, target: str) -> DataFrame:
     """The three interpretation sentences for the winning model."""
     best = comparison.orderBy(F.desc_nulls_last("test_r2"), "Model").limit(1)
     return best.select("Model", F.explode(F.array(
-        F.format_string(f"The model explains %.1f%% of the variance in {target}",
-                        F.col("test_r2") * 100),
-        F.format_string("On average, predictions are off by %.2f units", F.col("test_mae")),
-        F.format_string("The root mean squared error is %.2f", F.col("test_rmse")),
+        F.format_string(M.INTERPRET_VARIANCE.format(target=target), F.col("test_r2") * 100),
+        F.format_string(M.INTERPRET_MAE, F.col("test_mae")),
+        F.format_string(M.INTERPRET_RMSE, F.col("test_rmse")),
     )).alias("text"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from regressa import messages as M
 from regressa.functions.columns import categorical_columns, role_of
 
 # Thresholds of the reference's validator.
@@ -48,32 +49,32 @@ def validate(df: DataFrame, target: str, *, approx_distinct: bool = False) -> Da
     n = F.col("n").cast("double")
     rows = [
         _row(F.lit("empty_table"), F.lit("error"), F.lit(None).cast("string"), n,
-             F.col("n") == 0, F.lit("Dataset is empty")),
+             F.col("n") == 0, F.lit(M.EMPTY_TABLE)),
         _row(F.lit("target_missing"), F.lit("error"), F.lit(target),
                  F.lit(None).cast("double"), F.lit(not has_target),
-                 F.lit(f"Target column '{target}' not found")),
+                 F.lit(M.TARGET_NOT_FOUND.format(target=target))),
     ]
     if has_target:
         ratio = F.try_divide(F.col("t_nn").cast("double"), n)
         rows += [
             _row(F.lit("target_all_null"), F.lit("error"), F.lit(target),
                      F.col("t_nn").cast("double"), F.col("t_nn") == 0,
-                     F.lit("Target column is entirely null")),
+                     F.lit(M.TARGET_ALL_NULL)),
             _row(F.lit("target_valid_ratio"), F.lit("warning"), F.lit(target), ratio,
                      F.coalesce(ratio < MIN_VALID_TARGET_RATIO, F.lit(False)),
-                     F.format_string("Target has only %.1f%% valid values",
+                     F.format_string(M.TARGET_LOW_VALID,
                                      F.coalesce(ratio, F.lit(0.0)) * 100)),
             _row(F.lit("target_not_numeric"), F.lit("error"), F.lit(target),
                      F.col("t_bad").cast("double"), F.col("t_bad") > 0,
-                     F.lit(f"Target column '{target}' is not numeric and cannot be converted")),
+                     F.lit(M.TARGET_NOT_NUMERIC.format(target=target))),
         ]
     rows += [
         _row(F.lit("no_features"), F.lit("error"), F.lit(None).cast("string"),
                  F.lit(float(len(features))), F.lit(len(features) == 0),
-                 F.lit("No feature columns found")),
+                 F.lit(M.NO_FEATURES)),
         _row(F.lit("few_rows"), F.lit("warning"), F.lit(None).cast("string"), n,
                  F.col("n") < MIN_ROWS,
-                 F.format_string("Dataset is very small (%d rows). Results may be unreliable.",
+                 F.format_string(M.FEW_ROWS,
                                  F.col("n"))),
     ]
     for i, c in enumerate(cats):
@@ -81,7 +82,7 @@ def validate(df: DataFrame, target: str, *, approx_distinct: bool = False) -> Da
         rows.append(_row(
             F.lit("high_cardinality"), F.lit("warning"), F.lit(c), r,
             F.coalesce(r > HIGH_CARDINALITY_RATIO, F.lit(False)),
-            F.format_string(f"Column '{c}' has very high cardinality (%.1f%% unique values)",
+            F.format_string(M.HIGH_CARDINALITY.format(column=c),
                             F.coalesce(r, F.lit(0.0)) * 100)))
     out = stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     names = ["check", "severity", "column_name", "value", "failed", "message"]

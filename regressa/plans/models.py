@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from regressa import messages as M
 from regressa.config import RegressionParams
 from regressa.functions.columns import categorical_columns, numeric_columns
 from regressa.operators import clean, encode
@@ -97,7 +98,7 @@ def fit_preprocessor(train: DataFrame, target: str, params: RegressionParams,
     if params.handle_missing == "drop":
         drop = True
         data = data.na.drop(subset=feats)
-        steps.append("Dropped rows with missing values")
+        steps.append(M.STEP_DROPPED)
     else:
         fill = clean.fit_impute(data, target)
         data = fill.transform(data)
@@ -107,10 +108,10 @@ def fit_preprocessor(train: DataFrame, target: str, params: RegressionParams,
     if cats:
         if params.encode_categorical in ("onehot", "one_hot_encoding"):
             encoder = encode.fit_one_hot(data, cats)
-            steps.append(f"One-hot encoded {len(cats)} categorical columns")
+            steps.append(M.STEP_ONE_HOT.format(k=len(cats)))
         elif params.encode_categorical in ("label", "label_encoding"):
             encoder = encode.fit_label(data, cats)
-            steps += [f"Label encoded '{c}'" for c in cats]
+            steps += [M.STEP_LABEL.format(column=c) for c in cats]
         else:
             encoder = encode.fit_target(data, cats, target, params.target_smoothing)
             steps += [f"Target encoded '{c}'" for c in cats]
