@@ -512,6 +512,67 @@ ORACLE.update({
 })
 
 
+def _poly_sql(coefs, x: str) -> str:
+    return "(" + " + ".join(f"{c!r} * pow({x}, {i})" for i, c in enumerate(coefs)) + ")"
+
+
+# Published AS R94 weight polynomials (Royston 1995), constant term first.
+_SW_C1 = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
+_SW_C2 = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+
+_PART = ("(SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', concat_ws('|', p_partkey), "
+         "'42')), p_partkey) <= ceil(count(*) OVER () * 0.2) AS is_test FROM part)")
+_SHAPIRO = (
+    f"WITH s AS {_PART}, fit AS (SELECT regr_slope(p_retailprice, p_partkey) AS b, "
+    "regr_intercept(p_retailprice, p_partkey) AS a FROM s WHERE NOT is_test), "
+    "r AS (SELECT p_partkey, p_retailprice - (a + b * p_partkey) AS r FROM s, fit WHERE is_test), "
+    "k AS (SELECT count(*) AS n FROM r), "
+    "o AS (SELECT r, row_number() OVER (ORDER BY r, p_partkey) AS i FROM r), "
+    "m AS (SELECT r, i, n, " + norm_ppf_sql("(CAST(i AS DOUBLE) - 0.375) / (n + 0.25)") +
+    " AS m FROM o, k), "
+    "c AS (SELECT sum(m * m) AS summ2, any_value(n) AS n FROM m), "
+    "w AS (SELECT summ2, n, 1 / sqrt(n) AS u, " +
+    norm_ppf_sql("(n - 0.375) / (n + 0.25)") + " AS mn, " +
+    norm_ppf_sql("(n - 1 - 0.375) / (n + 0.25)") + " AS mn1 FROM c), "
+    "w2 AS (SELECT *, mn / sqrt(summ2) + " + _poly_sql(_SW_C1, "u") + " AS an, "
+    "mn1 / sqrt(summ2) + " + _poly_sql(_SW_C2, "u") + " AS an1 FROM w), "
+    "w3 AS (SELECT *, sqrt((summ2 - 2 * mn * mn - 2 * mn1 * mn1) / "
+    "(1 - 2 * an * an - 2 * an1 * an1)) AS fac FROM w2), "
+    "agg AS (SELECT sum(CASE WHEN i = w3.n THEN an WHEN i = 1 THEN -an WHEN i = w3.n - 1 "
+    "THEN an1 WHEN i = 2 THEN -an1 ELSE m.m / fac END * r) AS num, "
+    "var_pop(r) * count(r) AS den, any_value(w3.n) AS n FROM m, w3) "
+    "SELECT n, round(least(1.0, num * num / den), 6) AS statistic FROM agg")
+
+
+def _chi2_sf_even_sql(x: str, dof: str) -> str:
+    """Chi-square survival function for an even number of degrees of freedom."""
+    return (f"(CASE WHEN {dof} % 2 = 0 THEN least(1.0, exp(-({x}) / 2) * list_sum(list_transform("
+            f"range(0, CAST({dof} / 2 AS BIGINT)), lambda i: pow(({x}) / 2, i) / "
+            f"factorial(CAST(i AS INTEGER))))) END)")
+
+
+_DRIFT_REPORT = (
+    "WITH ks AS (" + _ks_sql(1.5) + "), "
+    "ev AS (SELECT *, day(ts) <= 15 AS is_ref FROM events), "
+    "a AS (SELECT event_type AS c, count(*) AS o FROM ev WHERE is_ref AND event_type IS NOT NULL "
+    "GROUP BY 1), b AS (SELECT event_type AS c, count(*) AS o FROM ev WHERE NOT is_ref AND "
+    "event_type IS NOT NULL GROUP BY 1), "
+    "j AS (SELECT coalesce(a.o, 0) AS o_ref, coalesce(b.o, 0) AS o_new FROM a FULL OUTER JOIN b "
+    "ON a.c = b.c), tot AS (SELECT sum(o_ref) AS n_ref, sum(o_new) AS n_new, count(*) AS k "
+    "FROM j), "
+    "chi AS (SELECT sum(CASE WHEN e > 0 THEN (o_new - e) * (o_new - e) / e WHEN o_new > 0 "
+    "THEN 'inf'::DOUBLE ELSE 0 END) AS stat, any_value(k) - 1 AS dof FROM "
+    "(SELECT j.*, tot.*, o_ref * n_new / n_ref AS e FROM j, tot)) "
+    "SELECT feature, test, statistic, p_value, drifted FROM ks UNION ALL "
+    "SELECT 'event_type', 'chi_square', round(stat, 6), round(" + _chi2_sf_even_sql("stat", "dof") +
+    ", 6), " + _chi2_sf_even_sql("stat", "dof") + " < 0.05 FROM chi")
+
+ORACLE.update({
+    "shapiro_statistic_part": _SHAPIRO,
+    "drift_report_events": _DRIFT_REPORT,
+})
+
+
 def _positive_zero(sql: str) -> str:
     """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB's round can
     return -0.0 where Spark's returns 0.0, and a value hash tells them apart."""

@@ -743,3 +743,11 @@ QUERIES.update({
     "cv_scores_ols_lineitem": q_cv_scores_ols_lineitem,
     "cv_summary_ols_lineitem": q_cv_summary_ols_lineitem,
 })
+
+
+def q_shapiro_statistic_part(spark, sf):
+    """I6 statistic (W) alone: the order statistics and weights are SQL-checkable."""
+    return q_shapiro_part(spark, sf).select("n", F.round("statistic", 6).alias("statistic"))
+
+
+QUERIES.update({"shapiro_statistic_part": q_shapiro_statistic_part})
