@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regressa.functions.columns import round_doubles
-from regressa.operators import clean, encode, profile, validate
+from regressa.operators import chartdata, clean, diagnostics, encode, profile, validate
 from regressa.sources.tables import table
 
 NET_PRICE = "l_extendedprice * (1 - l_discount) * (1 + l_tax)"
@@ -668,14 +668,11 @@ QUERIES.update({
     "tuning_ridge_lineitem": q_tuning_ridge_lineitem,
     "workflow_lineitem": q_workflow_lineitem,
     "shapiro_part": q_shapiro_part,
-    "recommendations_lineitem": _from_comparison(lambda c: __import__(
-        "regressa.operators.diagnostics", fromlist=["x"]).recommendations(c)),
-    "interpretation_lineitem": _from_comparison(lambda c: __import__(
-        "regressa.operators.diagnostics", fromlist=["x"]).interpretation(c, "net_price")),
-    "complexity_vs_r2_lineitem": _from_comparison(lambda c: __import__(
-        "regressa.operators.chartdata", fromlist=["x"]).complexity_vs_r2(c)),
-    "cv_error_bars_lineitem": _from_comparison(lambda c: __import__(
-        "regressa.operators.chartdata", fromlist=["x"]).cv_error_bars(c)),
+    "recommendations_lineitem": _from_comparison(diagnostics.recommendations),
+    "interpretation_lineitem": _from_comparison(
+        lambda c: diagnostics.interpretation(c, "net_price")),
+    "complexity_vs_r2_lineitem": _from_comparison(chartdata.complexity_vs_r2),
+    "cv_error_bars_lineitem": _from_comparison(chartdata.cv_error_bars),
 })
 
 
