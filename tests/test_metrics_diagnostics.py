@@ -116,3 +116,13 @@ def test_importance_and_recommendations(spark):
     assert recs == ["Moderate R2 Score", "Regularized Model"]
     cx = {r["Model"]: r["complexity"] for r in chartdata.complexity_vs_r2(comp).collect()}
     assert cx == {"ridge": 2, "linear": 1}
+
+
+def test_breakdown_rejects_duplicate_edges(spark):
+    import pytest
+
+    df = spark.createDataFrame([(float(i), 5.0) for i in range(40)], "y double, prediction double")
+    with pytest.raises(ValueError):
+        diagnostics.performance_breakdown(df)
+    # constant predictions still give residual statistics and a one-bin histogram
+    assert chartdata.prediction_range(df).first()["min"] == 5.0
