@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from regressa.functions.columns import role_of
 from regressa.functions.stats import chi2_sf, ks_pvalue_sql
 from regressa.operators.metrics import metric_aggs
-from regressa.operators.ranking import unpivot_numeric, value_counts_cumulative
+from regressa.operators.ranking import range_buckets, unpivot_numeric, value_counts_cumulative
 
 # The reference's alert thresholds.
 DRIFT_P_THRESHOLD = 0.05
@@ -42,7 +42,9 @@ def ks_drift(reference: DataFrame, new: DataFrame, columns=None,
     nw = unpivot_numeric(new, cols, name="feature").withColumn("__ref", F.lit(0))
     long = ref.unionByName(nw).where(F.col("value").isNotNull()).select(
         "feature", "value", F.col("__ref").alias("r"), (1 - F.col("__ref")).alias("w"))
-    cum = value_counts_cumulative(long, "value", ["feature"], weight_cols=["r", "w"])
+    buckets = max(range_buckets(reference, None, len(cols)), range_buckets(new, None, len(cols)))
+    cum = value_counts_cumulative(long, "value", ["feature"], weight_cols=["r", "w"],
+                                  num_buckets=buckets)
     tot = long.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("w").alias("n_new"))
     gaps = cum.join(tot, "feature").select(
         "feature", "n_ref", "n_new",

@@ -27,10 +27,15 @@ from pyspark.sql import functions as F
 from regressa.session import cut_lineage
 
 
-def _num_buckets(df: DataFrame, num_buckets: int | None) -> int:
+def range_buckets(df: DataFrame, num_buckets: int | None, scale_hint: int = 1) -> int:
+    """Range partitions for an ordering: at least ``spark.sql.shuffle.partitions``
+    and at least the input's own partition count times ``scale_hint`` (scan
+    splits are ~128 MB each, so range partitions stay about that size however
+    large the table is). Planning only, no job."""
     if num_buckets:
         return int(num_buckets)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(conf, df.rdd.getNumPartitions() * max(1, int(scale_hint)))
 
 
 def _as_col(c) -> Column:
@@ -53,7 +58,7 @@ def with_running_sums(
     partition_by = list(partition_by)
     names = list(weights)
     cols = df.columns
-    b = _num_buckets(df, num_buckets)
+    b = range_buckets(df, num_buckets)
 
     tagged = df.select(
         *[F.col(c) for c in cols],
@@ -141,9 +146,12 @@ def exact_quantiles(
     """
     group_cols = list(group_cols)
     columns = list(columns)
+    # Size the range partitions from the source table (the long form is
+    # ``len(columns)`` times as many rows before values are combined).
+    buckets = range_buckets(df, num_buckets, scale_hint=len(columns))
     long = unpivot_numeric(df, columns, id_cols=group_cols).where(F.col("value").isNotNull())
     gkeys = [*group_cols, "column"]
-    cum = value_counts_cumulative(long, "value", gkeys, num_buckets=num_buckets)
+    cum = value_counts_cumulative(long, "value", gkeys, num_buckets=buckets)
 
     n = long.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("n"))
     prob_arr = F.array(*[F.lit(float(p)) for p in probs])
