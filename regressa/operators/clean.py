@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 
 from regressa import messages as M
 from regressa.functions.columns import categorical_columns, numeric_columns, role_of
-from regressa.operators.ranking import exact_quantiles, unpivot_numeric
+from regressa.operators.ranking import exact_quantiles, range_buckets, unpivot_numeric
 from regressa.session import cut_lineage
 
 # Fixed value: fill for a categorical column that has no mode.
@@ -183,7 +183,7 @@ def fill_ordered(df: DataFrame, columns, order_by, partition_by=(), direction: s
     partitions."""
     columns, order_by, partition_by = list(columns), list(order_by), list(partition_by)
     fwd = direction == "forward"
-    b = num_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    b = range_buckets(df, num_buckets)
     ranged = cut_lineage(df.repartitionByRange(b, *partition_by, *order_by)
                          .withColumn("__pid", F.spark_partition_id()))
     keys = ["__pid", *partition_by]
