@@ -13,8 +13,6 @@ from regressa.sources.tables import table
 
 NET_PRICE = "l_extendedprice * (1 - l_discount) * (1 + l_tax)"
 LINEITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
-LINEITEM_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax",
-                     "l_returnflag", "l_linestatus"]
 
 
 def lineitem_regression(spark: SparkSession, sf: str) -> DataFrame:
