@@ -220,7 +220,7 @@ def q_label_orders(spark, sf):
 
 
 def q_target_encode_orders(spark, sf):
-    o = encode.exact_split(table(spark, sf, "orders"), ["o_orderkey"], 0.2, 42)
+    o = encode.exact_split(table(spark, sf, "orders"), ["o_orderkey"], 0.2, 42).cache()
     model = encode.fit_target(o.where(~F.col("is_test")), ["o_orderstatus", "o_orderpriority"],
                               "o_totalprice", smoothing=10.0)
     return round_doubles(model.transform(
@@ -228,8 +228,9 @@ def q_target_encode_orders(spark, sf):
 
 
 def q_scale_lineitem(spark, sf):
-    li = encode.exact_split(table(spark, sf, "lineitem"), LINEITEM_KEY, 0.2, 42)
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    li = encode.exact_split(table(spark, sf, "lineitem").select(*LINEITEM_KEY, *cols),
+                            LINEITEM_KEY, 0.2, 42).cache()
     model = encode.fit_scaler(li.where(~F.col("is_test")), cols)
     return round_doubles(model.transform(li.select(*LINEITEM_KEY, *cols)))
 

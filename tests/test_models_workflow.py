@@ -92,3 +92,23 @@ def test_quick_analysis_defaults(spark):
     assert res.success
     assert sorted(r["Model"] for r in res.comparison.collect()) == \
         ["gradient_boosting", "linear", "random_forest", "ridge"]
+
+
+def test_prepare_with_each_encoding_and_drop(spark):
+    """E6 end to end: every encoding yields numeric features only, fitted on
+    the training rows; 'drop' removes rows with gaps instead of filling."""
+    from pyspark.sql.types import StringType
+
+    df = synthetic.regression_dataset(spark, n_samples=300, n_features=3, random_state=7)
+    df = df.withColumn("feature_1", F.when(F.col("id") % 17 == 0, None)
+                       .otherwise(F.col("feature_1")))
+    for enc in ("onehot", "label", "target"):
+        params = RegressionParams(encode_categorical=enc, cv_folds=3)
+        prepared, pre, keys, steps = workflow.prepare(df, "target", params, ["id"])
+        assert not any(isinstance(f.dataType, StringType) for f in prepared.schema.fields
+                       if f.name in pre.feature_names)
+        assert prepared.count() == 300
+        assert any("median" in s for s in steps)
+    params = RegressionParams(handle_missing="drop", cv_folds=3)
+    prepared, pre, _, steps = workflow.prepare(df, "target", params, ["id"])
+    assert prepared.count() == 300 - 18 and steps[0] == "Dropped rows with missing values"
