@@ -27,8 +27,13 @@ def key_text_cols(df: DataFrame, key_cols):
     out = []
     for c in key_cols:
         t = df.schema[c].dataType.simpleString()
-        if t.startswith("timestamp"):
-            out.append(F.unix_micros(F.col(c).cast("timestamp")).cast("string"))
+        if t == "timestamp_ntz":
+            # Wall-clock microseconds since 1970-01-01: pure arithmetic, so the
+            # text does not depend on the session time zone.
+            out.append(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
+                              f"`{c}`)").cast("string"))
+        elif t.startswith("timestamp"):
+            out.append(F.unix_micros(F.col(c)).cast("string"))
         else:
             out.append(F.col(c).cast("string"))
     return out

@@ -123,3 +123,17 @@ def test_align_columns(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "b double, extra double")
     out = encode.align_columns(df, ["a", "b"])
     assert out.columns == ["a", "b"] and out.first()["a"] == 0
+
+
+def test_split_does_not_depend_on_session_time_zone(spark):
+    from tests.conftest import SF0001
+
+    li = spark.read.parquet(f"{SF0001}/lineitem.parquet")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+    utc = sorted(encode.exact_split(li, keys).where("is_test").select(*keys[:4]).collect())
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        la = sorted(encode.exact_split(li, keys).where("is_test").select(*keys[:4]).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert utc == la
