@@ -78,8 +78,8 @@ def chi_square_counts(reference: DataFrame, new: DataFrame, columns=None) -> Dat
                                         F.sum("o_new").alias("n_new"),
                                         F.count(F.lit(1)).alias("k"))
     cells = joined.join(tot, "feature").withColumn(
-        "e", F.col("o_ref") * F.col("n_new") / F.col("n_ref"))
-    term = (F.when(F.col("e") > 0, (F.col("o_new") - F.col("e")) ** 2 / F.col("e"))
+        "e", F.try_divide(F.col("o_ref") * F.col("n_new"), F.col("n_ref")))
+    term = (F.when(F.col("e") > 0, F.try_divide((F.col("o_new") - F.col("e")) ** 2, F.col("e")))
             .when(F.col("o_new") > 0, F.lit(float("inf"))).otherwise(F.lit(0.0)))
     return cells.groupBy("feature", "n_ref", "n_new", "k").agg(F.sum(term).alias("statistic")) \
         .select("feature", F.lit("chi_square").alias("test"), "statistic",

@@ -74,3 +74,10 @@ def test_mean_shift_and_batch_monitor(spark):
     m = drift.monitor_batch(pred, act, ["k"]).first()
     assert (m["batch_size"], m["successful_predictions"], m["failed_predictions"]) == (3, 2, 1)
     assert math.isclose(m["mae"], 0.25)
+
+
+def test_chi_square_with_empty_reference_side(spark):
+    ref = spark.createDataFrame([(None,)] * 5, "c string")
+    new = spark.createDataFrame([("a",)] * 3, "c string")
+    r = drift.chi_square_drift(ref, new).first()
+    assert r["statistic"] == float("inf") and r["drifted"]
