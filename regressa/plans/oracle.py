@@ -396,7 +396,7 @@ ORACLE.update({
         "fit AS (SELECT regr_slope(net_price, l_extendedprice) AS b, "
         "regr_intercept(net_price, l_extendedprice) AS a, avg(net_price) AS m, "
         "stddev_pop(net_price) AS sd FROM s WHERE NOT is_test) "
-        f"SELECT {LI_KEY}, round(a + b * l_extendedprice, 2) AS predicted_net_price, "
+        f"SELECT {LI_KEY}, round(a + b * l_extendedprice, 1) AS predicted_net_price, "
         "CAST(0.8 AS DOUBLE) AS confidence, round((a + b * l_extendedprice - m) / sd, 4) AS z_vs_training, "
         "coalesce(abs((a + b * l_extendedprice - m) / sd) > 1, false) AS unusual FROM s, fit"),
     "prediction_summary_lineitem": (
@@ -415,12 +415,12 @@ ORACLE.update({
     "residual_histogram_lineitem": _HIST,
     "qq_points_lineitem": _QQ,
     "standardized_residuals_lineitem": (
-        OLS + f"SELECT {LI_KEY}, round(prediction, 2) AS prediction, "
+        OLS + f"SELECT {LI_KEY}, round(prediction, 1) AS prediction, "
         "round((y - prediction) / (SELECT stddev_samp(y - prediction) FROM t), 4) "
         "AS std_residual FROM t"),
     "predicted_vs_actual_lineitem": (
-        OLS + f"SELECT {LI_KEY}, round(y, 6) AS actual, round(prediction, 2) AS predicted, "
-        "round(abs(y - prediction), 2) AS abs_error FROM t"),
+        OLS + f"SELECT {LI_KEY}, round(y, 6) AS actual, round(prediction, 1) AS predicted, "
+        "round(abs(y - prediction), 1) AS abs_error FROM t"),
     "identity_line_lineitem": (
         OLS + "SELECT round(least(min(y), min(prediction)), 2) AS lo, "
         "round(greatest(max(y), max(prediction)), 2) AS hi FROM t"),
