@@ -2,4 +2,14 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_EXACT = """
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'))
+             AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
+FROM t JOIN g USING (text_sha256)
+"""
+
+ORACLE: dict[str, str] = {
+    "op9_exact_dedup": _EXACT,
+}
