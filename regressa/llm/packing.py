@@ -8,21 +8,28 @@ range is cut into sequences whose lengths are powers of two, which need no paddi
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regressa.llm.common import quoted, shared_path, utf8
+from regressa.llm.common import quoted, shared_path, text_or_empty
 
 #: Hash buckets of a document vector, dimensions of the curve and bits of each (48 in all).
 BUCKETS, DIMS, BITS, SEED = 1024, 3, 16, 42
 #: Words that a worker keeps, bytes of the longest kept word, bytes of text between two looks-up.
-WORDS, LONGEST, STEP = 400_000, 48, 1 << 20
+WORDS, LONGEST, STEP = 500_000, 48, 8 << 20
+#: A word that is one token, and punctuation that may close a word (no apostrophe: that may open
+#: a contraction).
+SEPARATOR, CLOSING = b"|", b".,;:!?*#$%&)]}\""
+WORD_END, LATIN = "</w>", re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 
 
 def default_tokenizer() -> str:
@@ -36,13 +43,14 @@ def projection() -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((BUCKETS, DIMS))
 
 
-def hashed_vectors(ids: list[np.ndarray], plane: np.ndarray) -> np.ndarray:
-    """Projected unit vectors of hashed token counts, one row a document (zero if it has none)."""
-    out = np.zeros((len(ids), DIMS))
-    for i, x in enumerate(ids):
-        counts = np.bincount((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                              >> np.uint64(54)).astype(np.int64), minlength=BUCKETS)
-        if len(x):
+def hashed_vectors(ids: np.ndarray, ends: np.ndarray, plane: np.ndarray) -> np.ndarray:
+    """Projected unit vectors of hashed token counts, one row a document (zero if it has none);
+    ``ends`` are the ends of the documents in ``ids``."""
+    hashed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(54)).astype(np.int64)
+    out = np.zeros((len(ends), plane.shape[1]))
+    for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+        if b > a:
+            counts = np.bincount(hashed[a:b], minlength=BUCKETS)
             out[i] = counts @ plane / np.sqrt(float(counts @ counts))
     return out
 
@@ -78,9 +86,39 @@ def hilbert_keys(cell: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Merge ranks of a byte-level BPE file with word ends, a word end written as NUL; none if the
+    file is of another kind. Ids are ranks there: bytes, closing bytes, then merges in order."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != WORD_END:
+        return None
+    vocab, merges = model["vocab"], model["merges"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+    if any(vocab.get("".join(p)) != 512 + i for i, p in enumerate(pairs)):
+        return None
+    # The byte-level alphabet: printing characters are themselves, other bytes follow from 256.
+    plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b != 173]
+    others = [b for b in range(256) if b not in plain]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    ranks = {}
+    for token, i in vocab.items():
+        if i < 512 + len(merges):
+            core = token.removesuffix(WORD_END)
+            ranks[bytes(byte[c] for c in core) + b"\0" * (core != token)] = i
+    return ranks
+
+
 class Encoder:
-    """Token ids of texts, as packed unsigned integers. The tokenizer works within words, so the
-    ids of frequent words are kept (a bounded table, refilled when it is full)."""
+    """Token ids of texts, as packed unsigned integers.
+
+    The tokenizer works within words and lower-cases, so the ids of lower-cased words are kept in
+    two bounded generations (the older is dropped when the younger is full). A word that ends in
+    punctuation after a letter is the word and the punctuation, which the split pattern parts.
+    New words of small Latin letters, which the normaliser and the split pattern leave as they
+    are, are merged by the same ranks in ``tiktoken``; others go to the library itself. Either
+    gets them in one text, with a separator between them.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -90,27 +128,99 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [t.split() for t in texts]
-        need = set().union(*cut)
-        new = [w for w in need if w not in self.words]
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new],
-                                                 add_special_tokens=False)
-        made = {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(new, found, strict=True)}
-        if len(self.words) + len(made) > WORDS:
-            made |= {w: self.words[w] for w in need if w in self.words}
-            self.words = {}
-        self.words.update((w, x) for w, x in made.items() if len(w) <= LONGEST)
-        words = self.words
-        out = []
-        for c in cut:
-            try:
-                out.append(b"".join(map(words.__getitem__, c)))
-            except KeyError:
-                out.append(b"".join([made[w] if w in made else words[w] for w in c]))
-        return out
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        mark = self._ids(SEPARATOR.decode())
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.ranks, self.merger = byte_ranks(path), None
+        if self.ranks:
+            import tiktoken
+
+            self.merger = tiktoken.Encoding("words", pat_str="[^ ]+| ", mergeable_ranks=self.ranks,
+                                            special_tokens={})
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids,
+                        self.dtype)
+
+    def _look_up(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The library's ids of distinct words."""
+        if not words:
+            return {}
+        made, rest = {}, words
+        if self.merger:
+            texts = [(w, w.decode()) for w in words]
+            latin = [x for x in texts if LATIN(x[1])]
+            rest = [w for w, t in texts if not LATIN(t)]
+            if latin:
+                ids = self.merger.encode_ordinary("\0 ".join(t for _, t in latin) + "\0")
+                self._part(made, [w for w, _ in latin], np.array(ids, self.dtype), self.ranks[b" "])
+        plain = [w for w in rest if SEPARATOR not in w] if self.mark is not None else []
+        if plain:
+            ids = self._ids((b" " + SEPARATOR + b" ").join(plain).decode())
+            self._part(made, plain, ids, self.mark)
+        made.update((w, self._ids(w.decode()).tobytes()) for w in rest if w not in made)
+        return made
+
+    def _part(self, made: dict, words: list[bytes], ids: np.ndarray, mark: int) -> None:
+        """Put the ids between marks under their words."""
+        ends = [*np.flatnonzero(ids == mark).tolist(), len(ids)]
+        data, width, at = ids.tobytes(), self.dtype.itemsize, 0
+        for w, end in zip(words, ends, strict=True):
+            made[w] = data[at * width:end * width]
+            at = end + 1
+
+    def _learn(self, need: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct words that the young generation lacks (and of their parts)."""
+        old, known, made, parts, ask = self.old, self.young, {}, [], set()
+        for w in need:
+            if (x := old.get(w)) is not None:
+                made[w] = x
+                continue
+            stem = w.rstrip(CLOSING)
+            if len(stem) < len(w) and stem and 97 <= stem[-1] <= 122:
+                parts.append((w, stem, w[len(stem):]))
+                for x in parts[-1][1:]:
+                    if x not in known:
+                        if x in old:
+                            made[x] = old[x]
+                        else:
+                            ask.add(x)
+            else:
+                ask.add(w)
+        made |= self._look_up([w for w in ask if w not in made])
+        for w, stem, closing in parts:
+            made[w] = (made.get(stem) or known[stem]) + (made.get(closing) or known[closing])
+        return made
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, from what is kept or else from the library."""
+        found = list(map(self.young.get, words))
+        new = [i for i, x in enumerate(found) if x is None]
+        made = self._learn([words[i] for i in new])
+        for i in new:
+            found[i] = made[words[i]]
+        if len(self.young) + len(made) > WORDS:
+            self.old, self.young = self.young, {}
+        self.young.update((w, x) for w, x in made.items() if len(w) <= LONGEST)
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (UTF-8), and where each text's ids end."""
+        # Special strings are matched as they are written.
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        cut = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        words = cut.flatten().dictionary_encode()
+        found = self.ids_of(words.dictionary.cast(pa.large_binary()).to_pylist())
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        first = np.cumsum(size) - size
+        word = words.indices.to_numpy()
+        each = size[word]
+        ends = np.cumsum(each)
+        taken = np.repeat(first[word] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
+        of_text = np.r_[0, ends][np.cumsum(pc.list_value_length(cut).to_numpy())]
+        return ids[taken], of_text
 
 
 _loaded: dict[str, Encoder] = {}
@@ -127,26 +237,26 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_i
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, plane = encoder(tokenizer), projection()
-        end = np.array([end_id], machine.dtype).tobytes()
+        width, end = machine.dtype.itemsize, np.array([end_id], machine.dtype).tobytes()
         for batch in batches:
-            texts = utf8(batch.column("text"))
+            sizes = pc.binary_length(batch.column("text")).to_numpy()
             at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= STEP):
-                    size += len(texts[stop])
-                    stop += 1
-                ids = machine.encode(texts[at:stop])
-                points = hashed_vectors([np.frombuffer(x, machine.dtype) for x in ids], plane)
+            while at < len(sizes):
+                stop = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), STEP)) + at)
                 part = batch.slice(at, stop - at)
+                ids, ends = machine.encode(part.column("text"))
+                points = hashed_vectors(ids, ends, plane)
+                data = ids.tobytes()
+                packed = [data[a * width:b * width] + end
+                          for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([x + end for x in ids], pa.binary()),
+                    [part.column("doc_id"), pa.array(packed, pa.binary()),
                      pa.array(hilbert_keys(cells(points))), part.column("tie")],
                     names=["doc_id", "ids", "curve", "tie"])
                 at = stop
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")) \
+    return docs.select(F.col(quoted(id_col)).alias("doc_id"), text_or_empty(text_col).alias("text")) \
         .withColumn("tie", F.xxhash64("doc_id", "text")) \
         .mapInArrow(each, f"doc_id {kind}, ids binary, curve long, tie long")
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -27,14 +28,25 @@ def texts(n, seed):
 def test_encoder_equals_the_library(library, monkeypatch):
     machine, some = Encoder(default_tokenizer()), texts(1_500, 1)
     for at in range(0, len(some), 100):
-        got = machine.encode([t.encode() for t in some[at:at + 100]])
-        for t, x in zip(some[at:at + 100], got, strict=True):
-            assert np.frombuffer(x, machine.dtype).tolist() == library(t), repr(t)
+        ids, ends = machine.encode(pa.array(some[at:at + 100]))
+        for t, x in zip(some[at:at + 100], np.split(ids, ends[:-1]), strict=True):
+            assert x.tolist() == library(t), repr(t)
     monkeypatch.setattr(packing, "WORDS", 5)
     monkeypatch.setattr(packing, "LONGEST", 3)
     machine = Encoder(default_tokenizer())
     for t in some[:200]:
-        assert np.frombuffer(machine.encode([t.encode()])[0], machine.dtype).tolist() == library(t)
+        assert machine.encode(pa.array([t]))[0].tolist() == library(t)
+
+
+@pytest.mark.parametrize("letters", ["ab", "aeht", "abcdefghijklmnopqrstuvwxyz", "éeèaßñ", "aaaab", "÷×aÿ"])
+def test_merged_words_equal_the_library(library, letters):
+    rnd = random.Random(9)
+    words = sorted({"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 20)))
+                    for _ in range(4_000)})
+    machine = Encoder(default_tokenizer())
+    assert machine.merger is not None
+    ids, _ = machine.encode(pa.array([" ".join(words)]))
+    assert ids.tolist() == library(" ".join(words))
 
 
 @pytest.mark.parametrize("dims,bits", [(2, 3), (3, 2), (3, 3), (2, 5)])
