@@ -55,3 +55,19 @@ def runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
         cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
         edges = [0, *cuts.tolist(), len(keys)]
         yield from zip(edges[:-1], edges[1:], strict=True)
+
+
+def row_numbers(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` with its 1-based position in ``order`` (a total order) as column ``name``.
+
+    Rows are range-sorted and checkpointed, so the ranges stay as they are; each range then adds
+    the number of rows before it. Only one row a range meets in one task.
+    """
+    from pyspark.sql import Window
+
+    ranged = keep(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).withColumn(
+        "__before", F.sum("__n").over(Window.orderBy("__range")) - F.col("__n"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn(name, within).join(before.select("__range", "__before"), "__range") \
+        .withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")

@@ -10,6 +10,56 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 FROM t JOIN g USING (text_sha256)
 """
 
+#: Turns are rows here; the rendered forms and spans are string aggregates and running sums.
+_PREFERENCES = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id
+             ORDER BY turn NULLS FIRST, role, text) AS i, role, text
+           FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+                 FROM conversations)),
+c AS (SELECT conv_id, count(*) AS n, max(i) FILTER (role = 'assistant') AS last,
+        max(CASE WHEN i = 1 THEN role END) AS role1, max(CASE WHEN i = 1 THEN text END) AS text1
+      FROM t GROUP BY 1),
+best AS (SELECT role1, text1, conv_id AS chosen_id FROM c
+         QUALIFY row_number() OVER (PARTITION BY role1, text1 ORDER BY n DESC, conv_id NULLS LAST) = 1),
+p AS (SELECT c.conv_id, chosen_id, c.conv_id IS NOT DISTINCT FROM chosen_id AS own, c.last, c.n
+      FROM c JOIN best USING (role1, text1)),
+before AS (SELECT p.conv_id, max_by(t.text, t.i) AS said FROM p JOIN t
+           ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.role = 'assistant' AND t.i < p.last
+           GROUP BY 1),
+a AS (SELECT p.conv_id, t.i, t.role, t.text FROM p JOIN t
+      ON t.conv_id IS NOT DISTINCT FROM p.chosen_id),
+b AS (SELECT p.conv_id, t.i, t.role, CASE WHEN own AND t.i = p.last THEN coalesce(said, '')
+                                          ELSE t.text END AS text
+      FROM p JOIN t ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+      LEFT JOIN before ON before.conv_id IS NOT DISTINCT FROM p.conv_id),
+d AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, min(coalesce(a.i, b.i)) AS i
+      FROM a FULL JOIN b ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND a.i = b.i
+      WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text GROUP BY 1),
+m AS (SELECT p.conv_id, p.chosen_id, own, coalesce(d.i - 1, p.n) AS k FROM p
+      LEFT JOIN d ON d.conv_id IS NOT DISTINCT FROM p.conv_id),
+u AS (SELECT 'a' AS side, a.* FROM a UNION ALL SELECT 'b', b.* FROM b),
+r AS (SELECT u.side, u.conv_id, u.i, u.i <= m.k AS shared, u.role,
+        '<|im_start|>' || u.role || chr(10) || u.text || '<|im_end|>' || chr(10) AS piece,
+        length(u.role) + 13 AS opens, length(u.text) + 10 AS body
+      FROM u JOIN m ON m.conv_id IS NOT DISTINCT FROM u.conv_id),
+s AS (SELECT *, sum(length(piece)) OVER (PARTITION BY side, conv_id, shared ORDER BY i)
+        - length(piece) + opens AS opens_at FROM r),
+g AS (SELECT conv_id,
+        coalesce(string_agg(piece, '' ORDER BY i) FILTER (side = 'a' AND shared), '') AS prompt,
+        coalesce(string_agg(piece, '' ORDER BY i) FILTER (side = 'a' AND NOT shared), '') AS chosen,
+        coalesce(string_agg(piece, '' ORDER BY i) FILTER (side = 'b' AND NOT shared), '') AS rejected,
+        coalesce(string_agg(opens_at || ':' || (opens_at + body), ',' ORDER BY i) FILTER (
+          side = 'a' AND NOT shared AND role = 'assistant'), '') AS chosen_loss,
+        coalesce(string_agg(opens_at || ':' || (opens_at + body), ',' ORDER BY i) FILTER (
+          side = 'b' AND NOT shared AND role = 'assistant'), '') AS rejected_loss
+      FROM s GROUP BY 1)
+SELECT m.conv_id, chosen_id, CASE WHEN own THEN 'stale' ELSE 'sibling' END AS kind,
+  k::INTEGER AS common_turns, prompt, chosen, rejected, chosen_loss, rejected_loss,
+  chosen_loss != '' AND rejected_loss != '' AND chosen != rejected AS usable
+FROM m JOIN g ON g.conv_id IS NOT DISTINCT FROM m.conv_id
+"""
+
 ORACLE: dict[str, str] = {
+    "op1_preference_formatting": _PREFERENCES,
     "op9_exact_dedup": _EXACT,
 }

@@ -4,16 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from regressa.llm import embedding_dedup, exact_dedup, packing, simhash, token_counts
+from regressa.llm import (chat, embedding_dedup, exact_dedup, mixing, packing, sharding, simhash,
+                          token_counts)
 from regressa.llm.common import read
 
 
+def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of all conversations; spans as ``start:end`` lists."""
+
+    def spans(name: str) -> Column:
+        return F.array_join(F.transform(name, lambda s: F.concat_ws(
+            ":", s.start.cast("string"), s.end.cast("string"))), ",").alias(name)
+
+    convs = chat.conversations(read(spark, sf_dir, "conversations"))
+    made = chat.format_preferences(chat.preference_pairs(convs))
+    return made.select("conv_id", "chosen_id", "kind", "common_turns", "prompt", "chosen",
+                       "rejected", spans("chosen_loss"), spans("rejected_loss"), "usable")
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op3_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(read(spark, sf_dir, "documents"))
+
+
 def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -22,6 +41,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(read(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(read(spark, sf_dir, "documents"))
 
@@ -31,9 +54,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_preference_formatting": op1_preference_formatting,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_entropy_mixing": op3_entropy_mixing,
     "op4_curve_packing": op4_curve_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_stratified_sharding": op8_stratified_sharding,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
 }
