@@ -44,10 +44,13 @@ def preference_pairs(convs: DataFrame) -> DataFrame:
     convs = convs.withColumn("opening", F.xxhash64(F.col("turns")[0])) \
         .withColumn("first", F.col("turns")[0])
     rank = F.struct((-F.size("turns")).alias("n"), F.col("conv_id").isNull().alias("unnamed"),
-                    F.col("conv_id"), F.col("turns"))
+                    F.col("conv_id"))
+    # Only ids meet in the group; the turns of the chosen ones follow by id.
     best = convs.groupBy("opening", "first").agg(F.min(rank).alias("best")).select(
         F.col("opening").alias("o"), F.col("first").alias("f"),
-        F.col("best.conv_id").alias("chosen_id"), F.col("best.turns").alias("chosen"))
+        F.col("best.conv_id").alias("chosen_id")).alias("b")
+    best = best.join(convs.alias("c"), F.col("b.chosen_id").eqNullSafe(F.col("c.conv_id"))) \
+        .select("o", "f", "chosen_id", F.col("turns").alias("chosen"))
     paired = convs.join(best, (F.col("opening") == F.col("o")) & F.col("first").eqNullSafe(F.col("f")))
     own = F.col("conv_id").eqNullSafe(F.col("chosen_id"))
     # Positions of assistant turns; the last one takes the text of the one before.

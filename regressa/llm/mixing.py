@@ -185,10 +185,17 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     beyond the target; null ids are told apart by their texts. Sources without words have target
     0. An empty table stays empty.
     """
-    mark = F.xxhash64(F.col(quoted(id_col)), F.col(quoted(text_col)))
-    whole = docs.withColumn("__mix", F.struct(
+    return _copied(_sized(docs, id_col, text_col, source_col), docs.columns, weights, total, most)
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.withColumn("__mix", F.struct(
         F.col(quoted(source_col)).alias("source"), sizes(docs, text_col).alias("size"),
-        mark.alias("mark")))
+        F.xxhash64(F.col(quoted(id_col)), F.col(quoted(text_col))).alias("mark")))
+
+
+def _copied(whole: DataFrame, columns: list[str], weights: tuple[float, ...], total: float,
+            most: float) -> DataFrame:
     sized = keep(whole.select("__mix.source", "__mix.size", "__mix.mark"))
     hist = keep(histogram(sized))
     goals = keep(targets(hist, weights, total, most))
@@ -201,7 +208,7 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .otherwise(F.col("last") < 0)
     return w.join(part, F.col("w.__mix.source").eqNullSafe(F.col("c.source")) &
                   (F.col("w.__mix.size") == F.col("c.size"))) \
-        .select(*[F.col(f"w.{quoted(c)}") for c in docs.columns], F.struct(
+        .select(*[F.col(f"w.{quoted(c)}") for c in columns], F.struct(
             F.col("w.__mix.size").alias("size"), F.col("c.words").alias("source_size"),
             F.col("c.target").alias("target"), F.col("c.rate").alias("rate"),
             (F.col("c.base") + taken.cast("long")).alias("copies")).alias("__mix"))
@@ -215,10 +222,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           source_col: str = "source", **options) -> DataFrame:
+           source_col: str = "source", weights: tuple[float, ...] = WEIGHTS,
+           total: float = TOTAL, most: float = MOST) -> DataFrame:
     """doc_id, size, source_size, target, taken (words), rate, copies; one row for each row."""
-    thin = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"),
-                       F.col(quoted(source_col)).alias("source"))
-    return with_copies(thin, **options).select(
+    # Without the texts the sized rows are small: they are kept, and texts are read once.
+    thin = keep(_sized(docs, id_col, text_col, source_col)
+                .select(F.col(quoted(id_col)).alias("doc_id"), "__mix"))
+    return _copied(thin, ["doc_id"], weights, total, most).select(
         "doc_id", "__mix.size", "__mix.source_size", "__mix.target",
         (F.col("__mix.size") * F.col("__mix.copies")).alias("taken"), "__mix.rate", "__mix.copies")

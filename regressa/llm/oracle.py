@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from regressa.llm.licenses import PHRASES, STRIDE, TEMPLATES, THRESHOLD
+
 _EXACT = """
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'))
              AS text_sha256 FROM documents),
@@ -59,7 +61,41 @@ SELECT m.conv_id, chosen_id, CASE WHEN own THEN 'stale' ELSE 'sibling' END AS ki
 FROM m JOIN g ON g.conv_id IS NOT DISTINCT FROM m.conv_id
 """
 
+_T = ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES.items())
+_P = ", ".join(f"('{label}', '{text}')" for text, label in PHRASES.items())
+
+#: Every template word of every block is counted; no word order, no filters.
+_LICENSES = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM d),
+l AS (SELECT r, i, word, word || ' ' || lead(word, 1, '') OVER o AS two,
+        word || ' ' || lead(word, 1, '') OVER o || ' ' || lead(word, 2, '') OVER o || ' ' ||
+        lead(word, 3, '') OVER o AS four FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+base AS (SELECT r, i, p.label FROM l JOIN (VALUES {_P}) p(label, phrase)
+         ON phrase = two OR phrase = four),
+tw AS (SELECT DISTINCT label, unnest(string_split(text, ' ')) AS word FROM (VALUES {_T}) t(label, text)),
+size AS (SELECT label, count(*) AS n FROM tw GROUP BY 1),
+hit AS (SELECT r, label, word, unnest([i // {STRIDE}, i // {STRIDE} - 1]) AS block
+        FROM w JOIN tw USING (word)),
+block AS (SELECT r, label, count(DISTINCT word) / any_value(n) AS share
+          FROM hit JOIN size USING (label) WHERE block >= 0 GROUP BY r, label, block
+          HAVING count(DISTINCT word) >= ceil({THRESHOLD} * any_value(n) - 1e-9)),
+b AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY 1),
+m AS (SELECT r, max(share) AS share FROM block GROUP BY 1),
+a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+      FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM block) GROUP BY 1)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
+  first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r) LEFT JOIN a USING (r)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_preference_formatting": _PREFERENCES,
+    "op5_license_scan": _LICENSES,
     "op9_exact_dedup": _EXACT,
 }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regressa.llm import (chat, embedding_dedup, exact_dedup, mixing, packing, sharding, simhash,
-                          token_counts)
+from regressa.llm import (chat, embedding_dedup, exact_dedup, licenses, mixing, packing, quality,
+                          sharding, simhash, token_counts)
 from regressa.llm.common import read
 
 
@@ -37,10 +37,19 @@ def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op8_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(read(spark, sf_dir, "documents"))
 
@@ -58,7 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_entropy_mixing": op3_entropy_mixing,
     "op4_curve_packing": op4_curve_packing,
+    "op5_license_scan": op5_license_scan,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_quality_attention": op7_quality_attention,
     "op8_stratified_sharding": op8_stratified_sharding,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
