@@ -25,7 +25,7 @@ from regressa.llm.common import quoted, shared_path, text_or_empty
 #: Hash buckets of a document vector, dimensions of the curve and bits of each (48 in all).
 BUCKETS, DIMS, BITS, SEED = 1024, 3, 16, 42
 #: Words that a worker keeps, bytes of the longest kept word, bytes of text between two looks-up.
-WORDS, LONGEST, STEP = 500_000, 48, 8 << 20
+WORDS, LONGEST, STEP = 250_000, 48, 4 << 20
 #: A word that is one token, and punctuation that may close a word (no apostrophe: that may open
 #: a contraction).
 SEPARATOR, CLOSING = b"|", b".,;:!?*#$%&)]}\""

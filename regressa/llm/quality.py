@@ -27,11 +27,11 @@ PASSAGE, SAMPLE, BAG, SEED = 48, 2500, 48, 42
 #: Codes of a passage, units of the attention gate, passes over the sample, bags of a step.
 CODES, GATES, EPOCHS, STEP_BAGS, RATE, DECAY = 24, 12, 30, 128, 0.01, 1e-4
 #: Bytes of text handled at a time.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 #: Byte classes: white space, small and capital letters, digits, sentence marks, shouts, quotes and
 #: brackets, other symbols, bytes of other characters.
-_CLASS = np.full(256, 7, np.int64)
+_CLASS = np.full(256, 7, np.int32)
 for _i, _bytes in enumerate((b" \t\n\r\x0b\x0c", bytes(range(97, 123)), bytes(range(65, 91)),
                              b"0123456789", b".,;:", b"!?", b"'\"()[]{}-")):
     _CLASS[list(_bytes)] = _i
@@ -64,18 +64,18 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return out, counts
     spans = np.diff(np.r_[word_at, len(data)])
-    of_byte = np.repeat(passage, spans)
+    of_byte = np.repeat(passage.astype(np.int32), spans)
     pair = of_byte[:-1] == of_byte[1:]
     cell = (of_byte[:-1] * (_N * _N) + kind[:-1] * _N + kind[1:])[pair]
     pairs = np.bincount(cell, minlength=total * _N * _N).reshape(total, _N * _N)
     out[:, :_N * _N] = pairs / np.maximum(1, pairs.sum(axis=1, keepdims=True))
     words = np.maximum(1, np.bincount(passage, minlength=total))
-    letters = np.add.reduceat((kind != 0).astype(np.int64), word_at)
+    letters = np.add.reduceat(kind != 0, word_at, dtype=np.int64)
     out[:, -6] = np.bincount(passage, letters, total) / words / 10
     out[:, -5] = np.sqrt(np.bincount(passage, letters.astype(float) ** 2, total) / words) / 10
     rng = np.random.default_rng(SEED)
     value, turn = (rng.integers(0, 1 << 63, n, dtype=np.uint64) | np.uint64(1) for n in (256, 32))
-    low = np.where((data >= 65) & (data <= 90), data + 32, data)
+    low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     inside = (np.arange(len(data)) - np.repeat(word_at, spans)) % 32
     code = np.add.reduceat(np.where(kind != 0, value[low] * turn[inside], np.uint64(0)), word_at)
     for lag in (1, 2, 3):
