@@ -10,6 +10,11 @@ from pyspark.sql.types import (ByteType, DecimalType, DoubleType, FloatType, Int
 NUMERIC_TYPES = (ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType, DecimalType)
 
 
+def col(name: str):
+    """Column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def role_of(dtype) -> str:
     if isinstance(dtype, NUMERIC_TYPES):
         return "numeric"
@@ -40,8 +45,8 @@ def normalise_nan(df: DataFrame, cols=None) -> DataFrame:
     """NaN -> NULL for floating columns (pandas treats both as missing)."""
     cols = cols or [f.name for f in df.schema.fields
                     if isinstance(f.dataType, (FloatType, DoubleType))]
-    return df.select(*[F.nanvl(F.col(c), F.lit(None).cast(df.schema[c].dataType)).alias(c)
-                       if c in cols else F.col(c) for c in df.columns])
+    return df.select(*[F.nanvl(col(c), F.lit(None).cast(df.schema[c].dataType)).alias(c)
+                       if c in cols else col(c) for c in df.columns])
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:

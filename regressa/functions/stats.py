@@ -90,28 +90,44 @@ def kurtosis_unbiased(c: Column | str) -> Column:
 
 
 def chi2_sf_scalar(x: float, dof: int) -> float:
-    """Chi-square survival function for an integer number of degrees of freedom
-    (closed forms; exact up to floating point)."""
+    """Chi-square survival function: the regularised upper incomplete gamma
+    Q(dof / 2, x / 2), with its factor in log space, so neither a large
+    statistic nor many degrees of freedom over- or underflow. Below the mean
+    by the series of P, above it by the continued fraction of Q; both need
+    about sqrt(dof) terms."""
     if x is None or dof is None or dof <= 0 or x != x:
         return float("nan")
     if x <= 0:
         return 1.0
-    half = x / 2.0
-    if dof % 2 == 0:
-        term, total = 1.0, 1.0
-        for i in range(1, dof // 2):
-            term *= half / i
+    if math.isinf(x):
+        return 0.0
+    a, h = dof / 2.0, x / 2.0
+    log_factor = a * math.log(h) - h - math.lgamma(a)
+    if h < a + 1.0:
+        term = total = 1.0 / a
+        k = a
+        while term > total * 1e-17:
+            k += 1.0
+            term *= h / k
             total += term
-        return min(1.0, math.exp(-half) * total)
-    total = math.erfc(math.sqrt(half))
-    # sum_{i=1}^{(k-1)/2} half^(i-1/2) / Gamma(i+1/2)
-    term = math.sqrt(half) / math.gamma(1.5)
-    s = 0.0
-    for i in range(1, (dof - 1) // 2 + 1):
-        if i > 1:
-            term *= half / (i - 0.5)
-        s += term
-    return min(1.0, total + math.exp(-half) * s)
+        return min(1.0, max(0.0, 1.0 - math.exp(min(0.0, log_factor + math.log(total)))))
+    tiny = 1e-300
+    b = h + 1.0 - a
+    c, d = 1.0 / tiny, 1.0 / b
+    f, k = d, 0
+    while True:
+        k += 1
+        an = -k * (k - a)
+        b += 2.0
+        d = an * d + b
+        c = b + an / c
+        d, c = 1.0 / (d if abs(d) > tiny else tiny), (c if abs(c) > tiny else tiny)
+        step = d * c
+        f *= step
+        if abs(step - 1.0) < 1e-15 or k > 10_000_000:
+            break
+    log_q = log_factor + math.log(f)
+    return min(1.0, math.exp(log_q)) if log_q > -745.0 else 0.0
 
 
 @F.pandas_udf(DoubleType())

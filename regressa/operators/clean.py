@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from regressa import messages as M
-from regressa.functions.columns import categorical_columns, numeric_columns, role_of
+from regressa.functions.columns import categorical_columns, col, numeric_columns, role_of
 from regressa.operators.ranking import exact_quantiles, range_buckets, unpivot_numeric
 from regressa.session import cut_lineage
 
@@ -77,12 +77,13 @@ def _modes(df: DataFrame, cols) -> dict:
     are cast back by the caller."""
     if not cols:
         return {}
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        [], list(cols), "column", "value").where(F.col("value").isNotNull())
+    names = {f"c{i}": c for i, c in enumerate(cols)}
+    long = df.select(*[col(c).cast("string").alias(k) for k, c in names.items()]).unpivot(
+        [], list(names), "column", "value").where(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("column").agg(
         F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("v"))).alias("b"))
-    return {r["column"]: r["b"]["v"] for r in best.collect()}
+    return {names[r["column"]]: r["b"]["v"] for r in best.collect()}
 
 
 def _numeric_modes(df: DataFrame, cols) -> dict:
@@ -119,43 +120,43 @@ class FillModel:
     # Fractional fills (mean, median) turn integral columns into doubles, as a
     # pandas column holding NaN is float64.
     widen_integral: bool = False
+    # Fills of the columns that were complete in training; used only at
+    # scoring, when a batch has nulls there.
+    spare: dict = field(default_factory=dict)
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def transform(self, df: DataFrame, spare: bool = False) -> DataFrame:
         out = []
+        values = {**self.spare, **self.values} if spare else self.values
         for c in df.columns:
-            v = self.values.get(c)
+            v = values.get(c)
             if v is None:
-                out.append(F.col(c))
+                out.append(col(c))
                 continue
             dtype = df.schema[c].dataType
             if self.widen_integral and role_of(dtype) == "numeric":
-                out.append(F.coalesce(F.col(c).cast("double"), F.lit(float(v))).alias(c))
+                out.append(F.coalesce(col(c).cast("double"), F.lit(float(v))).alias(c))
             else:
-                out.append(F.coalesce(F.col(c), F.lit(v).cast(dtype)).alias(c))
+                out.append(F.coalesce(col(c), F.lit(v).cast(dtype)).alias(c))
         return df.select(*out)
 
 
-def fit_impute(df: DataFrame, target: str | None) -> FillModel:
+def fit_impute(df: DataFrame, target: str | None, spare: bool = False) -> FillModel:
     """C3 + C4 (``handle_missing`` = 'impute' or 'auto'): numeric features that
     have nulls get their median, string features their mode ('Unknown' when
-    the column has no value). The target is never filled."""
+    the column has no value). The target is never filled. With ``spare`` the
+    medians and modes of the complete columns are kept as well (C13)."""
     feats = [c for c in df.columns if c != target]
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in feats]).first()
-    with_nulls = [c for c in feats if nulls[c] > 0]
-    num = [c for c in with_nulls if role_of(df.schema[c].dataType) == "numeric"]
-    cat = [c for c in with_nulls if isinstance(df.schema[c].dataType, StringType)]
-    values, steps = {}, []
-    for c, v in medians(df, num).items():
-        values[c] = v
-    widen = bool(num)
-    modes = _modes(df, cat)
-    for c in with_nulls:
-        if c in num:
-            steps.append(M.STEP_FILLED_MEDIAN.format(column=c))
-        elif c in cat:
-            values[c] = modes.get(c, UNKNOWN)
-            steps.append(M.STEP_FILLED_MODE.format(column=c))
-    return FillModel(values, steps, widen)
+    nulls = df.agg(*[F.count_if(col(c).isNull()).alias(f"c{i}") for i, c in enumerate(feats)]).first()
+    with_nulls = {c for i, c in enumerate(feats) if nulls[f"c{i}"] > 0}
+    fitted = feats if spare else [c for c in feats if c in with_nulls]
+    num = [c for c in fitted if role_of(df.schema[c].dataType) == "numeric"]
+    cat = [c for c in fitted if isinstance(df.schema[c].dataType, StringType)]
+    found, modes = medians(df, num), _modes(df, cat)
+    found.update((c, modes.get(c, UNKNOWN)) for c in cat)
+    steps = [(M.STEP_FILLED_MEDIAN if c in num else M.STEP_FILLED_MODE).format(column=c)
+             for c in feats if c in with_nulls and (c in num or c in cat)]
+    return FillModel({c: v for c, v in found.items() if c in with_nulls}, steps, bool(num),
+                     {c: v for c, v in found.items() if c not in with_nulls})
 
 
 def fit_fill(df: DataFrame, method: str, columns=None) -> FillModel:

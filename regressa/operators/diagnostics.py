@@ -116,20 +116,21 @@ def shapiro_pvalue(w: float, n: int) -> float:
 
 
 def shapiro_wilk(pred: DataFrame, key_cols, y: str = "y", p: str = "prediction",
-                 max_n: int = SHAPIRO_MAX_N) -> DataFrame:
-    """Shapiro-Wilk test of the residuals (Royston's AS R94) when
-    ``3 <= n <= max_n``; one row ``(n, statistic, p_value, is_normal)`` with
-    ``is_normal = p > 0.05``; null statistic outside that range.
+                 calibrated_n: int = SHAPIRO_MAX_N) -> DataFrame:
+    """Shapiro-Wilk test of the residuals (Royston's AS R94) for 3 rows or
+    more; one row ``(n, statistic, p_value, is_normal, extrapolated)`` with
+    ``is_normal = p > 0.05``. The p-value's approximation is calibrated up to
+    ``calibrated_n`` rows; beyond it is given as ``extrapolated``.
 
     Order statistics come from the distributed row number; the expected
     normal scores ``m_i`` are an AS 241 column expression; only scalars (n and
     three sums) reach the driver."""
     spark = pred.sparkSession
-    schema = "n long, statistic double, p_value double, is_normal boolean"
+    schema = "n long, statistic double, p_value double, is_normal boolean, extrapolated boolean"
     r = pred.select(*key_cols, (F.col(y) - F.col(p)).alias("r")).where(F.col("r").isNotNull())
     n = r.count()
-    if n < 3 or n > max_n:
-        return spark.createDataFrame([(n, None, None, None)], schema)
+    if n < 3:
+        return spark.createDataFrame([(n, None, None, None, None)], schema)
     ranked = with_row_number(r, ["r", *key_cols], name="i")
     m_expr = norm_ppf_sql(f"(CAST(i AS DOUBLE) - CAST(0.375 AS DOUBLE)) / CAST({n + 0.25!r} AS DOUBLE)")
     ranked = ranked.withColumn("m", F.expr(m_expr))
@@ -147,10 +148,10 @@ def shapiro_wilk(pred: DataFrame, key_cols, y: str = "y", p: str = "prediction",
     s = ranked.agg(F.sum(a * F.col("r")).alias("num"),
                    (F.var_pop("r") * F.count("r")).alias("den")).first()
     if not s["den"]:
-        return spark.createDataFrame([(n, None, None, None)], schema)
+        return spark.createDataFrame([(n, None, None, None, None)], schema)
     w = min(1.0, (s["num"] ** 2) / s["den"])
     pval = shapiro_pvalue(w, n)
-    return spark.createDataFrame([(n, w, pval, pval > 0.05)], schema)
+    return spark.createDataFrame([(n, w, pval, pval > 0.05, n > calibrated_n)], schema)
 
 
 def heteroscedasticity(pred: DataFrame, key_cols, y: str = "y", p: str = "prediction") -> DataFrame:

@@ -46,13 +46,16 @@ def ks_drift(reference: DataFrame, new: DataFrame, columns=None,
     cum = value_counts_cumulative(long, "value", ["feature"], weight_cols=["r", "w"],
                                   num_buckets=buckets)
     tot = long.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("w").alias("n_new"))
-    gaps = cum.join(tot, "feature").select(
+    # Totals are one row per column.
+    gaps = cum.join(F.broadcast(tot), "feature").select(
         "feature", "n_ref", "n_new",
         F.abs(F.try_divide((F.col("r_before") + F.col("r")).cast("double"), F.col("n_ref"))
               - F.try_divide((F.col("w_before") + F.col("w")).cast("double"), F.col("n_new")))
         .alias("gap"))
     stat = gaps.groupBy("feature", "n_ref", "n_new").agg(F.max("gap").alias("statistic"))
-    en = F.col("n_ref") * F.col("n_new") / (F.col("n_ref") + F.col("n_new"))
+    # Doubles: the product of two counts leaves the long range at about 3e9 rows.
+    n, m = F.col("n_ref").cast("double"), F.col("n_new").cast("double")
+    en = n * m / (n + m)
     lam = F.sqrt(en) * F.col("statistic")
     out = stat.withColumn("__lam", lam).select(
         "feature", F.lit("kolmogorov_smirnov").alias("test"), "statistic",
@@ -77,8 +80,8 @@ def chi_square_counts(reference: DataFrame, new: DataFrame, columns=None) -> Dat
     tot = joined.groupBy("feature").agg(F.sum("o_ref").alias("n_ref"),
                                         F.sum("o_new").alias("n_new"),
                                         F.count(F.lit(1)).alias("k"))
-    cells = joined.join(tot, "feature").withColumn(
-        "e", F.try_divide(F.col("o_ref") * F.col("n_new"), F.col("n_ref")))
+    cells = joined.join(F.broadcast(tot), "feature").withColumn(  # one row per column
+        "e", F.try_divide(F.col("o_ref").cast("double") * F.col("n_new"), F.col("n_ref")))
     term = (F.when(F.col("e") > 0, F.try_divide((F.col("o_new") - F.col("e")) ** 2, F.col("e")))
             .when(F.col("o_new") > 0, F.lit(float("inf"))).otherwise(F.lit(0.0)))
     return cells.groupBy("feature", "n_ref", "n_new", "k").agg(F.sum(term).alias("statistic")) \
@@ -197,7 +200,9 @@ def monitor_batch(predictions: DataFrame, actuals: DataFrame | None, key_cols,
     computed when every successful prediction has an actual (joined on the
     key), else null."""
     key_cols = list(key_cols)
-    pr = predictions.select(*key_cols, F.col(p).alias("__p"))
+    # A NaN prediction is a failed one.
+    value = F.col(p).cast("double")
+    pr = predictions.select(*key_cols, F.when(~F.isnan(value), value).alias("__p"))
     if actuals is None:
         return pr.agg(F.count(F.lit(1)).alias("batch_size"),
                       F.count("__p").alias("successful_predictions"),
@@ -223,7 +228,8 @@ def monitor_batch(predictions: DataFrame, actuals: DataFrame | None, key_cols,
 
 def monitoring_report(alerts: DataFrame, ts_col: str, last: int = 10):
     """(last ``last`` alerts by time, totals by severity)."""
-    recent = alerts.orderBy(F.desc(ts_col)).limit(last)
+    others = [F.col(c) for c in alerts.columns if c != ts_col]
+    recent = alerts.orderBy(F.desc(ts_col), *others).limit(last)
     totals = alerts.agg(F.count(F.lit(1)).alias("total_alerts"),
                         F.count_if(F.col("severity") == "high").alias("high_severity"),
                         F.count_if(F.col("severity") == "medium").alias("medium_severity"))

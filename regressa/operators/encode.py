@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regressa.functions.columns import col
 from regressa.operators.clean import hash_of_keys
 from regressa.operators.ranking import (hash_prefix_histogram, hash_rank_thresholds,
                                         with_row_number)
@@ -22,6 +23,8 @@ from regressa.operators.ranking import (hash_prefix_histogram, hash_rank_thresho
 BROADCAST_MAX_ROWS = 1_000_000
 # Fixed value: string that pandas' ``astype(str)`` gives a missing value.
 NULL_LABEL = "nan"
+# Label code of a value that training has not seen.
+UNSEEN = -1
 
 
 # One-hot output columns a single categorical column may create. Categories
@@ -36,17 +39,18 @@ def _category_lists(df: DataFrame, cols) -> dict[str, list[str]]:
     after checking their number against ``MAX_ONE_HOT_CATEGORIES``."""
     if not cols:
         return {}
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        [], list(cols), "column", "value").where(F.col("value").isNotNull()).distinct()
+    names = {f"c{i}": c for i, c in enumerate(cols)}
+    long = df.select(*[col(c).cast("string").alias(k) for k, c in names.items()]).unpivot(
+        [], list(names), "column", "value").where(F.col("value").isNotNull()).distinct()
     sizes = {r["column"]: r["k"] for r in
              long.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
-    big = {c: k for c, k in sizes.items() if k > MAX_ONE_HOT_CATEGORIES}
+    big = {names[c]: k for c, k in sizes.items() if k > MAX_ONE_HOT_CATEGORIES}
     if big:
         raise ValueError(f"too many categories for one-hot encoding: {big}; "
                          "use encode_categorical='label' or 'target'")
     out: dict[str, list[str]] = {c: [] for c in cols}
     for r in long.collect():
-        out[r["column"]].append(r["value"])
+        out[names[r["column"]]].append(r["value"])
     return {c: sorted(v) for c, v in out.items()}
 
 
@@ -62,8 +66,8 @@ class OneHotModel:
         return [f"{c}_{v}" for c, vals in self.categories.items() for v in vals[1:]]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        keep = [F.col(c) for c in df.columns if c not in self.categories]
-        dummies = [F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("int"), F.lit(0))
+        keep = [col(c) for c in df.columns if c not in self.categories]
+        dummies = [F.coalesce((col(c).cast("string") == F.lit(v)).cast("int"), F.lit(0))
                    .alias(f"{c}_{v}")
                    for c, vals in self.categories.items() if c in df.columns for v in vals[1:]]
         return df.select(*keep, *dummies)
@@ -76,7 +80,8 @@ def fit_one_hot(df: DataFrame, cols) -> OneHotModel:
 @dataclass
 class LabelModel:
     """code = 0-based position of ``astype(str)`` value among the sorted
-    distinct values (a null becomes the string 'nan'); unseen values -> null.
+    distinct values (a null becomes the string 'nan'); unseen values get the
+    reserved code ``UNSEEN``.
     ``mapping`` rows: ``(column, value, code)``."""
 
     mapping: DataFrame
@@ -90,9 +95,10 @@ class LabelModel:
                 F.col("value").alias("__v"), F.col("code").alias("__code"))
             if self.broadcastable:
                 m = F.broadcast(m)
-            out = (out.withColumn("__v", F.coalesce(F.col(c).cast("string"), F.lit(NULL_LABEL)))
-                   .join(m, "__v", "left").drop("__v", c).withColumnRenamed("__code", c))
-        return out.select(*df.columns)
+            out = (out.withColumn("__v", F.coalesce(col(c).cast("string"), F.lit(NULL_LABEL)))
+                   .join(m, "__v", "left")
+                   .withColumn(c, F.coalesce(F.col("__code"), F.lit(UNSEEN))).drop("__v", "__code"))
+        return out.select(*[col(c) for c in df.columns])
 
 
 def fit_label(df: DataFrame, cols) -> LabelModel:
@@ -161,15 +167,15 @@ class ScalerModel:
             if c in self.stats:
                 m, s = self.stats[c]
                 s = s if s and s > 0 else 1.0
-                out.append(((F.col(c) - F.lit(m)) / F.lit(s)).alias(c))
+                out.append(((col(c) - F.lit(m)) / F.lit(s)).alias(c))
             else:
-                out.append(F.col(c))
+                out.append(col(c))
         return df.select(*out)
 
 
 def fit_scaler(df: DataFrame, cols) -> ScalerModel:
     cols = list(cols)
-    r = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"c{i}")
+    r = df.agg(*[F.struct(F.avg(col(c)).alias("m"), F.stddev_pop(col(c)).alias("s")).alias(f"c{i}")
                  for i, c in enumerate(cols)]).first()
     return ScalerModel({c: (r[f"c{i}"]["m"], r[f"c{i}"]["s"]) for i, c in enumerate(cols)})
 

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Metric names whose plain value is an error.
+LOWER_IS_BETTER = {"rmse", "mae", "mape"}
 COMPARISON_COLUMNS = ["Model", "cv_mean", "cv_std", "test_r2", "test_rmse", "test_mae",
                       "test_mape"]
 
@@ -57,8 +59,15 @@ def cv_score_frame(pred_by_fold: DataFrame, metric: str = "r2", y: str = "y",
                    p: str = "prediction", fold: str = "fold") -> DataFrame:
     """A1 building block: the chosen metric per held-out fold, one grouped
     aggregation over the out-of-fold predictions of all folds."""
+    if metric == "explained_variance":
+        rest = F.col(y) - F.col(p)
+        ratio = F.try_divide(F.var_pop(rest), F.var_pop(y))
+        return pred_by_fold.where(rest.isNotNull()).groupBy(fold).agg(
+            F.coalesce(1.0 - ratio, F.when(F.var_pop(rest) == 0, 1.0).otherwise(0.0)).alias("score"))
     m = regression_metrics(pred_by_fold, y, p, group_cols=[fold])
-    col = {"r2": "r2", "rmse": "rmse", "mae": "mae", "neg_mean_squared_error": "rmse",
+    m = m.withColumn("share", F.col("mape") / 100)
+    col = {"r2": "r2", "rmse": "rmse", "mae": "mae", "mape": "mape", "neg_mean_squared_error": "rmse",
+           "neg_mean_absolute_percentage_error": "share",
            "neg_root_mean_squared_error": "rmse", "neg_mean_absolute_error": "mae"}[metric]
     score = F.col(col)
     if metric == "neg_mean_squared_error":

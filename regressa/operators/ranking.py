@@ -24,6 +24,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regressa.functions.columns import col
 from regressa.session import cut_lineage
 
 
@@ -185,9 +186,9 @@ def unpivot_numeric(df: DataFrame, columns: Sequence[str], id_cols: Sequence[str
     id_cols = list(id_cols)
     casted = df.select(
         *id_cols,
-        *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns],
+        *[F.nanvl(col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns],
     )
-    return casted.unpivot(id_cols, list(columns), name, value)
+    return casted.unpivot(id_cols, [col(c) for c in columns], name, value)
 
 
 # Largest number of rows in the wanted prefix buckets that the last pass may

@@ -33,17 +33,42 @@ from pyspark.sql.types import DoubleType
 
 from regressa import messages as M
 from regressa.config import RegressionParams
-from regressa.functions.columns import categorical_columns, numeric_columns
+from pyspark.sql.types import BooleanType
+
+from regressa.functions.columns import (categorical_columns, col, normalise_nan, numeric_columns,
+                                        role_of)
 from regressa.operators import clean, encode
-from regressa.session import balance
 
-# The reference grows forest trees without a depth limit; MLlib caps depth at
-# 30 and a full-depth forest is driver-memory heavy, so the default is 10
-# (override with ``max_depth``; ``None`` means 30).
-DEFAULT_FOREST_DEPTH = 10
+# The reference grows forest trees without a depth limit; 30 is MLlib's limit.
+# A deep forest needs driver memory: pass ``max_depth`` for a smaller one.
+DEFAULT_FOREST_DEPTH = 30
+# Split candidates of a feature (MLlib's ``maxBins``; ``max_bins`` overrides it).
+DEFAULT_MAX_BINS = 32
+# Columns up to which the linear family is solved from the normal equations in
+# one pass (MLlib's limit); wider inputs are solved iteratively.
+NORMAL_SOLVER_MAX_FEATURES = 4096
 FEATURES = "features"
 LABEL = "y"
 PREDICTION = "prediction"
+# Names that the prepared frame uses itself; a feature of such a name gets a suffix.
+RESERVED = {FEATURES, LABEL, PREDICTION, "fold", "is_test", "row_key"}
+
+
+def internal_name(c: str) -> str:
+    return c + "__feature" if c in RESERVED else c
+
+
+def feature_frame(df: DataFrame, feats, others=()) -> DataFrame:
+    """Features under their internal names: booleans as 0/1, NaN as null. A
+    type without a meaning as a feature (dates, arrays, ...) is an error."""
+    odd = [c for c in feats if role_of(df.schema[c].dataType) == "other"
+           and not isinstance(df.schema[c].dataType, BooleanType)]
+    if odd:
+        raise ValueError(f"columns {odd} are neither numbers, strings nor booleans: convert them "
+                         "or leave them out of the features")
+    out = df.select(*[(col(c).cast("int") if isinstance(df.schema[c].dataType, BooleanType)
+                       else col(c)).alias(internal_name(c)) for c in feats], *others)
+    return normalise_nan(out)
 
 
 # --------------------------------------------------------------------------
@@ -69,17 +94,18 @@ class Preprocessor:
         keep = [c for c in keep if c in df.columns]
         cols = [c for c in self.input_features if c in df.columns]
         has_y = self.target is not None and self.target in df.columns
-        base = df.select(*keep, *cols, *([F.col(self.target).cast("double").alias(LABEL)]
-                                         if has_y else []))
+        base = feature_frame(df, cols, [*[col(c) for c in keep], *(
+            [col(self.target).cast("double").alias(LABEL)] if has_y else [])])
         if self.drop_nulls:
-            base = base.na.drop(subset=cols)
+            base = base.na.drop(subset=[internal_name(c) for c in cols])
         if self.fill is not None:
-            base = self.fill.transform(base)
+            base = self.fill.transform(base, spare=True)
         if self.encoder is not None:
             base = self.encoder.transform(base)
         # Columns the batch lacks (unseen dummies) become 0.
-        out = base.select(*keep, *[F.col(c).cast("double").alias(c) if c in base.columns
-                                   else F.lit(0.0).alias(c) for c in self.feature_names],
+        out = base.select(*[col(c) for c in keep], *[col(c).cast("double").alias(c)
+                                                     if c in base.columns else F.lit(0.0).alias(c)
+                                                     for c in self.feature_names],
                           *([F.col(LABEL)] if has_y else []))
         if self.scaler is not None:
             out = self.scaler.transform(out)
@@ -92,7 +118,11 @@ def fit_preprocessor(train: DataFrame, target: str, params: RegressionParams,
     statistic is fitted on ``train`` only. Rows with a null target are left
     out of fitting."""
     feats = list(features) if features else [c for c in train.columns if c != target]
-    data = train.select(*feats, target).where(F.col(target).isNotNull())
+    given = feats
+    label = "__target"
+    data = feature_frame(train, feats, [col(target).cast("double").alias(label)]) \
+        .where(F.col(label).isNotNull())
+    feats, target_name, target = [internal_name(c) for c in feats], target, label
     steps = []
     fill, drop = None, False
     if params.handle_missing == "drop":
@@ -100,10 +130,11 @@ def fit_preprocessor(train: DataFrame, target: str, params: RegressionParams,
         data = data.na.drop(subset=feats)
         steps.append(M.STEP_DROPPED)
     else:
-        fill = clean.fit_impute(data, target)
+        fill = clean.fit_impute(data, target, spare=True)
         data = fill.transform(data)
         steps += fill.steps
-    cats = categorical_columns(data.select(*feats))
+    inputs = data.drop(target)
+    cats = categorical_columns(inputs)
     encoder = None
     if cats:
         if params.encode_categorical in ("onehot", "one_hot_encoding"):
@@ -115,13 +146,13 @@ def fit_preprocessor(train: DataFrame, target: str, params: RegressionParams,
         else:
             encoder = encode.fit_target(data, cats, target, params.target_smoothing)
             steps += [f"Target encoded '{c}'" for c in cats]
-    numeric = [c for c in numeric_columns(data.select(*feats))]
+    numeric = numeric_columns(inputs)
     if isinstance(encoder, encode.OneHotModel):
         names = [c for c in feats if c not in cats] + encoder.output_columns()
         names = [c for c in names if c in numeric or c in encoder.output_columns()]
     else:
         names = [c for c in feats if c in numeric or c in cats]
-    pre = Preprocessor(target, feats, fill, drop, encoder, None, names, steps)
+    pre = Preprocessor(target_name, given, fill, drop, encoder, None, names, steps)
     stats = data.agg(F.avg(target).alias("m"), F.stddev_pop(target).alias("s")).first()
     pre.target_mean, pre.target_std = stats["m"], stats["s"]
     if scale if scale is not None else params.scale_features:
@@ -130,8 +161,10 @@ def fit_preprocessor(train: DataFrame, target: str, params: RegressionParams,
 
 
 def assemble(df: DataFrame, feature_names) -> DataFrame:
-    return VectorAssembler(inputCols=list(feature_names), outputCol=FEATURES,
-                           handleInvalid="keep").transform(df)
+    # Positional copies: a category value in a name may hold any character.
+    copies = {f"__f{i}": col(c) for i, c in enumerate(feature_names)}
+    return VectorAssembler(inputCols=list(copies), outputCol=FEATURES, handleInvalid="keep") \
+        .transform(df.withColumns(copies)).drop(*copies)
 
 
 # --------------------------------------------------------------------------
@@ -146,6 +179,7 @@ class SvrModel:
     phase: np.ndarray | None
     coef: np.ndarray
     intercept: float
+    converged: bool = False
 
     def _map(self, x: np.ndarray) -> np.ndarray:
         if self.kernel == "linear":
@@ -162,26 +196,41 @@ class SvrModel:
             x = np.column_stack([c.to_numpy(dtype="float64") for c in cols])
             return pd.Series(model._map(x) @ model.coef + model.intercept)
 
-        return df.withColumn(PREDICTION, _predict(*[F.col(c) for c in names]))
+        return df.withColumn(PREDICTION, _predict(*[col(c) for c in names]))
 
     @property
     def coefficients(self):
         return self.coef if self.kernel == "linear" else None
 
 
+def _summed(parts: DataFrame, name: str, size: int) -> np.ndarray:
+    """Sum of the partitions' arrays, element by element on the executors: the
+    driver gets ``size`` numbers however many partitions there are."""
+    out = np.zeros(size)
+    rows = parts.select(F.posexplode(name).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    for r in rows.collect():
+        out[r["i"]] = r["v"]
+    return out
+
+
 def fit_svr(train: DataFrame, feature_names, C: float = 1.0, epsilon: float = 0.1,
             kernel: str = "rbf", gamma: float | None = None, n_components: int = 100,
-            iterations: int = 30, seed: int = 42, lr: float = 0.01) -> SvrModel:
+            iterations: int = 200, seed: int = 42, lr: float = 0.01, tol: float = 1e-4,
+            patience: int = 20) -> SvrModel:
     """Minimise ``C * sum(max(0, |y - f(x)| - eps)) + ||w||^2 / 2``.
 
     Warm start from the ridge solution in feature space (one pass of
     per-partition Gram blocks), then full-batch Adam steps on the
-    epsilon-insensitive loss. Each step is one Spark job: every partition
-    returns the partial subgradient of its rows (``n_components + 1``
-    numbers), so the driver receives one small row per partition."""
-    names = list(feature_names)
-    p = len(names)
-    data = train.select(*names, LABEL).where(F.col(LABEL).isNotNull()).cache()
+    epsilon-insensitive loss, until the best objective has improved by less
+    than ``tol`` of itself over ``patience`` steps (``converged``) or
+    ``iterations`` steps are done. Each step is one Spark job: partial
+    subgradients are summed on the executors, and the driver receives
+    ``n_components + 2`` numbers."""
+    given = list(feature_names)
+    p = len(given)
+    names = [f"f{i}" for i in range(p)]
+    data = train.select(*[col(c).alias(k) for c, k in zip(given, names)], LABEL) \
+        .where(F.col(LABEL).isNotNull()).cache()
     n = data.count()
     rng = np.random.default_rng(seed)
     if kernel == "linear":
@@ -199,7 +248,7 @@ def fit_svr(train: DataFrame, feature_names, C: float = 1.0, epsilon: float = 0.
         omega = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(p, n_components))
         phase = rng.uniform(0.0, 2.0 * math.pi, size=n_components)
         dim = n_components
-    model = SvrModel(names, kernel, omega, phase, np.zeros(dim), 0.0)
+    model = SvrModel(given, kernel, omega, phase, np.zeros(dim), 0.0)
     # Warm start: ridge least squares in feature space, (Z'Z + I/C) w = Z'y with
     # an unpenalised intercept. One pass: every partition returns its
     # (dim+1)^2 Gram block and Z'y; the small system is solved on the driver.
@@ -213,11 +262,10 @@ def fit_svr(train: DataFrame, feature_names, C: float = 1.0, epsilon: float = 0.
             z1 = np.column_stack([z, np.ones(len(z))])
             a += z1.T @ z1
             b += z1.T @ pdf[LABEL].to_numpy(dtype="float64")
-        yield pd.DataFrame({"a": [a.ravel().tolist()], "b": [b.tolist()]})
+        yield pd.DataFrame({"s": [np.concatenate([a.ravel(), b]).tolist()]})
 
-    blocks = data.mapInPandas(gram, "a array<double>, b array<double>").collect()
-    a = np.sum([np.array(r["a"]).reshape(dim + 1, dim + 1) for r in blocks], axis=0)
-    b = np.sum([np.array(r["b"]) for r in blocks], axis=0)
+    sums = _summed(data.mapInPandas(gram, "s array<double>"), "s", (dim + 1) * (dim + 2))
+    a, b = sums[:(dim + 1) ** 2].reshape(dim + 1, dim + 1), sums[(dim + 1) ** 2:]
     reg = np.eye(dim + 1) / max(C, 1e-12)
     reg[dim, dim] = 0.0
     sol = np.linalg.lstsq(a + reg, b, rcond=None)[0]
@@ -226,8 +274,8 @@ def fit_svr(train: DataFrame, feature_names, C: float = 1.0, epsilon: float = 0.
     m2 = np.zeros(dim + 1)
     b1, b2 = 0.9, 0.999
     scale_y = float(data.agg(F.stddev_pop(LABEL).alias("s")).first()["s"] or 1.0)
-    schema = "g array<double>, loss double"
     best = (float("inf"), model.coef.copy(), model.intercept)
+    history: list[float] = []
     for t in range(1, iterations + 2):
         snap = SvrModel(names, kernel, omega, phase, model.coef.copy(), model.intercept)
 
@@ -242,15 +290,19 @@ def fit_svr(train: DataFrame, feature_names, C: float = 1.0, epsilon: float = 0.
                 loss += float(np.maximum(np.abs(r) - epsilon, 0.0).sum())
                 g[:dim] += z.T @ s
                 g[dim] += s.sum()
-            yield pd.DataFrame({"g": [g.tolist()], "loss": [loss]})
+            yield pd.DataFrame({"s": [[*g.tolist(), loss]]})
 
-        parts = data.mapInPandas(partial, schema).collect()
-        objective = C * sum(r["loss"] for r in parts) + 0.5 * float(snap.coef @ snap.coef)
+        sums = _summed(data.mapInPandas(partial, "s array<double>"), "s", dim + 2)
+        objective = C * sums[-1] + 0.5 * float(snap.coef @ snap.coef)
         if objective < best[0]:
             best = (objective, snap.coef.copy(), snap.intercept)
+        history.append(best[0])
+        if len(history) > patience and history[-1 - patience] - best[0] <= tol * abs(best[0]):
+            model.converged = True
+            break
         if t > iterations:
             break
-        grad = C * np.sum([np.array(r["g"]) for r in parts], axis=0) / max(n, 1)
+        grad = C * sums[:-1] / max(n, 1)
         grad[:dim] += model.coef / max(n, 1)
         m1 = b1 * m1 + (1 - b1) * grad
         m2 = b2 * m2 + (1 - b2) * grad * grad
@@ -325,34 +377,38 @@ def tree_memory_budget_mb(spark) -> int:
 
 
 def build_estimator(name: str, hp: dict, moments: dict, seed: int = 42,
-                    tree_memory_mb: int = 256):
-    """Spark ML estimator for a model name and reference-style hyper-parameters."""
+                    tree_memory_mb: int = 256, width: int = 0):
+    """Spark ML estimator for a model name and reference-style hyper-parameters;
+    ``width`` features."""
     n = max(moments["n"], 1)
+    # The iterative solver works on a label divided by its sample deviation, the
+    # normal one by its population deviation; penalties are scaled to match.
+    solver = "normal" if width <= NORMAL_SOLVER_MAX_FEATURES else "l-bfgs"
+    sd = moments["sd_pop"] if solver == "normal" else moments["sd_samp"]
     lin = dict(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION,
-               standardization=False, fitIntercept=True)
+               standardization=False, fitIntercept=True, solver=solver)
+    exact = dict(maxIter=1000, tol=1e-10)
     if name == "linear":
-        return LinearRegression(regParam=0.0, solver="normal", **lin)
+        return LinearRegression(regParam=0.0, **lin, **exact)
     if name == "ridge":
         alpha = float(hp.get("alpha", 1.0))
-        return LinearRegression(regParam=alpha * moments["sd_pop"] / n, elasticNetParam=0.0,
-                                solver="normal", **lin)
+        return LinearRegression(regParam=alpha * sd / n, elasticNetParam=0.0, **lin, **exact)
     # Lasso and elastic net also use the normal-equation solver: one pass
     # aggregates the p x p Gram matrix, then OWL-QN runs on the driver over it,
     # so the number of passes over the data does not grow with iterations.
     if name == "lasso":
         alpha = float(hp.get("alpha", 1.0))
-        return LinearRegression(regParam=alpha, elasticNetParam=1.0, solver="normal",
-                                maxIter=1000, tol=1e-10, **lin)
+        return LinearRegression(regParam=alpha, elasticNetParam=1.0, **lin, **exact)
     if name == "elastic_net":
         alpha = float(hp.get("alpha", 1.0))
         l1r = float(hp.get("l1_ratio", 0.5))
         l1 = alpha * l1r
-        l2 = alpha * (1 - l1r) * moments["sd_pop"]
+        l2 = alpha * (1 - l1r) * sd
         reg = l1 + l2
         return LinearRegression(regParam=reg, elasticNetParam=(l1 / reg) if reg > 0 else 0.0,
-                                solver="normal", maxIter=1000, tol=1e-10, **lin)
+                                **lin, **exact)
     tree = dict(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, seed=seed,
-                maxMemoryInMB=tree_memory_mb)
+                maxMemoryInMB=tree_memory_mb, maxBins=int(hp.get("max_bins", DEFAULT_MAX_BINS)))
     if name == "random_forest":
         depth = hp.get("max_depth", DEFAULT_FOREST_DEPTH)
         mf = hp.get("max_features", None)
@@ -377,15 +433,17 @@ def fit_model(name: str, train: DataFrame, feature_names, hp: dict | None = None
     if name == "svr":
         m = fit_svr(train, feature_names, C=float(hp.get("C", 1.0)),
                     epsilon=float(hp.get("epsilon", 0.1)), kernel=hp.get("kernel", "rbf"),
-                    seed=seed, iterations=int(hp.get("iterations", 60)))
+                    seed=seed, iterations=int(hp.get("iterations", 200)))
         return FittedModel(name, list(feature_names), m, hp)
-    data = assemble(train.where(F.col(LABEL).isNotNull()), feature_names)
+    rows = train.where(F.col(LABEL).isNotNull())
     if name in ("random_forest", "gradient_boosting"):
-        # Tree learners are CPU-bound per row: spread an input read from a
-        # single file over the cores (a no-op for a large, many-file input).
-        data = balance(data)
+        # Trees draw their samples by partition: deal the rows by their content to
+        # spark.sql.shuffle.partitions, so that a fit does not depend on the cores.
+        parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(parts, LABEL, *[col(c) for c in feature_names])
+    data = assemble(rows, feature_names)
     est = build_estimator(name, hp, label_moments(train), seed,
-                          tree_memory_budget_mb(train.sparkSession))
+                          tree_memory_budget_mb(train.sparkSession), len(feature_names))
     return FittedModel(name, list(feature_names), est.fit(data), hp)
 
 

@@ -7,11 +7,17 @@ runs the jobs side by side, like ``CrossValidator(parallelism=...)``)."""
 from __future__ import annotations
 
 import itertools
+import logging
 import random
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
+from regressa import messages as M
+from regressa.operators.metrics import LOWER_IS_BETTER
+
+log = logging.getLogger(__name__)
+
 # The reference's search grids, per model, in its order.
 PARAM_GRIDS = {
     "random_forest": {
@@ -48,17 +54,18 @@ def candidates(model: str, method: str = "random", n_iter: int = 50, seed: int =
     if not grid:
         return []
     keys = list(grid)
-    combos = [dict(zip(keys, v)) for v in itertools.product(*[grid[k] for k in keys])]
-    if method != "grid":
-        rng = random.Random(seed)
-        combos = rng.sample(combos, min(n_iter, len(combos)))
-    seen, out = set(), []
-    for c in combos:
-        key = tuple((k, c[k]) for k in keys if k not in UNSUPPORTED)
-        if key not in seen:
-            seen.add(key)
-            out.append(c)
-    return out
+    # Candidates that would be the same fit are merged before sampling, so a
+    # random search evaluates ``n_iter`` different ones.
+    merged = {}
+    for v in itertools.product(*[grid[k] for k in keys]):
+        c = dict(zip(keys, v))
+        merged.setdefault(tuple((k, c[k]) for k in keys if k not in UNSUPPORTED), c)
+    combos = list(merged.values())
+    if method == "grid":
+        return combos
+    if method != "random":
+        log.warning(M.NOTE_RANDOM_INSTEAD.format(method=method))
+    return random.Random(seed).sample(combos, min(n_iter, len(combos)))
 
 
 def cross_val_scores(name: str, train: DataFrame, feature_names, hp: dict, k: int,
@@ -99,7 +106,9 @@ def search(name: str, train: DataFrame, feature_names, k: int, method: str = "ra
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         results = list(pool.map(run, cands))
-    best = max(results, key=lambda r: r[1])
+    # Plain errors are better when smaller; scores and ``neg_`` errors when larger.
+    sign = -1.0 if metric in LOWER_IS_BETTER else 1.0
+    best = max(results, key=lambda r: sign * r[1])
     return best[0], best[1], results
 
 

@@ -67,13 +67,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def balance(df: DataFrame) -> DataFrame:
-    """Spread a frame with fewer partitions than the cluster has cores (a
-    small input read from one file) before it is cached for iterative work
-    such as model fitting; on a large input this is a no-op, not a shuffle."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
