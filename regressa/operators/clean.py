@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from regressa import messages as M
-from regressa.functions.columns import categorical_columns, col, numeric_columns, role_of
+from regressa.functions.columns import (categorical_columns, col, normalise_nan, numeric_columns,
+                                        role_of)
 from regressa.operators.ranking import exact_quantiles, range_buckets, unpivot_numeric
 from regressa.session import cut_lineage
 
@@ -161,15 +162,17 @@ def fit_impute(df: DataFrame, target: str | None, spare: bool = False) -> FillMo
 
 def fit_fill(df: DataFrame, method: str, columns=None) -> FillModel:
     """C5 'mean' / C6 'median' over numeric columns (target included), C7
-    'mode' over all columns (untouched when a column has no mode)."""
+    'mode' over all columns (untouched when a column has no mode). Only columns
+    that have nulls are fitted; the others stay as they are."""
+    df = normalise_nan(df)
+    wanted = list(columns) if columns else df.columns if method == "mode" else numeric_columns(df)
+    nulls = df.agg(*[F.count_if(col(c).isNull()).alias(f"c{i}") for i, c in enumerate(wanted)]).first()
+    cols = [c for i, c in enumerate(wanted) if nulls[f"c{i}"]]
     if method == "mean":
-        cols = list(columns) if columns else numeric_columns(df)
         return FillModel(means(df, cols), ["Filled numeric columns with mean"], True)
     if method == "median":
-        cols = list(columns) if columns else numeric_columns(df)
         return FillModel(medians(df, cols), ["Filled numeric columns with median"], True)
     if method == "mode":
-        cols = list(columns) if columns else df.columns
         num = [c for c in cols if role_of(df.schema[c].dataType) == "numeric"]
         rest = [c for c in cols if c not in num]
         vals = {**_numeric_modes(df, num), **_modes(df, rest)}

@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regressa.functions.columns import categorical_columns, numeric_columns, role_of
+from regressa.functions.columns import normalise_nan, categorical_columns, numeric_columns, role_of
 from regressa.operators.ranking import exact_quantiles
 
 
@@ -22,7 +22,8 @@ def _num(c: str):
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    """Rows ``(column, null_count)`` from one aggregation."""
+    """Rows ``(column, null_count)`` from one aggregation; NaN counts as null."""
+    df = normalise_nan(df)
     agg = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"c{i}") for i, c in enumerate(df.columns)])
     return agg.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("null_count"))
@@ -155,7 +156,8 @@ def column_profile(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
 
 def missing_report(df: DataFrame) -> DataFrame:
     """``(column, missing_count, missing_pct)`` for columns with nulls,
-    percentage rounded to 2 digits, most missing first. One scan."""
+    percentage rounded to 2 digits, most missing first; NaN counts as missing. One scan."""
+    df = normalise_nan(df)
     agg = df.agg(F.count(F.lit(1)).alias("n"),
                  *[F.count_if(F.col(c).isNull()).alias(f"c{i}") for i, c in enumerate(df.columns)])
     long = agg.select("n", F.explode(F.array(*[

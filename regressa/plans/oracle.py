@@ -81,8 +81,8 @@ def _column_profile_customer() -> str:
 
 
 def _missing_documents() -> str:
-    cols = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
-    src = ("(SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic "
+    cols = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
+    src = ("(SELECT d.*, l.quality, l.toxic "
            "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)")
     inner = _unpivot_union(cols, lambda c: (
         f"SELECT '{c}' AS column, count(*) - count({c}) AS missing_count, count(*) AS n FROM {src}"))
@@ -135,7 +135,7 @@ ORACLE = {
 LI_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate"
 LI_NULLS = ("(SELECT * REPLACE (nullif(l_quantity, 50) AS l_quantity, "
             "nullif(l_returnflag, 'R') AS l_returnflag) FROM lineitem)")
-DOCS = ("(SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d "
+DOCS = ("(SELECT d.*, l.quality, l.toxic FROM documents d "
         "LEFT JOIN labels l ON d.doc_id = l.doc_id)")
 EV_GAPS = ("(SELECT * REPLACE (CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value) "
            "FROM events)")
@@ -164,15 +164,15 @@ ORACLE.update({
         f"AS l_quantity, coalesce(l_returnflag, {_mode_sql('l_returnflag', LI_NULLS)}) AS l_returnflag "
         f"FROM {LI_NULLS}"),
     "fill_mean_documents": (
-        f"SELECT doc_id, lang, round(coalesce(quality::DOUBLE, (SELECT avg(quality) FROM {DOCS})), 6) "
+        f"SELECT doc_id, text, lang, source, n_chars, round(coalesce(quality::DOUBLE, (SELECT avg(quality) FROM {DOCS})), 6) "
         f"AS quality, round(coalesce(toxic::DOUBLE, (SELECT avg(toxic) FROM {DOCS})), 6) AS toxic "
         f"FROM {DOCS}"),
     "fill_median_documents": (
-        f"SELECT doc_id, lang, round(coalesce(quality::DOUBLE, (SELECT median(quality) FROM {DOCS})), 6) "
+        f"SELECT doc_id, text, lang, source, n_chars, round(coalesce(quality::DOUBLE, (SELECT median(quality) FROM {DOCS})), 6) "
         f"AS quality, round(coalesce(toxic::DOUBLE, (SELECT median(toxic) FROM {DOCS})), 6) AS toxic "
         f"FROM {DOCS}"),
     "fill_mode_documents": (
-        f"SELECT doc_id, coalesce(lang, {_mode_sql('lang', DOCS)}) AS lang, "
+        f"SELECT doc_id, text, source, n_chars, coalesce(lang, {_mode_sql('lang', DOCS)}) AS lang, "
         f"coalesce(quality, {_mode_sql('quality', DOCS)}) AS quality, "
         f"coalesce(toxic, {_mode_sql('toxic', DOCS)}) AS toxic FROM {DOCS}"),
     "ffill_events": (
@@ -186,8 +186,8 @@ ORACLE.update({
         f"ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value "
         f"FROM {EV_GAPS}"),
     "drop_null_rows_documents": (
-        "SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d "
-        "JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang IS NOT NULL AND d.source IS NOT NULL "
+        "SELECT d.*, l.quality, l.toxic FROM documents d "
+        "JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL AND d.lang IS NOT NULL AND d.source IS NOT NULL "
         "AND d.n_chars IS NOT NULL AND l.quality IS NOT NULL AND l.toxic IS NOT NULL"),
     "dedup_orders": f"SELECT DISTINCT * FROM {O_DUP}",
     "dedup_first_lineitem": (
@@ -447,7 +447,7 @@ ORACLE.update({
 })
 
 
-_DOCS6 = ("(SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d "
+_DOCS6 = ("(SELECT d.*, l.quality, l.toxic FROM documents d "
           "LEFT JOIN labels l ON d.doc_id = l.doc_id)")
 _LI_WIDTH = {"l_orderkey": 8, "l_partkey": 8, "l_suppkey": 8, "l_linenumber": 4,
              "l_quantity": 8, "l_extendedprice": 8, "l_discount": 8, "l_tax": 8,
@@ -467,12 +467,12 @@ ORACLE.update({
         " + ".join(_mem_expr(c, w) for c, w in _LI_WIDTH.items()) + " AS BIGINT) FROM lineitem"),
     "null_counts_documents": " UNION ALL ".join(
         f"SELECT '{c}' AS column, count(*) - count({c}) AS null_count FROM {_DOCS6}"
-        for c in ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]),
+        for c in ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]),
     "row_change_documents": (
         f"SELECT (SELECT count(*) FROM {_DOCS6}) AS original_rows, "
-        f"(SELECT count(*) FROM {_DOCS6} WHERE lang IS NOT NULL AND source IS NOT NULL AND "
+        f"(SELECT count(*) FROM {_DOCS6} WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL AND "
         "n_chars IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL) AS processed_rows, "
-        f"(SELECT count(*) FROM {_DOCS6}) - (SELECT count(*) FROM {_DOCS6} WHERE lang IS NOT NULL "
+        f"(SELECT count(*) FROM {_DOCS6}) - (SELECT count(*) FROM {_DOCS6} WHERE text IS NOT NULL AND lang IS NOT NULL "
         "AND source IS NOT NULL AND n_chars IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT "
         "NULL) AS removed_rows"),
     "scoring_input_check_lineitem": (
@@ -570,6 +570,16 @@ _DRIFT_REPORT = (
 ORACLE.update({
     "shapiro_statistic_part": _SHAPIRO,
     "drift_report_events": _DRIFT_REPORT,
+    "drift_summary_events": (
+        "SELECT coalesce(bool_or(drifted), false) AS drift_detected, coalesce(string_agg(feature, ',' "
+        f"ORDER BY feature) FILTER (drifted), '') AS drift_features FROM ({_DRIFT_REPORT})"),
+    # With far more than a hundred categories the 5% limit is the normal one to four digits;
+    # a new user (infinite statistic) is drift at once.
+    "chisq_users_events": (
+        "SELECT * REPLACE (round(statistic, 4) AS statistic), CASE WHEN isinf(statistic) THEN true "
+        "ELSE 9 * dof * pow(pow(statistic / dof, 1 / 3.0) - 1 + 2 / (9.0 * dof), 2) / 2 > 1.352745 "
+        "AND statistic > dof END AS drifted FROM (" + _CHISQ.replace("'event_type'", "'user_id'")
+        .replace("event_type", "user_id::VARCHAR") + ")"),
 })
 
 

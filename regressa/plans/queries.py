@@ -54,9 +54,7 @@ def q_describe_lineitem(spark, sf):
 
 
 def q_missing_report_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
-    lab = table(spark, sf, "labels")
-    return profile.missing_report(docs.join(lab, "doc_id", "left"))
+    return profile.missing_report(documents_labelled(spark, sf))
 
 
 def q_correlation_lineitem(spark, sf):
@@ -112,8 +110,7 @@ def lineitem_with_nulls(spark, sf):
 
 
 def documents_labelled(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
-    return docs.join(table(spark, sf, "labels"), "doc_id", "left")
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
 
 
 def events_with_gaps(spark, sf):
@@ -129,9 +126,8 @@ def q_impute_lineitem(spark, sf):
 
 def _fill_documents(method):
     def q(spark, sf):
-        d = documents_labelled(spark, sf).select("doc_id", "lang", "quality", "toxic")
-        cols = ["quality", "toxic"] if method != "mode" else None
-        model = clean.fit_fill(d, method, cols)
+        d = documents_labelled(spark, sf)
+        model = clean.fit_fill(d, method)
         return round_doubles(model.transform(d))
     return q
 
@@ -428,6 +424,26 @@ def q_drift_report_events(spark, sf):
                     {"statistic": 6, "p_value": 6})
 
 
+def q_drift_summary_events(spark, sf):
+    """D3 roll-up of the report."""
+    from regressa.operators import drift
+
+    ref, new = events_halves(spark, sf, 1.5)
+    cols = ["value", "user_id", "event_type"]
+    out = drift.drift_summary(drift.detect_drift(ref.select(*cols), new.select(*cols)))
+    return out.withColumn("drift_features", F.array_join("drift_features", ","))
+
+
+def q_chisq_users_events(spark, sf):
+    """D2 with one category for each user: many categories."""
+    from regressa.operators import drift
+
+    ref, new = events_halves(spark, sf)
+    user = F.col("user_id").cast("string").alias("user_id")
+    out = drift.chi_square_drift(ref.select(user), new.select(user))
+    return _rounded(out.drop("p_value"), {"statistic": 4})
+
+
 def q_mean_shift_events(spark, sf):
     from regressa.operators import drift
 
@@ -526,6 +542,8 @@ QUERIES.update({
     "ks_drift_events_shifted": _ks(1.5),
     "chisq_events": q_chisq_events,
     "drift_report_events": q_drift_report_events,
+    "drift_summary_events": q_drift_summary_events,
+    "chisq_users_events": q_chisq_users_events,
     "mean_shift_events": q_mean_shift_events,
     "degradation_lineitem": q_degradation_lineitem,
     "batch_monitor_lineitem": q_batch_monitor_lineitem,

@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from regressa import messages as M
 from regressa.functions.stats import chi2_sf_scalar, norm_ppf_sql
 from regressa.operators import chartdata, diagnostics, metrics
 
@@ -113,7 +114,7 @@ def test_importance_and_recommendations(spark):
          "test_mae": 1.5, "test_mape": 4.0}])
     assert comp.first()["Model"] == "ridge"
     recs = [r["title"] for r in diagnostics.recommendations(comp).collect()]
-    assert recs == ["Moderate R2 Score", "Regularized Model"]
+    assert recs == [M.REC_MODERATE_R2[0], M.REC_REGULARIZED[0]]
     cx = {r["Model"]: r["complexity"] for r in chartdata.complexity_vs_r2(comp).collect()}
     assert cx == {"ridge": 2, "linear": 1}
 
