@@ -3,7 +3,7 @@
 Encoders are fitted on the training side only and applied to any later
 batch. Category lists for one-hot encoding come to the driver because they
 define output columns; label and target encodings stay DataFrames and are
-joined back (broadcast only below a checked row count)."""
+joined back (adaptive execution picks the join by measured bytes)."""
 
 from __future__ import annotations
 
@@ -18,8 +18,8 @@ from regressa.operators.clean import hash_of_keys
 from regressa.operators.ranking import (hash_prefix_histogram, hash_rank_thresholds,
                                         with_row_number)
 
-# Rows up to which a fitted mapping table is broadcast; above it the join
-# shuffles (the check is a count of the mapping, not of the data).
+# Rows up to which a fitted mapping counts as small in its metadata. Joins carry
+# no hint: adaptive execution broadcasts a mapping by its measured bytes.
 BROADCAST_MAX_ROWS = 1_000_000
 # Fixed value: string that pandas' ``astype(str)`` gives a missing value.
 NULL_LABEL = "nan"
@@ -93,8 +93,6 @@ class LabelModel:
         for c in self.columns:
             m = self.mapping.where(F.col("column") == c).select(
                 F.col("value").alias("__v"), F.col("code").alias("__code"))
-            if self.broadcastable:
-                m = F.broadcast(m)
             out = (out.withColumn("__v", F.coalesce(col(c).cast("string"), F.lit(NULL_LABEL)))
                    .join(m, "__v", "left")
                    .withColumn(c, F.coalesce(F.col("__code"), F.lit(UNSEEN))).drop("__v", "__code"))
@@ -131,8 +129,6 @@ class TargetModel:
         for c in self.columns:
             m = self.mapping.where(F.col("column") == c).select(
                 F.col("value").alias("__v"), F.col("enc").alias("__enc"))
-            if self.broadcastable:
-                m = F.broadcast(m)
             out = (out.withColumn("__v", F.col(c).cast("string")).join(m, "__v", "left")
                    .withColumn(c, F.coalesce(F.col("__enc"), F.lit(self.global_mean)))
                    .drop("__v", "__enc"))

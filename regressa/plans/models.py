@@ -330,8 +330,9 @@ class FittedModel:
         """Adds ``prediction``; input holds the feature columns."""
         if isinstance(self.model, SvrModel):
             return self.model.transform(df)
-        out = self.model.transform(assemble(df, self.feature_names))
-        return out.drop(FEATURES)
+        if FEATURES in df.columns:  # assembled once for several models
+            return self.model.transform(df)
+        return self.model.transform(assemble(df, self.feature_names)).drop(FEATURES)
 
     def importances(self):
         """I1 source: (vector, method) or (None, None)."""
@@ -384,7 +385,7 @@ def build_estimator(name: str, hp: dict, moments: dict, seed: int = 42,
     # The iterative solver works on a label divided by its sample deviation, the
     # normal one by its population deviation; penalties are scaled to match.
     solver = "normal" if width <= NORMAL_SOLVER_MAX_FEATURES else "l-bfgs"
-    sd = moments["sd_pop"] if solver == "normal" else moments["sd_samp"]
+    sd = moments.get("sd_pop" if solver == "normal" else "sd_samp", 0.0)
     lin = dict(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION,
                standardization=False, fitIntercept=True, solver=solver)
     exact = dict(maxIter=1000, tol=1e-10)
@@ -441,8 +442,10 @@ def fit_model(name: str, train: DataFrame, feature_names, hp: dict | None = None
         # spark.sql.shuffle.partitions, so that a fit does not depend on the cores.
         parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.repartition(parts, LABEL, *[col(c) for c in feature_names])
-    data = assemble(rows, feature_names)
-    est = build_estimator(name, hp, label_moments(train), seed,
+    data = rows if FEATURES in rows.columns else assemble(rows, feature_names)
+    # Only the quadratic penalties are scaled by the label's deviation.
+    moments = label_moments(train) if name in ("ridge", "elastic_net") else {"n": 1}
+    est = build_estimator(name, hp, moments, seed,
                           tree_memory_budget_mb(train.sparkSession), len(feature_names))
     return FittedModel(name, list(feature_names), est.fit(data), hp)
 
