@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from regressa.llm.common import SPACE, quoted, text_or_empty
 
 #: Bytes of keys that a map task's trie holds before it spills a subtree.
-TRIE_BYTES = 64 << 20
+TRIE_BYTES = 24 << 20
 _WHITE = b" \t\n\r\x0b\x0c"
 _ROWS = 2_000
 _LEN, _HASH, _COPIES = "__owner_length", "__owner_hash", "__owner_copies"

@@ -25,7 +25,7 @@ from regressa.llm.common import quoted, shared_path, text_or_empty
 #: Hash buckets of a document vector, dimensions of the curve and bits of each (48 in all).
 BUCKETS, DIMS, BITS, SEED = 1024, 3, 16, 42
 #: Words that a worker keeps, bytes of the longest kept word, bytes of text between two looks-up.
-WORDS, LONGEST, STEP = 250_000, 48, 4 << 20
+WORDS, LONGEST, STEP = 400_000, 48, 8 << 20
 #: A word that is one token, and punctuation that may close a word (no apostrophe: that may open
 #: a contraction).
 SEPARATOR, CLOSING = b"|", b".,;:!?*#$%&)]}\""
@@ -218,7 +218,10 @@ class Encoder:
         word = words.indices.to_numpy()
         each = size[word]
         ends = np.cumsum(each)
-        taken = np.repeat(first[word] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
+        total = int(ends[-1]) if len(ends) else 0
+        small = np.int32 if total < 1 << 31 else np.int64  # positions, at half the memory
+        taken = np.repeat((first[word] - (ends - each)).astype(small), each)
+        taken += np.arange(total, dtype=small)
         of_text = np.r_[0, ends][np.cumsum(pc.list_value_length(cut).to_numpy())]
         return ids[taken], of_text
 
