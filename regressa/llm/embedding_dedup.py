@@ -155,9 +155,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """vec_id, n_links, component_id, kept, one row for each input row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing
-    and are components of their own. Only vectors of the most frequent length... all lengths are
-    compared, each with its own. Equal vectors link with each other; rows that repeat an id count
-    as further vectors. Null ids stay null and are no component's name unless it has no other.
+    and are components of their own. Vectors are compared with those of the same length. Equal
+    vectors link with each other; rows that repeat an id count as further vectors. Null ids stay null and are no component's name unless it has no other.
     An empty table gives none; further columns are ignored.
     """
     rows, classes = classes_of(vectors, id_col, vector_col)
