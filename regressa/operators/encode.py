@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ UNSEEN = -1
 
 # One-hot output columns a single categorical column may create. Categories
 # become columns, so their list must reach the driver; beyond this the fit
-# stops with an error (use label or target encoding) instead of collecting an
-# unbounded list.
+# stops with an error (use the vector form, label or target encoding) instead of
+# collecting an unbounded list.
 MAX_ONE_HOT_CATEGORIES = 10_000
 
 
@@ -77,6 +78,50 @@ def fit_one_hot(df: DataFrame, cols) -> OneHotModel:
     return OneHotModel(_category_lists(df, cols))
 
 
+@dataclass
+class OneHotVectorModel:
+    """E1 as one sparse vector ``<col>_onehot`` a column: position ``i`` is the
+    sorted category ``i + 1`` (the first is dropped); a null or unseen value
+    gives all zeros. Any number of categories: they stay in ``mapping`` rows
+    ``(column, value, code)``, and only their number reaches the driver."""
+
+    mapping: DataFrame
+    widths: dict
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out, codes = df, [f"__code{i}" for i in range(len(self.widths))]
+        for (c, width), code in zip(self.widths.items(), codes, strict=True):
+            m = self.mapping.where(F.col("column") == c).select(
+                F.col("value").alias("__v"), (F.col("code") - 1).alias(code))
+            # The last code is the one that the encoder drops.
+            out = out.withColumn("__v", col(c).cast("string")).join(m, "__v", "left").withColumn(
+                code, F.when(F.col(code) >= 0, F.col(code)).otherwise(width - 1).cast("double")) \
+                .drop("__v")
+        sizes = df.sparkSession.range(1).select(
+            *[F.lit(float(w - 1)).alias(k) for w, k in zip(self.widths.values(), codes, strict=True)])
+        encoder = OneHotEncoder(inputCols=codes, outputCols=[f"{c}_onehot" for c in self.widths])
+        return encoder.fit(sizes).transform(out).select(
+            *[col(c) for c in df.columns], *[col(f"{c}_onehot") for c in self.widths])
+
+
+def fit_one_hot_vector(df: DataFrame, cols) -> OneHotVectorModel:
+    """Codes from a distributed row number over the distinct values; a column
+    needs two of them at least, as one category says nothing."""
+    cols = list(cols)
+    names = {f"c{i}": c for i, c in enumerate(cols)}
+    long = df.select(*[col(c).cast("string").alias(k) for k, c in names.items()]).unpivot(
+        [], list(names), "column", "value").where(F.col("value").isNotNull()).distinct()
+    named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    ranked = with_row_number(long.withColumn("column", named[F.col("column")]), ["value"],
+                             partition_by=["column"], name="__rn")
+    mapping = ranked.select("column", "value", (F.col("__rn") - 1).cast("int").alias("code")).cache()
+    found = {r["column"]: r["n"] for r in
+             mapping.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if few := [c for c in cols if found.get(c, 0) < 2]:
+        raise ValueError(f"columns with fewer than two categories: {few}")
+    return OneHotVectorModel(mapping, {c: found[c] for c in cols})
+
+
 @dataclass
 class LabelModel:
     """code = 0-based position of ``astype(str)`` value among the sorted

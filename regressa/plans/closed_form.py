@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from regressa.plans.oracle import LI, LI_KEY, LI_NULLS, _positive_zero, _R2, _sp
 from regressa.plans.queries import (LINEITEM_KEY, NET_PRICE, _rounded, lineitem_regression,
                                     lineitem_with_nulls)
 from regressa.session import ensure_checkpoint_dir
-from regressa.sources import files
+from regressa.sources import files, model_store
 from regressa.sources.tables import table
 
 FOLDS = 5
@@ -131,9 +132,8 @@ def _price_scorer(spark, sf):
     return li, pre, models.fit_model("linear", pre.transform(train), pre.feature_names)
 
 
-def q_score_with_nulls_lineitem(spark, sf):
-    """Gaps at scoring in a column that training had whole take the training median."""
-    li, pre, fit = _price_scorer(spark, sf)
+def _score_gaps(li: DataFrame, pre, fit) -> DataFrame:
+    """Scores of lineitem without the extended prices of quantity 50."""
     batch = li.withColumn("l_extendedprice",
                           F.expr("CASE WHEN l_quantity <> 50 THEN l_extendedprice END"))
     scored = score.score_validated(batch.select(*LINEITEM_KEY, "l_extendedprice"), pre, fit,
@@ -143,6 +143,20 @@ def q_score_with_nulls_lineitem(spark, sf):
     return _rounded(scored.predictions, {"predicted_net_price": 1})
 
 
+def q_score_with_nulls_lineitem(spark, sf):
+    """Gaps at scoring in a column that training had whole take the training median."""
+    return _score_gaps(*_price_scorer(spark, sf))
+
+
+def q_stored_model_lineitem(spark, sf):
+    """The same scores from the model as it was saved and loaded again."""
+    li, pre, fit = _price_scorer(spark, sf)
+    path = _new_folder(spark, "model")
+    model_store.save_model(path, spark, pre, fit)
+    pre, fit, _ = model_store.load_model(path, spark)
+    return _score_gaps(li, pre, fit)
+
+
 def _new_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -174,6 +188,16 @@ def q_label_unseen_orders(spark, sf):
         orders.select("o_orderkey", "o_orderstatus"))
 
 
+def q_onehot_vector_orders(spark, sf):
+    """E1 as vectors, shown as lists."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    cols = ["o_orderstatus", "o_orderpriority"]
+    made = encode.fit_one_hot_vector(orders, cols).transform(orders)
+    return made.select("o_orderkey", *[F.array_join(F.transform(
+        vector_to_array(f"{c}_onehot"), lambda x: x.cast("int").cast("string")), ",").alias(c)
+        for c in cols])
+
+
 def q_align_onehot_lineitem(spark, sf):
     """Dummies of a feed that lost a return flag, put into the columns of training."""
     expected = encode.fit_one_hot(table(spark, sf, "lineitem"),
@@ -203,9 +227,11 @@ QUERIES = {
     "family_ridge_search_lineitem": q_family_ridge_search_lineitem,
     "importance_ols_lineitem": q_importance_ols_lineitem,
     "score_with_nulls_lineitem": q_score_with_nulls_lineitem,
+    "stored_model_lineitem": q_stored_model_lineitem,
     "predictions_csv_lineitem": q_predictions_csv_lineitem,
     "csv_customer": q_csv_customer,
     "label_unseen_orders": q_label_unseen_orders,
+    "onehot_vector_orders": q_onehot_vector_orders,
     "align_onehot_lineitem": q_align_onehot_lineitem,
     "preprocessing_log_lineitem": q_preprocessing_log_lineitem,
 }
@@ -267,6 +293,10 @@ _PRICE_FIT = (f"WITH s AS {_split_cte(LI)}, fit AS (SELECT regr_slope(net_price,
               "AS b, regr_intercept(net_price, l_extendedprice) AS a, median(l_extendedprice) AS mid "
               "FROM s WHERE NOT is_test) ")
 
+_SCORED_GAPS = (
+    _PRICE_FIT + f"SELECT {LI_KEY}, round(a + b * CASE WHEN l_quantity <> 50 THEN l_extendedprice "
+    "ELSE mid END, 1) AS predicted_net_price, CAST(0.8 AS DOUBLE) AS confidence FROM s, fit")
+
 ORACLE = {name: _positive_zero(sql) for name, sql in {
     "family_coefficients_lineitem": (
         _FAMILY + "SELECT \"Model\", round(b, 2) AS slope, round(my - b * mx, 2) AS intercept "
@@ -309,9 +339,8 @@ ORACLE = {name: _positive_zero(sql) for name, sql in {
         "AS importance, 'Coefficient Magnitude' AS method FROM k UNION ALL "
         "SELECT 'tax', round(abs((pp * ty - pt * py) / (pp * tt - pt * pt)) * sqrt(tt), 2), "
         "'Coefficient Magnitude' FROM k"),
-    "score_with_nulls_lineitem": (
-        _PRICE_FIT + f"SELECT {LI_KEY}, round(a + b * CASE WHEN l_quantity <> 50 THEN l_extendedprice "
-        "ELSE mid END, 1) AS predicted_net_price, CAST(0.8 AS DOUBLE) AS confidence FROM s, fit"),
+    "score_with_nulls_lineitem": _SCORED_GAPS,
+    "stored_model_lineitem": _SCORED_GAPS,
     "predictions_csv_lineitem": (
         _PRICE_FIT + f"SELECT {LI_KEY}, round(a + b * l_extendedprice, 1) AS predicted_net_price "
         "FROM s, fit"),
@@ -321,6 +350,16 @@ ORACLE = {name: _positive_zero(sql) for name, sql in {
         "AS INTEGER) AS code FROM (SELECT DISTINCT o_orderstatus FROM orders "
         "WHERE o_orderstatus <> 'P')) SELECT o_orderkey, coalesce(code, -1) AS o_orderstatus "
         "FROM orders LEFT JOIN codes ON o_orderstatus = v"),
+    "onehot_vector_orders": (
+        "WITH " + ", ".join(
+            f"{k} AS (SELECT v, row_number() OVER (ORDER BY v) - 2 AS p, count(*) OVER () - 1 AS w "
+            f"FROM (SELECT DISTINCT {c} AS v FROM orders))"
+            for k, c in (("a", "o_orderstatus"), ("b", "o_orderpriority")))
+        + " SELECT o_orderkey, " + ", ".join(
+            f"list_aggregate(list_transform(range({k}.w), lambda i: CAST(CAST(i = {k}.p AS INTEGER) "
+            f"AS VARCHAR)), 'string_agg', ',') AS {c}"
+            for k, c in (("a", "o_orderstatus"), ("b", "o_orderpriority")))
+        + " FROM orders JOIN a ON o_orderstatus = a.v JOIN b ON o_orderpriority = b.v"),
     "align_onehot_lineitem": (
         f"SELECT {LI_KEY}, CAST(l_returnflag = 'N' AS INTEGER) AS l_returnflag_N, "
         "0 AS l_returnflag_R, CAST(l_linestatus = 'O' AS INTEGER) AS l_linestatus_O FROM lineitem"),

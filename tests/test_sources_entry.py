@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from regressa.plans.closed_form import QUERIES as CLOSED_FORM
 from regressa.sources import files, synthetic
 from tests.conftest import SF0001
 
@@ -42,7 +43,7 @@ def test_entry_runs(spark):
 
 ORACLE_SAMPLE = ["validate_lineitem", "describe_lineitem", "impute_lineitem", "ffill_events",
                  "split_lineitem", "folds_lineitem", "onehot_lineitem", "ols_metrics_lineitem",
-                 "qq_points_lineitem", "ks_drift_events", "degradation_lineitem"]
+                 "qq_points_lineitem", "ks_drift_events", "degradation_lineitem", *CLOSED_FORM]
 
 
 @pytest.mark.parametrize("name", ORACLE_SAMPLE)
