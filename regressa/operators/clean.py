@@ -226,14 +226,15 @@ def drop_duplicates(df: DataFrame, subset=None, order_by=None) -> DataFrame:
     """Keep the first row of each duplicate group.
 
     Whole-row duplicates: ``dropDuplicates()`` (hash aggregate, combined
-    map-side). With ``subset`` and ``order_by``, the first row per subset is
-    chosen with ``min_by`` in a partial aggregation, so a hot key never sorts
-    its rows in one task."""
+    map-side). With ``subset``, the first row by ``order_by`` (else by the other
+    columns, so that reruns agree) is chosen with ``min_by`` in a partial
+    aggregation, so a hot key never sorts its rows in one task."""
     if subset is None:
         return df.dropDuplicates()
-    if order_by is None:
-        return df.dropDuplicates(list(subset))
     rest = [c for c in df.columns if c not in subset]
+    if not rest:
+        return df.dropDuplicates(list(subset))
+    order_by = order_by or rest
     ordkey = F.struct(*[F.col(c) for c in order_by])
     agg = df.groupBy(*subset).agg(
         F.min_by(F.struct(*[F.col(c) for c in rest]), ordkey).alias("__r"))

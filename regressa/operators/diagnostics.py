@@ -179,11 +179,11 @@ def performance_breakdown(pred: DataFrame, y: str = "y", p: str = "prediction")
     quantiles (the lowest bin includes the minimum); count, r2, rmse, mae per
     bin. Duplicate edges raise, as ``qcut`` does."""
     edges = {r["prob"]: r["value"] for r in
-             exact_quantiles(pred, [p], [0.25, 0.5, 0.75]).collect()}
+             exact_quantiles(pred, [p], [0.0, 0.25, 0.5, 0.75, 1.0]).collect()}
     q1, q2, q3 = edges.get(0.25), edges.get(0.5), edges.get(0.75)
     if q1 is None:
         raise ValueError("no predictions to bin")
-    if len({q1, q2, q3}) < 3:
+    if len({edges[0.0], q1, q2, q3, edges[1.0]}) < 5:
         raise ValueError("bin edges must be unique (duplicate quantiles)")
     pc = F.col(p)
     label = (F.when(pc <= q1, BIN_LABELS[0]).when(pc <= q2, BIN_LABELS[1])

@@ -42,7 +42,8 @@ def _preprocessor_state(pre: models.Preprocessor) -> tuple[dict, object]:
     state = {
         "target": pre.target, "input_features": pre.input_features,
         "fill": None if pre.fill is None else {"values": pre.fill.values, "steps": pre.fill.steps,
-                                               "widen": pre.fill.widen_integral},
+                                               "widen": pre.fill.widen_integral,
+                                               "spare": pre.fill.spare},
         "drop_nulls": pre.drop_nulls, "feature_names": pre.feature_names, "steps": pre.steps,
         "scaler": None if pre.scaler is None else pre.scaler.stats,
         "target_mean": pre.target_mean, "target_std": pre.target_std,
@@ -76,7 +77,8 @@ def save_model(path: str, spark: SparkSession, pre: models.Preprocessor, fitted:
         _json_row(spark, {"kind": "svr", "feature_names": m.feature_names, "kernel": m.kernel,
                           "omega": None if m.omega is None else m.omega.tolist(),
                           "phase": None if m.phase is None else m.phase.tolist(),
-                          "coef": m.coef.tolist(), "intercept": m.intercept}, f"{path}/model")
+                          "coef": m.coef.tolist(), "intercept": m.intercept,
+                          "converged": m.converged}, f"{path}/model")
         model_class = "SvrModel"
     else:
         m.write().overwrite().save(f"{path}/model")
@@ -113,7 +115,8 @@ def load_model(path: str, spark: SparkSession):
                                  e["global_mean"], e["smoothing"], e["broadcastable"])
     fill = None
     if st.get("fill"):
-        fill = clean.FillModel(st["fill"]["values"], st["fill"]["steps"], st["fill"]["widen"])
+        fill = clean.FillModel(st["fill"]["values"], st["fill"]["steps"], st["fill"]["widen"],
+                               st["fill"].get("spare", {}))
     scaler = None
     if st.get("scaler"):
         scaler = encode.ScalerModel({k: tuple(v) for k, v in st["scaler"].items()})
@@ -125,7 +128,7 @@ def load_model(path: str, spark: SparkSession):
         m = models.SvrModel(s["feature_names"], s["kernel"],
                             None if s["omega"] is None else np.array(s["omega"]),
                             None if s["phase"] is None else np.array(s["phase"]),
-                            np.array(s["coef"]), s["intercept"])
+                            np.array(s["coef"]), s["intercept"], s.get("converged", False))
     else:
         m = _LOADERS[meta["model_class"]].load(f"{path}/model")
     return pre, models.FittedModel(meta["model_type"], meta["feature_names"], m,

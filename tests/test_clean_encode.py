@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from regressa.operators import clean, encode
@@ -137,3 +138,26 @@ def test_split_does_not_depend_on_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert utc == la
+
+
+def test_one_hot_vector_takes_any_number_of_categories(spark):
+    rows = spark.range(20_000).selectExpr("id", "format_string('v%05d', id) AS `city.name`",
+                                          "IF(id % 2 = 0, 'a', 'b') AS half")
+    model = encode.fit_one_hot_vector(rows, ["city.name", "half"])
+    assert model.widths == {"city.name": 20_000, "half": 2}
+    batch = spark.createDataFrame([(0, "v00000", "a"), (1, "v00001", "b"), (2, "v19999", None),
+                                   (3, "unseen", "b"), (4, None, "a")], "id long, `city.name` string, "
+                                                                        "half string")
+    got = {r.id: r for r in model.transform(batch).collect()}
+    assert {len(r["city.name_onehot"]) for r in got.values()} == {19_999}
+    assert [got[i]["city.name_onehot"].indices.tolist() for i in range(5)] == [[], [0], [19_998], [], []]
+    assert [got[i].half_onehot.indices.tolist() for i in range(5)] == [[], [0], [], [0], []]
+    with pytest.raises(ValueError):
+        encode.fit_one_hot_vector(rows.where("half = 'a'"), ["half"])
+
+
+def test_subset_duplicates_without_an_order_keep_the_smallest_rest(spark):
+    df = spark.createDataFrame([(1, "b", 2), (1, "a", 9), (2, None, 1), (1, "a", 3)],
+                               "k int, v string, n int").repartition(3)
+    assert sorted(map(tuple, clean.drop_duplicates(df, ["k"]).collect())) == [(1, "a", 3), (2, None, 1)]
+    assert clean.drop_duplicates(df.select("k"), ["k"]).count() == 2

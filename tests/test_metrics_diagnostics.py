@@ -3,6 +3,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from regressa import messages as M
@@ -127,3 +128,11 @@ def test_breakdown_rejects_duplicate_edges(spark):
         diagnostics.performance_breakdown(df)
     # constant predictions still give residual statistics and a one-bin histogram
     assert chartdata.prediction_range(df).first()["min"] == 5.0
+
+
+@pytest.mark.parametrize("predictions", [[1.0, 1, 1, 2, 3, 4], [1.0, 2, 3, 4, 4, 4], [2.0] * 5])
+def test_bins_with_equal_edges_are_an_error(spark, predictions):
+    df = spark.createDataFrame([(float(i), float(p)) for i, p in enumerate(predictions)],
+                               "y double, prediction double")
+    with pytest.raises(ValueError):
+        diagnostics.performance_breakdown(df)
