@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from regressa.llm.common import quoted
 
-OPEN, CLOSE, ASSISTANT = "<|im_start|>", "<|im_end|>", "assistant"
+OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+SYSTEM, USER, ASSISTANT = "system", "user", "assistant"
 
 
 def conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
@@ -32,27 +33,60 @@ def conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
                                                               x.text.alias("text"))).alias("turns"))
 
 
-def preference_pairs(convs: DataFrame) -> DataFrame:
-    """One pair for each conversation: ``(conv_id, chosen_id, kind, chosen, rejected)``.
+def prefix_nodes(convs: DataFrame) -> DataFrame:
+    """``(conv_id, rank, depth, node)``: a row for each prefix of a conversation that holds its
+    request, ``node`` being its chained hash and ``depth`` its turns.
 
-    Conversations that open with the same turn answer the same request. The one with most turns,
-    then the smallest id, is chosen over each other one (kind ``sibling``): a star, whose size is
-    the number of conversations. A chosen conversation itself is paired with a copy whose last
-    assistant turn repeats the assistant turn before it, or is empty if there is none (kind
-    ``stale``); without an assistant turn the copy is equal.
+    The request ends with the first user turn; without one, with the first turn that is not the
+    system's, or the last turn.
     """
-    convs = convs.withColumn("opening", F.xxhash64(F.col("turns")[0])) \
-        .withColumn("first", F.col("turns")[0])
+    def step(acc: Column, x: Column) -> Column:
+        # The length keeps role and text apart; the hash before has a fixed length.
+        node = F.sha2(F.concat(acc["node"], F.length(x.role).cast("string"), F.lit(":"), x.role,
+                               x.text), 256)
+        return F.struct(node.alias("node"), F.array_append(acc["nodes"], node).alias("nodes"))
+
+    start = F.struct(F.lit("").alias("node"), F.array().cast("array<string>").alias("nodes"))
+    nodes = F.aggregate("turns", start, step, lambda acc: acc["nodes"])
+    user, other = (F.array_position(F.transform("turns", f), True) for f in (
+        lambda x: x.role == USER, lambda x: x.role != SYSTEM))
+    request = F.when(user > 0, user).when(other > 0, other).otherwise(F.size("turns")).cast("int")
     rank = F.struct((-F.size("turns")).alias("n"), F.col("conv_id").isNull().alias("unnamed"),
                     F.col("conv_id"))
-    # Only ids meet in the group; the turns of the chosen ones follow by id.
-    best = convs.groupBy("opening", "first").agg(F.min(rank).alias("best")).select(
-        F.col("opening").alias("o"), F.col("first").alias("f"),
-        F.col("best.conv_id").alias("chosen_id")).alias("b")
-    best = best.join(convs.alias("c"), F.col("b.chosen_id").eqNullSafe(F.col("c.conv_id"))) \
-        .select("o", "f", "chosen_id", F.col("turns").alias("chosen"))
-    paired = convs.join(best, (F.col("opening") == F.col("o")) & F.col("first").eqNullSafe(F.col("f")))
-    own = F.col("conv_id").eqNullSafe(F.col("chosen_id"))
+    return convs.select("conv_id", rank.alias("rank"), request.alias("request"), nodes.alias("nodes")) \
+        .select("conv_id", "rank", "request", F.posexplode(F.slice(
+            "nodes", F.greatest(F.lit(1), "request"), F.size("nodes"))).alias("i", "node")) \
+        .select("conv_id", "rank", (F.col("request") + F.col("i")).alias("depth"), "node")
+
+
+def preference_pairs(convs: DataFrame) -> DataFrame:
+    """One pair for each conversation: ``(conv_id, chosen_id, kind, chosen, rejected)``.
+
+    Conversations with one request (see ``prefix_nodes``) are a tree of shared prefixes. In each
+    node, the one with most turns, then the smallest id, is chosen over each other one (kind
+    ``sibling``): a star, and a conversation is in that of the deepest node where another one is
+    chosen, so that it meets a sibling of its longest shared prefix, or is chosen over it. The
+    conversation chosen for the request itself is paired with a copy whose last assistant turn
+    repeats the assistant turn before it, or is empty if there is none (kind ``stale``); without
+    an assistant turn the copy is equal.
+    """
+    nodes = prefix_nodes(convs)
+    # Only ids meet in the nodes; the turns of the chosen ones follow by id.
+    best = nodes.groupBy("node").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")) \
+        .where(F.col("n") > 1).select("node", F.col("best.conv_id").alias("best"))
+    links = nodes.join(best, "node").where(~F.col("best").eqNullSafe(F.col("conv_id"))) \
+        .groupBy(F.col("conv_id").alias("linked")).agg(
+            F.max(F.struct("depth", "best")).alias("link"))
+    reps = links.select(F.col("link.best").alias("rep")).distinct() \
+        .join(convs.select(F.col("conv_id").alias("r"), F.col("turns").alias("rep_turns")),
+              F.col("rep").eqNullSafe(F.col("r"))).select("rep", "rep_turns")
+    # Chosen conversations keep their own id as key, so that they do not meet in one.
+    paired = convs.join(links, F.col("conv_id").eqNullSafe(F.col("linked")), "left").select(
+        "conv_id", "turns", F.col("link").isNull().alias("own"),
+        F.when(F.col("link").isNull(), F.col("conv_id")).otherwise(F.col("link.best")).alias("chosen_id"))
+    paired = paired.join(reps, F.col("chosen_id").eqNullSafe(F.col("rep")), "left").withColumn(
+        "chosen", F.when(F.col("own"), F.col("turns")).otherwise(F.col("rep_turns")))
+    own = F.col("own")
     # Positions of assistant turns; the last one takes the text of the one before.
     spoken = F.filter(F.sequence(F.lit(1), F.size("turns")),
                       lambda i: F.element_at("turns", i).role == ASSISTANT)

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -70,3 +72,52 @@ def test_edge_cases_match_oracle(spark, tmp_path):
     compare(QUERIES[NAME](spark, str(tmp_path)),
             duckdb.sql(f"FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')").to_arrow_table())
     assert format_preferences(preference_pairs(conversations(table(spark).limit(0)))).count() == 0
+
+
+def test_siblings_meet_at_their_longest_shared_prefix(spark):
+    def conv(i, *texts):
+        return [(i, k, role, text) for k, (role, text) in enumerate(zip(
+            ("system", "user", "assistant", "user", "assistant", "user", "assistant"), texts))]
+
+    convs = {1: ("s", "q", "a", "u1", "x"), 2: ("s", "q", "a", "u1", "y"), 3: ("s", "q", "b"),
+             4: ("s", "other", "c", "u", "d", "v", "e"), 5: ("s", "q", "a", "u2", "z", "w", "t"),
+             6: ("s", "lone", "c"), 7: ("s", "q", "a", "u1", "x"), 8: ("s",)}
+    rows = [r for i, texts in convs.items() for r in conv(i, *texts)]
+    pairs = preference_pairs(conversations(spark.createDataFrame(
+        rows, "conv_id long, turn long, role string, text string")))
+    got = {r.conv_id: (r.chosen_id, r.kind) for r in pairs.collect()}
+    # The longest conversation of the system turn, 4, answers another request and is no partner.
+    assert got == {1: (5, "sibling"), 2: (1, "sibling"), 3: (5, "sibling"), 4: (4, "stale"),
+                   5: (5, "stale"), 6: (6, "stale"), 7: (1, "sibling"), 8: (8, "stale")}
+    common = {r.conv_id: r.common_turns for r in format_preferences(pairs).collect()}
+    assert (common[1], common[2], common[3], common[7]) == (3, 4, 2, 5)
+
+
+def test_pairs_match_brute_force(spark):
+    rng = random.Random(3)
+    convs = {}
+    for i in range(120):
+        roles = ["system"] * rng.randint(0, 2) + ["user", "assistant"] * rng.randint(0, 3)
+        convs[i] = [(r, rng.choice("ab")) for r in roles] or [("assistant", "a")]
+
+    def share(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    def request(c):
+        roles = [r for r, _ in c]
+        return 1 + (roles.index("user") if "user" in roles else
+                    next((k for k, r in enumerate(roles) if r != "system"), len(roles) - 1))
+
+    want = {}
+    for i, c in convs.items():
+        want[i] = i
+        for depth in range(len(c), request(c) - 1, -1):
+            group = [j for j, d in convs.items() if share(c, d) >= depth and request(d) <= depth]
+            if (first := min(group, key=lambda j: (-len(convs[j]), j))) != i:
+                want[i] = first
+                break
+    made = preference_pairs(spark.createDataFrame(
+        list(convs.items()), "conv_id long, turns array<struct<role:string,text:string>>")).collect()
+    assert len(made) == len(convs) and {r.conv_id: r.chosen_id for r in made} == want
+    assert all([tuple(t) for t in r.chosen] == convs[r.chosen_id] for r in made)
+    assert {r.conv_id for r in made if r.kind == "stale"} == {i for i, j in want.items() if i == j}
