@@ -611,7 +611,7 @@ def q_feature_importance_lineitem(spark, sf):
 
     prepared, pre, params = lineitem_prepared(spark, sf)
     fit = models.fit_model("random_forest", prepared.where(~F.col("is_test")), pre.feature_names,
-                           {"max_depth": 10}, params.random_state)
+                           seed=params.random_state)
     imp, method = fit.importances()
     fi = diagnostics.feature_importance(spark, pre.feature_names, imp, method)
     return round_doubles(diagnostics.top_features(fi, 20))
@@ -681,7 +681,7 @@ def flagship(spark, sf):
 QUERIES.update({
     "model_comparison_lineitem": q_model_comparison_lineitem,
     "cv_summary_lineitem": q_cv_summary_lineitem,
-    "random_forest_lineitem": _single_model("random_forest", {"max_depth": 10}),
+    "random_forest_lineitem": _single_model("random_forest"),
     "gradient_boosting_lineitem": _single_model("gradient_boosting"),
     "svr_lineitem": _single_model("svr"),
     "feature_importance_lineitem": q_feature_importance_lineitem,

@@ -1,6 +1,7 @@
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from regressa.config import RegressionParams
@@ -112,3 +113,23 @@ def test_prepare_with_each_encoding_and_drop(spark):
     params = RegressionParams(handle_missing="drop", cv_folds=3)
     prepared, pre, _, steps = workflow.prepare(df, "target", params, ["id"])
     assert prepared.count() == 300 - 18 and steps[0] == "Dropped rows with missing values"
+
+
+def test_registered_forests_fit_the_default_depth(spark, monkeypatch):
+    from regressa.plans.queries import QUERIES
+
+    class Fitted(Exception):
+        pass
+
+    depths = []
+
+    def built(name, hp, moments, *args, **kwargs):
+        depths.append(estimator(name, hp, moments, *args, **kwargs).getMaxDepth())
+        raise Fitted
+
+    estimator = models.build_estimator
+    monkeypatch.setattr(models, "build_estimator", built)
+    for name in ("random_forest_lineitem", "feature_importance_lineitem"):
+        with pytest.raises(Fitted):
+            QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert depths == [models.DEFAULT_FOREST_DEPTH] * 2
