@@ -583,6 +583,45 @@ ORACLE.update({
 })
 
 
+def _chi2_sf_sql(x: str, dof: str) -> str:
+    """Chi-square survival function for any degrees of freedom: one less the series of the lower
+    incomplete gamma function, whose terms vanish well beyond ``x / 2``."""
+    return (f"(CASE WHEN isinf({x}) THEN 0.0 WHEN {x} <= 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum("
+            f"list_transform(range(0, CAST({x} AS BIGINT) + 1000), lambda i: exp(-({x}) / 2 + "
+            f"({dof} / 2.0 + i) * ln({x} / 2) - lgamma({dof} / 2.0 + i + 1))))) END)")
+
+
+def _ks_all_sql(shift: float) -> str:
+    return _ks_sql(shift).replace(
+        "), c AS (", " UNION ALL SELECT 'event_id', event_id::DOUBLE, is_ref FROM ev), c AS (", 1)
+
+
+def _chisq_of(column: str) -> str:
+    return _CHISQ.replace("'event_type'", "'@'").replace("event_type", f"{column}::VARCHAR") \
+        .replace("'@'", f"'{column}'")
+
+
+_DRIFT_ALL = (
+    "SELECT feature, test, statistic, p_value, drifted FROM (" + _ks_all_sql(1.5) + ") UNION ALL "
+    "SELECT feature, test, statistic, round(p, 6), p < 0.05 FROM (SELECT *, " +
+    _chi2_sf_sql("statistic", "dof") + " AS p FROM (" +
+    " UNION ALL ".join(f"({_chisq_of(c)})" for c in ("ts", "event_type", "props")) + "))")
+
+#: All common columns of events: three numbers and, of the others, the time, type and properties.
+ORACLE.update({
+    "ks_drift_events_all": _ks_all_sql(1.0),
+    "ks_drift_events_shifted_all": _ks_all_sql(1.5),
+    "mean_shift_events_all": _MEANSHIFT.replace(
+        "FROM ev) SELECT feature", "FROM ev UNION ALL SELECT 'event_id', avg(event_id) FILTER "
+        "(WHERE NOT is_ref), avg(event_id) FILTER (WHERE is_ref), stddev_samp(event_id) FILTER "
+        "(WHERE is_ref) FROM ev) SELECT feature"),
+    "drift_report_events_all": _DRIFT_ALL,
+    "drift_summary_events_all": (
+        "SELECT coalesce(bool_or(drifted), false) AS drift_detected, coalesce(string_agg(feature, ',' "
+        f"ORDER BY feature) FILTER (drifted), '') AS drift_features FROM ({_DRIFT_ALL})"),
+})
+
+
 def _positive_zero(sql: str) -> str:
     """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB's round can
     return -0.0 where Spark's returns 0.0, and a value hash tells them apart."""

@@ -453,6 +453,23 @@ def q_mean_shift_events(spark, sf):
                           "drift_magnitude": 6})
 
 
+def _whole_drift(fn, shift, digits):
+    """``fn`` of both halves whole: the columns' roles choose the tests."""
+    def q(spark, sf):
+        from regressa.operators import drift
+
+        return _rounded(getattr(drift, fn)(*events_halves(spark, sf, shift)), digits)
+    return q
+
+
+def q_drift_summary_events_all(spark, sf):
+    """D3 roll-up over all common columns."""
+    from regressa.operators import drift
+
+    out = drift.drift_summary(drift.detect_drift(*events_halves(spark, sf, 1.5)))
+    return out.withColumn("drift_features", F.array_join("drift_features", ","))
+
+
 def _ols_current_vs_baseline(spark, sf):
     """Baseline: test metrics of the OLS model; current: the same rows with
     a feed that reports extended price 10% high (input drift)."""
@@ -540,6 +557,12 @@ QUERIES.update({
     "prediction_range_lineitem": q_prediction_range_lineitem,
     "ks_drift_events": _ks(1.0),
     "ks_drift_events_shifted": _ks(1.5),
+    "ks_drift_events_all": _whole_drift("ks_drift", 1.0, {"statistic": 6, "p_value": 6}),
+    "ks_drift_events_shifted_all": _whole_drift("ks_drift", 1.5, {"statistic": 6, "p_value": 6}),
+    "mean_shift_events_all": _whole_drift("mean_shift_drift", 1.5, {
+        "recent_mean": 6, "reference_mean": 6, "reference_std": 6, "drift_magnitude": 6}),
+    "drift_report_events_all": _whole_drift("detect_drift", 1.5, {"statistic": 6, "p_value": 6}),
+    "drift_summary_events_all": q_drift_summary_events_all,
     "chisq_events": q_chisq_events,
     "drift_report_events": q_drift_report_events,
     "drift_summary_events": q_drift_summary_events,

@@ -1,7 +1,9 @@
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from regressa.operators import drift
@@ -81,3 +83,25 @@ def test_chi_square_with_empty_reference_side(spark):
     new = spark.createDataFrame([("a",)] * 3, "c string")
     r = drift.chi_square_drift(ref, new).first()
     assert r["statistic"] == float("inf") and r["drifted"]
+
+
+@pytest.mark.parametrize("name,features", [
+    ("ks_drift_events_all", {"event_id", "user_id", "value"}),
+    ("ks_drift_events_shifted_all", {"event_id", "user_id", "value"}),
+    ("mean_shift_events_all", {"event_id", "user_id", "value"}),
+    ("drift_report_events_all", {"event_id", "user_id", "value", "ts", "event_type", "props"}),
+    ("drift_summary_events_all", None)])
+def test_all_common_columns_of_events_match_oracle(spark, name, features):
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM read_parquet('/root/testdata/sf0.01/events.parquet')")
+    exp = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in exp.description]
+    exp = sorted(exp.fetchall(), key=str)
+    got = sorted(map(tuple, entry.queries()[name](spark, "/root/testdata/sf0.01").select(names).collect()),
+                 key=str)
+    assert features is None or {r[0] for r in got} == features
+    assert len(got) == len(exp)
+    for g, e in zip(got, exp):
+        assert [pytest.approx(x, abs=2e-6) if isinstance(x, float) else x for x in e] == list(g)
