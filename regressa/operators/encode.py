@@ -10,7 +10,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +36,10 @@ UNSEEN = -1
 MAX_ONE_HOT_CATEGORIES = 10_000
 
 
-def _category_lists(df: DataFrame, cols) -> dict[str, list[str]]:
+def _category_lists(df: DataFrame, cols, wide: list | None = None) -> dict[str, list[str]]:
     """Sorted distinct non-null values per column (distributed distinct),
-    after checking their number against ``MAX_ONE_HOT_CATEGORIES``."""
+    after checking their number against ``MAX_ONE_HOT_CATEGORIES``: columns
+    beyond it go to ``wide``, or are an error without such a list."""
     if not cols:
         return {}
     names = {f"c{i}": c for i, c in enumerate(cols)}
@@ -46,7 +48,11 @@ def _category_lists(df: DataFrame, cols) -> dict[str, list[str]]:
     sizes = {r["column"]: r["k"] for r in
              long.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
     big = {names[c]: k for c, k in sizes.items() if k > MAX_ONE_HOT_CATEGORIES}
-    if big:
+    if big and wide is not None:
+        wide.extend(c for c in cols if c in big)
+        long = long.where(~F.col("column").isin([k for k, c in names.items() if c in big]))
+        cols = [c for c in cols if c not in big]
+    elif big:
         raise ValueError(f"too many categories for one-hot encoding: {big}; "
                          "use encode_categorical='label' or 'target'")
     out: dict[str, list[str]] = {c: [] for c in cols}
@@ -122,6 +128,38 @@ def fit_one_hot_vector(df: DataFrame, cols) -> OneHotVectorModel:
     return OneHotVectorModel(mapping, {c: found[c] for c in cols})
 
 
+@dataclass
+class MixedOneHotModel:
+    """E1 for columns of any size: 0/1 columns up to ``MAX_ONE_HOT_CATEGORIES``
+    categories (``narrow``), one sparse vector a column beyond (``wide``)."""
+
+    narrow: OneHotModel
+    wide: OneHotVectorModel
+
+    def output_columns(self) -> list[str]:
+        return self.narrow.output_columns() + self.vector_columns()
+
+    def vector_columns(self) -> list[str]:
+        return [f"{c}_onehot" for c in self.wide.widths]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        # A wide column that the batch lacks gives all zeros.
+        lacking = {c: F.lit(None).cast("string") for c in self.wide.widths if c not in df.columns}
+        return self.wide.transform(self.narrow.transform(df.withColumns(lacking)))
+
+    def names_of(self, column: str) -> list[str]:
+        """The categories behind the positions of a vector, as names."""
+        c = column.removesuffix("_onehot")
+        rows = self.wide.mapping.where((F.col("column") == c) & (F.col("code") > 0)).collect()
+        return [f"{c}_{r['value']}" for r in sorted(rows, key=lambda r: r["code"])]
+
+
+def fit_one_hot_any(df: DataFrame, cols) -> OneHotModel | MixedOneHotModel:
+    wide: list = []
+    narrow = OneHotModel(_category_lists(df, cols, wide))
+    return MixedOneHotModel(narrow, fit_one_hot_vector(df, wide)) if wide else narrow
+
+
 @dataclass
 class LabelModel:
     """code = 0-based position of ``astype(str)`` value among the sorted
@@ -221,6 +259,25 @@ def fit_scaler(df: DataFrame, cols) -> ScalerModel:
     return ScalerModel({c: (r[f"c{i}"]["m"], r[f"c{i}"]["s"]) for i, c in enumerate(cols)})
 
 
+def fit_vector_scales(df: DataFrame, cols) -> dict:
+    """E4 for vectors: ``1 / std`` (population) of each position, 1 for a constant one. They are
+    not centred and so stay sparse, which moves only a model's intercept."""
+    n, out = df.count(), {}
+    for c in cols:
+        std = StandardScaler(withMean=False, inputCol=c, outputCol="__scaled").fit(df).std.toArray()
+        pop = std * math.sqrt((n - 1) / n) if n > 1 else std * 0.0
+        out[c] = [1.0 / x if x > 0 else 1.0 for x in pop.tolist()]
+    return out
+
+
+def scale_vectors(df: DataFrame, scales: dict) -> DataFrame:
+    out = df
+    for c, values in scales.items():
+        out = ElementwiseProduct(scalingVec=Vectors.dense(values), inputCol=c, outputCol="__scaled") \
+            .transform(out).withColumn(c, F.col("__scaled")).drop("__scaled")
+    return out.select(*[col(c) for c in df.columns])
+
+
 def features_and_target(df: DataFrame, target: str, features=None):
     """E5: (features DataFrame, target column name)."""
     feats = list(features) if features else [c for c in df.columns if c != target]

@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +88,17 @@ class Preprocessor:
     steps: list = field(default_factory=list)
     target_mean: float | None = None
     target_std: float | None = None
+    vector_scales: dict = field(default_factory=dict)
+
+    def vector_columns(self) -> list[str]:
+        wide = isinstance(self.encoder, encode.MixedOneHotModel)
+        return self.encoder.vector_columns() if wide else []
+
+    def position_names(self) -> list[str]:
+        """A name for each position of the assembled features."""
+        vectors = self.vector_columns()
+        return [n for c in self.feature_names
+                for n in (self.encoder.names_of(c) if c in vectors else [c])]
 
     def transform(self, df: DataFrame, keep=()) -> DataFrame:
         """Features (numeric, in ``feature_names`` order), ``y`` when the target
@@ -103,14 +115,21 @@ class Preprocessor:
         if self.encoder is not None:
             base = self.encoder.transform(base)
         # Columns the batch lacks (unseen dummies) become 0.
-        out = base.select(*[col(c) for c in keep], *[col(c).cast("double").alias(c)
-                                                     if c in base.columns else F.lit(0.0).alias(c)
-                                                     for c in self.feature_names],
+        vectors = self.vector_columns()
+        out = base.select(*[col(c) for c in keep], *[
+            self._sized(c) if c in vectors else col(c).cast("double").alias(c)
+            if c in base.columns else F.lit(0.0).alias(c) for c in self.feature_names],
                           *([F.col(LABEL)] if has_y else []))
         if self.scaler is not None:
-            out = self.scaler.transform(out)
+            out = encode.scale_vectors(self.scaler.transform(out), self.vector_scales)
+            out = out.select(*[self._sized(c) if c in vectors else col(c) for c in out.columns])
         return out
 
+    def _sized(self, c: str):
+        # The size of a vector column, which the assembler asks for.
+        size = self.encoder.wide.widths[c.removesuffix("_onehot")] - 1
+        return col(c).alias(c, metadata={"ml_attr": {"num_attrs": size}})
+
 
 def fit_preprocessor(train: DataFrame, target: str, params: RegressionParams,
                      features=None, scale: bool | None = None) -> Preprocessor:
@@ -138,7 +157,7 @@ def fit_preprocessor(train: DataFrame, target: str, params: RegressionParams,
     encoder = None
     if cats:
         if params.encode_categorical in ("onehot", "one_hot_encoding"):
-            encoder = encode.fit_one_hot(data, cats)
+            encoder = encode.fit_one_hot_any(data, cats)
             steps.append(M.STEP_ONE_HOT.format(k=len(cats)))
         elif params.encode_categorical in ("label", "label_encoding"):
             encoder = encode.fit_label(data, cats)
@@ -147,7 +166,7 @@ def fit_preprocessor(train: DataFrame, target: str, params: RegressionParams,
             encoder = encode.fit_target(data, cats, target, params.target_smoothing)
             steps += [f"Target encoded '{c}'" for c in cats]
     numeric = numeric_columns(inputs)
-    if isinstance(encoder, encode.OneHotModel):
+    if isinstance(encoder, (encode.OneHotModel, encode.MixedOneHotModel)):
         names = [c for c in feats if c not in cats] + encoder.output_columns()
         names = [c for c in names if c in numeric or c in encoder.output_columns()]
     else:
@@ -156,7 +175,9 @@ def fit_preprocessor(train: DataFrame, target: str, params: RegressionParams,
     stats = data.agg(F.avg(target).alias("m"), F.stddev_pop(target).alias("s")).first()
     pre.target_mean, pre.target_std = stats["m"], stats["s"]
     if scale if scale is not None else params.scale_features:
-        pre.scaler = encode.fit_scaler(pre.transform(train), names)
+        ready, vectors = pre.transform(train), pre.vector_columns()
+        pre.scaler = encode.fit_scaler(ready, [c for c in names if c not in vectors])
+        pre.vector_scales = encode.fit_vector_scales(ready, vectors) if vectors else {}
     return pre
 
 
@@ -227,6 +248,8 @@ def fit_svr(train: DataFrame, feature_names, C: float = 1.0, epsilon: float = 0.
     subgradients are summed on the executors, and the driver receives
     ``n_components + 2`` numbers."""
     given = list(feature_names)
+    if wide := [c for c in given if isinstance(train.schema[c].dataType, VectorUDT)]:
+        raise ValueError(f"the SVR takes no vector columns: {wide}")
     p = len(given)
     names = [f"f{i}" for i in range(p)]
     data = train.select(*[col(c).alias(k) for c, k in zip(given, names)], LABEL) \
@@ -446,7 +469,9 @@ def fit_model(name: str, train: DataFrame, feature_names, hp: dict | None = None
     # Only the quadratic penalties are scaled by the label's deviation.
     moments = label_moments(train) if name in ("ridge", "elastic_net") else {"n": 1}
     est = build_estimator(name, hp, moments, seed,
-                          tree_memory_budget_mb(train.sparkSession), len(feature_names))
+                          tree_memory_budget_mb(train.sparkSession),
+                          data.schema[FEATURES].metadata.get("ml_attr", {}).get(
+                              "num_attrs", len(feature_names)))
     return FittedModel(name, list(feature_names), est.fit(data), hp)
 
 

@@ -52,6 +52,11 @@ def _preprocessor_state(pre: models.Preprocessor) -> tuple[dict, object]:
     mapping = None
     if isinstance(enc, encode.OneHotModel):
         state["encoder"] = {"kind": "onehot", "categories": enc.categories}
+    elif isinstance(enc, encode.MixedOneHotModel):
+        state["encoder"] = {"kind": "onehot_mixed", "categories": enc.narrow.categories,
+                            "widths": enc.wide.widths}
+        state["vector_scales"] = pre.vector_scales
+        mapping = enc.wide.mapping
     elif isinstance(enc, encode.LabelModel):
         state["encoder"] = {"kind": "label", "columns": enc.columns,
                             "broadcastable": enc.broadcastable}
@@ -107,6 +112,9 @@ def load_model(path: str, spark: SparkSession):
     e = st.get("encoder")
     if e and e["kind"] == "onehot":
         enc = encode.OneHotModel(e["categories"])
+    elif e and e["kind"] == "onehot_mixed":
+        enc = encode.MixedOneHotModel(encode.OneHotModel(e["categories"]), encode.OneHotVectorModel(
+            spark.read.parquet(f"{path}/mappings"), e["widths"]))
     elif e and e["kind"] == "label":
         enc = encode.LabelModel(spark.read.parquet(f"{path}/mappings"), e["columns"],
                                 e["broadcastable"])
@@ -122,7 +130,7 @@ def load_model(path: str, spark: SparkSession):
         scaler = encode.ScalerModel({k: tuple(v) for k, v in st["scaler"].items()})
     pre = models.Preprocessor(st["target"], st["input_features"], fill, st["drop_nulls"], enc,
                               scaler, st["feature_names"], st["steps"], st["target_mean"],
-                              st["target_std"])
+                              st["target_std"], st.get("vector_scales", {}))
     if meta["model_class"] == "SvrModel":
         s = _read_json_row(spark, f"{path}/model")
         m = models.SvrModel(s["feature_names"], s["kernel"],

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regressa.config import RegressionParams
-from regressa.operators import metrics, score
+from regressa.operators import encode, metrics, score
 from regressa.plans import models, tuning, workflow
 from regressa.sources import model_store, synthetic
 
@@ -133,3 +133,40 @@ def test_registered_forests_fit_the_default_depth(spark, monkeypatch):
         with pytest.raises(Fitted):
             QUERIES[name](spark, "/root/testdata/sf0.001")
     assert depths == [models.DEFAULT_FOREST_DEPTH] * 2
+
+
+def test_columns_beyond_the_one_hot_limit_are_fitted(spark, monkeypatch, tmp_path):
+    rows = [(i, f"c{i % 7}", "ab"[i % 2], float(i % 11), 3.0 * (i % 7) ** 2 + i % 2 + 0.5 * (i % 11))
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, city string, kind string, x double, t double")
+    batch = df.limit(20).unionByName(spark.createDataFrame(
+        [(900, "unseen", "a", 1.0, 0.0), (901, None, "b", 2.0, 0.0)], df.schema))
+    feats, params = ["city", "kind", "x"], RegressionParams()
+
+    def fitted(name):
+        pre = models.fit_preprocessor(df, "t", params, feats)
+        fit = models.fit_model(name, pre.transform(df, ["id"]), pre.feature_names,
+                               {"n_estimators": 5, "max_depth": 4} if name == "random_forest" else {})
+        return pre, fit
+
+    def scored(pre, fit):
+        return {r["id"]: r["prediction"] for r in fit.predict(pre.transform(batch, ["id"])).collect()}
+
+    names = ("linear", "ridge", "random_forest")
+    narrow = {n: fitted(n) for n in names}
+    want = {n: scored(*narrow[n]) for n in ("linear", "ridge")}
+    monkeypatch.setattr(encode, "MAX_ONE_HOT_CATEGORIES", 3)
+    for n in names:
+        pre, fit = fitted(n)
+        assert pre.vector_columns() == ["city_onehot"] and "kind_b" in pre.feature_names
+        got = scored(pre, fit)
+        assert len(got) == 22
+        if n in want:
+            assert got == pytest.approx(want[n], abs=1e-6)
+        imp = dict(zip(pre.position_names(), fit.importances()[0], strict=True))
+        assert set(imp) == set(narrow[n][0].feature_names)
+        model_store.save_model(f"{tmp_path}/{n}", spark, pre, fit)
+        again, model, _ = model_store.load_model(f"{tmp_path}/{n}", spark)
+        assert scored(again, model) == pytest.approx(got, abs=1e-9)
+    lacking = pre.transform(batch.drop("city"), ["id"])
+    assert {r["city_onehot"].numNonzeros() for r in lacking.collect()} == {0}
