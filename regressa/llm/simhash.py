@@ -75,10 +75,13 @@ def leading_bits(n: int, radius: int) -> int:
     return min(24, max(0, math.ceil(math.log2(max(1, made / VARIANTS)))))
 
 
-def collisions(fps: np.ndarray, lead: int, group: int, radius: int
+def collisions(fps: np.ndarray, lead: int, group: int, radius: int, odd: bool = False
                ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions in ``fps`` (unsigned) that are neighbours in the sorted list of variants whose
-    ``lead`` leading bits are ``group``. Halves the range of variants until they fit a task."""
+    ``lead`` leading bits are ``group``. Halves the range of variants until they fit a task.
+
+    ``odd``: for the distance ``2 * radius - 1``, a variant at the full radius meets only one that
+    is nearer; so all of a run are paired with its first nearer one, and without one with none."""
     used = popcount((fps >> np.uint64(64 - lead)) ^ np.uint64(group)) if lead else np.zeros(
         len(fps), np.uint8)
     near = np.flatnonzero(used <= radius)
@@ -89,17 +92,28 @@ def collisions(fps: np.ndarray, lead: int, group: int, radius: int
                for r, x in enumerate(by))
     if made > 2 * VARIANTS and lead < 48:
         for half in (0, 1):
-            for a, b in collisions(fps[near], lead + 1, 2 * group + half, radius):
+            for a, b in collisions(fps[near], lead + 1, 2 * group + half, radius, odd):
                 yield near[a], near[b]
         return
-    keys, who = [], []
+    keys, who, far = [], [], []
     tail = np.uint64((1 << (64 - lead)) - 1)
     for r, x in enumerate(by):
         if len(x):
             flips = np.array(masks(64 - lead, radius - r), np.uint64)
             keys.append(((fps[x] & tail)[:, None] ^ flips[None, :]).ravel())
             who.append(np.repeat(x, len(flips)))
+            if odd:
+                far.append(np.tile(popcount(flips) + r == radius, len(x)))
     keys, who = np.concatenate(keys), np.concatenate(who)
+    if odd:
+        far = np.concatenate(far)
+        order = np.lexsort((far, keys))
+        keys, who, far = keys[order], who[order], far[order]
+        starts = np.r_[True, keys[1:] != keys[:-1]]
+        first = np.maximum.accumulate(np.where(starts, np.arange(len(keys)), 0))
+        met = np.flatnonzero(~starts & ~far[first])
+        yield who[first[met]], who[met]
+        return
     order = np.argsort(keys)
     keys, who = keys[order], who[order]
     same = np.flatnonzero(keys[1:] == keys[:-1])
@@ -120,7 +134,7 @@ def ball_links(nodes: DataFrame, distance: int) -> DataFrame:
     def link(key: tuple, table: pa.Table) -> pa.Table:
         fps = np.sort(table.column("fp").to_numpy()).view(np.uint64)
         heads = np.arange(len(fps))
-        for a, b in collisions(fps, lead, key[0].as_py(), radius):
+        for a, b in collisions(fps, lead, key[0].as_py(), radius, distance % 2 == 1):
             true = popcount(fps[a] ^ fps[b]) <= distance
             code = np.unique(np.minimum(a, b)[true] * len(fps) + np.maximum(a, b)[true])
             a, b = np.divmod(code, max(1, len(fps)))
@@ -140,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint zero and link like others; a null id never becomes a component id unless its
     component has no other; repeated rows give repeated, equal rows; an empty table gives none.
     Other input columns are ignored. ``distance`` is even in the method; an odd one rounds the
-    radius up and the distance check keeps the result exact.
+    radius up on one side of a pair only (see ``collisions``), which is exact too.
     """
     fps = keep(fingerprints(docs, id_col, text_col, shingle))
     nodes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))

@@ -120,3 +120,41 @@ def test_query_against_brute_force(spark):
     got = sorted((r.doc_id, r.fingerprint, r.component_id)
                  for r in op6_simhash_near_dedup(spark, SF0001).collect())
     assert got == want
+
+
+def test_odd_distances_are_exact():
+    def parts(fps, distance, lead):
+        """Components by ``collisions`` over all groups, and by brute force."""
+        arr, radius = np.array(sorted(fps), np.uint64), -(-distance // 2)
+        made, want = list(range(len(arr))), list(range(len(arr)))
+
+        def join(label, a, b):
+            old, new = label[a], label[b]
+            label[:] = [new if x == old else x for x in label]
+
+        for group in range(1 << lead):
+            for a, b in simhash.collisions(arr, lead, group, radius, True):
+                for x, y in zip(a.tolist(), b.tolist()):
+                    assert bin(int(arr[x]) ^ int(arr[y])).count("1") <= distance
+                    join(made, x, y)
+        for x in range(len(arr)):
+            for y in range(x):
+                if bin(int(arr[x]) ^ int(arr[y])).count("1") <= distance:
+                    join(want, x, y)
+        return [[made.index(k) for k in made], [want.index(k) for k in want]]
+
+    made, want = parts([1, 3, 4, 5, 46], 1, 0)
+    assert made == want and len(set(made)) == 2
+    rng = random.Random(5)
+    for distance, bits, n in ((1, 9, 60), (1, 12, 200), (3, 18, 60)):
+        for lead in (0, 2):
+            fps = {sum(1 << (7 * i % 64) for i in range(bits) if rng.random() < 0.5) for _ in range(n)}
+            made, want = parts(fps, distance, lead)
+            assert made == want
+
+
+def test_links_of_an_odd_distance(spark):
+    nodes = spark.createDataFrame([(x,) for x in (1, 3, 4, 5, 46)], "fp long")
+    links = {frozenset(r) for r in simhash.ball_links(nodes, 1).collect()}
+    assert set().union(*links) == {1, 3, 4, 5}
+    assert all(bin(a ^ b).count("1") <= 3 for a, b in links)
