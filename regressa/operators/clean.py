@@ -108,7 +108,7 @@ def medians(df: DataFrame, cols) -> dict:
 def means(df: DataFrame, cols) -> dict:
     if not cols:
         return {}
-    r = df.agg(*[F.avg(F.col(c)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    r = df.agg(*[F.avg(col(c)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
     return {c: r[f"c{i}"] for i, c in enumerate(cols)}
 
 
@@ -191,35 +191,38 @@ def fill_ordered(df: DataFrame, columns, order_by, partition_by=(), direction: s
     ``#partitions x #groups`` rows. A hot group simply spans several range
     partitions."""
     columns, order_by, partition_by = list(columns), list(order_by), list(partition_by)
+    # Backward is forward in the reversed order: the frame always ends at the current row and
+    # grows by one, so each range is filled in one pass.
     fwd = direction == "forward"
+    turn = F.asc_nulls_first if fwd else F.desc_nulls_last
+    groups, order = [col(c) for c in partition_by], [col(c) for c in order_by]
     b = range_buckets(df, num_buckets)
-    ranged = cut_lineage(df.repartitionByRange(b, *partition_by, *order_by)
+    ranged = cut_lineage(df.repartitionByRange(b, *groups, *order)
                          .withColumn("__pid", F.spark_partition_id()))
-    keys = ["__pid", *partition_by]
-    w = Window.partitionBy(*keys).orderBy(*order_by)
-    w = (w.rowsBetween(Window.unboundedPreceding, 0) if fwd
-         else w.rowsBetween(0, Window.unboundedFollowing))
-    ordkey = F.struct(*[F.col(c) for c in order_by])
+    w = Window.partitionBy("__pid", *groups).orderBy(*[turn(c) for c in order]) \
+        .rowsBetween(Window.unboundedPreceding, 0)
     edge = F.max_by if fwd else F.min_by
-    ends = ranged.groupBy(*keys).agg(*[
-        edge(F.col(c), F.when(F.col(c).isNotNull(), ordkey)).alias(f"__e_{i}")
+    ends = ranged.groupBy("__pid", *[g.alias(f"__g_{i}") for i, g in enumerate(groups)]).agg(*[
+        edge(col(c), F.when(col(c).isNotNull(), F.struct(*order))).alias(f"__e_{i}")
         for i, c in enumerate(columns)])
-    cw = (Window.partitionBy(*partition_by) if partition_by else Window).orderBy("__pid")
-    cw = (cw.rowsBetween(Window.unboundedPreceding, -1) if fwd
-          else cw.rowsBetween(1, Window.unboundedFollowing))
-    pick = F.last if fwd else F.first
-    carry = ends.select(*keys, *[pick(F.col(f"__e_{i}"), ignorenulls=True).over(cw)
-                                 .alias(f"__c_{i}") for i in range(len(columns))])
+    gnames = [f"__g_{i}" for i in range(len(groups))]
+    cw = (Window.partitionBy(*gnames) if gnames else Window).orderBy(turn(F.col("__pid"))) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(F.col("__pid").alias("__at"), *gnames, *[
+        F.last(F.col(f"__e_{i}"), ignorenulls=True).over(cw).alias(f"__c_{i}")
+        for i in range(len(columns))])
     if not partition_by:
         carry = F.broadcast(carry)  # one row per range partition
-    local_pick = F.last if fwd else F.first
-    filled = ranged.select(*ranged.columns, *[
-        local_pick(F.col(c), ignorenulls=True).over(w).alias(f"__l_{i}")
+    filled = ranged.select(*[col(c) for c in ranged.columns], *[
+        F.last(col(c), ignorenulls=True).over(w).alias(f"__l_{i}")
         for i, c in enumerate(columns)])
-    joined = filled.join(carry, keys, "inner")
-    out = [F.coalesce(F.col(f"__l_{columns.index(c)}"), F.col(f"__c_{columns.index(c)}")).alias(c)
-           if c in columns else F.col(c) for c in df.columns]
-    return joined.select(*out)
+    same = F.col("__pid") == F.col("__at")
+    for g, name in zip(groups, gnames, strict=True):
+        same = same & g.eqNullSafe(F.col(name))  # rows of a null group are a group, too
+    joined = filled.join(carry, same, "inner")
+    return joined.select(*[
+        F.coalesce(F.col(f"__l_{columns.index(c)}"), F.col(f"__c_{columns.index(c)}")).alias(c)
+        if c in columns else col(c) for c in df.columns])
 
 
 def drop_duplicates(df: DataFrame, subset=None, order_by=None) -> DataFrame:
@@ -234,16 +237,17 @@ def drop_duplicates(df: DataFrame, subset=None, order_by=None) -> DataFrame:
     rest = [c for c in df.columns if c not in subset]
     if not rest:
         return df.dropDuplicates(list(subset))
-    order_by = order_by or rest
-    ordkey = F.struct(*[F.col(c) for c in order_by])
-    agg = df.groupBy(*subset).agg(
-        F.min_by(F.struct(*[F.col(c) for c in rest]), ordkey).alias("__r"))
-    return agg.select(*subset, "__r.*").select(*df.columns)
+    ordkey = F.struct(*[col(c) for c in (order_by or rest)])
+    names = {c: f"__v{i}" for i, c in enumerate(df.columns)}
+    agg = df.groupBy(*[col(c).alias(names[c]) for c in subset]).agg(
+        F.min_by(F.struct(*[col(c).alias(names[c]) for c in rest]), ordkey).alias("__r"))
+    return agg.select(*[(F.col(names[c]) if c in subset else F.col(f"__r.{names[c]}")).alias(c)
+                        for c in df.columns])
 
 
 def fit_outlier_bounds(df: DataFrame, columns=None, k: float = 3.0) -> dict:
     cols = list(columns) if columns else numeric_columns(df)
-    r = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(f"c{i}")
+    r = df.agg(*[F.struct(F.avg(col(c)).alias("m"), F.stddev_samp(col(c)).alias("s")).alias(f"c{i}")
                  for i, c in enumerate(cols)]).first()
     return {c: (r[f"c{i}"]["m"], r[f"c{i}"]["s"], k) for i, c in enumerate(cols)}
 
@@ -255,7 +259,7 @@ def remove_outliers(df: DataFrame, bounds: dict) -> DataFrame:
     for c, (m, s, k) in bounds.items():
         if m is None or s is None:
             continue
-        cond = cond & (F.col(c).isNull() | (F.abs(F.col(c) - F.lit(m)) <= F.lit(k * s)))
+        cond = cond & (col(c).isNull() | (F.abs(col(c) - F.lit(m)) <= F.lit(k * s)))
     return df.where(cond)
 
 
