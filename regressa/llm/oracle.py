@@ -94,8 +94,34 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_b
 FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r) LEFT JOIN a USING (r)
 """
 
+#: Every document against every item's terms: an exhaustive search.
+_SEARCH = r"""
+WITH lowered AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+      FROM lowered),
+corpus AS (SELECT count(*) FILTER (len(ts) > 0) AS nd, sum(len(ts))::BIGINT AS l FROM d),
+i AS (SELECT item_id, text, unnest(regexp_extract_all(translate(text,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT item_id, text, term, count(*) AS times FROM i GROUP BY ALL),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2.0 * nd + 2) / (2 * count(*) + 1)))::BIGINT AS w
+      FROM p, corpus GROUP BY term, nd),
+s AS (SELECT item_id, text, p.r, sum(times * w * ((1000000000 * tf) //
+        (1000 * tf + 12 * (75 + (25 * len(ts) * nd) // l))))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term) JOIN d ON d.r = p.r, corpus GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id, text
+             ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank, doc_id, score
+           FROM s JOIN d USING (r) WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
 ORACLE: dict[str, str] = {
     "op1_preference_formatting": _PREFERENCES,
     "op5_license_scan": _LICENSES,
     "op9_exact_dedup": _EXACT,
+    "op13_lexical_search": _SEARCH,
 }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regressa.llm import (chat, embedding_dedup, exact_dedup, licenses, mixing, packing, quality,
-                          sharding, simhash, token_counts)
+from regressa.llm import (byte_bpe, chat, embedding_dedup, exact_dedup, lexical, licenses, mixing,
+                          packing, quality, sharding, simhash, token_counts, whitening)
 from regressa.llm.common import read
 
 
@@ -62,6 +62,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.report(read(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference_formatting": op1_preference_formatting,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -73,4 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_stratified_sharding": op8_stratified_sharding,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_lexical_search": op13_lexical_search,
 }
