@@ -10,15 +10,15 @@ logarithmic cost. Long pieces (a text without white space is one) therefore cost
 Pieces of up to ``TOGETHER`` bytes are merged together: their trees are rows of one array and every
 round makes one merge in each, with the same three point updates.
 
-Pieces repeat, so a worker keeps a bounded table of the ids of *segments* (white space, then
-printing characters). No match of the pattern goes from a printing character on to white space,
-so the matches inside a segment are those of the whole text.
+Pieces repeat, so a worker keeps a bounded table of the ids of *segments*. A segment starts where
+ASCII white space follows a character that is no white space; no match of the pattern crosses such a
+place, so the matches inside a segment are those of the whole text. The segments of many texts are
+cut, hashed and made unique as arrays; equal hashes are confirmed byte by byte.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,15 +28,21 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regressa.llm.common import quoted
+from regressa.llm.common import quoted, utf8
 
-#: Segments that a worker keeps, characters of the longest kept one, characters a step encodes.
-KEPT, LONGEST, STEP = 200_000, 64, 1 << 21
+#: Segments and ids that a worker keeps, bytes of the longest kept segment, bytes of a step.
+KEPT, KEPT_IDS, LONGEST, STEP = 400_000, 1 << 22, 64, 1 << 21
 #: Bytes of the longest piece merged together with others, and trees in one array.
 TOGETHER, TREES = 64, 1 << 15
 # The characters with Unicode's White_Space property.
-_W = "\t-\r \x85\xa0  -     　"
-_SEGMENT = re.compile(f"[{_W}]*[^{_W}]+|[{_W}]+")
+_W = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WIDE = {c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"} | {
+    chr(c).encode() for c in range(0x2000, 0x200b)}
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Odd multipliers of a byte's value and of its place in a segment.
+_VALUE, _PLACE = (np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2)
+                  + np.uint64(1) for seed in (1, 2))
 _NONE = 1 << 62
 
 
@@ -129,38 +135,83 @@ class Pairs:
         """Ids of pieces of 2 to ``2 ** bits`` bytes, one after the other, and their counts."""
         size, m = 1 << bits, len(pieces)
         n = np.fromiter(map(len, pieces), np.int64, m)
-        text = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(m, size)
+        text = np.frombuffer(b"".join([p.ljust(size, b"\0") for p in pieces]), np.uint8).reshape(m, size)
         place = np.arange(size)
         live = place < n[:, None]
         ids = self.single[text]
-        after, before = np.tile(place + 1, (m, 1)), np.tile(place - 1, (m, 1))
         tree = np.full((m, 2 * size), _NONE)
         pairs = self.leaf(ids[:, :-1], ids[:, 1:], place[:-1], bits)
         tree[:, size:-1] = np.where(live[:, 1:], pairs, _NONE)
         for low in (1 << b for b in reversed(range(bits))):
             tree[:, low:2 * low] = np.minimum(tree[:, 2 * low:4 * low:2], tree[:, 2 * low + 1:4 * low:2])
-        row = np.arange(m)
-        while len(row := row[tree[row, 1] != _NONE]):
-            top = tree[row, 1]
+        # Flat views: a tree's row starts at ``root``, a piece's bytes at ``first``.
+        after = np.tile(place + 1, m)
+        before = np.tile(place - 1, m)
+        live, ids, tree = live.ravel(), ids.ravel(), tree.ravel()
+        row = np.flatnonzero(tree[1::2 * size] != _NONE)
+        while len(row):
+            root, first = row * (2 * size), row * size
+            top = tree[root + 1]
             at = top & (size - 1)
-            gone = after[row, at]
-            end = after[row, gone]
-            ids[row, at], after[row, at], live[row, gone] = top >> bits, end, False
-            inner = end < n[row]
-            before[row[inner], end[inner]] = at[inner]
-            prior = before[row, at]
-            here, last = ids[row, at], np.minimum(end, size - 1)
-            tree[row, size + gone] = _NONE
-            tree[row, size + at] = np.where(inner, self.leaf(here, ids[row, last], at, bits), _NONE)
-            some = prior >= 0
-            left = prior[some]
-            tree[row[some], size + left] = self.leaf(ids[row[some], left], here[some], left, bits)
-            rows = np.concatenate([row, row, row[some]])
+            here = first + at
+            gone = after[here]
+            end = after[first + gone]
+            token = top >> bits
+            ids[here], after[here], live[first + gone] = token, end, False
+            inner = np.flatnonzero(end < n[row])
+            before[(first + end)[inner]] = at[inner]
+            mine = np.full(len(row), _NONE)
+            mine[inner] = self.leaf(token[inner], ids[(first + end)[inner]], at[inner], bits)
+            some = np.flatnonzero(at)
+            left = before[here[some]]
+            tree[root + size + gone] = _NONE
+            tree[root + size + at] = mine
+            tree[root[some] + size + left] = self.leaf(ids[first[some] + left], token[some], left, bits)
+            base = np.concatenate([root, root, root[some]])
             node = np.concatenate([gone, at, left]) + size
             for _ in range(bits):
                 node >>= 1
-                tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
-        return ids[live], live.sum(axis=1)
+                below = base + 2 * node
+                tree[base + node] = np.minimum(tree[below], tree[below + 1])
+            row = row[tree[root + 1] != _NONE]
+        return ids[live].astype(np.int32), np.add.reduceat(live, np.arange(0, len(live), size))
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs ``flat[start:start + size]``, one after the other."""
+    ends = np.cumsum(size)
+    if not len(ends):
+        return flat[:0]
+    return flat[np.repeat(start - ends + size, size) + np.arange(ends[-1])]
+
+
+def segments(data: bytes, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts and lengths of the segments of joined texts that begin at ``first``, the number of each
+    segment's kind, and one segment of each kind."""
+    text = np.frombuffer(data, np.uint8)
+    blank = _BLANK[text]
+    cuts = np.zeros(len(text), bool)
+    cuts[1:] = blank[1:] & ~blank[:-1]
+    # After a wide white space the run goes on: no cut. (Its last byte is no ASCII.)
+    for at in np.flatnonzero(cuts[1:] & (text[:-1] >= 0x80)).tolist():
+        if data[at - 1:at + 1] in _WIDE or data[at - 2:at + 1] in _WIDE:
+            cuts[at + 1] = False
+    cuts[first] = True
+    start = np.flatnonzero(cuts)
+    if not len(start):
+        return start, start, start, start
+    length = np.diff(np.append(start, len(text)))
+    inside = np.arange(len(text)) - np.repeat(start, length)
+    code = np.add.reduceat(_VALUE[text] * _PLACE[inside & 255], start) + length.astype(np.uint64)
+    _, unique, of = np.unique(code, return_index=True, return_inverse=True)
+    # Confirm that equal codes are equal bytes; a segment that is not gets a kind of its own.
+    like = unique[of]
+    same = length == length[like]
+    twin = np.minimum(np.repeat(start[like], length) + inside, len(text) - 1)
+    same &= np.logical_and.reduceat(text == text[twin], start)
+    odd = np.flatnonzero(~same)
+    of[odd] = len(unique) + np.arange(len(odd))
+    return start, length, of, np.concatenate([unique, odd])
 
 
 class Codec:
@@ -178,43 +229,76 @@ class Codec:
         self.pattern = regex.compile(
             public_tokenizers.PATTERN.replace("[^\\s", f"[^{_W}").replace("\\s", f"[{_W}]")
             .replace("\\S", f"[^{_W}]"))
-        self.kept: dict[str, tuple[int, ...]] = {}
-
-    def pieces(self, pieces: set[bytes]) -> dict[bytes, list[int]]:
-        """The ids of each piece."""
-        out: dict[bytes, list[int]] = {}
-        alike: dict[int, list[bytes]] = {}
-        for p in pieces:
-            if (whole := self.ranks.get(p)) is not None:
-                out[p] = [whole]
-            elif len(p) <= TOGETHER:
-                alike.setdefault((len(p) - 1).bit_length(), []).append(p)
+        self.clear()
+
+    def clear(self) -> None:
+        """An empty table: a segment's number, and where its ids lie."""
+        self.kept: dict[bytes, int] = {}
+        self.ids, self.start, self.size = (np.zeros(0, d) for d in (np.int32, np.int64, np.int64))
+
+    def pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different pieces in one array, with the start and number of each piece's."""
+        start, size = np.zeros(len(pieces), np.int64), np.ones(len(pieces), np.int64)
+        parts, total = [], 0
+        whole = [(i, r) for i, p in enumerate(pieces) if (r := self.ranks.get(p)) is not None]
+        if whole:
+            start[[i for i, _ in whole]] = np.arange(len(whole))
+            parts, total = [np.array([r for _, r in whole], np.int32)], len(whole)
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        length[[i for i, _ in whole]] = 0
+        done = np.ceil(np.log2(np.maximum(length, 1))).astype(int)
+        for bits in np.unique(done[length > 0]).tolist():
+            group = np.flatnonzero((done == bits) & (length > 0))
+            if 1 << bits > TOGETHER:
+                made = [merge_ranks(pieces[i], self.ranks, self.longest) for i in group.tolist()]
+                counts = np.fromiter(map(len, made), np.int64, len(made))
+                found = [(group, np.array(list(chain.from_iterable(made)), np.int32), counts)]
             else:
-                out[p] = merge_ranks(p, self.ranks, self.longest)
-        for bits, group in alike.items():
-            for i in range(0, len(group), TREES):
-                some = group[i:i + TREES]
-                ids, counts = self.pairs.merge(some, bits)
-                ids, ends = ids.tolist(), np.cumsum(counts).tolist()
-                out |= {p: ids[a:b] for p, a, b in zip(some, [0, *ends], ends)}
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [_SEGMENT.findall(x) for x in texts]
-        new = [s for s in set(chain.from_iterable(cut)) if s not in self.kept]
-        split = [[p.encode() for p in self.pattern.findall(s)] for s in new]
-        ids = self.pieces(set(chain.from_iterable(split)))
-        made = {s: tuple(chain.from_iterable(map(ids.__getitem__, parts)))
-                for s, parts in zip(new, split, strict=True)}
-        known = self.kept
-        if len(known) + len(made) > KEPT:  # the table is full: a new one starts
-            known, self.kept = {s: known[s] for s in set(chain.from_iterable(cut)) if s in known}, {}
-        known |= made
-        out = [np.fromiter(chain.from_iterable(map(known.__getitem__, x)), np.int32) for x in cut]
-        for s in made:
+                found = [(g, *self.pairs.merge([pieces[j] for j in g.tolist()], bits))
+                         for g in np.split(group, range(TREES, len(group), TREES))]
+            for g, ids, counts in found:
+                start[g], size[g] = total + np.cumsum(counts) - counts, counts
+                parts.append(ids)
+                total += len(ids)
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32), start, size
+
+    def learn(self, new: list[bytes]) -> None:
+        """Adds the ids of new segments to the table."""
+        split = [self.pattern.findall(s.decode()) for s in new]
+        all_ = list(chain.from_iterable(split))
+        number = {p: i for i, p in enumerate(dict.fromkeys(all_))}
+        ids, start, size = self.pieces([p.encode() for p in number])
+        which = np.fromiter(map(number.__getitem__, all_), np.int64, len(all_))
+        of = np.fromiter(map(len, split), np.int64, len(split))
+        sizes = np.add.reduceat(size[which], np.cumsum(of) - of)
+        first = len(self.start)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.ids = np.concatenate([self.ids, _gathered(ids, start[which], size[which])])
+        self.kept.update(zip(new, range(first, first + len(new)), strict=True))
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of UTF-8 texts, one after the other, and their number in each text."""
+        data = b"".join(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.cumsum(sizes) - sizes
+        start, length, of, unique = segments(data, first[sizes > 0])
+        found = [data[a:a + n] for a, n in zip(start[unique].tolist(), length[unique].tolist(), strict=True)]
+        new = [s for s in found if s not in self.kept]
+        if len(self.kept) + len(new) > KEPT or len(self.ids) > KEPT_IDS:
+            self.clear()
+            new = found
+        if new:
+            self.learn(new)
+        which = np.fromiter(map(self.kept.__getitem__, found), np.int64, len(found))[of]
+        counts = self.size[which]
+        out = _gathered(self.ids, self.start[which], counts)
+        for s in new:
             if len(s) > LONGEST:
-                del known[s]
-        return out
+                del self.kept[s]
+        before = np.concatenate([[0], np.cumsum(counts)])
+        ends = np.searchsorted(start, np.append(first, len(data)))
+        return out, np.diff(before[ends])
 
     def decode(self, ids: list[int | None]) -> bytes | None:
         """Bytes of ``ids``; None where one is null or outside the vocabulary."""
@@ -278,12 +362,12 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids",
 
     def run(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         machine = codec(path)
-        sizes = [len(x) if x else 0 for x in batch.column(at).to_pylist()]
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_pylist()
         for start, end in _steps(sizes, STEP):
             part = batch.slice(start, end - start)
-            ids = machine.encode([x or "" for x in part.column(at).to_pylist()])
-            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            yield part, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+            ids, counts = machine.encode(utf8(part.column(at)))
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            yield part, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
 
     return _with_column(df, ids_col, "array<int>", text_col, run)
 
