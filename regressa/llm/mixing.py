@@ -18,12 +18,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regressa.llm.common import keep, quoted, row_numbers, text_or_empty
+from regressa.llm.common import keep, quoted, row_numbers, shared_path, text_or_empty
 
 WEIGHTS, TOTAL, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
-#: Iterations, relative error of a source's words, digits of the multiplier that later steps
-#: use (far above what the order of a sum can change, so that reruns agree), settling rounds.
-ROUNDS, ERROR, DIGITS, SETTLE = 60, 1e-11, 6, 12
+#: Relative error of a source's words, digits of the multiplier that later steps use (far above
+#: what the order of a sum can change, so that reruns agree), and iterations after which the dual
+#: counts as failed: halving the bracket alone needs fewer.
+ERROR, DIGITS, ROUNDS = 1e-11, 6, 400
 
 
 def sizes(docs: DataFrame, text_col: str) -> Column:
@@ -85,7 +86,8 @@ def multipliers(hist: DataFrame, goals: DataFrame, most: float = MOST) -> DataFr
             off > 0, F.col("t")).otherwise(F.col("high"))
         newton = F.col("t") - off * F.try_divide(F.col("g"), F.col("slope"))
         inside = newton.isNotNull() & (newton < high) & (low.isNull() | (newton > low))
-        step = F.when(inside, newton).otherwise((low + high) / 2)
+        # Without a lower end yet, the step doubles the way down.
+        step = F.when(inside, newton).otherwise(F.coalesce((low + high) / 2, 2 * high - 1))
         small = F.abs(off) < ERROR
         moved = old.join(new, F.col("o.source").eqNullSafe(F.col("s.source")), "left")
         state = keep(moved.select(
@@ -98,6 +100,8 @@ def multipliers(hist: DataFrame, goals: DataFrame, most: float = MOST) -> DataFr
             .alias("done")))
         if state.where("NOT done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"the multipliers did not converge in {ROUNDS} iterations")
     return state.select("source", "unit", F.round("t", DIGITS).alias("t"),
                         full.alias("full"))
 
@@ -120,7 +124,7 @@ def cells(hist: DataFrame, goals: DataFrame, dual: DataFrame, most: float = MOST
         .withColumn("copies", F.greatest(F.lit(0), F.least(
             F.col("copies"), (F.col("n") * F.lit(most)).cast("long")))).drop("upto")
     made = keep(made)
-    for _ in range(SETTLE):
+    while True:  # every move leaves fewer words over
         left = made.groupBy("source").agg(
             (F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("left"))
         m, r = made.alias("m"), left.alias("r")
@@ -145,80 +149,134 @@ def cells(hist: DataFrame, goals: DataFrame, dual: DataFrame, most: float = MOST
 
 
 def shares(sized: DataFrame, made: DataFrame) -> DataFrame:
-    """Cells with ``base`` copies of every document and one more of those whose ``mark`` is at most
-    ``last``. A cell may hold a third of all rows: it is ranked in about sqrt(n) slices."""
+    """Cells with ``base`` copies of every document and one more of those whose ``mark`` comes before
+    ``last``; of the rows with that mark (equal rows share it), ``within`` get one more, of ``equal``
+    there are. A cell may hold a third of all rows: equal rows are counted first, and the others are
+    ranked in about sqrt(n) slices."""
     made = made.withColumn("base", F.floor(F.col("copies") / F.col("n"))) \
         .withColumn("more", F.pmod("copies", "n")) \
         .withColumn("slices", F.ceil(F.sqrt("n")).cast("long"))
     split = made.where("more > 0").select("source", "size", "more", "slices").alias("c")
-    s = sized.alias("s")
+    s = sized.groupBy("source", "size", "mark").agg(F.count(F.lit(1)).alias("equal")).alias("s")
     rows = s.join(split, F.col("s.source").eqNullSafe(F.col("c.source")) &
                   (F.col("s.size") == F.col("c.size"))) \
-        .select("s.source", "s.size", "mark", "more", F.floor(
+        .select("s.source", "s.size", "mark", "equal", "more", F.floor(
             (F.shiftrightunsigned("mark", 11) / F.lit(float(1 << 53))) * F.col("slices")).alias("slice"),
             (F.col("mark") < 0).alias("upper"))
     # Marks are signed: slices follow the unsigned order, and so do ranks and the last mark.
     key = ["source", "size", "slice"]
-    before = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).withColumn(
+    before = rows.groupBy(*key).agg(F.sum("equal").alias("m")).withColumn(
         "before", F.sum("m").over(Window.partitionBy("source", "size").orderBy("slice")) - F.col("m"))
     rows, before = rows.alias("r"), before.alias("b")
     order = Window.partitionBy("r.source", "r.size", "r.slice").orderBy("upper", "mark")
     last = rows.join(before, F.col("r.source").eqNullSafe(F.col("b.source")) &
                      (F.col("r.size") == F.col("b.size")) & (F.col("r.slice") == F.col("b.slice"))) \
         .where(F.col("before") < F.col("more")) \
-        .select("r.source", "r.size", "mark", "more", (F.row_number().over(order)
-                                                      + F.col("before")).alias("rank")) \
-        .where("rank = more").select("source", "size", F.col("mark").alias("last")).alias("l")
+        .select("r.source", "r.size", "mark", "more", "equal",
+                (F.sum("equal").over(order) + F.col("before")).alias("upto")) \
+        .where("upto >= more AND upto - equal < more") \
+        .select("source", "size", F.col("mark").alias("last"), "equal",
+                (F.col("more") - F.col("upto") + F.col("equal")).alias("within")).alias("l")
     m = made.alias("m")
     return m.join(last, F.col("m.source").eqNullSafe(F.col("l.source")) &
                   (F.col("m.size") == F.col("l.size")), "left") \
-        .select("m.source", "m.size", "words", "target", "rate", "base", "last")
+        .select("m.source", "m.size", "words", "target", "rate", "base", "last", "equal", "within")
 
 
 def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source", weights: tuple[float, ...] = WEIGHTS,
-                total: float = TOTAL, most: float = MOST) -> DataFrame:
-    """``docs`` with struct column ``__mix``: size, source_size, target, rate, copies.
+                total: float = TOTAL, most: float = MOST, name: str = "mix") -> DataFrame:
+    """``docs`` with a struct column ``name``: size, source_size, target, rate, copies.
 
     Null texts have size 0, documents of size 0 are taken once and add nothing; a null source is a
-    source, the last one. Rows that repeat an id and a text are taken alike, which may add copies
-    beyond the target; null ids are told apart by their texts. Sources without words have target
-    0. An empty table stays empty.
+    source, the last one. Rows that repeat an id and a text count as so many documents, of which as
+    many are taken as the target asks for; null ids are told apart by their texts. Sources without
+    words have target 0. An empty table stays empty. A column of that name is an error.
     """
-    return _copied(_sized(docs, id_col, text_col, source_col), docs.columns, weights, total, most)
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name!r} already")
+    return _copied(_sized(docs, id_col, text_col, source_col, name), docs.columns, weights, total,
+                   most, name)
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.withColumn("__mix", F.struct(
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column has it."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, name: str) -> DataFrame:
+    return docs.withColumn(name, F.struct(
         F.col(quoted(source_col)).alias("source"), sizes(docs, text_col).alias("size"),
         F.xxhash64(F.col(quoted(id_col)), F.col(quoted(text_col))).alias("mark")))
 
 
 def _copied(whole: DataFrame, columns: list[str], weights: tuple[float, ...], total: float,
-            most: float) -> DataFrame:
-    sized = keep(whole.select("__mix.source", "__mix.size", "__mix.mark"))
+            most: float, name: str) -> DataFrame:
+    spark, own = whole.sparkSession, F.col(quoted(name))
+    sized = keep(whole.select(own["source"].alias("source"), own["size"].alias("size"),
+                              own["mark"].alias("mark")))
     hist = keep(histogram(sized))
     goals = keep(targets(hist, weights, total, most))
     made = cells(hist, goals, multipliers(hist, goals, most), most)
-    part = keep(shares(sized, made)).alias("c")
-    w = whole.alias("w")
-    # Unsigned comparison of the marks, by their upper bit first.
-    taken = F.col("last").isNotNull() & F.when(
-        (F.col("w.__mix.mark") < 0) == (F.col("last") < 0), F.col("w.__mix.mark") <= F.col("last")) \
-        .otherwise(F.col("last") < 0)
-    return w.join(part, F.col("w.__mix.source").eqNullSafe(F.col("c.source")) &
-                  (F.col("w.__mix.size") == F.col("c.size"))) \
+    # One row a (source, size): written, so that the planner knows its size and need not move rows.
+    path = shared_path(spark, "shares")
+    shares(sized, made).write.parquet(path)
+    part = spark.read.parquet(path)
+    p = F.struct(*[F.col(f"c.{c}").alias(c) for c in part.columns])
+    mine = F.col(f"w.{quoted(name)}")
+    rows = whole.alias("w").join(
+        part.alias("c"), mine["source"].eqNullSafe(F.col("c.source")) & (mine["size"] == F.col("c.size"))) \
         .select(*[F.col(f"w.{quoted(c)}") for c in columns], F.struct(
-            F.col("w.__mix.size").alias("size"), F.col("c.words").alias("source_size"),
-            F.col("c.target").alias("target"), F.col("c.rate").alias("rate"),
-            (F.col("c.base") + taken.cast("long")).alias("copies")).alias("__mix"))
+            mine["mark"].alias("mark"), p.alias("p")).alias(name))
+    mark, at = own["mark"], own["p"]
+    # Unsigned comparison of the marks, by their upper bit first.
+    taken = at["last"].isNotNull() & F.when(
+        (mark < 0) == (at["last"] < 0), mark <= at["last"]).otherwise(at["last"] < 0)
+    cut = part.where("within < equal")
+    if not cut.isEmpty():
+        # A limit falls among equal rows: these are numbered.
+        among = F.coalesce((mark == at["last"]) & (at["within"] < at["equal"]), F.lit(False))
+        few = _numbered(rows.where(among), name)
+        rest = rows.where(~among).withColumn(name, F.struct(at.alias("p"), taken.alias("taken")))
+        rows = rest.unionByName(few.withColumn(
+            name, F.struct(at.alias("p"), (own["number"] <= at["within"]).alias("taken"))))
+    else:
+        rows = rows.withColumn(name, F.struct(at.alias("p"), taken.alias("taken")))
+    return rows.withColumn(name, F.struct(
+        at["size"].alias("size"), at["words"].alias("source_size"), at["target"].alias("target"),
+        at["rate"].alias("rate"), (at["base"] + own["taken"].cast("long")).alias("copies")))
+
+
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``number`` in their struct: from 1 within their (source, size), in any order. A
+    group may hold a third of all rows: a partition counts its own and adds those before it."""
+    own = F.col(quoted(name))
+    rows = keep(rows.withColumn(name, F.struct(own["mark"].alias("mark"), own["p"].alias("p"),
+                                               F.spark_partition_id().alias("at"))))
+    key = [own["p"]["source"], own["p"]["size"], own["at"]]
+    counts = rows.groupBy(*[k.alias(c) for k, c in zip(key, "abc", strict=True)]) \
+        .agg(F.count(F.lit(1)).alias("m"))
+    counts = counts.withColumn("before", F.sum("m").over(Window.partitionBy("a", "b").orderBy("c"))
+                               - F.col("m")).alias("n")
+    own = F.col(f"r.{quoted(name)}")
+    here = Window.partitionBy(own["p"]["source"], own["p"]["size"], own["at"]).orderBy(own["at"])
+    joined = rows.alias("r").join(
+        counts, own["p"]["source"].eqNullSafe(F.col("n.a")) & (own["p"]["size"] == F.col("n.b")) &
+        (own["at"] == F.col("n.c")))
+    return joined.select(*[F.col(f"r.{quoted(c)}") for c in rows.columns if c != name], F.struct(
+        own["mark"].alias("mark"), own["p"].alias("p"),
+        (F.row_number().over(here) + F.col("n.before")).alias("number")).alias(name))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, columns unchanged."""
-    made = with_copies(docs, **options).where("__mix.copies > 0")
-    return made.select(*[F.col(quoted(c)) for c in docs.columns],
-                       F.explode(F.sequence(F.lit(1), "__mix.copies")).alias("__copy")).drop("__copy")
+    name = _free(docs, "mix")
+    copy = _free(docs, "copy")
+    made = with_copies(docs, **options, name=name).where(F.col(quoted(name))["copies"] > 0)
+    each = F.explode(F.sequence(F.lit(1), F.col(quoted(name))["copies"])).alias(copy)
+    return made.select(*[F.col(quoted(c)) for c in docs.columns], each).drop(copy)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -226,8 +284,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            total: float = TOTAL, most: float = MOST) -> DataFrame:
     """doc_id, size, source_size, target, taken (words), rate, copies; one row for each row."""
     # Without the texts the sized rows are small: they are kept, and texts are read once.
-    thin = keep(_sized(docs, id_col, text_col, source_col)
-                .select(F.col(quoted(id_col)).alias("doc_id"), "__mix"))
-    return _copied(thin, ["doc_id"], weights, total, most).select(
-        "doc_id", "__mix.size", "__mix.source_size", "__mix.target",
-        (F.col("__mix.size") * F.col("__mix.copies")).alias("taken"), "__mix.rate", "__mix.copies")
+    thin = keep(_sized(docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"),
+                                   F.col(quoted(source_col)).alias("source")),
+                       "doc_id", "text", "source", "mix").select("doc_id", "mix"))
+    return _copied(thin, ["doc_id"], weights, total, most, "mix").select(
+        "doc_id", "mix.size", "mix.source_size", "mix.target",
+        (F.col("mix.size") * F.col("mix.copies")).alias("taken"), "mix.rate", "mix.copies")

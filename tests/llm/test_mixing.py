@@ -91,6 +91,44 @@ def test_hot_cell_is_ranked_in_slices(spark):
     check(rows, got)
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_a_third_of_a_source_is_equal_rows(spark, parts):
+    """The limit of a target falls among the copies: as many are taken as it asks for."""
+    rnd = random.Random(8)
+    rows = [(7, "same words in every copy " * 5, "hot")] * 300
+    rows += [(100 + i, "w " * rnd.randrange(5, 60), "hot") for i in range(400)]
+    rows += [(9, "x y", "b")] * 50 + [(600 + i, "v " * (3 + i % 90), "b") for i in range(500)]
+    rows += [(2000 + i, "u " * 40, "c") for i in range(60)] + [(3, "t t t", None)] * 90
+    df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+    got = mixing.report(df).collect()
+    words, taken, want = {}, {}, {}
+    size = {(i, s): len(t.split()) for i, t, s in rows}
+    for (i, s) in [(i, s) for i, _, s in rows]:
+        words[s] = words.get(s, 0) + size[i, s]
+    least = {s: min(n for (_, t), n in size.items() if t == s) for s in words}
+    by_words = {w: s for s, w in words.items()}
+    for r in got:
+        s = by_words[r.source_size]
+        assert r.copies in (0, 1, 2) and r.taken == r.copies * r.size
+        taken[s], want[s] = taken.get(s, 0) + r.taken, r.target
+    assert want == pytest.approx(goals(words), rel=1e-9)
+    assert all(abs(taken[s] - want[s]) <= least[s] for s in words), (taken, want)
+    assert len({r.copies for r in got if r.doc_id == 7}) <= 2
+    mixed = mixing.mix(df)
+    assert mixed.count() == sum(r.copies for r in got)
+    again = mixing.report(df.repartition(3)).collect()
+    assert sorted((r.doc_id, r.copies) for r in again) == sorted((r.doc_id, r.copies) for r in got)
+
+
+def test_names_may_clash(spark):
+    df = spark.createDataFrame([(i, "a b c", "s", i, 1, 2) for i in range(9)],
+                               SCHEMA + ", mix int, copy int, `x.y` int")
+    assert mixing.mix(df).columns == df.columns
+    with pytest.raises(ValueError):
+        mixing.with_copies(df)
+    assert mixing.with_copies(df, name="how").columns == [*df.columns, "how"]
+
+
 def test_reruns_and_partitions_agree(spark):
     df = spark.createDataFrame(docs(500, 3), SCHEMA)
     a = sorted(map(tuple, mixing.report(df).collect()), key=str)
