@@ -1,7 +1,9 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block is a window of ``2 * STRIDE`` words, one at every ``STRIDE`` words; a template matches it
-when the block holds at least ``THRESHOLD`` of the template's distinct words. Words are ordered
+Templates fall into classes by length: a template's stride is ``STRIDE`` doubled until it is no
+shorter than the template. A block is a window of two strides, one at every stride, so a template of
+any length lies whole in some block of its class; it matches a block that holds at least
+``THRESHOLD`` of the template's distinct words. Words are ordered
 by their count in the whole corpus, rare ones first. A block that meets the threshold must hold
 one of the template's first ``|T| - o + 1`` words (``o``: words needed), which is what the blocks
 are looked up by; its number of template words (length) and the words that can still follow the
@@ -48,6 +50,36 @@ TEMPLATES = {
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "warranty-disclaimer": "the software is provided as is without warranty of any kind express or "
                            "implied",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or "
+                 "without fee is hereby granted provided that the above copyright notice and this "
+                 "permission notice appear in all copies",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this "
+                "software and associated documentation files the software to deal in the software "
+                "without restriction including without limitation the rights to use copy modify merge "
+                "publish distribute sublicense and or sell copies of the software and to permit persons "
+                "to whom the software is furnished to do so subject to the following conditions the "
+                "above copyright notice and this permission notice shall be included in all copies or "
+                "substantial portions of the software the software is provided as is without warranty "
+                "of any kind express or implied including but not limited to the warranties of "
+                "merchantability fitness for a particular purpose and noninfringement in no event shall "
+                "the authors or copyright holders be liable for any claim damages or other liability "
+                "whether in an action of contract tort or otherwise arising from out of or in "
+                "connection with the software or the use or other dealings in the software",
+    "bsd-text": "redistribution and use in source and binary forms with or without modification are "
+                "permitted provided that the following conditions are met 1 redistributions of source "
+                "code must retain the above copyright notice this list of conditions and the following "
+                "disclaimer 2 redistributions in binary form must reproduce the above copyright notice "
+                "this list of conditions and the following disclaimer in the documentation and or other "
+                "materials provided with the distribution this software is provided by the copyright "
+                "holders and contributors as is and any express or implied warranties including but not "
+                "limited to the implied warranties of merchantability and fitness for a particular "
+                "purpose are disclaimed in no event shall the copyright holder or contributors be "
+                "liable for any direct indirect incidental special exemplary or consequential damages "
+                "including but not limited to procurement of substitute goods or services loss of use "
+                "data or profits or business interruption however caused and on any theory of liability "
+                "whether in contract strict liability or tort including negligence or otherwise arising "
+                "in any way out of the use of this software even if advised of the possibility of such "
+                "damage",
 }
 
 _WORD = bytes(b for b in range(256) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b > 127)
@@ -69,39 +101,51 @@ def places(joined: bytes, pattern: re.Pattern) -> list[int]:
     return out
 
 
+def stride_of(words: int, stride: int = STRIDE) -> int:
+    """The stride of the class that a template of so many words belongs to."""
+    while stride < words:
+        stride *= 2
+    return stride
+
+
 class TemplateIndex:
     """Prefix index of templates under a global word order."""
 
     def __init__(self, templates: dict[str, str], counts: dict[bytes, int],
                  threshold: float = THRESHOLD, stride: int = STRIDE):
-        sets = {label: set(words_of(t.encode())) for label, t in templates.items()}
+        listed = {label: words_of(t.encode()) for label, t in templates.items()}
         self.order = {w: i for i, w in enumerate(sorted(
-            set().union(*sets.values()), key=lambda w: (counts.get(w, 0), w)))}
-        self.stride, self.prefixes = stride, {}
+            set().union(*listed.values()), key=lambda w: (counts.get(w, 0), w)))}
+        self.prefixes = {}
         self.templates = []
-        for label, words in sorted(sets.items()):
-            ranks = sorted(self.order[w] for w in words)
-            need = max(1, math.ceil(threshold * len(ranks) - 1e-9))
+        for label, words in sorted(listed.items()):
+            if not words:
+                continue
             by_rank = {self.order[w]: w for w in words}
+            ranks = sorted(by_rank)
+            need = max(1, math.ceil(threshold * len(ranks) - 1e-9))
             self.templates.append((label, ranks, need))
+            where = stride_of(len(words), stride)
             for position, r in enumerate(ranks[:len(ranks) - need + 1]):
-                self.prefixes.setdefault(by_rank[r], []).append((len(self.templates) - 1, position))
+                self.prefixes.setdefault(by_rank[r], []).append(
+                    (len(self.templates) - 1, position, where))
 
     def matches(self, words: list[bytes]) -> list[tuple[str, int, float]]:
         """``(label, first word of the block, containment)`` of every match."""
         if self.prefixes.keys().isdisjoint(words):
             return []
-        probes: dict[int, dict[int, int]] = {}  # block -> template -> rarest common position
+        # (stride, block) -> template -> rarest common position
+        probes: dict[tuple[int, int], dict[int, int]] = {}
         for i, w in enumerate(words):
-            for template, position in self.prefixes.get(w, ()):
-                for block in (i // self.stride, i // self.stride - 1):
+            for template, position, stride in self.prefixes.get(w, ()):
+                for block in (i // stride, i // stride - 1):
                     if block >= 0:
-                        found = probes.setdefault(block, {})
+                        found = probes.setdefault((stride, block), {})
                         found[template] = min(position, found.get(template, position))
         out = []
-        for block, found in sorted(probes.items()):
-            start = block * self.stride
-            held = sorted({self.order[w] for w in words[start:start + 2 * self.stride]
+        for (stride, block), found in sorted(probes.items()):
+            start = block * stride
+            held = sorted({self.order[w] for w in words[start:start + 2 * stride]
                            if w in self.order})
             rank_at = {r: i for i, r in enumerate(held)}
             for template, position in found.items():
@@ -140,8 +184,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row: doc_id, n_words, phrases (array of (label, word)), blocks (array of
     (label, word, containment): template matches and where their block starts).
 
-    Null texts count as empty; null ids stay; rows that repeat give equal rows; an empty table gives
-    none; further columns are ignored. Counts for the word order are over the whole table.
+    Templates may have any length; one without words matches nothing. Texts are read whole, however
+    long. Null texts count as empty; null ids stay; rows that repeat give equal rows; an empty table
+    gives none; further columns are ignored. Counts for the word order are over the whole table.
     """
     templates, phrases = templates or TEMPLATES, phrases or PHRASES
     vocabulary = {w for t in templates.values() for w in words_of(t.encode())}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from regressa.llm.licenses import PHRASES, STRIDE, TEMPLATES, THRESHOLD
+from regressa.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, stride_of
 
 _EXACT = """
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'))
@@ -61,7 +61,8 @@ SELECT m.conv_id, chosen_id, CASE WHEN own THEN 'stale' ELSE 'sibling' END AS ki
 FROM m JOIN g ON g.conv_id IS NOT DISTINCT FROM m.conv_id
 """
 
-_T = ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES.items())
+_T = ", ".join(f"('{label}', {stride_of(len(text.split()))}, '{text}')"
+               for label, text in TEMPLATES.items())
 _P = ", ".join(f"('{label}', '{text}')" for text, label in PHRASES.items())
 
 #: Every template word of every block is counted; no word order, no filters.
@@ -75,9 +76,10 @@ l AS (SELECT r, i, word, word || ' ' || lead(word, 1, '') OVER o AS two,
         lead(word, 3, '') OVER o AS four FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
 base AS (SELECT r, i, p.label FROM l JOIN (VALUES {_P}) p(label, phrase)
          ON phrase = two OR phrase = four),
-tw AS (SELECT DISTINCT label, unnest(string_split(text, ' ')) AS word FROM (VALUES {_T}) t(label, text)),
+tw AS (SELECT DISTINCT label, stride, unnest(string_split(text, ' ')) AS word
+       FROM (VALUES {_T}) t(label, stride, text)),
 size AS (SELECT label, count(*) AS n FROM tw GROUP BY 1),
-hit AS (SELECT r, label, word, unnest([i // {STRIDE}, i // {STRIDE} - 1]) AS block
+hit AS (SELECT r, label, word, unnest([i // stride, i // stride - 1]) AS block
         FROM w JOIN tw USING (word)),
 block AS (SELECT r, label, count(DISTINCT word) / any_value(n) AS share
           FROM hit JOIN size USING (label) WHERE block >= 0 GROUP BY r, label, block
