@@ -4,9 +4,10 @@ A document is a bag of passages of ``PASSAGE`` words. Every passage is described
 follow each other (pairs of byte classes), how long its words are and how soon they repeat; one
 dense layer encodes it. Gated attention (tanh times sigmoid) gives each passage a weight learned
 from the labels of whole documents, and the weighted mean of the passages' codes is scored by a
-logistic unit. The model is fitted on the driver from a bounded sample of labelled rows (``SAMPLE``
-documents of each label, at most ``BAG`` evenly spaced passages of each); the sample's weights
-restore the labels' true shares. Scoring reads all passages of all documents, where they are.
+logistic unit. The model is fitted on the driver from a bounded sample of labelled rows: at most
+``SAMPLE`` documents of each label, and of these, in their hashed order, as many whole ones as have
+``PASSAGES`` passages together (both are parameters of ``train``). The sample's weights restore the
+labels' true shares. Fitting and scoring read all passages of a document.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from regressa.llm.common import quoted
+from regressa.llm.common import quoted, shared_path
 
-PASSAGE, SAMPLE, BAG, SEED = 48, 2500, 48, 42
+PASSAGE, SAMPLE, PASSAGES, SEED = 48, 2500, 150_000, 42
 #: Codes of a passage, units of the attention gate, passes over the sample, bags of a step.
 CODES, GATES, EPOCHS, STEP_BAGS, RATE, DECAY = 24, 12, 30, 128, 0.01, 1e-4
 #: Bytes of text handled at a time.
@@ -184,9 +185,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "quality", sample: int = SAMPLE) -> AttentionModel | float:
+          label_col: str = "quality", sample: int = SAMPLE,
+          passages_of_a_label: int = PASSAGES // 2) -> AttentionModel | float:
     """Fit on at most ``sample`` rows of each label, smallest hashed ids first, none of them held
-    out. Null labels, null ids and labels without a document are left out. Without both labels the
+    out, and on no more of them than have ``passages_of_a_label`` passages together (the first row
+    of a label always counts). A row is taken with all its passages or not at all. Null labels, null ids and labels without a document are left out. Without both labels the
     result is the share of label 1 among the rows there are (1 without any)."""
     marked = labels.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).alias("y")) \
         .where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~F.coalesce(held_out("id"), F.lit(True)))
@@ -201,16 +204,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for part, texts in _chunks(batch, "text"):
                 x, counts = passages(texts)
-                kept = []
-                for end, n in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True):
-                    at = np.unique(np.linspace(end - n, end - 1, min(n, BAG)).astype(np.int64))
-                    kept.append(x[at].astype("<f4").tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"),
-                                                  pa.array(kept, pa.binary())], names=["id", "y", "x"])
+                ends = np.cumsum(counts).tolist()
+                rows = [x[end - n:end].astype("<f4").tobytes()
+                        for end, n in zip(ends, counts.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("y"), pa.array(counts, pa.int64()),
+                     pa.array(rows, pa.binary())], names=["id", "y", "n", "x"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.select("id", F.col("y").cast("int").alias("y"), "text") \
-        .mapInArrow(each, f"id {kind}, y int, x binary").collect()
+    path = shared_path(docs.sparkSession, "passages")
+    rows.select("id", F.col("y").cast("int").alias("y"), "text") \
+        .mapInArrow(each, f"id {kind}, y int, n long, x binary") \
+        .withColumn("turn", F.xxhash64(F.lit(SEED), "id")).write.parquet(path)
+    described = docs.sparkSession.read.parquet(path)
+    # The first rows of a label, in hashed order, that the bound has room for.
+    last: dict[int, int] = {}
+    used = {0: 0, 1: 0}
+    for r in sorted(described.select("y", "turn", "n").collect(), key=lambda r: (r.turn, r.n)):
+        used[r.y] += r.n
+        if used[r.y] <= passages_of_a_label or r.y not in last:
+            last[r.y] = r.turn
+    within = F.lit(False)
+    for label, turn in last.items():
+        within = within | ((F.col("y") == label) & (F.col("turn") <= turn))
+    got = described.where(within).select("id", "y", "x").collect()
     got.sort(key=lambda r: (r.id, r.y, r.x))
     y = np.array([r.y for r in got], float)
     if len(set(y.tolist())) < 2:
