@@ -6,7 +6,8 @@ import duckdb
 import pytest
 
 from regressa.llm import exact_dedup
-from regressa.llm.exact_dedup import Trie, drop_duplicates, normalised, report
+from regressa.llm.exact_dedup import (Terminal, Trie, drop_duplicates, gathered, normalised,
+                                        report)
 
 
 def test_normalised_is_the_pattern():
@@ -26,14 +27,39 @@ def test_trie_keeps_smallest_and_spills_by_subtree():
         want[k] = (min(n, i), c + 1)
     trie = Trie()
     for i in reversed(range(len(keys))):
-        trie.insert(keys[i], (False, i), {"i": i}, 1)
-    first = list(trie.spill())
+        trie.insert(keys[i], Terminal((False, i), {"i": i}, 1, [i], None))
+    first = trie.spill()
     assert first and len({k[0] for k, _ in first}) == 1
     got = dict([*first, *trie.drain()])
-    assert {k: (b[1]["i"], b[2]) for k, b in got.items()} == want
+    assert {k: (b.row["i"], b.copies) for k, b in got.items()} == want
+    assert {i for b in got.values() for i in b.handles} == set(range(len(keys)))
     assert trie.held == 0
 
 
+@pytest.mark.parametrize("trie_bytes", [1, 50, 10_000])
+def test_an_owner_holds_many_texts_and_spills_only_complete_ones(trie_bytes):
+    """Rows sorted by place, with different texts that share one (a collision of length and hash)."""
+    rnd = random.Random(5)
+    texts = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 9))) for _ in range(300)]
+    rows = [(len(t), sum(t) % 3, t, i) for i, t in enumerate(texts)]
+    rows.sort(key=lambda r: r[:2])
+    held = []
+
+    def stream():
+        for size, code, key, i in rows:
+            yield key, Terminal((False, i), i, 1, [i], (size, code))
+
+    out = {}
+    for key, t in gathered(stream(), trie_bytes, True):
+        assert key not in out  # complete: never twice
+        out[key] = (t.row, t.copies, sorted(t.handles))
+        held.append(key)
+    want = {}
+    for i, t in enumerate(texts):
+        want.setdefault(t, []).append(i)
+    assert out == {t: (min(i), len(i), i) for t, i in want.items()}
+
+
 ROWS = [(7, "a  b", "x"), (3, "a\tb", None), (9, "a b", "y"), (4, None, "z"), (8, "", "z"),
         (None, "a b", "z"), (None, "only null", "z"), (5, " a b", "q"), (6, "a b ", "q"),
         (2, "é" * 40_000, "q"), (1, "é" * 40_000 + "x", "q"), (11, "rep", "r"), (11, "rep", "r"),
