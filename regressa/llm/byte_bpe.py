@@ -223,7 +223,11 @@ class Codec:
 
         self.ranks = read_ranks(path)
         self.longest = max(map(len, self.ranks))
-        self.tokens: dict[int, bytes] = {i: t for t, i in self.ranks.items()}
+        # The decoder's table: the bytes of all tokens, and where each token's are.
+        self.token_size = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.token_size[list(self.ranks.values())] = list(map(len, self.ranks))
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(sorted(self.ranks, key=self.ranks.get)), np.uint8)
         self.pairs = Pairs(self.ranks)
         # White space by its Unicode property, as the library's engine reads it.
         self.pattern = regex.compile(
@@ -300,12 +304,18 @@ class Codec:
         ends = np.searchsorted(start, np.append(first, len(data)))
         return out, np.diff(before[ends])
 
-    def decode(self, ids: list[int | None]) -> bytes | None:
-        """Bytes of ``ids``; None where one is null or outside the vocabulary."""
-        try:
-            return b"".join(map(self.tokens.__getitem__, ids))
-        except KeyError:
-            return None
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of sequences of ``counts`` ids, one after the other, how many each has, and
+        whether all of its ids belong to the vocabulary (an unknown id has no bytes)."""
+        known = (ids >= 0) & (ids < len(self.token_size))
+        at = np.where(known, ids, 0)
+        known &= self.token_size[at] > 0
+        size = np.where(known, self.token_size[at], 0)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        before = np.concatenate([[0], np.cumsum(size)])
+        missing = np.concatenate([[0], np.cumsum(~known)])
+        return (_gathered(self.token_bytes, self.token_start[at], size), np.diff(before[ends]),
+                np.diff(missing[ends]) == 0)
 
 
 _loaded: dict[str, Codec] = {}
@@ -383,11 +393,18 @@ def decode(df: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded",
 
     def run(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         machine = codec(path)
-        sizes = [n or 0 for n in pa.compute.list_value_length(batch.column(at)).to_pylist()]
-        for start, end in _steps(sizes, STEP):
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(batch.column(at)), 0)
+        for start, end in _steps(sizes.to_pylist(), STEP):
             part = batch.slice(start, end - start)
-            yield part, pa.array([None if x is None else machine.decode(x)
-                                  for x in part.column(at).to_pylist()], pa.binary())
+            lists = part.column(at)
+            counts = sizes.slice(start, end - start).to_numpy().astype(np.int64)
+            ids = pa.compute.fill_null(lists.flatten(), -1).to_numpy()
+            data, length, whole = machine.decode(ids, counts)
+            offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+            made = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets),
+                                                                  pa.py_buffer(data)])
+            good = pa.array(whole & lists.is_valid().to_numpy(zero_copy_only=False))
+            yield part, pa.compute.if_else(good, made, pa.scalar(None, pa.binary()))
 
     return _with_column(df, bytes_col, "binary", ids_col, run)
 

@@ -43,7 +43,10 @@ def test_odd_texts_as_the_library(codec, library):
     some = texts(3_000, 1)
     for text, ids in zip(some, encoded(codec, some), strict=True):
         assert ids == library.encode_ordinary(text), repr(text)
-        assert codec.decode(ids) == text.encode()
+    ids, counts = codec.encode([t.encode() for t in some])
+    data, length, whole = codec.decode(ids, counts)
+    assert bytes(data) == "".join(some).encode() and whole.all()
+    assert length.tolist() == [len(t.encode()) for t in some]
 
 
 def test_every_character_as_the_library(codec, library):
