@@ -14,8 +14,9 @@ Parameter mapping to the reference's estimators (alpha = 1):
   (all four with the normal-equation solver: one pass over the data.)
   (standardization off: features are already scaled by the fitted scaler.)
 Deliberate deviations: tuning covers the whole pipeline (scaler included);
-trees are MLlib's binned trees (statistical, not bitwise, parity); the
-forest's unlimited depth maps to ``max_depth`` (MLlib allows at most 30).
+boosted trees are MLlib's binned trees (statistical, not bitwise, parity). The
+forest grows without a depth limit in ``plans/forest.py``; only over sparse
+one-hot vectors is it MLlib's, with at most 30 levels.
 """
 
 from __future__ import annotations
@@ -39,10 +40,12 @@ from pyspark.sql.types import BooleanType
 from regressa.functions.columns import (categorical_columns, col, normalise_nan, numeric_columns,
                                         role_of)
 from regressa.operators import clean, encode
+from regressa.plans import forest
 
-# The reference grows forest trees without a depth limit; 30 is MLlib's limit.
-# A deep forest needs driver memory: pass ``max_depth`` for a smaller one.
-DEFAULT_FOREST_DEPTH = 30
+# Levels of MLlib's trees, used for a forest over sparse one-hot vectors.
+MLLIB_MAX_DEPTH = 30
+# Levels of partial trees between two checkpoints of the rows' nodes (MLlib).
+NODE_CHECKPOINTS = 10
 # Split candidates of a feature (MLlib's ``maxBins``; ``max_bins`` overrides it).
 DEFAULT_MAX_BINS = 32
 # Columns up to which the linear family is solved from the normal equations in
@@ -353,6 +356,9 @@ class FittedModel:
         """Adds ``prediction``; input holds the feature columns."""
         if isinstance(self.model, SvrModel):
             return self.model.transform(df)
+        if isinstance(self.model, forest.ForestModel):
+            x = forest.feature_array(df, FEATURES, self.feature_names)
+            return self.model.transform(df, x, PREDICTION)
         if FEATURES in df.columns:  # assembled once for several models
             return self.model.transform(df)
         return self.model.transform(assemble(df, self.feature_names)).drop(FEATURES)
@@ -434,14 +440,13 @@ def build_estimator(name: str, hp: dict, moments: dict, seed: int = 42,
     tree = dict(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, seed=seed,
                 maxMemoryInMB=tree_memory_mb, maxBins=int(hp.get("max_bins", DEFAULT_MAX_BINS)))
     if name == "random_forest":
-        depth = hp.get("max_depth", DEFAULT_FOREST_DEPTH)
-        mf = hp.get("max_features", None)
-        strategy = {None: "all", "sqrt": "sqrt", "log2": "log2"}.get(mf, "all")
+        depth = hp.get("max_depth")
         return RandomForestRegressor(
             numTrees=int(hp.get("n_estimators", 100)),
-            maxDepth=min(int(depth) if depth is not None else 30, 30),
-            minInstancesPerNode=int(hp.get("min_samples_leaf", 1)),
-            featureSubsetStrategy=strategy, **tree)
+            maxDepth=MLLIB_MAX_DEPTH if depth is None else min(int(depth), MLLIB_MAX_DEPTH),
+            minInstancesPerNode=int(hp.get("min_samples_leaf", 1)), cacheNodeIds=True,
+            checkpointInterval=NODE_CHECKPOINTS,
+            featureSubsetStrategy=hp.get("max_features") or "all", **tree)
     if name == "gradient_boosting":
         return GBTRegressor(
             maxIter=int(hp.get("n_estimators", 100)), stepSize=float(hp.get("learning_rate", 0.1)),
@@ -450,6 +455,19 @@ def build_estimator(name: str, hp: dict, moments: dict, seed: int = 42,
     raise ValueError(f"no Spark ML estimator for {name!r}")
 
 
+def fit_random_forest(rows: DataFrame, feature_names, hp: dict, seed: int) -> forest.ForestModel:
+    """M5 with the reference's parameters: no depth limit, a split looks at all features unless
+    ``max_features`` is 'sqrt' or 'log2'."""
+    p = len(feature_names)
+    looks = {"sqrt": max(1, math.isqrt(p)), "log2": max(1, int(math.log2(max(p, 1))))}
+    how = forest.Growth(max_depth=hp.get("max_depth"),
+                        min_samples_split=int(hp.get("min_samples_split", 2)),
+                        min_samples_leaf=int(hp.get("min_samples_leaf", 1)),
+                        max_features=looks.get(hp.get("max_features")), seed=seed)
+    return forest.fit_forest(rows, forest.feature_array(rows, FEATURES, feature_names), F.col(LABEL),
+                             p, int(hp.get("n_estimators", 100)), how)
+
+
 def fit_model(name: str, train: DataFrame, feature_names, hp: dict | None = None,
               seed: int = 42) -> FittedModel:
     """Fit one model on a frame holding the feature columns and ``y``."""
@@ -460,6 +478,10 @@ def fit_model(name: str, train: DataFrame, feature_names, hp: dict | None = None
                     seed=seed, iterations=int(hp.get("iterations", 200)))
         return FittedModel(name, list(feature_names), m, hp)
     rows = train.where(F.col(LABEL).isNotNull())
+    if name == "random_forest" and not any(
+            isinstance(train.schema[c].dataType, VectorUDT) for c in feature_names):
+        return FittedModel(name, list(feature_names),
+                           fit_random_forest(rows, feature_names, hp, seed), hp)
     if name in ("random_forest", "gradient_boosting"):
         # Trees draw their samples by partition: deal the rows by their content to
         # spark.sql.shuffle.partitions, so that a fit does not depend on the cores.

@@ -1,8 +1,9 @@
 """Hyper-parameter search (H1-H6) over the reference's grids.
 
 Every candidate is scored by k-fold CV on the fold column of the cached
-training frame; candidates are fitted concurrently from a thread pool (Spark
-runs the jobs side by side, like ``CrossValidator(parallelism=...)``)."""
+training frame. The linear family needs one pass for its whole grid (see
+``plans/gram.py``); other candidates are fitted concurrently from a thread pool
+(Spark runs the jobs side by side, like ``CrossValidator(parallelism=...)``)."""
 
 from __future__ import annotations
 
@@ -11,10 +12,12 @@ import logging
 import random
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 
 from regressa import messages as M
 from regressa.operators.metrics import LOWER_IS_BETTER
+from regressa.plans import gram
 
 log = logging.getLogger(__name__)
 
@@ -41,9 +44,9 @@ PARAM_GRIDS = {
 }
 # Fixed value: minimum R2 gain for the tuned model to replace the original.
 MIN_IMPROVEMENT = 0.001
-# ``min_samples_split`` has no Spark ML counterpart; candidates differing
-# only in it are identical fits, so the search collapses them.
-UNSUPPORTED = {"min_samples_split"}
+# Spark ML's boosting has no ``min_samples_split``; candidates differing only in
+# it are identical fits, so the search collapses them.
+UNSUPPORTED = {"gradient_boosting": {"min_samples_split"}}
 
 
 def candidates(model: str, method: str = "random", n_iter: int = 50, seed: int = 42) -> list:
@@ -59,7 +62,7 @@ def candidates(model: str, method: str = "random", n_iter: int = 50, seed: int =
     merged = {}
     for v in itertools.product(*[grid[k] for k in keys]):
         c = dict(zip(keys, v))
-        merged.setdefault(tuple((k, c[k]) for k in keys if k not in UNSUPPORTED), c)
+        merged.setdefault(tuple((k, c[k]) for k in keys if k not in UNSUPPORTED.get(model, ())), c)
     combos = list(merged.values())
     if method == "grid":
         return combos
@@ -68,12 +71,29 @@ def candidates(model: str, method: str = "random", n_iter: int = 50, seed: int =
     return random.Random(seed).sample(combos, min(n_iter, len(combos)))
 
 
+def from_moments(train: DataFrame, feature_names, metric: str) -> bool:
+    """Whether the linear family is solved from sums of products: plain features, few enough, and
+    a metric that squared errors give."""
+    plain = not any(isinstance(train.schema[c].dataType, VectorUDT)
+                    for c in feature_names if c in train.columns)
+    return plain and 0 < len(feature_names) <= gram.MAX_FEATURES and metric in gram.METRICS
+
+
+def _moments(train: DataFrame, feature_names, fold_col: str = "fold") -> dict:
+    from regressa.plans import models
+
+    data = train if models.FEATURES in train.columns else models.assemble(train, feature_names)
+    return gram.fold_moments(data, models.FEATURES, models.LABEL, len(feature_names), fold_col)
+
+
 def cross_val_scores(name: str, train: DataFrame, feature_names, hp: dict, k: int,
                      metric: str = "r2", seed: int = 42, fold_col: str = "fold",
                      parallelism: int | None = None) -> list[float]:
     """A1: fit on k-1 folds, score the held-out fold; k scores. The k fits are
     submitted concurrently; the held-out predictions of all folds are scored
-    in one grouped aggregation."""
+    in one grouped aggregation. The linear family is solved from one pass."""
+    if name in gram.FAMILY and from_moments(train, feature_names, metric):
+        return gram.cross_val_scores(_moments(train, feature_names, fold_col), name, hp, metric)
     from regressa.operators.metrics import cv_score_frame
     from regressa.plans.models import fit_model
 
@@ -100,8 +120,12 @@ def search(name: str, train: DataFrame, feature_names, k: int, method: str = "ra
     if not cands:
         return {}, None, []
 
+    one_pass = name in gram.FAMILY and from_moments(train, feature_names, metric)
+    folds = _moments(train, feature_names) if one_pass else None
+
     def run(hp):
-        s = cross_val_scores(name, train, feature_names, hp, k, metric, seed)
+        s = (gram.cross_val_scores(folds, name, hp, metric) if one_pass else
+             cross_val_scores(name, train, feature_names, hp, k, metric, seed))
         return hp, float(np.mean(s)), float(np.std(s))
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:

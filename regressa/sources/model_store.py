@@ -16,12 +16,13 @@ import json
 from datetime import datetime, timezone
 
 import numpy as np
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import (GBTRegressionModel, LinearRegressionModel,
                                    RandomForestRegressionModel)
 from pyspark.sql import SparkSession
 
 from regressa.operators import clean, encode
-from regressa.plans import models
+from regressa.plans import forest, gram, models
 
 _LOADERS = {"LinearRegressionModel": LinearRegressionModel,
             "RandomForestRegressionModel": RandomForestRegressionModel,
@@ -54,17 +55,17 @@ def _preprocessor_state(pre: models.Preprocessor) -> tuple[dict, object]:
         state["encoder"] = {"kind": "onehot", "categories": enc.categories}
     elif isinstance(enc, encode.MixedOneHotModel):
         state["encoder"] = {"kind": "onehot_mixed", "categories": enc.narrow.categories,
-                            "widths": enc.wide.widths}
+                            "widths": enc.wide.widths, "heavy": enc.wide.heavy}
         state["vector_scales"] = pre.vector_scales
         mapping = enc.wide.mapping
     elif isinstance(enc, encode.LabelModel):
         state["encoder"] = {"kind": "label", "columns": enc.columns,
-                            "broadcastable": enc.broadcastable}
+                            "broadcastable": enc.broadcastable, "heavy": enc.heavy}
         mapping = enc.mapping
     elif isinstance(enc, encode.TargetModel):
         state["encoder"] = {"kind": "target", "columns": enc.columns,
                             "global_mean": enc.global_mean, "smoothing": enc.smoothing,
-                            "broadcastable": enc.broadcastable}
+                            "broadcastable": enc.broadcastable, "heavy": enc.heavy}
         mapping = enc.mapping
     return state, mapping
 
@@ -85,6 +86,13 @@ def save_model(path: str, spark: SparkSession, pre: models.Preprocessor, fitted:
                           "coef": m.coef.tolist(), "intercept": m.intercept,
                           "converged": m.converged}, f"{path}/model")
         model_class = "SvrModel"
+    elif isinstance(m, gram.LinearModel):
+        coefs = m.coefficients.toArray()
+        _json_row(spark, {"kind": "linear", "coef": coefs.tolist(), "intercept": m.intercept}, f"{path}/model")
+        model_class = "LinearModel"
+    elif isinstance(m, forest.ForestModel):
+        m.packed.write.mode("overwrite").parquet(f"{path}/model")
+        coefs, model_class = m.featureImportances.toArray(), "ForestModel"
     else:
         m.write().overwrite().save(f"{path}/model")
         model_class = type(m).__name__
@@ -114,13 +122,14 @@ def load_model(path: str, spark: SparkSession):
         enc = encode.OneHotModel(e["categories"])
     elif e and e["kind"] == "onehot_mixed":
         enc = encode.MixedOneHotModel(encode.OneHotModel(e["categories"]), encode.OneHotVectorModel(
-            spark.read.parquet(f"{path}/mappings"), e["widths"]))
+            spark.read.parquet(f"{path}/mappings"), e["widths"], e.get("heavy", {})))
     elif e and e["kind"] == "label":
         enc = encode.LabelModel(spark.read.parquet(f"{path}/mappings"), e["columns"],
-                                e["broadcastable"])
+                                e["broadcastable"], e.get("heavy", {}))
     elif e and e["kind"] == "target":
         enc = encode.TargetModel(spark.read.parquet(f"{path}/mappings"), e["columns"],
-                                 e["global_mean"], e["smoothing"], e["broadcastable"])
+                                 e["global_mean"], e["smoothing"], e["broadcastable"],
+                                 e.get("heavy", {}))
     fill = None
     if st.get("fill"):
         fill = clean.FillModel(st["fill"]["values"], st["fill"]["steps"], st["fill"]["widen"],
@@ -137,6 +146,11 @@ def load_model(path: str, spark: SparkSession):
                             None if s["omega"] is None else np.array(s["omega"]),
                             None if s["phase"] is None else np.array(s["phase"]),
                             np.array(s["coef"]), s["intercept"], s.get("converged", False))
+    elif meta["model_class"] == "LinearModel":
+        s = _read_json_row(spark, f"{path}/model")
+        m = gram.LinearModel(DenseVector(s["coef"]), s["intercept"])
+    elif meta["model_class"] == "ForestModel":
+        m = forest.read_model(spark, f"{path}/model", len(meta["feature_names"]))
     else:
         m = _LOADERS[meta["model_class"]].load(f"{path}/model")
     return pre, models.FittedModel(meta["model_type"], meta["feature_names"], m,

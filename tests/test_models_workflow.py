@@ -115,24 +115,24 @@ def test_prepare_with_each_encoding_and_drop(spark):
     assert prepared.count() == 300 - 18 and steps[0] == "Dropped rows with missing values"
 
 
-def test_registered_forests_fit_the_default_depth(spark, monkeypatch):
+def test_registered_forests_grow_without_a_depth_limit(spark, monkeypatch):
+    from regressa.plans import forest
     from regressa.plans.queries import QUERIES
 
     class Fitted(Exception):
         pass
 
-    depths = []
+    grown = []
 
-    def built(name, hp, moments, *args, **kwargs):
-        depths.append(estimator(name, hp, moments, *args, **kwargs).getMaxDepth())
+    def fit(data, x, y, width, trees, how, **kwargs):
+        grown.append((trees, how.max_depth, how.min_samples_split, how.max_features))
         raise Fitted
 
-    estimator = models.build_estimator
-    monkeypatch.setattr(models, "build_estimator", built)
+    monkeypatch.setattr(forest, "fit_forest", fit)
     for name in ("random_forest_lineitem", "feature_importance_lineitem"):
         with pytest.raises(Fitted):
             QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert depths == [models.DEFAULT_FOREST_DEPTH] * 2
+    assert grown == [(100, None, 2, None)] * 2
 
 
 def test_columns_beyond_the_one_hot_limit_are_fitted(spark, monkeypatch, tmp_path):
