@@ -41,6 +41,17 @@ def dtype_name(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
+def fingerprint(columns) -> list:
+    """128 bits over columns as two hashes; equal rows have equal ones (nulls, NaN and the two
+    zeros included), different rows with all but certainty."""
+    parts = []
+    for c, dtype in columns:
+        v = c + F.lit(0.0) if isinstance(dtype, (FloatType, DoubleType)) else c
+        # A null leaves a hash as it was, so its place is told apart.
+        parts += [v, c.isNull()]
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (1, 2)]
+
+
 def normalise_nan(df: DataFrame, cols=None) -> DataFrame:
     """NaN -> NULL for floating columns (pandas treats both as missing)."""
     cols = cols or [f.name for f in df.schema.fields

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,6 +75,48 @@ def ks_pvalue_sql(lam: str, dialect: str = "spark", terms: int = 100) -> str:
             f"ELSE least(1.0, greatest(0.0, 2.0 * {series})) END)")
 
 
+#: Values of the larger sample up to which the reference's test takes the exact p-value.
+KS_EXACT_ROWS = 10_000
+
+
+def ks_exact_scalar(d: float, n: int, m: int) -> float:
+    """P(D >= d) of the two-sample Kolmogorov-Smirnov statistic for samples of ``n`` and ``m``.
+
+    A random merge of the samples is a lattice path from (0, 0) to (n, m); D reaches ``d`` where a
+    path meets a point with |i m - j n| >= d n m. Backwards from the end, the last step came from the
+    first sample with probability i / (i + j), so the chance of having met such a point by (i, j) is
+    that mean of the chances at its two predecessors, and 1 on the points themselves. One diagonal
+    i + j = s after the other, and only between the two lines: no term is subtracted, so tiny chances
+    keep their digits."""
+    if n <= 0 or m <= 0 or d != d:
+        return float("nan")
+    h = round(d * n * m)  # the statistic is a multiple of 1 / (n m)
+    if h <= 0:
+        return 1.0
+    low, met = 0, np.zeros(1)  # chances at i = low, low + 1, ... of the last diagonal
+    for s in range(1, n + m + 1):
+        # Inside the lines: |i m - (s - i) n| < h, and on the grid.
+        first = max(0, s - m, (s * n - h) // (n + m) + 1)
+        last = min(s, n, -((-s * n - h) // (n + m)) - 1)
+        if last < first:
+            return 1.0
+        i = np.arange(first, last + 1)
+        wide = np.ones(len(i) + 1)  # chances at i - 1 and i before; 1 outside the lines
+        a, b = max(first - 1, low), min(last, low + len(met) - 1)
+        if a <= b:
+            wide[a - first + 1:b - first + 2] = met[a - low:b - low + 1]
+        met = (i * wide[:-1] + (s - i) * wide[1:]) / s
+        low = first
+    return float(min(1.0, met[n - low]))
+
+
+@F.pandas_udf(DoubleType())
+def ks_exact(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    """Exact p-values of result rows, one a tested column; null where ``d`` is."""
+    return pd.Series([ks_exact_scalar(float(a), int(b), int(c)) if pd.notna(a) and b and c else None
+                      for a, b, c in zip(d, n, m, strict=True)], dtype="float64")
+
+
 def skewness_unbiased(c: Column | str) -> Column:
     """Adjusted Fisher-Pearson skewness G1 (pandas ``skew``); aggregate."""
     c = F.col(c) if isinstance(c, str) else c

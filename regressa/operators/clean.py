@@ -22,21 +22,29 @@ from regressa.session import cut_lineage
 UNKNOWN = "Unknown"
 
 
+# A missing key part, which no text of a key holds.
+NULL_KEY = "\0"
+
+
 def key_text_cols(df: DataFrame, key_cols):
     """Key columns as text; timestamps as epoch microseconds so the text is the
-    same in every engine."""
+    same in every engine. Nulls get a mark of their own, and separators inside a
+    text are escaped, so that different keys have different texts."""
     out = []
     for c in key_cols:
         t = df.schema[c].dataType.simpleString()
         if t == "timestamp_ntz":
             # Wall-clock microseconds since 1970-01-01: pure arithmetic, so the
             # text does not depend on the session time zone.
-            out.append(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
-                              f"`{c}`)").cast("string"))
+            text = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                                    col(c)).cast("string")
         elif t.startswith("timestamp"):
-            out.append(F.unix_micros(F.col(c)).cast("string"))
+            text = F.unix_micros(col(c)).cast("string")
         else:
-            out.append(F.col(c).cast("string"))
+            text = col(c).cast("string")
+            if role_of(df.schema[c].dataType) != "numeric":
+                text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        out.append(F.coalesce(text, F.lit(NULL_KEY)))
     return out
 
 
@@ -228,12 +236,19 @@ def fill_ordered(df: DataFrame, columns, order_by, partition_by=(), direction: s
 def drop_duplicates(df: DataFrame, subset=None, order_by=None) -> DataFrame:
     """Keep the first row of each duplicate group.
 
-    Whole-row duplicates: ``dropDuplicates()`` (hash aggregate, combined
-    map-side). With ``subset``, the first row by ``order_by`` (else by the other
+    Whole-row duplicates: 128-bit fingerprints of all rows are counted (narrow,
+    combined map-side); only rows whose fingerprint repeats are shuffled whole and
+    compared in full. With ``subset``, the first row by ``order_by`` (else by the other
     columns, so that reruns agree) is chosen with ``min_by`` in a partial
     aggregation, so a hot key never sorts its rows in one task."""
     if subset is None:
-        return df.dropDuplicates()
+        from regressa.operators.profile import repeated
+
+        # Rows whose fingerprint is the only one of its kind stay where they are.
+        marked, twice = repeated(df)
+        alone = marked.join(twice, ["__f1", "__f2"], "left_anti")
+        few = marked.join(twice, ["__f1", "__f2"], "left_semi").drop("__f1", "__f2").dropDuplicates()
+        return alone.select(*[col(c) for c in df.columns]).unionByName(few)
     rest = [c for c in df.columns if c not in subset]
     if not rest:
         return df.dropDuplicates(list(subset))

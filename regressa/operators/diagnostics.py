@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from regressa import messages as M
 from regressa.functions.stats import kurtosis_unbiased, norm_ppf_sql, skewness_unbiased
 from regressa.operators.metrics import metric_aggs
-from regressa.operators.ranking import exact_quantiles, with_row_number
+from regressa.operators.ranking import exact_quantiles, order_statistics, with_row_number
 
 # Labels of the four prediction bins, in order.
 BIN_LABELS = ("Low", "Medium-Low", "Medium-High", "High")
@@ -162,10 +162,24 @@ def heteroscedasticity(pred: DataFrame, key_cols, y: str = "y", p: str = "predic
     data = pred.select(*key_cols, F.col(p).alias("__p"), (F.col(y) - F.col(p)).alias("__r"))
     n = data.count()
     size = max(n // 3, 1)
-    ranked = with_row_number(data, ["__p", *key_cols], name="__rn")
-    grp = F.least(F.lit(2), F.floor((F.col("__rn") - 1) / F.lit(size))).cast("int")
-    per = ranked.groupBy(grp.alias("group")).agg(F.count(F.lit(1)).alias("n"),
-                                                 F.var_samp("__r").alias("variance"))
+    # The value at each limit, and how many of the rows that share it lie below the limit.
+    order = F.nanvl(F.col("__p").cast("double"), F.lit(None).cast("double"))
+    data = data.withColumn("__p", F.coalesce(order, F.lit(float("-inf"))))  # missing ones come first
+    at = order_statistics(data, {"__p": lambda m: [size - 1, 2 * size - 1]})["__p"][1]
+    limits = [(at[r][0], r + 1 - at[r][1], at[r][2]) for r in (size - 1, 2 * size - 1) if r in at]
+    above = sum((F.when(F.col("__p") > v, 1).otherwise(0) for v, _, _ in limits), F.lit(0))
+    cut = sorted({v for v, inside, equal in limits if inside < equal})
+    rows = data.select("__r", above.alias("group")) if not cut else \
+        data.where(~F.col("__p").isin(cut)).select("__r", above.alias("group"))
+    for v in cut:
+        # A limit falls among equal predictions: those rows alone are ranked, by key.
+        ranked = with_row_number(data.where(F.col("__p") == v), key_cols, name="__rn")
+        first = sum(1 for w, _, _ in limits if w < v)
+        past = sum((F.when(F.col("__rn") > inside, 1).otherwise(0)
+                    for w, inside, _ in limits if w == v), F.lit(first))
+        rows = rows.unionByName(ranked.select("__r", past.alias("group")))
+    per = rows.groupBy(F.col("group").cast("int").alias("group")).agg(
+        F.count(F.lit(1)).alias("n"), F.var_samp("__r").alias("variance"))
     # ``per`` has three rows, so a whole-frame window over it is bounded.
     w = Window.partitionBy(F.lit(1))
     return per.select(

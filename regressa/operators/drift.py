@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regressa.functions.columns import role_of
-from regressa.functions.stats import chi2_sf, ks_pvalue_sql
+from regressa.functions.columns import col, role_of
+from regressa.functions.stats import KS_EXACT_ROWS, chi2_sf, ks_exact, ks_pvalue_sql
 from regressa.operators.metrics import metric_aggs
 from regressa.operators.ranking import range_buckets, unpivot_numeric, value_counts_cumulative
 
@@ -32,11 +32,15 @@ def common_features(reference: DataFrame, new: DataFrame) -> tuple[list, list]:
 
 
 def ks_drift(reference: DataFrame, new: DataFrame, columns=None,
-             threshold: float = DRIFT_P_THRESHOLD) -> DataFrame:
+             threshold: float = DRIFT_P_THRESHOLD, method: str = "auto") -> DataFrame:
     """Two-sample Kolmogorov-Smirnov per numeric column, nulls dropped.
-    Rows ``(feature, test, statistic, p_value, n_ref, n_new, drifted)``;
-    p-value from the asymptotic Kolmogorov distribution with
-    ``lambda = sqrt(n m / (n + m)) * D``."""
+    Rows ``(feature, test, statistic, p_value, n_ref, n_new, drifted)``. The
+    p-value is exact (lattice paths) where neither sample has more than
+    ``KS_EXACT_ROWS`` values, and beyond from the asymptotic Kolmogorov
+    distribution with ``lambda = sqrt(n m / (n + m)) * D``; ``method`` 'exact'
+    or 'asymp' asks for one of them."""
+    if method not in ("auto", "exact", "asymp"):
+        raise ValueError(f"unknown method {method!r}")
     cols = list(columns) if columns is not None else common_features(reference, new)[0]
     ref = unpivot_numeric(reference, cols, name="feature").withColumn("__ref", F.lit(1))
     nw = unpivot_numeric(new, cols, name="feature").withColumn("__ref", F.lit(0))
@@ -57,9 +61,13 @@ def ks_drift(reference: DataFrame, new: DataFrame, columns=None,
     n, m = F.col("n_ref").cast("double"), F.col("n_new").cast("double")
     en = n * m / (n + m)
     lam = F.sqrt(en) * F.col("statistic")
-    out = stat.withColumn("__lam", lam).select(
+    # One row a column from here on.
+    few = {"auto": F.greatest("n_ref", "n_new") <= KS_EXACT_ROWS, "exact": F.lit(True),
+           "asymp": F.lit(False)}[method]
+    exact = ks_exact(F.when(few, F.col("statistic")), "n_ref", "n_new")
+    out = stat.withColumn("__lam", lam).withColumn("__exact", exact).select(
         "feature", F.lit("kolmogorov_smirnov").alias("test"), "statistic",
-        F.expr(ks_pvalue_sql("__lam")).alias("p_value"), "n_ref", "n_new")
+        F.coalesce("__exact", F.expr(ks_pvalue_sql("__lam"))).alias("p_value"), "n_ref", "n_new")
     return out.withColumn("drifted", F.col("p_value") < F.lit(threshold))
 
 
@@ -71,8 +79,9 @@ def chi_square_counts(reference: DataFrame, new: DataFrame, columns=None) -> Dat
     cols = list(columns) if columns is not None else common_features(reference, new)[1]
 
     def counts(df, name):
-        long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-            [], cols, "feature", "category").where(F.col("category").isNotNull())
+        entries = F.array(*[F.struct(F.lit(c).alias("feature"), col(c).cast("string").alias("category"))
+                            for c in cols])
+        long = df.select(F.explode(entries).alias("e")).select("e.*").where("category IS NOT NULL")
         return long.groupBy("feature", "category").agg(F.count(F.lit(1)).alias(name))
 
     joined = counts(reference, "o_ref").join(counts(new, "o_new"), ["feature", "category"],
@@ -228,7 +237,7 @@ def monitor_batch(predictions: DataFrame, actuals: DataFrame | None, key_cols,
 
 def monitoring_report(alerts: DataFrame, ts_col: str, last: int = 10):
     """(last ``last`` alerts by time, totals by severity)."""
-    others = [F.col(c) for c in alerts.columns if c != ts_col]
+    others = [col(c) for c in alerts.columns if c != ts_col]
     recent = alerts.orderBy(F.desc(ts_col), *others).limit(last)
     totals = alerts.agg(F.count(F.lit(1)).alias("total_alerts"),
                         F.count_if(F.col("severity") == "high").alias("high_severity"),

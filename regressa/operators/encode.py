@@ -84,6 +84,40 @@ def fit_one_hot(df: DataFrame, cols) -> OneHotModel:
     return OneHotModel(_category_lists(df, cols))
 
 
+#: Share of the rows from which on a category counts as heavy (so at most 200 a column), and keys that
+#: the rows of heavy and of null categories are spread over in a join.
+HEAVY_SHARE, SPREAD = 0.005, 4096
+
+
+def _heavy(counted: DataFrame, result: str) -> dict[str, dict]:
+    """The measured heavy categories ``{column: {value: result}}`` of rows (column, value, n,
+    result)."""
+    total = counted.groupBy("column").agg(F.sum("n").alias("t"))
+    rows = counted.join(F.broadcast(total), "column").where(F.col("n") >= HEAVY_SHARE * F.col("t"))
+    out: dict[str, dict] = {}
+    for r in rows.select("column", "value", result).collect():  # at most 200 rows a column
+        out.setdefault(r["column"], {})[r["value"]] = r[result]
+    return out
+
+
+def _look_up(df: DataFrame, value, mapping: DataFrame, heavy: dict, name: str) -> DataFrame:
+    """``df`` with ``name``: the result that ``mapping (value, name)`` has for ``value``, else null.
+
+    Heavy categories are answered from a small literal map. Their rows, and those without a value,
+    enter the join under keys that match nothing, spread over ``SPREAD`` of them, so that neither a
+    hot nor a null category gathers in one task."""
+    known = F.lit(None)
+    if heavy:
+        known = F.create_map(*[F.lit(x) for pair in heavy.items() for x in pair])[F.col("__v")]
+    aside = F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("string"))
+    out = df.withColumn("__v", value).withColumn("__known", known) \
+        .withColumn("__k", F.when(F.col("__v").isNull() | F.col("__known").isNotNull(), aside)
+                    .otherwise(F.col("__v")))
+    m = mapping.select(F.col("value").alias("__k"), F.col(name).alias("__found"))
+    return out.join(m, "__k", "left").withColumn(name, F.when(F.col("__v").isNotNull(), F.coalesce(
+        "__known", "__found"))).drop("__k", "__v", "__known", "__found")
+
+
 @dataclass
 class OneHotVectorModel:
     """E1 as one sparse vector ``<col>_onehot`` a column: position ``i`` is the
@@ -93,16 +127,16 @@ class OneHotVectorModel:
 
     mapping: DataFrame
     widths: dict
+    heavy: dict = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
         out, codes = df, [f"__code{i}" for i in range(len(self.widths))]
         for (c, width), code in zip(self.widths.items(), codes, strict=True):
-            m = self.mapping.where(F.col("column") == c).select(
-                F.col("value").alias("__v"), (F.col("code") - 1).alias(code))
+            m = self.mapping.where(F.col("column") == c).select("value", F.col("code").alias(code))
+            out = _look_up(out, col(c).cast("string"), m, self.heavy.get(c), code)
             # The last code is the one that the encoder drops.
-            out = out.withColumn("__v", col(c).cast("string")).join(m, "__v", "left").withColumn(
-                code, F.when(F.col(code) >= 0, F.col(code)).otherwise(width - 1).cast("double")) \
-                .drop("__v")
+            out = out.withColumn(code, F.when(F.col(code) > 0, F.col(code) - 1).otherwise(width - 1)
+                                 .cast("double"))
         sizes = df.sparkSession.range(1).select(
             *[F.lit(float(w - 1)).alias(k) for w, k in zip(self.widths.values(), codes, strict=True)])
         encoder = OneHotEncoder(inputCols=codes, outputCols=[f"{c}_onehot" for c in self.widths])
@@ -116,16 +150,17 @@ def fit_one_hot_vector(df: DataFrame, cols) -> OneHotVectorModel:
     cols = list(cols)
     names = {f"c{i}": c for i, c in enumerate(cols)}
     long = df.select(*[col(c).cast("string").alias(k) for k, c in names.items()]).unpivot(
-        [], list(names), "column", "value").where(F.col("value").isNotNull()).distinct()
+        [], list(names), "column", "value").where(F.col("value").isNotNull()) \
+        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     ranked = with_row_number(long.withColumn("column", named[F.col("column")]), ["value"],
                              partition_by=["column"], name="__rn")
-    mapping = ranked.select("column", "value", (F.col("__rn") - 1).cast("int").alias("code")).cache()
+    mapping = ranked.select("column", "value", "n", (F.col("__rn") - 1).cast("int").alias("code")).cache()
     found = {r["column"]: r["n"] for r in
              mapping.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     if few := [c for c in cols if found.get(c, 0) < 2]:
         raise ValueError(f"columns with fewer than two categories: {few}")
-    return OneHotVectorModel(mapping, {c: found[c] for c in cols})
+    return OneHotVectorModel(mapping.drop("n"), {c: found[c] for c in cols}, _heavy(mapping, "code"))
 
 
 @dataclass
@@ -170,15 +205,15 @@ class LabelModel:
     mapping: DataFrame
     columns: list
     broadcastable: bool
+    heavy: dict = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
         for c in self.columns:
-            m = self.mapping.where(F.col("column") == c).select(
-                F.col("value").alias("__v"), F.col("code").alias("__code"))
-            out = (out.withColumn("__v", F.coalesce(col(c).cast("string"), F.lit(NULL_LABEL)))
-                   .join(m, "__v", "left")
-                   .withColumn(c, F.coalesce(F.col("__code"), F.lit(UNSEEN))).drop("__v", "__code"))
+            m = self.mapping.where(F.col("column") == c).select("value", F.col("code").alias("__code"))
+            out = _look_up(out, F.coalesce(col(c).cast("string"), F.lit(NULL_LABEL)), m,
+                           self.heavy.get(c), "__code") \
+                .withColumn(c, F.coalesce(F.col("__code"), F.lit(UNSEEN))).drop("__code")
         return out.select(*[col(c) for c in df.columns])
 
 
@@ -186,13 +221,23 @@ def fit_label(df: DataFrame, cols) -> LabelModel:
     """Codes from a distributed row number over the distinct values, so even a
     column with one value per row is encoded without a one-task window."""
     cols = list(cols)
-    long = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(NULL_LABEL)).alias(c)
-                       for c in cols]).unpivot([], cols, "column", "value").distinct()
-    ranked = with_row_number(long, ["value"], partition_by=["column"], name="__rn")
-    mapping = ranked.select("column", "value", (F.col("__rn") - 1).cast("int").alias("code"))
+    counted = _category_counts(df, cols, F.lit(NULL_LABEL))
+    ranked = with_row_number(counted, ["value"], partition_by=["column"], name="__rn")
+    mapping = ranked.select("column", "value", "n", (F.col("__rn") - 1).cast("int").alias("code"))
     mapping = mapping.cache()
     n = mapping.count()
-    return LabelModel(mapping, cols, n <= BROADCAST_MAX_ROWS)
+    return LabelModel(mapping.drop("n"), cols, n <= BROADCAST_MAX_ROWS, _heavy(mapping, "code"))
+
+
+def _category_counts(df: DataFrame, cols, missing, *others) -> DataFrame:
+    """Rows ``(column, value, n, ...)``: the values of all columns as text with their counts, nulls as
+    ``missing`` (left out where that is null); ``others`` are further aggregates."""
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(
+        col(c).cast("string"), missing.cast("string")).alias("value")) for c in cols])
+    long = df.select("*", F.explode(entries).alias("__e"))
+    return long.where("__e.value IS NOT NULL").groupBy(
+        F.col("__e.column").alias("column"), F.col("__e.value").alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), *others)
 
 
 @dataclass
@@ -206,31 +251,27 @@ class TargetModel:
     global_mean: float
     smoothing: float
     broadcastable: bool
+    heavy: dict = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
         for c in self.columns:
-            m = self.mapping.where(F.col("column") == c).select(
-                F.col("value").alias("__v"), F.col("enc").alias("__enc"))
-            out = (out.withColumn("__v", F.col(c).cast("string")).join(m, "__v", "left")
-                   .withColumn(c, F.coalesce(F.col("__enc"), F.lit(self.global_mean)))
-                   .drop("__v", "__enc"))
-        return out.select(*df.columns)
+            m = self.mapping.where(F.col("column") == c).select("value", F.col("enc").alias("__enc"))
+            out = _look_up(out, col(c).cast("string"), m, self.heavy.get(c), "__enc") \
+                .withColumn(c, F.coalesce(F.col("__enc"), F.lit(self.global_mean))).drop("__enc")
+        return out.select(*[col(c) for c in df.columns])
 
 
 def fit_target(df: DataFrame, cols, target: str, smoothing: float = 10.0) -> TargetModel:
     cols = list(cols)
-    g = df.agg(F.avg(F.col(target)).alias("g")).first()["g"]
-    long = df.where(F.col(target).isNotNull()).select(
-        F.col(target).alias("__y"), *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        ["__y"], cols, "column", "value").where(F.col("value").isNotNull())
-    stats = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"),
-                                                 F.sum("__y").alias("s"))
+    g = df.agg(F.avg(col(target)).alias("g")).first()["g"]
+    stats = _category_counts(df.where(col(target).isNotNull()), cols, F.lit(None),
+                             F.sum(col(target)).alias("s"))
     m = float(smoothing)
-    mapping = stats.select("column", "value", ((F.col("s") + F.lit(m * (g or 0.0))) /
-                                              (F.col("n") + F.lit(m))).alias("enc")).cache()
+    mapping = stats.select("column", "value", "n", ((F.col("s") + F.lit(m * (g or 0.0))) /
+                                                   (F.col("n") + F.lit(m))).alias("enc")).cache()
     n = mapping.count()
-    return TargetModel(mapping, cols, g, m, n <= BROADCAST_MAX_ROWS)
+    return TargetModel(mapping.drop("n"), cols, g, m, n <= BROADCAST_MAX_ROWS, _heavy(mapping, "enc"))
 
 
 @dataclass
@@ -281,18 +322,18 @@ def scale_vectors(df: DataFrame, scales: dict) -> DataFrame:
 def features_and_target(df: DataFrame, target: str, features=None):
     """E5: (features DataFrame, target column name)."""
     feats = list(features) if features else [c for c in df.columns if c != target]
-    return df.select(*feats), target
+    return df.select(*[col(c) for c in feats]), target
 
 
 def align_columns(df: DataFrame, expected, fill=0) -> DataFrame:
     """Add expected columns missing from a batch as ``fill`` and order the
     result as ``expected``; extra columns are dropped."""
-    return df.select(*[F.col(c) if c in df.columns else F.lit(fill).alias(c) for c in expected])
+    return df.select(*[col(c) if c in df.columns else F.lit(fill).alias(c) for c in expected])
 
 
 def select_features(df: DataFrame, feature_names) -> DataFrame:
     """Required features in training order (missing ones raise)."""
-    return df.select(*feature_names)
+    return df.select(*[col(c) for c in feature_names])
 
 
 def exact_split(df: DataFrame, key_cols, test_size: float = 0.2, seed: int = 42,

@@ -12,50 +12,72 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regressa.functions.columns import normalise_nan, categorical_columns, numeric_columns, role_of
+from regressa.functions.columns import (categorical_columns, col, fingerprint, normalise_nan,
+                                        numeric_columns, role_of)
 from regressa.operators.ranking import exact_quantiles
 
 
 def _num(c: str):
     """A numeric column as double with NaN as missing (pandas semantics)."""
-    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    return F.nanvl(col(c).cast("double"), F.lit(None).cast("double"))
 
 
 def null_counts(df: DataFrame) -> DataFrame:
     """Rows ``(column, null_count)`` from one aggregation; NaN counts as null."""
     df = normalise_nan(df)
-    agg = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    agg = df.agg(*[F.count_if(col(c).isNull()).alias(f"c{i}") for i, c in enumerate(df.columns)])
     return agg.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("null_count"))
         for i, c in enumerate(df.columns)])).alias("r")).select("r.*")
 
 
+def repeated(df: DataFrame, names=("__f1", "__f2")) -> tuple[DataFrame, DataFrame]:
+    """``df`` with the two halves of its rows' fingerprints, and the fingerprints that occur more
+    than once (narrow rows, counted map-side)."""
+    marks = fingerprint([(col(f.name), f.dataType) for f in df.schema.fields])
+    marked = df.select(*[col(c) for c in df.columns],
+                       *[m.alias(n) for m, n in zip(marks, names, strict=True)])
+    twice = marked.groupBy(*names).agg(F.count(F.lit(1)).alias("__k")).where("__k > 1").select(*names)
+    return marked, twice
+
+
+def _surplus(df: DataFrame) -> DataFrame:
+    """Rows after the first of equal ones. Only rows whose fingerprint repeats are shuffled whole
+    and compared in full; copies combine map-side."""
+    marked, twice = repeated(df)
+    few = marked.join(twice, ["__f1", "__f2"], "left_semi")
+    return few.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__k")).agg(
+        F.coalesce(F.sum(F.col("__k") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
+
+
 def duplicate_row_count(df: DataFrame) -> DataFrame:
     """Rows after the first occurrence (nulls compare equal), one row."""
-    # Grouping by the whole row combines copies map-side: a row repeated a
-    # billion times is one partial-aggregate entry per task.
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("k")).agg(
-        F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
+    return _surplus(df)
 
 
 def table_summary(df: DataFrame) -> DataFrame:
     """P1 + P10 + P13 + P3: one row ``(n_rows, n_columns, n_numeric,
-    n_categorical, n_other, total_missing, duplicate_rows)``.
+    n_categorical, n_other, total_missing, duplicate_rows)``; NaN counts as missing.
 
-    One shuffle: rows are grouped by every column (copies combine map-side),
-    then row count, missing cells and surplus copies are summed."""
+    Row count and missing cells are one aggregation without a shuffle of rows; duplicates are
+    counted as in :func:`duplicate_row_count`."""
+    df = normalise_nan(df)
     roles = [role_of(f.dataType) for f in df.schema.fields]
-    row_nulls = sum((F.col(c).isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
-    grouped = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__k"))
-    return grouped.agg(
-        F.coalesce(F.sum("__k"), F.lit(0)).cast("long").alias("n_rows"),
+    missing = sum((col(c).isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
+    counts = df.agg(F.count(F.lit(1)).alias("n_rows"),
+                    F.coalesce(F.sum(missing), F.lit(0)).cast("long").alias("total_missing"))
+    # Two rows, one of each side.
+    both = counts.withColumn("duplicate_rows", F.lit(None).cast("long")).unionByName(
+        _surplus(df).select(F.lit(None).cast("long").alias("n_rows"),
+                            F.lit(None).cast("long").alias("total_missing"), "duplicate_rows"))
+    return both.agg(
+        F.max("n_rows").alias("n_rows"),
         F.lit(len(df.columns)).alias("n_columns"),
         F.lit(roles.count("numeric")).alias("n_numeric"),
         F.lit(roles.count("categorical")).alias("n_categorical"),
         F.lit(roles.count("other")).alias("n_other"),
-        F.coalesce(F.sum(F.col("__k") * row_nulls), F.lit(0)).cast("long").alias("total_missing"),
-        F.coalesce(F.sum(F.col("__k") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
-    )
+        F.max("total_missing").alias("total_missing"),
+        F.max("duplicate_rows").alias("duplicate_rows"))
 
 
 # Bytes per value of fixed-width types (strings are measured per value).
@@ -71,11 +93,11 @@ def memory_usage(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         t = f.dataType.simpleString()
         if t == "string":
-            e = F.coalesce(F.sum(F.octet_length(F.col(f.name))), F.lit(0))
+            e = F.coalesce(F.sum(F.octet_length(col(f.name))), F.lit(0))
         elif t in _FIXED_WIDTH:
-            e = F.count(F.col(f.name)) * F.lit(_FIXED_WIDTH[t])
+            e = F.count(col(f.name)) * F.lit(_FIXED_WIDTH[t])
         else:
-            e = F.coalesce(F.sum(F.octet_length(F.col(f.name).cast("string"))), F.lit(0))
+            e = F.coalesce(F.sum(F.octet_length(col(f.name).cast("string"))), F.lit(0))
         exprs.append(e.cast("long").alias(f"c{len(exprs)}"))
     agg = df.agg(*exprs)
     names = [f.name for f in df.schema.fields]
@@ -111,19 +133,19 @@ def describe(df: DataFrame, columns=None, approx: bool = False,
     max``. Quantiles are exact with linear interpolation unless ``approx``."""
     cols = list(columns) if columns else numeric_columns(df)
     # NaN counts as missing, as in pandas.
-    df = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
-                     if dict(df.dtypes)[c] in ("double", "float") else F.col(c) for c in cols])
+    df = df.select(*[F.nanvl(col(c).cast("double"), F.lit(None).cast("double")).alias(c)
+                     if dict(df.dtypes)[c] in ("double", "float") else col(c) for c in cols])
     moments = df.agg(*[
-        F.struct(F.count(F.col(c)).alias("count"), F.avg(F.col(c)).alias("mean"),
-                 F.stddev_samp(F.col(c)).alias("std"),
-                 F.min(F.col(c)).cast("double").alias("min"),
-                 F.max(F.col(c)).cast("double").alias("max")).alias(f"m{i}")
+        F.struct(F.count(col(c)).alias("count"), F.avg(col(c)).alias("mean"),
+                 F.stddev_samp(col(c)).alias("std"),
+                 F.min(col(c)).cast("double").alias("min"),
+                 F.max(col(c)).cast("double").alias("max")).alias(f"m{i}")
         for i, c in enumerate(cols)])
     long = moments.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("m"))
         for i, c in enumerate(cols)])).alias("r")).select("r.column", "r.m.*")
     if approx:
-        qs = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [0.25, 0.5, 0.75],
+        qs = df.agg(*[F.percentile_approx(col(c).cast("double"), [0.25, 0.5, 0.75],
                                           int(1 / relative_error)).alias(f"q{i}")
                       for i, c in enumerate(cols)])
         q = qs.select(F.explode(F.array(*[
@@ -139,19 +161,42 @@ def describe(df: DataFrame, columns=None, approx: bool = False,
         "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
+def distinct_counts(df: DataFrame, columns=None) -> DataFrame:
+    """Distinct non-null values of all columns: rows ``(column, distinct)``, none for a column
+    without values. One narrow shuffle: each row gives the 128-bit fingerprints of its values, equal
+    ones combine map-side, and what is left is counted per column."""
+    cols = list(columns) if columns is not None else df.columns
+    marks = []
+    for i, c in enumerate(cols):
+        one, two = fingerprint([(col(c), df.schema[c].dataType)])
+        marks.append(F.when(col(c).isNotNull(), F.struct(F.lit(i).alias("i"), one.alias("a"), two.alias("b"))))
+    seen = df.select(F.explode(F.array_compact(F.array(*marks))).alias("m")).select("m.*").distinct()
+    names = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1)
+    return seen.groupBy("i").agg(F.count(F.lit(1)).alias("distinct")).select(names.alias("column"), "distinct")
+
+
 def column_profile(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
-    """P5: ``(column, dtype, non_null, null_count, unique_values)``."""
-    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
-    agg = df.agg(F.count(F.lit(1)).alias("n"), *[
-        F.struct(F.count(F.col(c)).alias("nn"), distinct(F.col(c)).alias("u")).alias(f"c{i}")
-        for i, c in enumerate(df.columns)])
-    return agg.select(F.explode(F.array(*[
+    """P5: ``(column, dtype, non_null, null_count, unique_values)``; distinct counts exact, or from
+    mergeable sketches in the same pass with ``approx_distinct``."""
+    counts = [F.count(col(c)) for c in df.columns]
+    if approx_distinct:
+        counts = [F.struct(n.alias("nn"), F.approx_count_distinct(col(c)).alias("u"))
+                  for n, c in zip(counts, df.columns, strict=True)]
+    else:
+        counts = [F.struct(n.alias("nn"), F.lit(None).cast("long").alias("u")) for n in counts]
+    agg = df.agg(F.count(F.lit(1)).alias("n"), *[c.alias(f"c{i}") for i, c in enumerate(counts)])
+    long = agg.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"),
                  F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
                  F.col(f"c{i}.nn").alias("non_null"),
                  (F.col("n") - F.col(f"c{i}.nn")).alias("null_count"),
                  F.col(f"c{i}.u").alias("unique_values"))
         for i, c in enumerate(df.columns)])).alias("r")).select("r.*")
+    if approx_distinct:
+        return long
+    # One row a column on both sides.
+    return long.join(distinct_counts(df), "column", "left").select(
+        "column", "dtype", "non_null", "null_count", F.coalesce("distinct", F.lit(0)).alias("unique_values"))
 
 
 def missing_report(df: DataFrame) -> DataFrame:
@@ -159,7 +204,7 @@ def missing_report(df: DataFrame) -> DataFrame:
     percentage rounded to 2 digits, most missing first; NaN counts as missing. One scan."""
     df = normalise_nan(df)
     agg = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[F.count_if(F.col(c).isNull()).alias(f"c{i}") for i, c in enumerate(df.columns)])
+                 *[F.count_if(col(c).isNull()).alias(f"c{i}") for i, c in enumerate(df.columns)])
     long = agg.select("n", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("missing_count"))
         for i, c in enumerate(df.columns)])).alias("r")).select("n", "r.*")
@@ -218,9 +263,8 @@ def row_change(before: DataFrame, after: DataFrame) -> DataFrame:
 def numeric_domain(df: DataFrame, columns=None) -> DataFrame:
     """P12 numeric part: ``(column, min, max, mean)``."""
     cols = list(columns) if columns else numeric_columns(df)
-    agg = df.agg(*[F.struct(F.min(F.col(c)).cast("double").alias("min"),
-                            F.max(F.col(c)).cast("double").alias("max"),
-                            F.avg(F.col(c)).alias("mean")).alias(f"c{i}")
+    agg = df.agg(*[F.struct(F.min(_num(c)).alias("min"), F.max(_num(c)).alias("max"),
+                            F.avg(_num(c)).alias("mean")).alias(f"c{i}")
                    for i, c in enumerate(cols)])
     return agg.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("s"))
@@ -231,7 +275,8 @@ def categorical_domain(df: DataFrame, columns=None) -> DataFrame:
     """P12 categorical part: distinct ``(column, value)`` pairs, with counts;
     aggregated per value so a hot category is one row."""
     cols = list(columns) if columns else categorical_columns(df)
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        [], cols, "column", "value")
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in cols]))
+        .alias("r")).select("r.*")
     return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(
         F.count(F.lit(1)).alias("count"))

@@ -13,13 +13,18 @@ into range partitions instead:
    sum; offset + local = global running sum.
 
 Skew: a single hot order value is spread by the tie-breaking keys the caller
-adds; for value-count inputs (quantiles, KS) values are aggregated to
-``(value, count)`` before ranking, so a hot value is one row.
+adds; for value-count inputs (KS) values are aggregated to ``(value, count)``
+before ranking, so a hot value is one row.
+
+Where only some ranks are wanted (quantiles, medians, terciles), no row moves at
+all: see :func:`order_statistics`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,63 +137,152 @@ def value_counts_cumulative(
                              num_buckets=num_buckets)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    group_cols: Sequence[str] = (),
-    num_buckets: int | None = None,
-) -> DataFrame:
-    """Exact quantiles with linear interpolation (pandas' default, DuckDB's
-    ``quantile_cont``) of several numeric columns in one distributed job.
+#: Cells of the sketch that brackets a rank, and rows up to which a bracket's values are collected
+#: (as distinct values with counts).
+SKETCH_CELLS, BRACKET_ROWS = 1024, 4096
+
+
+@dataclass
+class _Bracket:
+    """Where the value of one rank lies: verified ends, and the closed range tried next."""
+
+    column: str
+    rank: int
+    ends: tuple = (float("-inf"), True, float("inf"), True)  # low, low itself counts, high, likewise
+    tried: tuple | None = None
+    below: int = 0  # rows below ``tried``
+    rows: int = 0  # rows inside it
+
+    def inside(self, v: Column, low, with_low, high, with_high) -> Column:
+        return ((v >= low) if with_low else (v > low)) & ((v <= high) if with_high else (v < high))
+
+    def narrow(self, low: float, high: float) -> None:
+        """Try [low, high]; where that is no smaller than the last range, one value of it."""
+        new = (low, True, high, True)
+        self.tried = new if new != self.ends else (low, True, low, True)
+
+    def settle(self, below: int, rows: int) -> bool:
+        """Counts of ``tried`` are known: whether the rank lies in it."""
+        low, with_low, high, with_high = self.tried
+        if self.rank < below:
+            self.ends = (*self.ends[:2], low, not with_low)
+        elif self.rank >= below + rows:
+            self.ends = (high, not with_high, *self.ends[2:])
+        else:
+            self.ends, self.below, self.rows = self.tried, below, rows
+            return True
+        return False
 
-    Returns rows ``(*group_cols, column, prob, value)``; nulls and NaN are
-    ignored; a column with no values gives a null quantile.
+
+def order_statistics(df: DataFrame, ranks: Mapping[str, Callable[[int], Sequence[int]]]) -> dict:
+    """Exact order statistics of numeric columns, without sorting, shuffling or writing a row.
+
+    ``ranks`` gives, for a column and its number of values, the 0-based ranks that are wanted;
+    nulls and NaN are ignored. Returns ``{column: (n, {rank: (value, rows below it, rows equal to
+    it)})}``.
+
+    A mergeable sketch brackets each rank between two values (one pass over all columns). The next
+    pass counts the rows below and inside each bracket, which proves it or shows on which side the
+    rank lies, and sketches the inside of those that are still wide, each about 200 times narrower
+    than before. A bracket of few rows is collected as values with counts; one that is a single value
+    is done however many rows share it. The driver sees counts, sketches and at most
+    ``BRACKET_ROWS`` values a bracket.
     """
-    group_cols = list(group_cols)
-    columns = list(columns)
-    # Size the range partitions from the source table (the long form is
-    # ``len(columns)`` times as many rows before values are combined).
-    buckets = range_buckets(df, num_buckets, scale_hint=len(columns))
-    long = unpivot_numeric(df, columns, id_cols=group_cols).where(F.col("value").isNotNull())
-    gkeys = [*group_cols, "column"]
-    cum = value_counts_cumulative(long, "value", gkeys, num_buckets=buckets)
-
-    n = long.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("n"))
-    prob_arr = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (
-        n.select(*gkeys, "n", F.explode(prob_arr).alias("prob"))
-        .withColumn("h", F.col("prob") * (F.col("n") - 1))
-        .withColumn("frac", F.col("h") - F.floor("h"))
-        .select(*gkeys, "prob", "frac",
-                F.explode(F.array(
-                    F.struct(F.lit("lo").alias("side"), F.floor("h").cast("long").alias("r")),
-                    F.struct(F.lit("hi").alias("side"), F.ceil("h").cast("long").alias("r")),
-                )).alias("t"))
-        .select(*gkeys, "prob", "frac", "t.side", "t.r")
-    )
-    if not group_cols:
-        targets = F.broadcast(targets)  # columns x probs x 2 rows
-    hit = targets.join(cum, on=gkeys, how="inner").where(
-        (F.col("cnt_before") <= F.col("r")) & (F.col("r") < F.col("cnt_before") + F.col("cnt")))
-    picked = hit.groupBy(*gkeys, "prob", "frac").agg(
-        F.max(F.when(F.col("side") == "lo", F.col("value"))).alias("lo"),
-        F.max(F.when(F.col("side") == "hi", F.col("value"))).alias("hi"),
-    )
-    return picked.select(
-        *gkeys, "prob",
-        (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("value"))
+    names = {c: f"c{i}" for i, c in enumerate(ranks)}
+    flat = df.select(*[F.nanvl(col(c).cast("double"), F.lit(None).cast("double")).alias(k)
+                       for c, k in names.items()])
+    probs = [i / SKETCH_CELLS for i in range(SKETCH_CELLS + 1)]
+
+    def sketch(v: Column) -> Column:
+        return F.percentile_approx(v, probs, 4 * SKETCH_CELLS)
+
+    first = flat.agg(*[F.struct(F.count(k).alias("n"), sketch(F.col(k)).alias("q")).alias(k)
+                       for k in names.values()]).first()
+    found: dict = {}
+    open_: list[_Bracket] = []
+
+    def aim(b: _Bracket, cells, rank: int, rows: int) -> None:
+        at = rank * SKETCH_CELLS // max(rows, 1)
+        b.narrow(cells[max(0, at - 2)], cells[min(SKETCH_CELLS, at + 3)])
+
+    for c, k in names.items():
+        n, cells = first[k]["n"], first[k]["q"]
+        wanted = sorted({int(r) for r in ranks[c](n) if 0 <= r < n}) if n else []
+        found[c] = (n, {})
+        for r in wanted:
+            b = _Bracket(c, r)
+            aim(b, cells, r, n)
+            open_.append(b)
+    few: list[_Bracket] = []
+    while open_:
+        ranges = {(b.column, b.tried): F.col(names[b.column]) for b in open_}
+        keys = {key: f"b{i}" for i, key in enumerate(ranges)}
+        aggs = []
+        for key, v in ranges.items():
+            inside = open_[0].inside(v, *key[1])
+            aggs.append(F.struct(
+                F.count_if(v < key[1][0]).alias("below"), F.count_if(inside).alias("rows"),
+                (sketch(F.when(inside, v)) if first[names[key[0]]]["n"] > 64 * BRACKET_ROWS
+                 else F.lit(None).cast("array<double>")).alias("q")).alias(keys[key]))
+        counted = flat.agg(*aggs).first()
+        following = []
+        for b in open_:
+            key, held = (b.column, b.tried), counted[keys[b.column, b.tried]]
+            if not b.settle(held["below"], held["rows"]):
+                low, with_low, high, with_high = b.ends
+                # The rank lies beside the range: the whole side is the next range.
+                b.tried = b.ends
+                following.append(b)
+            elif key[1][0] == key[1][2]:
+                found[b.column][1][b.rank] = (key[1][0], b.below, b.rows)
+            elif b.rows <= BRACKET_ROWS or held["q"] is None:
+                few.append(b)
+            else:
+                aim(b, held["q"], b.rank - b.below, b.rows)
+                following.append(b)
+        open_ = following
+    if few:
+        spans = {(b.column, b.ends): i for i, b in enumerate(few)}
+        entries = F.array(*[F.struct(F.lit(i).alias("i"), F.when(
+            few[0].inside(F.col(names[c]), *ends), F.col(names[c])).alias("v"))
+            for (c, ends), i in spans.items()])
+        values: dict[int, list] = {}
+        for r in flat.select(F.explode(F.filter(entries, lambda e: e.v.isNotNull())).alias("e")) \
+                .select("e.*").groupBy("i", "v").count().collect():
+            values.setdefault(r["i"], []).append((r["v"], r["count"]))
+        for b in few:
+            below = b.below
+            for v, n in sorted(values[spans[b.column, b.ends]]):
+                if b.rank < below + n:
+                    found[b.column][1][b.rank] = (v, below, n)
+                    break
+                below += n
+    return found
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation (pandas' default, DuckDB's ``quantile_cont``) of
+    numeric columns: rows ``(column, prob, value)``; nulls and NaN are ignored, and a column with
+    no values has no rows."""
+    def wanted(n: int) -> list[int]:
+        return [r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))]
+
+    rows = []
+    for c, (n, at) in order_statistics(df, {c: wanted for c in columns}).items():
+        for p in probs if n else ():
+            h = p * (n - 1)
+            low, high = at[math.floor(h)][0], at[math.ceil(h)][0]
+            rows.append((c, float(p), low + (high - low) * (h - math.floor(h)) if high != low else low))
+    return df.sparkSession.createDataFrame(rows, "column string, prob double, value double")
 
 
 def unpivot_numeric(df: DataFrame, columns: Sequence[str], id_cols: Sequence[str] = (),
                     name: str = "column", value: str = "value") -> DataFrame:
     """Long form ``(*id_cols, column, value double)``; NaN becomes null."""
-    id_cols = list(id_cols)
-    casted = df.select(
-        *id_cols,
-        *[F.nanvl(col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns],
-    )
-    return casted.unpivot(id_cols, [col(c) for c in columns], name, value)
+    entries = F.array(*[F.struct(F.lit(c).alias(name), F.nanvl(
+        col(c).cast("double"), F.lit(None).cast("double")).alias(value)) for c in columns])
+    return df.select(*[col(c) for c in id_cols], F.explode(entries).alias("__e")) \
+        .select(*[col(c) for c in id_cols], f"__e.{name}", f"__e.{value}")
 
 
 # Largest number of rows in the wanted prefix buckets that the last pass may

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from regressa import messages as M
-from regressa.functions.columns import categorical_columns, role_of
+from regressa.functions.columns import categorical_columns, col, role_of
+from regressa.operators.profile import distinct_counts
 
 # Thresholds of the reference's validator.
 MIN_VALID_TARGET_RATIO = 0.5
@@ -32,19 +33,24 @@ def validate(df: DataFrame, target: str, *, approx_distinct: bool = False) -> Da
     has_target = target in df.columns
     features = [c for c in df.columns if c != target]
     cats = categorical_columns(df, exclude=(target,))
-    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
-
     aggs = [F.count(F.lit(1)).alias("n")]
     if has_target:
-        t = F.col(target)
+        t = col(target)
         aggs.append(F.count(t).alias("t_nn"))
         if role_of(df.schema[target].dataType) == "numeric":
             aggs.append(F.lit(0).cast("long").alias("t_bad"))
         else:
-            aggs.append(F.count_if(t.isNotNull() & F.expr(
-                f"try_cast(`{target}` AS DOUBLE)").isNull()).alias("t_bad"))
-    aggs += [distinct(F.col(c)).alias(f"d_{i}") for i, c in enumerate(cats)]
+            aggs.append(F.count_if(t.isNotNull() & t.try_cast("double").isNull()).alias("t_bad"))
+    if approx_distinct:
+        aggs += [F.approx_count_distinct(col(c)).alias(f"d_{i}") for i, c in enumerate(cats)]
     stats = df.agg(*aggs)
+    if cats and not approx_distinct:
+        # One row on both sides: the distinct counts come from their own narrow shuffle.
+        counts = distinct_counts(df, cats).agg(*[
+            F.coalesce(F.max(F.when(F.col("column") == c, F.col("distinct"))), F.lit(0)).alias(f"d_{i}")
+            for i, c in enumerate(cats)])
+        both = stats.unionByName(counts, allowMissingColumns=True)
+        stats = both.agg(*[F.max(c).alias(c) for c in both.columns])
 
     n = F.col("n").cast("double")
     rows = [
@@ -114,7 +120,7 @@ def validate_scoring_input(df: DataFrame, feature_names: list[str]) -> DataFrame
     static = spark.createDataFrame(rows, schema)
     if not present:
         return static
-    nn = df.agg(*[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(present)])
+    nn = df.agg(*[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(present)])
     null_rows = nn.select(F.explode(F.array(*[
         F.struct(F.lit("all_null_feature").alias("check"), F.lit("error").alias("severity"),
                  F.lit(c).alias("column_name"), (F.col(f"c{i}") == 0).alias("failed"))
@@ -129,8 +135,6 @@ def missing_features(df: DataFrame, feature_names: list[str]) -> list[str]:
 
 def coerce_target(df: DataFrame, target: str) -> DataFrame:
     """Target as DOUBLE (``try_cast`` for numeric strings, NaN -> NULL)."""
-    t = F.col(target)
-    if isinstance(df.schema[target].dataType, StringType):
-        t = F.expr(f"try_cast(`{target}` AS DOUBLE)")
-    t = t.cast("double")
+    t = col(target)
+    t = t.try_cast("double") if isinstance(df.schema[target].dataType, StringType) else t.cast("double")
     return df.withColumn(target, F.nanvl(t, F.lit(None).cast("double")))

@@ -53,8 +53,13 @@ def _describe_sql() -> str:
     return _unpivot_union(LI_NUM, one)
 
 
+#: The numeric columns of lineitem with the target.
+LI_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+              "l_extendedprice", "l_discount", "l_tax", "net_price"]
+
+
 def _corr_sql() -> str:
-    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "net_price"]
+    cols = LI_NUMBERS
     parts = []
     for a in cols:
         for b in cols:
@@ -65,7 +70,7 @@ def _corr_sql() -> str:
 
 
 def _target_corr_sql() -> str:
-    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    cols = [c for c in LI_NUMBERS if c != "net_price"]
     return _unpivot_union(cols, lambda c: (
         f"SELECT '{c}' AS feature, round(corr({c}, net_price), 6) AS corr, "
         f"round(abs(corr({c}, net_price)), 6) AS abs_corr FROM {LI}"))
@@ -120,9 +125,9 @@ ORACLE = {
     "target_correlation_lineitem": _target_corr_sql(),
     "head_orders": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100",
     "numeric_domain_lineitem": _unpivot_union(
-        ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
-        lambda c: (f"SELECT '{c}' AS column, round(min({c}), 6) AS min, round(max({c}), 6) AS max,"
-                   f" round(avg({c}), 6) AS mean FROM lineitem")),
+        LI_NUMBERS,
+        lambda c: (f"SELECT '{c}' AS column, round(min({c})::DOUBLE, 6) AS min, "
+                   f"round(max({c})::DOUBLE, 6) AS max, round(avg({c}), 6) AS mean FROM {LI}")),
     "categorical_domain_orders": _unpivot_union(
         ["o_orderstatus", "o_orderpriority"],
         lambda c: (f"SELECT '{c}' AS column, {c} AS value, count(*) AS count FROM orders "
@@ -251,7 +256,8 @@ ORACLE.update({
 
 # --- single-feature OLS ------------------------------------------------------
 
-from regressa.functions.stats import ks_pvalue_sql, norm_ppf_sql  # noqa: E402
+from regressa.functions.stats import KS_EXACT_ROWS, ks_pvalue_sql, norm_ppf_sql  # noqa: E402
+from regressa.plans.queries import WHOLE_DRIFT  # noqa: E402
 
 OLS = (f"WITH s AS {_split_cte(LI)}, "
        "fit AS (SELECT regr_slope(net_price, l_extendedprice) AS b, "
@@ -308,10 +314,25 @@ _QQ = (OLS + ", n AS (SELECT count(*) AS n FROM t), "
        ", 6) AS theoretical, round(sample, 2) AS sample FROM r, n")
 
 
+def _ks_exact(d: str, n: str, m: str) -> str:
+    """Exact two-sample p-value by lattice paths, one diagonal a step of the fold: the list holds the
+    first point inside the lines, then the chances to have met a line by each point inside."""
+    h = f"round({d} * {n} * {m})"
+    first = f"greatest(0, x[1] - {m}, floor((x[1] * {n} - {h}) / ({n} + {m})) + 1)"
+    last = f"least(x[1], {n}, ceil((x[1] * {n} + {h}) / ({n} + {m})) - 1)"
+    return (f"(list_reduce(list_transform(range(1, {n} + {m} + 1), lambda s: [s::DOUBLE]), lambda a, x: "
+            f"list_concat([{first}], list_transform(range({first}::BIGINT, {last}::BIGINT + 1), lambda i: "
+            "(i * CASE WHEN i - 1 < a[1] THEN 1.0 ELSE coalesce(a[(i + 1 - a[1])::BIGINT], 1.0) END "
+            "+ (x[1] - i) * coalesce(a[(i + 2 - a[1])::BIGINT], 1.0)) / x[1])), "
+            "[0.0::DOUBLE, 0.0::DOUBLE])[-1])")
+
+
 def _ks_sql(shift: float) -> str:
     val = f"CASE WHEN is_ref THEN value ELSE value * {shift} END" if shift != 1.0 else "value"
     lam = "(sqrt(n_ref * n_new / (n_ref + n_new)) * d)"
-    p = ks_pvalue_sql(lam, dialect="duckdb")
+    # Beyond lambda = 5 the p-value is below 1e-20 either way.
+    p = (f"CASE WHEN {lam} > 5 THEN 0.0 WHEN greatest(n_ref, n_new) <= {KS_EXACT_ROWS} THEN "
+         f"{_ks_exact('d', 'n_ref', 'n_new')} ELSE {ks_pvalue_sql(lam, dialect='duckdb')} END")
     return ("WITH ev AS (SELECT *, day(ts) <= 15 AS is_ref FROM events), "
             f"long AS (SELECT 'value' AS feature, ({val})::DOUBLE AS v, is_ref FROM ev "
             "UNION ALL SELECT 'user_id', user_id::DOUBLE, is_ref FROM ev), "
@@ -324,9 +345,9 @@ def _ks_sql(shift: float) -> str:
             "FROM c), "
             "st AS (SELECT feature, max(abs(cr / nr - cw / nw)) AS d, "
             "CAST(any_value(nr) AS BIGINT) AS n_ref, CAST(any_value(nw) AS BIGINT) AS n_new "
-            "FROM cum GROUP BY feature) "
+            f"FROM cum GROUP BY feature), pv AS (SELECT *, {p} AS p FROM st) "
             f"SELECT feature, 'kolmogorov_smirnov' AS test, round(d, 6) AS statistic, "
-            f"round({p}, 6) AS p_value, n_ref, n_new, {p} < 0.05 AS drifted FROM st")
+            "round(p, 6) AS p_value, n_ref, n_new, p < 0.05 AS drifted FROM pv")
 
 
 _CHISQ = ("WITH ev AS (SELECT *, day(ts) <= 15 AS is_ref FROM events), "
@@ -426,10 +447,7 @@ ORACLE.update({
         "round(greatest(max(y), max(prediction)), 2) AS hi FROM t"),
     "prediction_range_lineitem": (
         OLS + "SELECT round(min(prediction), 2) AS min, round(max(prediction), 2) AS max FROM t"),
-    "ks_drift_events": _ks_sql(1.0),
-    "ks_drift_events_shifted": _ks_sql(1.5),
     "chisq_events": _CHISQ,
-    "mean_shift_events": _MEANSHIFT,
     "degradation_lineitem": _DEGR,
     "batch_monitor_lineitem": (
         OLS + "SELECT count(*) AS batch_size, count(prediction) AS successful_predictions, "
@@ -544,35 +562,8 @@ _SHAPIRO = (
     "SELECT n, round(least(1.0, num * num / den), 6) AS statistic FROM agg")
 
 
-def _chi2_sf_even_sql(x: str, dof: str) -> str:
-    """Chi-square survival function for an even number of degrees of freedom."""
-    return (f"(CASE WHEN {dof} % 2 = 0 THEN least(1.0, exp(-({x}) / 2) * list_sum(list_transform("
-            f"range(0, CAST({dof} / 2 AS BIGINT)), lambda i: pow(({x}) / 2, i) / "
-            f"factorial(CAST(i AS INTEGER))))) END)")
-
-
-_DRIFT_REPORT = (
-    "WITH ks AS (" + _ks_sql(1.5) + "), "
-    "ev AS (SELECT *, day(ts) <= 15 AS is_ref FROM events), "
-    "a AS (SELECT event_type AS c, count(*) AS o FROM ev WHERE is_ref AND event_type IS NOT NULL "
-    "GROUP BY 1), b AS (SELECT event_type AS c, count(*) AS o FROM ev WHERE NOT is_ref AND "
-    "event_type IS NOT NULL GROUP BY 1), "
-    "j AS (SELECT coalesce(a.o, 0) AS o_ref, coalesce(b.o, 0) AS o_new FROM a FULL OUTER JOIN b "
-    "ON a.c = b.c), tot AS (SELECT sum(o_ref) AS n_ref, sum(o_new) AS n_new, count(*) AS k "
-    "FROM j), "
-    "chi AS (SELECT sum(CASE WHEN e > 0 THEN (o_new - e) * (o_new - e) / e WHEN o_new > 0 "
-    "THEN 'inf'::DOUBLE ELSE 0 END) AS stat, any_value(k) - 1 AS dof FROM "
-    "(SELECT j.*, tot.*, o_ref * n_new / n_ref AS e FROM j, tot)) "
-    "SELECT feature, test, statistic, p_value, drifted FROM ks UNION ALL "
-    "SELECT 'event_type', 'chi_square', round(stat, 6), round(" + _chi2_sf_even_sql("stat", "dof") +
-    ", 6), " + _chi2_sf_even_sql("stat", "dof") + " < 0.05 FROM chi")
-
 ORACLE.update({
     "shapiro_statistic_part": _SHAPIRO,
-    "drift_report_events": _DRIFT_REPORT,
-    "drift_summary_events": (
-        "SELECT coalesce(bool_or(drifted), false) AS drift_detected, coalesce(string_agg(feature, ',' "
-        f"ORDER BY feature) FILTER (drifted), '') AS drift_features FROM ({_DRIFT_REPORT})"),
     # With far more than a hundred categories the 5% limit is the normal one to four digits;
     # a new user (infinite statistic) is drift at once.
     "chisq_users_events": (
@@ -620,6 +611,7 @@ ORACLE.update({
         "SELECT coalesce(bool_or(drifted), false) AS drift_detected, coalesce(string_agg(feature, ',' "
         f"ORDER BY feature) FILTER (drifted), '') AS drift_features FROM ({_DRIFT_ALL})"),
 })
+ORACLE.update({name: ORACLE[f"{name}_all"] for name in WHOLE_DRIFT})
 
 
 def _positive_zero(sql: str) -> str:

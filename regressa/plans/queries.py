@@ -58,15 +58,11 @@ def q_missing_report_documents(spark, sf):
 
 
 def q_correlation_lineitem(spark, sf):
-    li = lineitem_regression(spark, sf)
-    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "net_price"]
-    return round_doubles(profile.correlation_matrix(li, cols))
+    return round_doubles(profile.correlation_matrix(lineitem_regression(spark, sf)))
 
 
 def q_target_correlation_lineitem(spark, sf):
-    li = lineitem_regression(spark, sf)
-    return round_doubles(profile.target_correlation(
-        li, "net_price", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+    return round_doubles(profile.target_correlation(lineitem_regression(spark, sf), "net_price"))
 
 
 def q_head_orders(spark, sf):
@@ -74,13 +70,11 @@ def q_head_orders(spark, sf):
 
 
 def q_numeric_domain_lineitem(spark, sf):
-    return round_doubles(profile.numeric_domain(
-        lineitem_regression(spark, sf), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+    return round_doubles(profile.numeric_domain(lineitem_regression(spark, sf)))
 
 
 def q_categorical_domain_orders(spark, sf):
-    return profile.categorical_domain(table(spark, sf, "orders"),
-                                      ["o_orderstatus", "o_orderpriority"])
+    return profile.categorical_domain(table(spark, sf, "orders"))
 
 
 QUERIES = {
@@ -397,16 +391,6 @@ def events_halves(spark, sf, shift: float = 1.0):
     return ref, new
 
 
-def _ks(shift):
-    def q(spark, sf):
-        from regressa.operators import drift
-
-        ref, new = events_halves(spark, sf, shift)
-        out = drift.ks_drift(ref.select("value", "user_id"), new.select("value", "user_id"))
-        return _rounded(out, {"statistic": 6, "p_value": 6})
-    return q
-
-
 def q_chisq_events(spark, sf):
     from regressa.operators import drift
 
@@ -415,25 +399,6 @@ def q_chisq_events(spark, sf):
     return _rounded(out, {"statistic": 6})
 
 
-def q_drift_report_events(spark, sf):
-    from regressa.operators import drift
-
-    ref, new = events_halves(spark, sf, 1.5)
-    cols = ["value", "user_id", "event_type"]
-    return _rounded(drift.detect_drift(ref.select(*cols), new.select(*cols)),
-                    {"statistic": 6, "p_value": 6})
-
-
-def q_drift_summary_events(spark, sf):
-    """D3 roll-up of the report."""
-    from regressa.operators import drift
-
-    ref, new = events_halves(spark, sf, 1.5)
-    cols = ["value", "user_id", "event_type"]
-    out = drift.drift_summary(drift.detect_drift(ref.select(*cols), new.select(*cols)))
-    return out.withColumn("drift_features", F.array_join("drift_features", ","))
-
-
 def q_chisq_users_events(spark, sf):
     """D2 with one category for each user: many categories."""
     from regressa.operators import drift
@@ -444,15 +409,6 @@ def q_chisq_users_events(spark, sf):
     return _rounded(out.drop("p_value"), {"statistic": 4})
 
 
-def q_mean_shift_events(spark, sf):
-    from regressa.operators import drift
-
-    ref, new = events_halves(spark, sf, 1.5)
-    out = drift.mean_shift_drift(ref.select("value", "user_id"), new.select("value", "user_id"))
-    return _rounded(out, {"recent_mean": 6, "reference_mean": 6, "reference_std": 6,
-                          "drift_magnitude": 6})
-
-
 def _whole_drift(fn, shift, digits):
     """``fn`` of both halves whole: the columns' roles choose the tests."""
     def q(spark, sf):
@@ -555,8 +511,6 @@ QUERIES.update({
     "predicted_vs_actual_lineitem": q_predicted_vs_actual_lineitem,
     "identity_line_lineitem": q_identity_line_lineitem,
     "prediction_range_lineitem": q_prediction_range_lineitem,
-    "ks_drift_events": _ks(1.0),
-    "ks_drift_events_shifted": _ks(1.5),
     "ks_drift_events_all": _whole_drift("ks_drift", 1.0, {"statistic": 6, "p_value": 6}),
     "ks_drift_events_shifted_all": _whole_drift("ks_drift", 1.5, {"statistic": 6, "p_value": 6}),
     "mean_shift_events_all": _whole_drift("mean_shift_drift", 1.5, {
@@ -564,16 +518,17 @@ QUERIES.update({
     "drift_report_events_all": _whole_drift("detect_drift", 1.5, {"statistic": 6, "p_value": 6}),
     "drift_summary_events_all": q_drift_summary_events_all,
     "chisq_events": q_chisq_events,
-    "drift_report_events": q_drift_report_events,
-    "drift_summary_events": q_drift_summary_events,
     "chisq_users_events": q_chisq_users_events,
-    "mean_shift_events": q_mean_shift_events,
     "degradation_lineitem": q_degradation_lineitem,
     "batch_monitor_lineitem": q_batch_monitor_lineitem,
     "batch_alerts_lineitem": q_batch_alerts_lineitem,
     "monitoring_recent_lineitem": q_monitoring_recent_lineitem,
     "monitoring_totals_lineitem": q_monitoring_totals_lineitem,
 })
+#: Names that stand for the same queries without the suffix.
+WHOLE_DRIFT = ("ks_drift_events", "ks_drift_events_shifted", "mean_shift_events", "drift_report_events",
+               "drift_summary_events")
+QUERIES.update({name: QUERIES[f"{name}_all"] for name in WHOLE_DRIFT})
 
 
 # --- models, CV, tuning, workflow (no SQL oracle: iterative fits) ----------

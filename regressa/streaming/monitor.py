@@ -2,8 +2,9 @@
 each micro-batch of a Structured Streaming source through ``foreachBatch``.
 
 Each micro-batch is an ordinary DataFrame, so the batch operators run
-unchanged; results are appended to a table path (or handed to a callback).
-Progress and exactly-once output rely on the query's checkpoint location,
+unchanged. A batch's results are the folder ``batch_id=<id>`` of the result table: when
+a batch is run again after a failure, it replaces its own folder, so every batch
+is in the table once. Progress relies on the query's checkpoint location,
 which must be a shared folder on a cluster. The reference statistics are
 fitted once (one aggregation) and broadcast as literals."""
 
@@ -12,13 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regressa.functions.columns import col
 from regressa.operators import drift
 
 
 def reference_stats(reference: DataFrame, columns) -> dict:
     """Per column ``(mean, sample std)`` of the reference data."""
     cols = list(columns)
-    r = reference.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(f"c{i}")
+    r = reference.agg(*[F.struct(F.avg(col(c)).alias("m"), F.stddev_samp(col(c)).alias("s")).alias(f"c{i}")
                         for i, c in enumerate(cols)]).first()
     return {c: (r[f"c{i}"]["m"], r[f"c{i}"]["s"]) for i, c in enumerate(cols)}
 
@@ -26,7 +28,7 @@ def reference_stats(reference: DataFrame, columns) -> dict:
 def mean_shift_batch(batch: DataFrame, stats: dict, batch_id: int) -> DataFrame:
     """D6 for one micro-batch against fitted reference statistics."""
     cols = list(stats)
-    agg = batch.agg(*[F.avg(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    agg = batch.agg(*[F.avg(col(c)).alias(f"c{i}") for i, c in enumerate(cols)])
     rows = []
     for i, c in enumerate(cols):
         m, s = stats[c]
@@ -44,25 +46,31 @@ def mean_shift_batch(batch: DataFrame, stats: dict, batch_id: int) -> DataFrame:
 def start_monitor(stream: DataFrame, reference: DataFrame, columns, output_path: str,
                   checkpoint_location: str, prediction_col: str | None = None,
                   label_col: str | None = None, key_cols=(), trigger: dict | None = None):
-    """Start a streaming query that, per micro-batch, appends D6 drift rows to
+    """Start a streaming query that, per micro-batch, writes D6 drift rows to
     ``<output_path>/drift`` and, when ``prediction_col`` is given, D7 batch
-    metrics to ``<output_path>/batches``. Returns the ``StreamingQuery``."""
-    stats = reference_stats(reference, columns)
+    metrics to ``<output_path>/batches``; both have the column ``batch_id``.
+    Returns the ``StreamingQuery``."""
+    run = batch_writer(reference_stats(reference, columns), output_path, prediction_col, label_col, key_cols)
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_location)
+    if trigger:
+        writer = writer.trigger(**trigger)
+    return writer.start()
+
+
+def batch_writer(stats: dict, output_path: str, prediction_col: str | None = None,
+                 label_col: str | None = None, key_cols=()):
+    """The function that writes a micro-batch's results; a repeated batch id replaces them."""
+
+    def put(rows: DataFrame, table: str, batch_id: int) -> None:
+        rows.drop("batch_id").write.mode("overwrite").parquet(f"{output_path}/{table}/batch_id={batch_id}")
 
     def per_batch(batch: DataFrame, batch_id: int):
-        mean_shift_batch(batch, stats, batch_id).write.mode("append").parquet(
-            f"{output_path}/drift")
+        put(mean_shift_batch(batch, stats, batch_id), "drift", batch_id)
         if prediction_col:
-            preds = batch.select(*key_cols, F.col(prediction_col).alias("prediction"))
+            preds = batch.select(*[col(c) for c in key_cols], col(prediction_col).alias("prediction"))
             actual = None
             if label_col:
-                actual = batch.select(*key_cols, F.col(label_col).alias("y"))
-            drift.monitor_batch(preds, actual, key_cols).withColumn(
-                "batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(
-                f"{output_path}/batches")
+                actual = batch.select(*[col(c) for c in key_cols], col(label_col).alias("y"))
+            put(drift.monitor_batch(preds, actual, key_cols), "batches", batch_id)
 
-    writer = stream.writeStream.foreachBatch(per_batch).option(
-        "checkpointLocation", checkpoint_location)
-    if trigger:
-        writer = writer.trigger(**trigger)
-    return writer.start()
+    return per_batch
