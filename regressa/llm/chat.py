@@ -8,13 +8,15 @@ so pairs are formatted where they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regressa.llm.common import quoted
+from regressa.llm.common import keep, quoted
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 SYSTEM, USER, ASSISTANT = "system", "user", "assistant"
+#: Places in which a conversation that is chosen very often meets its pairs.
+SALTS = 64
 
 
 def conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
@@ -35,28 +37,36 @@ def conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
 
 def prefix_nodes(convs: DataFrame) -> DataFrame:
     """``(conv_id, rank, depth, node)``: a row for each prefix of a conversation that holds its
-    request, ``node`` being its chained hash and ``depth`` its turns.
+    request, ``node`` standing for its turns and ``depth`` for their number.
 
     The request ends with the first user turn; without one, with the first turn that is not the
-    system's, or the last turn.
+    system's, or the last turn. A node is two running sums of hashes of the turns with their places,
+    so a conversation of any length takes time in proportion to its turns.
     """
-    def step(acc: Column, x: Column) -> Column:
-        # The length keeps role and text apart; the hash before has a fixed length.
-        node = F.sha2(F.concat(acc["node"], F.length(x.role).cast("string"), F.lit(":"), x.role,
-                               x.text), 256)
-        return F.struct(node.alias("node"), F.array_append(acc["nodes"], node).alias("nodes"))
-
-    start = F.struct(F.lit("").alias("node"), F.array().cast("array<string>").alias("nodes"))
-    nodes = F.aggregate("turns", start, step, lambda acc: acc["nodes"])
     user, other = (F.array_position(F.transform("turns", f), True) for f in (
         lambda x: x.role == USER, lambda x: x.role != SYSTEM))
     request = F.when(user > 0, user).when(other > 0, other).otherwise(F.size("turns")).cast("int")
     rank = F.struct((-F.size("turns")).alias("n"), F.col("conv_id").isNull().alias("unnamed"),
                     F.col("conv_id"))
-    return convs.select("conv_id", rank.alias("rank"), request.alias("request"), nodes.alias("nodes")) \
-        .select("conv_id", "rank", "request", F.posexplode(F.slice(
-            "nodes", F.greatest(F.lit(1), "request"), F.size("nodes"))).alias("i", "node")) \
-        .select("conv_id", "rank", (F.col("request") + F.col("i")).alias("depth"), "node")
+    turns = convs.select("conv_id", rank.alias("rank"), request.alias("request"),
+                         F.posexplode("turns").alias("i", "turn"))
+    so_far = Window.partitionBy("conv_id").orderBy("i")
+    marks = [F.sum(F.xxhash64(F.lit(seed), "i", "turn.role", F.length("turn.role"), "turn.text")
+                   .cast("decimal(20,0)")).over(so_far).alias(name) for seed, name in ((1, "a"), (2, "b"))]
+    return turns.select("conv_id", "rank", "request", (F.col("i") + 1).alias("depth"), *marks) \
+        .where(F.col("depth") >= F.col("request")) \
+        .select("conv_id", "rank", "depth", F.struct("depth", "a", "b").alias("node"))
+
+
+def _split_join(rows: DataFrame, others: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``others (key, ..., n)`` (one row a key, ``n`` rows have it). Keys
+    of at least a thousandth of all rows, of which there are a thousand at most, are broadcast, so
+    their rows stay where they are."""
+    limit = max(1, total // 1000)
+    hot = F.broadcast(others.where(F.col("n") >= limit))
+    there = rows.join(hot, key)
+    return there.unionByName(rows.join(hot.select(key), key, "left_anti").join(
+        others.where(F.col("n") < limit), key))
 
 
 def preference_pairs(convs: DataFrame) -> DataFrame:
@@ -70,21 +80,31 @@ def preference_pairs(convs: DataFrame) -> DataFrame:
     repeats the assistant turn before it, or is empty if there is none (kind ``stale``); without
     an assistant turn the copy is equal.
     """
-    nodes = prefix_nodes(convs)
+    nodes = keep(prefix_nodes(convs))
     # Only ids meet in the nodes; the turns of the chosen ones follow by id.
     best = nodes.groupBy("node").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")) \
-        .where(F.col("n") > 1).select("node", F.col("best.conv_id").alias("best"))
-    links = nodes.join(best, "node").where(~F.col("best").eqNullSafe(F.col("conv_id"))) \
-        .groupBy(F.col("conv_id").alias("linked")).agg(
-            F.max(F.struct("depth", "best")).alias("link"))
-    reps = links.select(F.col("link.best").alias("rep")).distinct() \
-        .join(convs.select(F.col("conv_id").alias("r"), F.col("turns").alias("rep_turns")),
-              F.col("rep").eqNullSafe(F.col("r"))).select("rep", "rep_turns")
+        .where(F.col("n") > 1).select("node", F.col("best.conv_id").alias("best"), "n")
+    links = keep(_split_join(nodes, keep(best), "node", nodes.count())
+                 .where(~F.col("best").eqNullSafe(F.col("conv_id"))).groupBy(F.col("conv_id").alias("linked"))
+                 .agg(F.max(F.struct("depth", "best")).alias("link")))
+    counts = links.groupBy(F.col("link.best").alias("rep")).agg(F.count(F.lit(1)).alias("n"))
+    # A conversation chosen over at least a thousandth of all (a thousand such, at most) stands
+    # ready in ``SALTS`` places, which its pairs share.
+    much = F.col("n") >= max(2, links.count() // 1000)
+    hot = F.broadcast(counts.where(much).select(F.col("rep").alias("h"), F.lit(True).alias("hot")))
+    reps = counts.select("rep", F.explode(F.sequence(F.lit(0), F.when(much, SALTS - 1).otherwise(0)))
+                         .alias("salt"))
+    reps = reps.join(convs.select(F.col("conv_id").alias("r"), F.col("turns").alias("rep_turns")),
+                     F.col("rep").eqNullSafe(F.col("r"))).select("rep", "salt", "rep_turns")
     # Chosen conversations keep their own id as key, so that they do not meet in one.
     paired = convs.join(links, F.col("conv_id").eqNullSafe(F.col("linked")), "left").select(
         "conv_id", "turns", F.col("link").isNull().alias("own"),
         F.when(F.col("link").isNull(), F.col("conv_id")).otherwise(F.col("link.best")).alias("chosen_id"))
-    paired = paired.join(reps, F.col("chosen_id").eqNullSafe(F.col("rep")), "left").withColumn(
+    paired = paired.join(hot, F.col("chosen_id").eqNullSafe(F.col("h")), "left").withColumn(
+        "place", F.when(F.col("hot") & ~F.col("own"), F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)))
+        .otherwise(0).cast("int"))
+    paired = paired.join(reps, F.col("chosen_id").eqNullSafe(F.col("rep")) & (
+        F.col("place") == F.col("salt")), "left").withColumn(
         "chosen", F.when(F.col("own"), F.col("turns")).otherwise(F.col("rep_turns")))
     own = F.col("own")
     # Positions of assistant turns; the last one takes the text of the one before.
@@ -126,24 +146,25 @@ def format_preferences(pairs: DataFrame, chosen_col: str = "chosen",
     """``pairs`` (arrays of (role, text) turns) with, instead of both conversations: common_turns,
     prompt, chosen, rejected, chosen_loss, rejected_loss, usable.
 
-    ``usable``: both completions hold a loss span and differ. A conversation that is a prefix of
+    Input columns of these names are replaced. ``usable``: both completions hold a loss span and differ. A conversation that is a prefix of
     the other has an empty completion. Null conversations count as empty.
     """
+    made = ["common_turns", "prompt", "chosen", "rejected", "chosen_loss", "rejected_loss", "usable"]
     a, b = (F.coalesce(F.col(quoted(c)), F.array().cast("array<struct<role:string,text:string>>"))
             for c in (chosen_col, rejected_col))
-    pairs = pairs.withColumn("__a", a).withColumn("__b", b)
-    differ = F.array_position(F.zip_with("__a", "__b", lambda x, y: x.eqNullSafe(y)), False)
-    common = F.when(differ > 0, differ - 1).otherwise(F.size("__a")).cast("int")
-    pairs = pairs.withColumn("__n", common)
+    others = [c for c in pairs.columns if c not in (chosen_col, rejected_col, *made)]
+    pairs = pairs.select(F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(others)],
+                                  F.lit(0).alias("z")).alias("other"), a.alias("a"), b.alias("b"))
+    differ = F.array_position(F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y)), False)
+    pairs = pairs.withColumn("n", F.when(differ > 0, differ - 1).otherwise(F.size("a")).cast("int"))
 
     def rest(name: str) -> Column:
-        return F.slice(name, F.col("__n") + 1, F.greatest(F.lit(0), F.size(name) - F.col("__n")))
+        return F.slice(name, F.col("n") + 1, F.greatest(F.lit(0), F.size(name) - F.col("n")))
 
-    others = [c for c in pairs.columns if c not in (chosen_col, rejected_col, "__a", "__b", "__n")]
     out = pairs.select(
-        *[F.col(quoted(c)) for c in others], F.col("__n").alias("common_turns"),
-        rendered(F.slice("__a", 1, F.col("__n"))).alias("prompt"),
-        rendered(rest("__a")).alias("chosen"), rendered(rest("__b")).alias("rejected"),
-        loss_spans(rest("__a")).alias("chosen_loss"), loss_spans(rest("__b")).alias("rejected_loss"))
+        *[F.col(f"other.c{i}").alias(c) for i, c in enumerate(others)], F.col("n").alias("common_turns"),
+        rendered(F.slice("a", 1, F.col("n"))).alias("prompt"),
+        rendered(rest("a")).alias("chosen"), rendered(rest("b")).alias("rejected"),
+        loss_spans(rest("a")).alias("chosen_loss"), loss_spans(rest("b")).alias("rejected_loss"))
     return out.withColumn("usable", (F.size("chosen_loss") > 0) & (F.size("rejected_loss") > 0)
                           & (F.col("chosen") != F.col("rejected")))

@@ -19,12 +19,24 @@ WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id
            FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
                  FROM conversations)),
 c AS (SELECT conv_id, count(*) AS n, max(i) FILTER (role = 'assistant') AS last,
-        max(CASE WHEN i = 1 THEN role END) AS role1, max(CASE WHEN i = 1 THEN text END) AS text1
+        coalesce(min(i) FILTER (role = 'user'), min(i) FILTER (role != 'system'), max(i)) AS request
       FROM t GROUP BY 1),
-best AS (SELECT role1, text1, conv_id AS chosen_id FROM c
-         QUALIFY row_number() OVER (PARTITION BY role1, text1 ORDER BY n DESC, conv_id NULLS LAST) = 1),
-p AS (SELECT c.conv_id, chosen_id, c.conv_id IS NOT DISTINCT FROM chosen_id AS own, c.last, c.n
-      FROM c JOIN best USING (role1, text1)),
+prefix AS (SELECT conv_id, i AS depth, list({'role': role, 'text': text}) OVER (
+             PARTITION BY conv_id ORDER BY i) AS turns FROM t),
+node AS (SELECT prefix.*, n FROM prefix JOIN c ON c.conv_id IS NOT DISTINCT FROM prefix.conv_id
+         AND depth >= request),
+best AS (SELECT turns, conv_id AS chosen_id FROM node
+         QUALIFY row_number() OVER (PARTITION BY turns ORDER BY n DESC, conv_id NULLS LAST) = 1
+           AND count(*) OVER (PARTITION BY turns) > 1),
+link AS (SELECT conv_id, max(depth) AS depth FROM node JOIN best USING (turns)
+         WHERE chosen_id IS DISTINCT FROM conv_id GROUP BY 1),
+pair AS (SELECT link.conv_id, chosen_id FROM link
+         JOIN node ON node.conv_id IS NOT DISTINCT FROM link.conv_id AND node.depth = link.depth
+         JOIN best USING (turns)),
+p AS (SELECT c.conv_id, CASE WHEN link.depth IS NULL THEN c.conv_id ELSE pair.chosen_id END AS chosen_id,
+        link.depth IS NULL AS own, c.last, c.n
+      FROM c LEFT JOIN link ON link.conv_id IS NOT DISTINCT FROM c.conv_id
+      LEFT JOIN pair ON pair.conv_id IS NOT DISTINCT FROM c.conv_id),
 before AS (SELECT p.conv_id, max_by(t.text, t.i) AS said FROM p JOIN t
            ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.role = 'assistant' AND t.i < p.last
            GROUP BY 1),

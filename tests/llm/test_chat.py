@@ -74,6 +74,48 @@ def test_edge_cases_match_oracle(spark, tmp_path):
     assert format_preferences(preference_pairs(conversations(table(spark).limit(0)))).count() == 0
 
 
+def tree(n, seed):
+    """Conversations that share system turns, requests and longer prefixes, one opening by a third."""
+    rng = random.Random(seed)
+    rows = []
+    for i in [*range(n), None]:
+        texts = ["sys"] * rng.choice([0, 1, 1]) + ["hot" if rng.random() < 0.35 else rng.choice("pqr")]
+        texts += [rng.choice("ab") for _ in range(rng.randrange(6))]
+        roles = ["system"] * (len(texts) and texts[0] == "sys") + ["user", "assistant"] * 5
+        rows += [(i, k, role, text) for k, (role, text) in enumerate(zip(roles, texts))]
+    return rows
+
+
+def test_shared_prefixes_match_oracle(spark, tmp_path):
+    rows = tree(250, 5)
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string") \
+        .write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES[NAME](spark, str(tmp_path))
+    compare(got, duckdb.sql(f"FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')").to_arrow_table())
+    kinds = [r.kind for r in got.collect()]
+    assert kinds.count("sibling") > 150 and kinds.count("stale") > 3
+
+
+def test_names_may_clash(spark):
+    turns = "array<struct<role:string,text:string>>"
+    pairs = spark.createDataFrame([(1, 2, True, "p", 3, [("user", "q")], [("user", "r")])],
+                                  f"id int, common_turns int, usable boolean, prompt string, `a.b` int, "
+                                  f"chosen {turns}, rejected {turns}")
+    out = format_preferences(pairs)
+    assert out.columns == ["id", "a.b", "common_turns", "prompt", "chosen", "rejected", "chosen_loss",
+                           "rejected_loss", "usable"]
+    assert out.first()["common_turns"] == 0
+
+
+def test_very_long_conversations(spark):
+    rows = [(i, k, "user" if k % 2 == 0 else "assistant", f"t{k if k < 1_500 else k + i}")
+            for i in (1, 2) for k in range(2_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = {r.conv_id: r for r in format_preferences(preference_pairs(conversations(df))).collect()}
+    assert made[2].chosen_id == 1 and made[2].common_turns == 1_500
+    assert len(made[2].chosen_loss) == 250
+
+
 def test_siblings_meet_at_their_longest_shared_prefix(spark):
     def conv(i, *texts):
         return [(i, k, role, text) for k, (role, text) in enumerate(zip(
