@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regressa.llm.common import keep, quoted
+from regressa.llm.common import keep, quoted, split_join
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 SYSTEM, USER, ASSISTANT = "system", "user", "assistant"
@@ -58,17 +58,6 @@ def prefix_nodes(convs: DataFrame) -> DataFrame:
         .select("conv_id", "rank", "depth", F.struct("depth", "a", "b").alias("node"))
 
 
-def _split_join(rows: DataFrame, others: DataFrame, key: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``others (key, ..., n)`` (one row a key, ``n`` rows have it). Keys
-    of at least a thousandth of all rows, of which there are a thousand at most, are broadcast, so
-    their rows stay where they are."""
-    limit = max(1, total // 1000)
-    hot = F.broadcast(others.where(F.col("n") >= limit))
-    there = rows.join(hot, key)
-    return there.unionByName(rows.join(hot.select(key), key, "left_anti").join(
-        others.where(F.col("n") < limit), key))
-
-
 def preference_pairs(convs: DataFrame) -> DataFrame:
     """One pair for each conversation: ``(conv_id, chosen_id, kind, chosen, rejected)``.
 
@@ -84,7 +73,7 @@ def preference_pairs(convs: DataFrame) -> DataFrame:
     # Only ids meet in the nodes; the turns of the chosen ones follow by id.
     best = nodes.groupBy("node").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")) \
         .where(F.col("n") > 1).select("node", F.col("best.conv_id").alias("best"), "n")
-    links = keep(_split_join(nodes, keep(best), "node", nodes.count())
+    links = keep(split_join(nodes, keep(best), "node", nodes.count())
                  .where(~F.col("best").eqNullSafe(F.col("conv_id"))).groupBy(F.col("conv_id").alias("linked"))
                  .agg(F.max(F.struct("depth", "best")).alias("link")))
     counts = links.groupBy(F.col("link.best").alias("rep")).agg(F.count(F.lit(1)).alias("n"))

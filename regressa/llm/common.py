@@ -71,3 +71,14 @@ def row_numbers(df: DataFrame, name: str, *order: Column) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     return ranged.withColumn(name, within).join(before.select("__range", "__before"), "__range") \
         .withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
+
+
+def split_join(rows: DataFrame, others: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``others (key, ..., n)``: one row a key (never null), which ``n``
+    of the ``total`` rows have. Keys of at least a thousandth of all rows, of which there are a
+    thousand at most, are broadcast, so their rows stay where they are."""
+    limit = max(1, total // 1000)
+    hot = F.broadcast(others.where(F.col("n") >= limit))
+    there = rows.join(hot, key)
+    return there.unionByName(rows.join(hot.select(key), key, "left_anti").join(
+        others.where(F.col("n") < limit), key))

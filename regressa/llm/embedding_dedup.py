@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regressa.llm.common import keep, quoted, runs
+from regressa.llm.common import keep, quoted, runs, split_join
 from regressa.llm.components import components, local_labels
 
 SEED = 42
@@ -179,8 +179,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                   .join(root, "node", "left")
                   .select("key", "least", F.coalesce("root", "node").alias("root"),
                           (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(named, "root").select("key", "n_links", "component_id")
+    # A component may hold a third of all classes.
+    named = keep(placed.groupBy("root").agg(F.min("least").alias("component_id"),
+                                            F.count(F.lit(1)).alias("n")))
+    named = split_join(placed, named, "root", placed.count()).select("key", "n_links", "component_id")
     out = rows.join(named, "key", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))

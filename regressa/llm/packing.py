@@ -279,6 +279,10 @@ def lay(lengths: list[int], size: int, filled: int) -> list[tuple[int, int, int,
     return out
 
 
+#: Bytes of the tokenized table that one range of the curve holds.
+RANGE_BYTES = 32 << 20
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          tokenizer: str | None = None, end_id: int = 1, size: int = 2048,
          with_ids: bool = False) -> DataFrame:
@@ -293,10 +297,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
     kept = shared_path(spark, "tokenized")
     # A table instead of a checkpoint: range sorting reads its input twice, first the keys alone.
-    tokenized(docs, id_col, text_col, path, end_id).write.option("compression", "zstd").parquet(kept)
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    along = spark.read.parquet(kept).repartitionByRange(ranges, "curve", "tie") \
-        .sortWithinPartitions("curve", "tie", "doc_id") \
+    tokenized(docs, id_col, text_col, path, end_id).withColumn("row", F.monotonically_increasing_id()) \
+        .write.option("compression", "zstd").parquet(kept)
+    rows = spark.read.parquet(kept)
+    # Ranges of about ``RANGE_BYTES``, by the size of the files just written.
+    written = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-written // RANGE_BYTES))
+    # The row's number parts rows that are equal in all else, however many.
+    along = rows.repartitionByRange(ranges, "curve", "tie", "doc_id", "row") \
+        .sortWithinPartitions("curve", "tie", "doc_id", "row") \
         .withColumn("range", F.spark_partition_id())
     kind = along.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "

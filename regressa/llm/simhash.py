@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regressa.llm.common import keep, popcount, quoted, utf8
+from regressa.llm.common import keep, popcount, quoted, split_join, utf8
 from regressa.llm.components import components, local_labels
 
 SEED = 42
@@ -157,12 +157,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     radius up on one side of a pair only (see ``collisions``), which is exact too.
     """
     fps = keep(fingerprints(docs, id_col, text_col, shingle))
-    nodes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     root = components(ball_links(nodes.select("fp"), distance)) \
         .select(F.col("node").alias("fp"), "root")
     placed = keep(nodes.join(root, "fp", "left")
                   .select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(named, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(
+    # A component may hold a third of all fingerprints, and a fingerprint a third of all rows.
+    named = keep(placed.groupBy("root").agg(F.min("least").alias("component_id"),
+                                            F.count(F.lit(1)).alias("n")))
+    named = split_join(placed, named, "root", placed.count()).select("fp", "component_id")
+    copies = nodes.select("fp", "n")
+    return split_join(fps, named.join(copies, "fp"), "fp", fps.count()).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
