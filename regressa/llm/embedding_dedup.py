@@ -33,28 +33,38 @@ def plan_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - together))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _units(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; the largest entry goes out first, so nothing overflows."""
+    x = x.astype(float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def code_type(bits: int) -> str:
+    """The smallest type that holds a bucket number."""
+    return "<u2" if bits <= 16 else "<u4" if bits <= 32 else "<u8"
 
 
 def classes_of(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
     """``(vec_id, key)`` of all rows (key null: links with nothing) and the classes of equal
     vectors ``(key, rep, copies, vector)``."""
-    v = F.col("v")
+    v, kind = F.col("v"), vectors.schema[vector_col].dataType.simpleString()
     usable = v.isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(
         ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(quoted(id_col)).alias("vec_id"),
+                          F.col(quoted(vector_col)).alias("raw"),
                           F.col(quoted(vector_col)).cast("array<double>").alias("v")) \
         .withColumn("key", F.when(usable, F.md5(F.concat_ws(",", v.cast("array<string>")))))
     classes = rows.where("key IS NOT NULL").groupBy("key").agg(
         F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"),
-        F.first("v").alias("vector"))
+        F.first("raw" if kind == "array<float>" else "v").alias("vector"))
     return rows.select("vec_id", "key"), classes
 
 
 def signed(classes: DataFrame, dims: int, bits: int, tables: int) -> DataFrame:
-    """``(node, copies, vector, code)``: unit vectors in double precision and the bucket numbers
+    """``(node, copies, vector, code)``: vectors in the precision they came in and the bucket numbers
     of all tables, both as bytes."""
+    single = classes.schema["vector"].dataType.simpleString() == "array<float>"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(SEED).standard_normal((dims, tables * bits))
@@ -62,13 +72,12 @@ def signed(classes: DataFrame, dims: int, bits: int, tables: int) -> DataFrame:
         for batch in batches:
             vectors = batch.column("vector")
             x = np.array(vectors.flatten().to_numpy(zero_copy_only=False)).reshape(-1, dims)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-            code = ((unit @ planes > 0).reshape(-1, tables, bits) * weight).sum(axis=2)
+            x = x.astype("<f4" if single else "<f8")
+            code = ((_units(x) @ planes > 0).reshape(-1, tables, bits) * weight).sum(axis=2)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), batch.column("copies"),
-                 pa.array([r.tobytes() for r in unit], pa.binary()),
-                 pa.array([r.tobytes() for r in code.astype("<i8")], pa.binary()),
+                 pa.array([r.tobytes() for r in x], pa.binary()),
+                 pa.array([r.tobytes() for r in code.astype(code_type(bits))], pa.binary()),
                  pa.array(code.tolist(), pa.list_(pa.int64()))],
                 names=["node", "copies", "vector", "code", "buckets"])
 
@@ -82,7 +91,7 @@ def places(table: pa.Table) -> np.ndarray:
     return np.r_[0, np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))]
 
 
-def compare(threshold: float, blocks_per_call: int = 512):
+def compare(threshold: float, dims: int, bits: int, blocks_per_call: int = 512):
     """Arrow function over rows sorted by (tab, bucket, i, j): links of every block pair."""
 
     def links(x: np.ndarray, code: np.ndarray, tab: int, near: np.ndarray, far: np.ndarray,
@@ -105,8 +114,11 @@ def compare(threshold: float, blocks_per_call: int = 512):
         return np.concatenate(found_a), np.concatenate(found_b)
 
     def task(table: pa.Table) -> pa.RecordBatch | None:
-        x, code = _matrix(table.column("vector")), np.frombuffer(
-            b"".join(table.column("code").to_pylist()), "<i8").reshape(len(table), -1)
+        data = b"".join(table.column("vector").to_pylist())
+        single = len(data) == 4 * dims * len(table)
+        x = _units(np.frombuffer(data, "<f4" if single else "<f8").reshape(-1, dims))
+        code = np.frombuffer(b"".join(table.column("code").to_pylist()),
+                             code_type(bits)).reshape(len(table), -1)
         node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
         tab, i, j, own = (table.column(c).to_numpy() for c in ("tab", "i", "j", "own"))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -206,4 +218,4 @@ def _links(classes: DataFrame, dims: int, n: int, threshold: float, recall: floa
     dealt = dealt.join(nodes.select("node", "copies", "vector", "code"), "node") \
         .repartition("tab", "bucket", "i", "j") \
         .sortWithinPartitions("tab", "bucket", "i", "j")
-    return dealt.mapInArrow(compare(threshold), "node long, head long, links long")
+    return dealt.mapInArrow(compare(threshold, dims, bits), "node long, head long, links long")
