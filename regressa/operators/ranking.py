@@ -221,7 +221,8 @@ def order_statistics(df: DataFrame, ranks: Mapping[str, Callable[[int], Sequence
         for key, v in ranges.items():
             inside = open_[0].inside(v, *key[1])
             aggs.append(F.struct(
-                F.count_if(v < key[1][0]).alias("below"), F.count_if(inside).alias("rows"),
+                F.count_if((v < key[1][0]) if key[1][1] else (v <= key[1][0])).alias("below"),
+                F.count_if(inside).alias("rows"),
                 (sketch(F.when(inside, v)) if first[names[key[0]]]["n"] > 64 * BRACKET_ROWS
                  else F.lit(None).cast("array<double>")).alias("q")).alias(keys[key]))
         counted = flat.agg(*aggs).first()
@@ -229,7 +230,6 @@ def order_statistics(df: DataFrame, ranks: Mapping[str, Callable[[int], Sequence
         for b in open_:
             key, held = (b.column, b.tried), counted[keys[b.column, b.tried]]
             if not b.settle(held["below"], held["rows"]):
-                low, with_low, high, with_high = b.ends
                 # The rank lies beside the range: the whole side is the next range.
                 b.tried = b.ends
                 following.append(b)
