@@ -27,13 +27,49 @@ def test_ks_matches_brute_force(spark):
     b = np.round(rng.normal(0.2, 1, 500), 2)
     ref = spark.createDataFrame(pd.DataFrame({"x": a}))
     new = spark.createDataFrame(pd.DataFrame({"x": b}))
-    r = drift.ks_drift(ref, new).first()
+    r = drift.ks_drift(ref, new, method="asymp").first()
     d, p = _ks_brute(a, b)
     assert math.isclose(r["statistic"], d, rel_tol=1e-12)
     assert math.isclose(r["p_value"], p, rel_tol=1e-9, abs_tol=1e-15)
     assert r["drifted"] == (p < 0.05)
 
 
+def test_exact_ks_p_values_by_enumeration():
+    from itertools import combinations
+
+    from regressa.functions.stats import ks_exact_scalar
+
+    for n, m in ((1, 1), (2, 3), (4, 4), (5, 3), (6, 5)):
+        reached = []
+        for first in map(set, combinations(range(n + m), n)):
+            i = j = top = 0
+            for k in range(n + m):
+                i, j = (i + 1, j) if k in first else (i, j + 1)
+                top = max(top, abs(i * m - j * n))
+            reached.append(top)
+        for top in set(reached):
+            assert math.isclose(ks_exact_scalar(top / (n * m), n, m),
+                                sum(r >= top for r in reached) / len(reached), rel_tol=1e-12)
+    # Printed tables: P(D >= 5/8) of two samples of 8 is 0.0870, P(D >= 7/10) of two of 10 is 0.0123.
+    assert round(ks_exact_scalar(5 / 8, 8, 8), 4) == 0.0870
+    assert round(ks_exact_scalar(7 / 10, 10, 10), 4) == 0.0123
+    assert ks_exact_scalar(0.0, 5, 5) == 1.0 and ks_exact_scalar(1.0, 9_000, 10_000) == 0.0
+
+
+def test_ks_method_follows_the_sample_sizes(spark, monkeypatch):
+    ref = spark.range(40).select((F.col("id") * 1.0).alias("x"))
+    new = spark.range(30).select((F.col("id") * 1.1).alias("x"))
+
+    def p(method):
+        return drift.ks_drift(ref, new, method=method).first()["p_value"]
+
+    assert p("auto") == p("exact") != p("asymp")
+    monkeypatch.setattr(drift, "KS_EXACT_ROWS", 39)
+    assert p("auto") == p("asymp")
+    one_sided = drift.ks_drift(ref, new.limit(0)).first()
+    assert one_sided is None or one_sided["p_value"] is None
+
+
 def test_chi_square_scaled_expected(spark):
     ref = spark.createDataFrame([("a",)] * 50 + [("b",)] * 50, "c string")
     new = spark.createDataFrame([("a",)] * 30 + [("b",)] * 10, "c string")

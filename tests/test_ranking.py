@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from regressa.operators.ranking import (exact_quantiles, hash_rank_thresholds,
@@ -57,6 +58,39 @@ def test_exact_quantiles_match_numpy(spark):
             assert abs(got[(c, p)] - np.quantile(vals, p)) < 1e-9
 
 
+@pytest.mark.parametrize("rows,cells", [(4096, 1024), (5, 16)])
+def test_order_statistics_match_sorting(spark, monkeypatch, rows, cells):
+    """Also with brackets that stay wide, so that they are narrowed again and again."""
+    import regressa.operators.ranking as R
+
+    monkeypatch.setattr(R, "BRACKET_ROWS", rows)
+    monkeypatch.setattr(R, "SKETCH_CELLS", cells)
+    rng = np.random.default_rng(8)
+    n = 3000
+    pdf = pd.DataFrame({"a.b": rng.lognormal(0, 9, n), "hot": rng.choice([1.0, 1.0, 1.0, 2.0, -7.5], n),
+                        "few": rng.integers(0, 4, n).astype(float), "z": rng.normal(size=n)})
+    pdf.loc[::5, "z"] = np.nan
+    pdf.loc[:3, "few"] = [np.inf, -np.inf, np.inf, -np.inf]
+    df = spark.createDataFrame(pdf).repartition(5)
+    wanted = [0, 1, 777, 1200, 1500, 2300, 2999]
+    got = R.order_statistics(df, {c: lambda n: wanted for c in pdf})
+    for c in pdf:
+        vals = np.sort(pdf[c].dropna().to_numpy())
+        assert got[c][0] == len(vals)
+        for r in wanted:
+            if r < len(vals):
+                v = vals[r]
+                assert got[c][1][r] == (v, int((vals < v).sum()), int((vals == v).sum())), (c, r)
+
+
+def test_order_statistics_of_empty_and_constant_columns(spark):
+    import regressa.operators.ranking as R
+
+    df = spark.range(50).select(F.lit(3.5).alias("k"), F.lit(None).cast("double").alias("none"))
+    got = R.order_statistics(df, {"k": lambda n: [0, 25, 49], "none": lambda n: [0]})
+    assert got == {"k": (50, {r: (3.5, 0, 50) for r in (0, 25, 49)}), "none": (0, {})}
+
+
 def test_hash_rank_thresholds_match_sorting(spark):
     n = 5000
     df = spark.range(n).withColumn("h", F.md5(F.col("id").cast("string")))

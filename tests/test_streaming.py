@@ -25,3 +25,16 @@ def test_foreach_batch_monitor_on_events(spark):
     batches = spark.read.parquet(f"{out}/batches").collect()
     assert sum(r["batch_size"] for r in batches) == spark.read.parquet(src).count()
     assert all(abs(r["r2"] - 1.0) < 1e-12 for r in batches if r["r2"] is not None)
+
+
+def test_a_repeated_batch_replaces_its_results(spark, tmp_path):
+    from regressa.streaming.monitor import batch_writer, reference_stats
+
+    df = spark.range(60).select("id", F.col("id").cast("double").alias("v.x"),
+                                F.col("id").cast("double").alias("prediction"), F.lit(1.0).alias("y"))
+    write = batch_writer(reference_stats(df, ["v.x"]), str(tmp_path), "prediction", "y", ["id"])
+    for batch_id in (0, 1, 1, 0):  # both batches are run again
+        write(df.where(f"id % 2 = {batch_id}"), batch_id)
+    rows = spark.read.parquet(f"{tmp_path}/batches").collect()
+    assert sorted((r["batch_id"], r["batch_size"]) for r in rows) == [(0, 30), (1, 30)]
+    assert spark.read.parquet(f"{tmp_path}/drift").count() == 2
