@@ -67,8 +67,10 @@ def ks_drift(reference: DataFrame, new: DataFrame, columns=None,
     exact = ks_exact(F.when(few, F.col("statistic")), "n_ref", "n_new")
     out = stat.withColumn("__lam", lam).withColumn("__exact", exact).select(
         "feature", F.lit("kolmogorov_smirnov").alias("test"), "statistic",
-        F.coalesce("__exact", F.expr(ks_pvalue_sql("__lam"))).alias("p_value"), "n_ref", "n_new")
-    return out.withColumn("drifted", F.col("p_value") < F.lit(threshold))
+        # Without values on one side there is no test.
+        F.when(F.col("statistic").isNotNull(), F.coalesce("__exact", F.expr(ks_pvalue_sql("__lam"))))
+        .alias("p_value"), "n_ref", "n_new")
+    return out.withColumn("drifted", F.coalesce(F.col("p_value") < F.lit(threshold), F.lit(False)))
 
 
 def chi_square_counts(reference: DataFrame, new: DataFrame, columns=None) -> DataFrame:
