@@ -287,6 +287,13 @@ def select_features_by_correlation(df: DataFrame, target: str, k: int, columns=N
     return [r["feature"] for r in ranked]
 
 
+def select_features_by_importance(importance: DataFrame, k: int) -> list[str]:
+    """The ``k`` features of the largest importance, of any of the importance operators (the
+    ranking is over features, not rows)."""
+    top = importance.orderBy(F.desc_nulls_last("importance"), "feature").limit(k)
+    return [r["feature"] for r in top.collect()]
+
+
 def steps_frame(spark, steps) -> DataFrame:
     """C14: preprocessing log as ``(step_no, step)`` rows."""
     return spark.createDataFrame([(i + 1, s) for i, s in enumerate(steps)],

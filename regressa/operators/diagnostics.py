@@ -6,6 +6,7 @@ distributed row number; bins use exact quantile edges."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from statistics import NormalDist
 
@@ -13,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regressa import messages as M
+from regressa.functions.columns import col
 from regressa.functions.stats import kurtosis_unbiased, norm_ppf_sql, skewness_unbiased
+from regressa.operators.clean import hash_of_keys
 from regressa.operators.metrics import metric_aggs
 from regressa.operators.ranking import exact_quantiles, order_statistics, with_row_number
+from regressa.session import cut_lineage
 
 # Labels of the four prediction bins, in order.
 BIN_LABELS = ("Low", "Medium-Low", "Medium-High", "High")
@@ -40,6 +44,51 @@ def top_features(importance: DataFrame, k: int = 20) -> DataFrame:
     return importance.orderBy(F.desc("importance"), "feature").limit(k)
 
 
+def permutation_importance(data: DataFrame, key_cols, features, predict, y: str = "y",
+                           seed: int = 42) -> DataFrame:
+    """``(feature, importance, method)``: how much R2 falls when a feature's values are dealt to other
+    rows, for any model; ``predict`` adds ``prediction`` to a frame with the features.
+
+    Rows get ranks in a seeded order of their keys; a feature's value comes from the row a seeded
+    number of ranks further on, so one ranking serves all features. Each rank gathers its foreign
+    values in one narrow shuffle, the rows are scored once for every feature in one frame, and the
+    losses are one aggregation."""
+    features, key_cols = list(features), list(key_cols)
+    names = [f"v{i}" for i in range(len(features))]
+    thin = data.where(col(y).isNotNull()).select(
+        hash_of_keys(data, key_cols, seed).alias("h"), *[col(c).alias(f"k{i}") for i, c in enumerate(key_cols)],
+        col(y).cast("double").alias("t"), *[col(c).alias(v) for c, v in zip(features, names, strict=True)])
+    order = ["h", *[f"k{i}" for i in range(len(key_cols))]]
+    ranked = cut_lineage(with_row_number(thin, order, name="rank").drop(*order))
+    n = ranked.count()
+    schema = "feature string, importance double, method string"
+    if n < 2:
+        return data.sparkSession.createDataFrame([], schema)
+    given = F.explode(F.array(*[F.struct(
+        (F.pmod(F.col("rank") - 1 - permutation_shift(c, n, seed), F.lit(n)) + 1).alias("rank"),
+        *[(F.col(v) if j == i else F.lit(None).cast(ranked.schema[v].dataType)).alias(f"d{j}")
+          for j, v in enumerate(names)]) for i, c in enumerate(features)])).alias("e")
+    dealt = ranked.select(given).select("e.*").groupBy("rank").agg(
+        *[F.max(f"d{i}").alias(f"d{i}") for i in range(len(features))])
+    # Number -1 keeps all of a row's own values; number i has a foreign value for feature i.
+    joined = ranked.join(dealt, "rank").select("*", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1)))
+                                               .alias("which"))
+    scored = predict(joined.select("t", "which", *[
+        F.when(F.col("which") == i, F.col(f"d{i}")).otherwise(F.col(v)).alias(c)
+        for i, (c, v) in enumerate(zip(features, names, strict=True))]))
+    loss = {r["which"]: (r["mse"], r["var"]) for r in scored.groupBy("which").agg(
+        F.avg((F.col("t") - F.col("prediction")) ** 2).alias("mse"), F.var_pop("t").alias("var")).collect()}
+    base, spread = loss[-1]
+    rows = [(c, (loss[i][0] - base) / spread if spread else 0.0, "Permutation Importance")
+            for i, c in enumerate(features)]
+    return data.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("importance"), "feature")
+
+
+def permutation_shift(feature: str, n: int, seed: int) -> int:
+    """Ranks between a row and the one its foreign value comes from; never a multiple of ``n``."""
+    return 1 + int(hashlib.md5(f"{feature}:{seed}".encode()).hexdigest()[:8], 16) % (n - 1)
+
+
 def with_residuals(pred: DataFrame, y: str = "y", p: str = "prediction") -> DataFrame:
     """``residual = y - prediction``."""
     return pred.withColumn("residual", F.col(y) - F.col(p))

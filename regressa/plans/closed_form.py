@@ -6,6 +6,7 @@ rows: ``slope = soft(cov(x, y), l1) / (var(x) + l2)``, where ridge has ``l2 = al
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.ml.functions import vector_to_array
@@ -17,7 +18,7 @@ from regressa.config import RegressionParams
 from regressa.functions.columns import col
 from regressa.operators import chartdata, clean, diagnostics, encode, metrics, score
 from regressa.plans import models, tuning
-from regressa.plans.oracle import LI, LI_KEY, LI_NULLS, _positive_zero, _R2, _split_cte
+from regressa.plans.oracle import LI, LI_HASH, LI_KEY, LI_NULLS, _positive_zero, _R2, _split_cte
 from regressa.plans.queries import (LINEITEM_KEY, NET_PRICE, _rounded, lineitem_regression,
                                     lineitem_with_nulls)
 from regressa.session import ensure_checkpoint_dir
@@ -123,6 +124,50 @@ def q_importance_ols_lineitem(spark, sf):
         spark, list(names), importances, method), 20), {"importance": 2})
 
 
+PERMUTED = {"l_extendedprice": "x1", "l_tax": "x2"}
+
+
+def _permuted(spark, sf):
+    li = encode.exact_split(lineitem_regression(spark, sf), LINEITEM_KEY, 0.2, 42) \
+        .select(*LINEITEM_KEY, "is_test", F.col("net_price").alias("y"),
+                *[F.col(c).alias(x) for c, x in PERMUTED.items()]).cache()
+    fit = models.fit_model("linear", li.where(~F.col("is_test")), list(PERMUTED.values()))
+    return diagnostics.permutation_importance(li.where(F.col("is_test")), LINEITEM_KEY,
+                                              list(PERMUTED.values()), fit.predict)
+
+
+def q_permutation_importance_lineitem(spark, sf):
+    """I1 by permutation: the fall of R2 of a two-feature OLS on the test rows."""
+    return _rounded(_permuted(spark, sf).drop("method"), {"importance": 6})
+
+
+def q_select_by_importance_lineitem(spark, sf):
+    """C12 by importance: the better one of two features."""
+    best = clean.select_features_by_importance(_permuted(spark, sf), 1)
+    return spark.createDataFrame([(c,) for c in best], "feature string")
+
+
+def _permutation_sql() -> str:
+    """Normal equations of two features, and foreign values by ranks in the order of the key hash."""
+    shift = {x: int(hashlib.md5(f"{x}:42".encode()).hexdigest()[:8], 16) for x in PERMUTED.values()}
+    cov = ", ".join(f"covar_pop({a}, {b}) AS {a}{b}" for a, b in (
+        ("x1", "x1"), ("x2", "x2"), ("x1", "x2"), ("x1", "y"), ("x2", "y")))
+    return (f"WITH s AS (SELECT *, net_price AS y, l_extendedprice AS x1, l_tax AS x2 FROM {_split_cte(LI)}), "
+            f"c AS (SELECT {cov}, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM s WHERE NOT is_test), "
+            "f AS (SELECT *, (x1y * x2x2 - x2y * x1x2) / (x1x1 * x2x2 - x1x2 * x1x2) AS b1, "
+            "(x2y * x1x1 - x1y * x1x2) / (x1x1 * x2x2 - x1x2 * x1x2) AS b2 FROM c), "
+            f"t AS (SELECT y, x1, x2, row_number() OVER (ORDER BY {LI_HASH}, {LI_KEY}) - 1 AS r, "
+            "count(*) OVER () AS n FROM s WHERE is_test), "
+            "d AS (SELECT t.*, p.x1 AS d1, q.x2 AS d2 FROM t "
+            f"JOIN t p ON p.r = (t.r + 1 + {shift['x1']} % (t.n - 1)) % t.n "
+            f"JOIN t q ON q.r = (t.r + 1 + {shift['x2']} % (t.n - 1)) % t.n), "
+            "e AS (SELECT y, y - my - b1 * (x1 - m1) - b2 * (x2 - m2) AS e0, "
+            "y - my - b1 * (d1 - m1) - b2 * (x2 - m2) AS e1, "
+            "y - my - b1 * (x1 - m1) - b2 * (d2 - m2) AS e2 FROM d, f), "
+            "i AS (SELECT 'x1' AS feature, (avg(e1 * e1) - avg(e0 * e0)) / var_pop(y) AS importance FROM e "
+            "UNION ALL SELECT 'x2', (avg(e2 * e2) - avg(e0 * e0)) / var_pop(y) FROM e) ")
+
+
 def _price_scorer(spark, sf):
     """The preprocessor and the model of net_price by extended price, of the training rows."""
     li = lineitem_regression(spark, sf)
@@ -226,6 +271,8 @@ QUERIES = {
     "family_interpretation_lineitem": q_family_interpretation_lineitem,
     "family_ridge_search_lineitem": q_family_ridge_search_lineitem,
     "importance_ols_lineitem": q_importance_ols_lineitem,
+    "permutation_importance_lineitem": q_permutation_importance_lineitem,
+    "select_by_importance_lineitem": q_select_by_importance_lineitem,
     "score_with_nulls_lineitem": q_score_with_nulls_lineitem,
     "stored_model_lineitem": q_stored_model_lineitem,
     "predictions_csv_lineitem": q_predictions_csv_lineitem,
@@ -331,6 +378,10 @@ ORACLE = {name: _positive_zero(sql) for name, sql in {
         "(SELECT t.test_r2 - o.test_r2 > 0.001 FROM test t, test o WHERE o.\"Model\"::DOUBLE = 1 "
         "AND t.\"Model\" = (SELECT \"Model\" FROM cv ORDER BY cv_mean DESC LIMIT 1)) AS accepted "
         "FROM cv"),
+    "permutation_importance_lineitem": (
+        _permutation_sql() + "SELECT feature, round(importance, 6) AS importance FROM i"),
+    "select_by_importance_lineitem": (
+        _permutation_sql() + "SELECT feature FROM i ORDER BY importance DESC, feature LIMIT 1"),
     "importance_ols_lineitem": (
         f"WITH s AS {_split_cte(LI)}, k AS (SELECT covar_pop(l_extendedprice, net_price) AS py, "
         "covar_pop(l_tax, net_price) AS ty, covar_pop(l_extendedprice, l_tax) AS pt, "

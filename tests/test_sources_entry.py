@@ -32,6 +32,52 @@ def test_generators(spark):
     assert (mk.roi >= 0).all() and len(mk) == 800
 
 
+def test_in_memory_source(spark):
+    pdf = pd.DataFrame({"a.b": [1.0, float("nan")], "s": ["x", None]})
+    rows = files.from_pandas(spark, pdf).collect()
+    assert [tuple(r) for r in rows] == [(1.0, "x"), (None, None)]
+
+
+def test_report_sink(spark, tmp_path):
+    import json
+
+    from regressa.config import RegressionParams
+    from regressa.plans import workflow
+
+    df = synthetic.regression_dataset(spark, n_samples=120, n_features=2, random_state=1)
+    params = RegressionParams(models_to_include=("linear", "ridge"), cv_folds=3, hyperparameter_tuning=False)
+    res = workflow.run_workflow(df.drop("category_A", "category_B"), "target", params, ["id"])
+    files.write_report(spark, f"{tmp_path}/r", res, params)
+    summary = json.loads(spark.read.json(f"{tmp_path}/r/summary").first()["summary"])
+    assert summary["success"] and summary["best_model"] == res.best_name
+    assert summary["config"]["cv_folds"] == 3
+    models = spark.read.json(f"{tmp_path}/r/models").collect()
+    assert {r["Model"] for r in models} == {"linear", "ridge"}
+    assert spark.read.json(f"{tmp_path}/r/cross_validation").count() == 6
+    assert spark.read.json(f"{tmp_path}/r/dataset").first()["n_rows"] == 120
+
+
+def test_missing_features_of_a_batch(spark):
+    from types import SimpleNamespace
+
+    from regressa.operators import score, validate
+
+    df = spark.createDataFrame([(1, 2)], "a int, `b.c` int")
+    assert validate.missing_features(df, ["b.c", "z", "a", "y"]) == ["z", "y"]
+    assert score.check_batch_columns(df, SimpleNamespace(input_features=["a", "q"])) == ["q"]
+
+
+def test_search_methods_name_their_candidates(caplog):
+    from regressa.plans import tuning
+
+    fixed = tuning.candidates("ridge", "random", 3, 42)
+    assert fixed == [{"alpha": 0.1}, {"alpha": 1000.0}, {"alpha": 10.0}]
+    assert tuning.candidates("random_forest", "bayesian", 7, 1) == tuning.candidates("random_forest", "random", 7, 1)
+    assert "bayesian" in caplog.text
+    grid = tuning.candidates("random_forest", "grid")
+    assert len(grid) == 4 * 4 * 3 * 3 * 3 and len({tuple(map(str, c.values())) for c in grid}) == len(grid)
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
