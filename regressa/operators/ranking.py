@@ -23,8 +23,10 @@ all: see :func:`order_statistics`.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,6 +154,7 @@ class _Bracket:
     tried: tuple | None = None
     below: int = 0  # rows below ``tried``
     rows: int = 0  # rows inside it
+    sketch: bool = False  # whether the inside is sketched as well
 
     def inside(self, v: Column, low, with_low, high, with_high) -> Column:
         return ((v >= low) if with_low else (v > low)) & ((v <= high) if with_high else (v < high))
@@ -194,7 +197,7 @@ def order_statistics(df: DataFrame, ranks: Mapping[str, Callable[[int], Sequence
     probs = [i / SKETCH_CELLS for i in range(SKETCH_CELLS + 1)]
 
     def sketch(v: Column) -> Column:
-        return F.percentile_approx(v, probs, 4 * SKETCH_CELLS)
+        return F.percentile_approx(v, probs, 2 * SKETCH_CELLS)
 
     first = flat.agg(*[F.struct(F.count(k).alias("n"), sketch(F.col(k)).alias("q")).alias(k)
                        for k in names.values()]).first()
@@ -204,6 +207,7 @@ def order_statistics(df: DataFrame, ranks: Mapping[str, Callable[[int], Sequence
     def aim(b: _Bracket, cells, rank: int, rows: int) -> None:
         at = rank * SKETCH_CELLS // max(rows, 1)
         b.narrow(cells[max(0, at - 2)], cells[min(SKETCH_CELLS, at + 3)])
+        b.sketch = rows * 6 // SKETCH_CELLS > BRACKET_ROWS  # it should then stay too wide
 
     for c, k in names.items():
         n, cells = first[k]["n"], first[k]["q"]
@@ -216,6 +220,7 @@ def order_statistics(df: DataFrame, ranks: Mapping[str, Callable[[int], Sequence
     few: list[_Bracket] = []
     while open_:
         ranges = {(b.column, b.tried): F.col(names[b.column]) for b in open_}
+        wide = {(b.column, b.tried) for b in open_ if b.sketch}
         keys = {key: f"b{i}" for i, key in enumerate(ranges)}
         aggs = []
         for key, v in ranges.items():
@@ -223,7 +228,7 @@ def order_statistics(df: DataFrame, ranks: Mapping[str, Callable[[int], Sequence
             aggs.append(F.struct(
                 F.count_if((v < key[1][0]) if key[1][1] else (v <= key[1][0])).alias("below"),
                 F.count_if(inside).alias("rows"),
-                (sketch(F.when(inside, v)) if first[names[key[0]]]["n"] > 64 * BRACKET_ROWS
+                (sketch(F.when(inside, v)) if key in wide
                  else F.lit(None).cast("array<double>")).alias("q")).alias(keys[key]))
         counted = flat.agg(*aggs).first()
         following = []
@@ -235,8 +240,11 @@ def order_statistics(df: DataFrame, ranks: Mapping[str, Callable[[int], Sequence
                 following.append(b)
             elif key[1][0] == key[1][2]:
                 found[b.column][1][b.rank] = (key[1][0], b.below, b.rows)
-            elif b.rows <= BRACKET_ROWS or held["q"] is None:
+            elif b.rows <= BRACKET_ROWS:
                 few.append(b)
+            elif held["q"] is None:  # wider than thought
+                b.tried, b.sketch = b.ends, True
+                following.append(b)
             else:
                 aim(b, held["q"], b.rank - b.below, b.rows)
                 following.append(b)
@@ -247,7 +255,9 @@ def order_statistics(df: DataFrame, ranks: Mapping[str, Callable[[int], Sequence
             few[0].inside(F.col(names[c]), *ends), F.col(names[c])).alias("v"))
             for (c, ends), i in spans.items()])
         values: dict[int, list] = {}
-        for r in flat.select(F.explode(F.filter(entries, lambda e: e.v.isNotNull())).alias("e")) \
+        # Most rows lie in no bracket at all: a plain filter lets them go.
+        some = reduce(operator.or_, (few[0].inside(F.col(names[c]), *ends) for c, ends in spans))
+        for r in flat.where(some).select(F.explode(F.filter(entries, lambda e: e.v.isNotNull())).alias("e")) \
                 .select("e.*").groupBy("i", "v").count().collect():
             values.setdefault(r["i"], []).append((r["v"], r["count"]))
         for b in few:
