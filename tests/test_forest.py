@@ -181,3 +181,17 @@ def test_fit_model_uses_it_with_and_without_assembled_features(spark, tmp_path):
     _, loaded, meta = model_store.load_model(f"{tmp_path}/m", spark)
     assert meta["model_class"] == "ForestModel"
     assert {r["id"]: r["prediction"] for r in loaded.predict(df).collect()} == a
+
+
+def test_small_trees_fill_the_cores():
+    """One-part trees were fitted ten at once, whatever the number of cores."""
+    assert forest._batch(100, 1, 12) == 34 and forest._batch(100, 1, 8) == 25
+    assert forest._batch(100, 50, 12) == 10 and forest._batch(3, 1, 12) == 3
+
+
+def test_missing_values_are_never_cut_off():
+    """The largest value of a node may be missing: values are compared by rank, and no cut lies before NaN."""
+    x = np.array([[1.0], [2.0], [np.nan], [5.0], [np.nan]])
+    nodes = grow(x, np.array([1.0, 2.0, 8.0, 3.0, 9.0]), np.ones(5), Growth(), 0, 0).packed()
+    assert sorted(t for t in nodes[1] if not np.isnan(t)) == [1.5, 3.5]
+    assert walk(x, *nodes[:4]).tolist() == [1.0, 2.0, pytest.approx(20 / 3), pytest.approx(20 / 3), pytest.approx(20 / 3)]
