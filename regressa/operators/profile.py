@@ -7,8 +7,12 @@ the distributed ranking in :mod:`regressa.operators.ranking`.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -220,15 +224,67 @@ def correlation_matrix(df: DataFrame, columns=None) -> DataFrame:
     cols = list(columns) if columns else numeric_columns(df)
     if len(cols) < 2:
         raise ValueError("correlation needs at least two numeric columns")
-    pairs = list(combinations(cols, 2))
-    agg = df.agg(*[F.corr(_num(a), _num(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        entries.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                                F.col(f"p{i}").alias("corr")))
-        entries.append(F.struct(F.lit(b).alias("column_a"), F.lit(a).alias("column_b"),
-                                F.col(f"p{i}").alias("corr")))
-    return agg.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
+    found = _correlations(df.select(*[_num(c).alias(f"c{i}") for i, c in enumerate(cols)]))
+    entries = [F.struct(F.lit(cols[a]).alias("column_a"), F.lit(cols[b]).alias("column_b"),
+                        F.lit(r).cast("double").alias("corr"))
+               for (i, j), r in found.items() for a, b in ((i, j), (j, i))]
+    return df.sparkSession.range(1).select(F.explode(F.array(*entries)).alias("r")).select("r.*")
+
+
+#: Share of the squares that must be left after centring on a pair's own rows; below, the digits do
+#: not suffice, and the pair is summed anew by Spark's running moments.
+LEFT = 1e-6
+
+
+def _correlations(data: DataFrame) -> dict[tuple, float | None]:
+    """Pearson correlation of every pair of double columns over the rows that have both: null for
+    fewer than two of them or a side that does not vary, NaN where a value is infinite. Tasks sum
+    products around the columns' means as matrices; the driver gets a few numbers a pair."""
+    names, k = data.columns, len(data.columns)
+    finite = [F.when(F.abs(c) < math.inf, F.col(c)) for c in names]
+    means = data.agg(*[F.avg(v).alias(c) for v, c in zip(finite, names, strict=True)]).first()
+    centre = np.array([means[c] if means[c] is not None and math.isfinite(means[c]) else 0.0 for c in names])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((5, k, k))
+        for batch in batches:
+            z = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            has, far = ~np.isnan(z), np.isinf(z)
+            z = np.where(has & ~far, z - centre, 0.0)
+            has = has.astype(float)
+            for place, x, y in ((0, has, has), (1, z, has), (2, z * z, has), (3, z, z)):
+                total[place] += x.T @ y
+            if far.any():
+                total[4] += far.T.astype(float) @ has
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())],
+                                         names=["at", "v"])
+
+    flat = np.zeros(5 * k * k)
+    for r in data.mapInArrow(sums, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        flat[r["at"]] = r["v"]
+    n, s, q, xy, far = flat.reshape(5, k, k)
+    out, again = {}, []
+    for i, j in combinations(range(k), 2):
+        if n[i, j] < 2:
+            out[i, j] = None
+        elif far[i, j] or far[j, i]:
+            out[i, j] = math.nan
+        else:
+            sx, sy = s[i, j], s[j, i]
+            vx, vy = q[i, j] - sx * sx / n[i, j], q[j, i] - sy * sy / n[i, j]
+            if not (vx > LEFT * q[i, j] and vy > LEFT * q[j, i]):
+                again.append((i, j))
+            out[i, j] = float((xy[i, j] - sx * sy / n[i, j]) / math.sqrt(vx * vy)) if vx * vy > 0 else None
+    if again:
+        aggs = []
+        for i, j in again:
+            x, y = (F.when(F.col(names[i]).isNotNull() & F.col(names[j]).isNotNull(), F.col(names[a])) for a in (i, j))
+            aggs.append(F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)),
+                               F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+                        .alias(f"p{i}_{j}"))
+        exact = data.agg(*aggs).first()
+        out |= {(i, j): exact[f"p{i}_{j}"] for i, j in again}
+    return out
 
 
 def target_correlation(df: DataFrame, target: str, columns=None) -> DataFrame:

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from regressa.operators import profile, validate
@@ -85,3 +86,25 @@ def test_head_and_domains(spark):
     assert [r["id"] for r in profile.head(df, ["id"], 3).collect()] == [0, 1, 2]
     dom = {r["value"]: r["count"] for r in profile.categorical_domain(df, ["c"]).collect()}
     assert dom == {"x": 250, "y": 250}
+
+
+def test_correlation_of_odd_columns_matches_pandas(spark):
+    """Large offsets, missing and infinite values, constant columns (an error before)."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"a": rng.normal(size=300), "far": 1e6 + rng.normal(size=300), "k": np.full(300, 0.1)})
+    pdf["b"] = pdf.a * 2 + rng.normal(size=300)
+    pdf.loc[::3, "b"] = np.nan
+    pdf["once"] = np.where(np.arange(300) == 7, 1.0, np.nan)
+    pdf["part"] = np.where(np.arange(300) % 3 == 0, rng.normal(size=300), 4.0)  # constant where b is known
+    pdf["inf"] = np.where(np.arange(300) == 5, np.inf, pdf.a)
+    got = {(r["column_a"], r["column_b"]): r["corr"]
+           for r in profile.correlation_matrix(spark.createDataFrame(pdf).repartition(4)).collect()}
+    want = pdf.drop(columns="inf").corr()
+    assert len(got) == 42
+    for (x, y), r in got.items():
+        if "inf" in (x, y):
+            assert r is None or np.isnan(r)
+        elif np.isnan(want.loc[x, y]) or (x, y) in (("b", "part"), ("part", "b")):
+            assert r is None
+        else:
+            assert r == pytest.approx(want.loc[x, y], abs=1e-9), (x, y)
