@@ -22,12 +22,14 @@ all: see :func:`order_statistics`.
 
 from __future__ import annotations
 
+import itertools
 import math
-import operator
-from collections.abc import Callable, Mapping, Sequence
+import struct
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,42 +141,87 @@ def value_counts_cumulative(
                              num_buckets=num_buckets)
 
 
-#: Cells of the sketch that brackets a rank, and rows up to which a bracket's values are collected
-#: (as distinct values with counts).
-SKETCH_CELLS, BRACKET_ROWS = 1024, 4096
+#: Cells of a histogram that narrows a bracket (the first, over the whole range, has 16 times as
+#: many), and rows up to which a bracket's values are collected (as distinct values with counts).
+SKETCH_CELLS, BRACKET_ROWS = 4096, 4096
+#: Rows that a task counts at once, and filled cells up to which it looks at the cells' ends.
+BLOCK_ROWS, LOOKED_AT = 1 << 18, 16
+_SIGN = np.uint64(1 << 63)
+
+
+def _ordered(v: np.ndarray) -> np.ndarray:
+    """Doubles (no NaN) as unsigned integers of the same order; both zeros are one."""
+    u = (v + 0.0).view(np.uint64)
+    return np.where(u >= _SIGN, ~u, u | _SIGN)
+
+
+def _double(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else key ^ (2 ** 64 - 1)
+    return struct.unpack("<d", struct.pack("<Q", bits))[0]
 
 
 @dataclass
 class _Bracket:
-    """Where the value of one rank lies: verified ends, and the closed range tried next."""
+    """Where the value of one rank lies: the leading bits of its ordered key."""
 
-    column: str
+    column: int
     rank: int
-    ends: tuple = (float("-inf"), True, float("inf"), True)  # low, low itself counts, high, likewise
-    tried: tuple | None = None
-    below: int = 0  # rows below ``tried``
-    rows: int = 0  # rows inside it
-    sketch: bool = False  # whether the inside is sketched as well
-
-    def inside(self, v: Column, low, with_low, high, with_high) -> Column:
-        return ((v >= low) if with_low else (v > low)) & ((v <= high) if with_high else (v < high))
-
-    def narrow(self, low: float, high: float) -> None:
-        """Try [low, high]; where that is no smaller than the last range, one value of it."""
-        new = (low, True, high, True)
-        self.tried = new if new != self.ends else (low, True, low, True)
-
-    def settle(self, below: int, rows: int) -> bool:
-        """Counts of ``tried`` are known: whether the rank lies in it."""
-        low, with_low, high, with_high = self.tried
-        if self.rank < below:
-            self.ends = (*self.ends[:2], low, not with_low)
-        elif self.rank >= below + rows:
-            self.ends = (high, not with_high, *self.ends[2:])
-        else:
-            self.ends, self.below, self.rows = self.tried, below, rows
-            return True
-        return False
+    prefix: int = 0
+    known: int = 0
+    below: int = 0  # rows below the bracket
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Ordered keys of each column, many batches at once."""
+    held, rows = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append([c.drop_null().to_numpy() for c in batch.columns])
+            rows += batch.num_rows
+        if held and (batch is None or rows >= BLOCK_ROWS):
+            yield [_ordered(np.concatenate(c)) for c in zip(*held, strict=True)]
+            held, rows = [], 0
+
+
+def _inside(keys: np.ndarray, prefix: int, known: int) -> np.ndarray:
+    return keys[keys >> np.uint64(64 - known) == np.uint64(prefix)] if known else keys
+
+
+def _cells(flat: DataFrame, brackets: set, bits: int) -> dict:
+    """Rows of each filled cell of ``brackets (column, prefix, known bits)``: ``{bracket: [(cell,
+    rows, the only key in it or None), ...]}`` in order. One scan."""
+    wanted = sorted(brackets)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(1 << bits, np.int64) for _ in wanted]
+        ends: list[dict] = [{} for _ in wanted]
+        for block in _blocks(batches):
+            for j, (c, prefix, known) in enumerate(wanted):
+                keys = _inside(block[c], prefix, known)
+                if not len(keys):
+                    continue
+                cell = ((keys >> np.uint64(64 - known - bits)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+                n = np.bincount(cell, minlength=1 << bits)
+                total[j] += n
+                filled = np.flatnonzero(n)
+                for at in filled.tolist() if len(filled) <= LOOKED_AT else ():
+                    own = keys if len(filled) == 1 else keys[cell == at]
+                    ends[j].setdefault(at, []).extend((own.min(), own.max()))
+                if len(filled) > LOOKED_AT:  # not looked at: the cell's own ends
+                    ends[j] |= {at: [np.uint64(0), np.uint64(2 ** 64 - 1)] for at in filled.tolist()}
+        for j, n in enumerate(total):
+            at = np.flatnonzero(n)
+            low, high = (np.array([f(ends[j][i]) for i in at.tolist()], np.uint64) ^ _SIGN for f in (min, max))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(at), j, np.int32)), pa.array(at, pa.int32()), pa.array(n[at]),
+                pa.array(low.view(np.int64)), pa.array(high.view(np.int64))], names=["j", "cell", "n", "low", "high"])
+
+    found = flat.mapInArrow(count, "j int, cell int, n long, low long, high long").groupBy("j", "cell").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    out: dict = {b: [] for b in wanted}
+    for r in found.collect():
+        out[wanted[r["j"]]].append((r["cell"], r["n"], r["low"] + 2 ** 63 if r["low"] == r["high"] else None))
+    return {b: sorted(cells, key=lambda x: x[0]) for b, cells in out.items()}
 
 
 def order_statistics(df: DataFrame, ranks: Mapping[str, Callable[[int], Sequence[int]]]) -> dict:
@@ -184,87 +231,69 @@ def order_statistics(df: DataFrame, ranks: Mapping[str, Callable[[int], Sequence
     nulls and NaN are ignored. Returns ``{column: (n, {rank: (value, rows below it, rows equal to
     it)})}``.
 
-    A mergeable sketch brackets each rank between two values (one pass over all columns). The next
-    pass counts the rows below and inside each bracket, which proves it or shows on which side the
-    rank lies, and sketches the inside of those that are still wide, each about 200 times narrower
-    than before. A bracket of few rows is collected as values with counts; one that is a single value
-    is done however many rows share it. The driver sees counts, sketches and at most
-    ``BRACKET_ROWS`` values a bracket.
+    A scan counts the rows in each cell of a histogram over the leading bits of the values, whose
+    order is that of the values; the cells that hold the wanted ranks are cut again by their next
+    bits. A cell of few rows is collected as values with counts; one that is a single value is done
+    however many rows share it. At most six scans, whatever the values; the driver sees cells of
+    counts and at most ``BRACKET_ROWS`` values a bracket.
     """
-    names = {c: f"c{i}" for i, c in enumerate(ranks)}
-    flat = df.select(*[F.nanvl(col(c).cast("double"), F.lit(None).cast("double")).alias(k)
-                       for c, k in names.items()])
-    probs = [i / SKETCH_CELLS for i in range(SKETCH_CELLS + 1)]
-
-    def sketch(v: Column) -> Column:
-        return F.percentile_approx(v, probs, 2 * SKETCH_CELLS)
-
-    first = flat.agg(*[F.struct(F.count(k).alias("n"), sketch(F.col(k)).alias("q")).alias(k)
-                       for k in names.values()]).first()
+    columns = list(ranks)
+    flat = df.select(*[F.nanvl(col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}")
+                       for i, c in enumerate(columns)])
+    step = SKETCH_CELLS.bit_length() - 1
     found: dict = {}
-    open_: list[_Bracket] = []
-
-    def aim(b: _Bracket, cells, rank: int, rows: int) -> None:
-        at = rank * SKETCH_CELLS // max(rows, 1)
-        b.narrow(cells[max(0, at - 2)], cells[min(SKETCH_CELLS, at + 3)])
-        b.sketch = rows * 6 // SKETCH_CELLS > BRACKET_ROWS  # it should then stay too wide
-
-    for c, k in names.items():
-        n, cells = first[k]["n"], first[k]["q"]
-        wanted = sorted({int(r) for r in ranks[c](n) if 0 <= r < n}) if n else []
+    few: list[tuple] = []  # brackets of few rows
+
+    def follow(b: _Bracket, cells: list, bits: int) -> _Bracket | None:
+        """The cell that holds the rank; None where that settles it."""
+        for cell, n, only in cells:
+            if b.rank < b.below + n:
+                b.prefix, b.known = (b.prefix << bits) | cell, b.known + bits
+                if b.known == 64:
+                    only = b.prefix
+                if only is not None:
+                    found[columns[b.column]][1][b.rank] = (_double(only), b.below, n)
+                elif n <= BRACKET_ROWS:
+                    few.append(b)
+                else:
+                    return b
+                return None
+            b.below += n
+        raise ValueError(f"rank {b.rank} is beyond the row count")
+
+    bits = min(64, step + 4)
+    counted = _cells(flat, {(i, 0, 0) for i in range(len(columns))}, bits)
+    open_: list = []
+    for i, c in enumerate(columns):
+        cells = counted[i, 0, 0]
+        n = sum(x[1] for x in cells)
         found[c] = (n, {})
-        for r in wanted:
-            b = _Bracket(c, r)
-            aim(b, cells, r, n)
-            open_.append(b)
-    few: list[_Bracket] = []
+        wanted = sorted({int(r) for r in ranks[c](n) if 0 <= r < n}) if n else []
+        open_ += [b for r in wanted if (b := follow(_Bracket(i, r), cells, bits))]
     while open_:
-        ranges = {(b.column, b.tried): F.col(names[b.column]) for b in open_}
-        wide = {(b.column, b.tried) for b in open_ if b.sketch}
-        keys = {key: f"b{i}" for i, key in enumerate(ranges)}
-        aggs = []
-        for key, v in ranges.items():
-            inside = open_[0].inside(v, *key[1])
-            aggs.append(F.struct(
-                F.count_if((v < key[1][0]) if key[1][1] else (v <= key[1][0])).alias("below"),
-                F.count_if(inside).alias("rows"),
-                (sketch(F.when(inside, v)) if key in wide
-                 else F.lit(None).cast("array<double>")).alias("q")).alias(keys[key]))
-        counted = flat.agg(*aggs).first()
-        following = []
-        for b in open_:
-            key, held = (b.column, b.tried), counted[keys[b.column, b.tried]]
-            if not b.settle(held["below"], held["rows"]):
-                # The rank lies beside the range: the whole side is the next range.
-                b.tried = b.ends
-                following.append(b)
-            elif key[1][0] == key[1][2]:
-                found[b.column][1][b.rank] = (key[1][0], b.below, b.rows)
-            elif b.rows <= BRACKET_ROWS:
-                few.append(b)
-            elif held["q"] is None:  # wider than thought
-                b.tried, b.sketch = b.ends, True
-                following.append(b)
-            else:
-                aim(b, held["q"], b.rank - b.below, b.rows)
-                following.append(b)
-        open_ = following
+        bits = min(step, 64 - open_[0].known)
+        counted = _cells(flat, {(b.column, b.prefix, b.known) for b in open_}, bits)
+        open_ = [b for b in open_ if follow(b, counted[b.column, b.prefix, b.known], bits)]
     if few:
-        spans = {(b.column, b.ends): i for i, b in enumerate(few)}
-        entries = F.array(*[F.struct(F.lit(i).alias("i"), F.when(
-            few[0].inside(F.col(names[c]), *ends), F.col(names[c])).alias("v"))
-            for (c, ends), i in spans.items()])
-        values: dict[int, list] = {}
-        # Most rows lie in no bracket at all: a plain filter lets them go.
-        some = reduce(operator.or_, (few[0].inside(F.col(names[c]), *ends) for c, ends in spans))
-        for r in flat.where(some).select(F.explode(F.filter(entries, lambda e: e.v.isNotNull())).alias("e")) \
-                .select("e.*").groupBy("i", "v").count().collect():
-            values.setdefault(r["i"], []).append((r["v"], r["count"]))
+        spans = sorted({(b.column, b.prefix, b.known) for b in few})
+
+        def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in _blocks(batches):
+                for j, (c, prefix, known) in enumerate(spans):
+                    keys, n = np.unique(_inside(block[c], prefix, known), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(keys), j, np.int32)), pa.array((keys ^ _SIGN).view(np.int64)),
+                        pa.array(n, pa.int64())], names=["j", "key", "n"])
+
+        values: dict[tuple, list] = {}
+        for r in flat.mapInArrow(collect, "j int, key long, n long").groupBy("j", "key").agg(
+                F.sum("n").alias("n")).collect():
+            values.setdefault(spans[r["j"]], []).append((r["key"] + 2 ** 63, r["n"]))
         for b in few:
             below = b.below
-            for v, n in sorted(values[spans[b.column, b.ends]]):
+            for key, n in sorted(values[b.column, b.prefix, b.known]):
                 if b.rank < below + n:
-                    found[b.column][1][b.rank] = (v, below, n)
+                    found[columns[b.column]][1][b.rank] = (_double(key), below, n)
                     break
                 below += n
     return found

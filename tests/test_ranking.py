@@ -108,3 +108,18 @@ def test_hash_rank_thresholds_refines_large_buckets(spark, monkeypatch):
     hashes = sorted(hashlib.md5(str(i).encode()).hexdigest() for i in range(n))
     ranks = [0, 1234, 2999]
     assert R.hash_rank_thresholds(df, "h", ranks) == [hashes[r] for r in ranks]
+
+
+def test_order_statistics_scan_only_a_few_times(spark, monkeypatch):
+    """No sketch of every value: histograms over leading bits, at most six scans whatever the values."""
+    import regressa.operators.ranking as R
+
+    scans, cells = [], R._cells
+    monkeypatch.setattr(R, "_cells", lambda *a: scans.append(1) or cells(*a))
+    monkeypatch.setattr(R, "BRACKET_ROWS", 2)
+    base = 1.0 + np.arange(4000) * 2.0 ** -50  # one cell until the last bits
+    df = spark.createDataFrame(pd.DataFrame({"v": np.concatenate([base, -base, [0.0, -0.0, 5e-324]])})).repartition(3)
+    got = R.order_statistics(df, {"v": lambda n: [0, 3999, 4000, 4002, 4003, 8002]})["v"]
+    assert got == (8003, {0: (-base[-1], 0, 1), 3999: (-base[0], 3999, 1), 4000: (0.0, 4000, 2),
+                          4002: (5e-324, 4002, 1), 4003: (base[0], 4003, 1), 8002: (base[-1], 8002, 1)})
+    assert len(scans) <= 5
