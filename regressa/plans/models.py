@@ -21,11 +21,13 @@ one-hot vectors is it MLlib's, with at most 30 levels.
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -195,6 +197,40 @@ def assemble(df: DataFrame, feature_names) -> DataFrame:
 # M7: support vector regression through random Fourier features
 # --------------------------------------------------------------------------
 
+#: Rows mapped at once, and rows of a cached block.
+MAPPED_ROWS, BLOCK_ROWS = 256, 65_536
+# Pi in two parts (whole multiples of the first are exact), and cos(x) in powers of x^2 up to pi/4.
+_PI = float.fromhex("0x1.921fb544p+1")
+_PI_REST = math.pi - _PI + 1.2246467991473532e-16
+_COS = [(-1.0) ** i / math.factorial(2 * i) for i in range(9)]
+
+
+def cosines(t: np.ndarray) -> np.ndarray:
+    """cos(t) within a few units of the last place, by whole-array steps in place of ``t``: about a
+    third of the time that ``np.cos`` takes in double precision."""
+    if not t.size:
+        return t
+    k = np.rint(t * (1.0 / math.pi))
+    if not max(k.max(), -k.min()) < 2 ** 20:  # far out or not a number
+        return np.cos(t)
+    r = k * _PI
+    t -= r
+    t -= np.multiply(k, _PI_REST, out=r)
+    t *= 0.5
+    t *= t
+    r.fill(_COS[-1])
+    for c in _COS[-2::-1]:
+        r *= t
+        r += c
+    r *= r  # cos(2a) = 2 cos(a)^2 - 1
+    r *= 2.0
+    r -= 1.0
+    k *= 0.5
+    k -= np.floor(k, out=t)
+    r *= 1.0 - 4.0 * k  # odd multiples of pi turn the sign
+    return r
+
+
 @dataclass
 class SvrModel:
     feature_names: list
@@ -208,8 +244,12 @@ class SvrModel:
     def _map(self, x: np.ndarray) -> np.ndarray:
         if self.kernel == "linear":
             return x
-        d = self.omega.shape[1]
-        return math.sqrt(2.0 / d) * np.cos(x @ self.omega + self.phase)
+        return math.sqrt(2.0 / self.omega.shape[1]) * cosines(x @ self.omega + self.phase)
+
+    def _mapped(self, x: np.ndarray):
+        """``(from, to, features)`` of few rows at a time, so that the features stay in the cache."""
+        for a in range(0, len(x), MAPPED_ROWS):
+            yield a, a + MAPPED_ROWS, self._map(x[a:a + MAPPED_ROWS])
 
     def transform(self, df: DataFrame) -> DataFrame:
         model = self
@@ -218,7 +258,8 @@ class SvrModel:
         @F.pandas_udf(DoubleType())
         def _predict(*cols: pd.Series) -> pd.Series:
             x = np.column_stack([c.to_numpy(dtype="float64") for c in cols])
-            return pd.Series(model._map(x) @ model.coef + model.intercept)
+            return pd.Series(np.concatenate([np.zeros(0), *(
+                z @ model.coef + model.intercept for _, _, z in model._mapped(x))]))
 
         return df.withColumn(PREDICTION, _predict(*[col(c) for c in names]))
 
@@ -227,6 +268,10 @@ class SvrModel:
         return self.coef if self.kernel == "linear" else None
 
 
+def _one_array(values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(values)], pa.array(values))], names=["s"])
+
+
 def _summed(parts: DataFrame, name: str, size: int) -> np.ndarray:
     """Sum of the partitions' arrays, element by element on the executors: the
     driver gets ``size`` numbers however many partitions there are."""
@@ -256,7 +301,28 @@ def fit_svr(train: DataFrame, feature_names, C: float = 1.0, epsilon: float = 0.
     p = len(given)
     names = [f"f{i}" for i in range(p)]
     data = train.select(*[col(c).alias(k) for c, k in zip(given, names)], LABEL) \
-        .where(F.col(LABEL).isNotNull()).cache()
+        .where(F.col(LABEL).isNotNull())
+    width = p + 1
+
+    def pack(batches):
+        held, rows = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]))
+                rows += batch.num_rows
+            if held and (batch is None or rows >= BLOCK_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["b"])
+                held, rows = [], 0
+
+    # Every step reads the rows as blocks of numbers, packed once.
+    blocks = data.mapInArrow(pack, "b binary").cache()
+
+    def unpacked(batches):
+        for batch in batches:
+            for b in batch.column("b"):
+                block = np.frombuffer(b.as_buffer()).reshape(-1, width)
+                yield np.ascontiguousarray(block[:, :p]), block[:, p]
+
     n = data.count()
     rng = np.random.default_rng(seed)
     if kernel == "linear":
@@ -283,14 +349,14 @@ def fit_svr(train: DataFrame, feature_names, C: float = 1.0, epsilon: float = 0.
     def gram(batches, snap=snap0):
         a = np.zeros((dim + 1, dim + 1))
         b = np.zeros(dim + 1)
-        for pdf in batches:
-            z = snap._map(pdf[names].to_numpy(dtype="float64"))
-            z1 = np.column_stack([z, np.ones(len(z))])
-            a += z1.T @ z1
-            b += z1.T @ pdf[LABEL].to_numpy(dtype="float64")
-        yield pd.DataFrame({"s": [np.concatenate([a.ravel(), b]).tolist()]})
-
-    sums = _summed(data.mapInPandas(gram, "s array<double>"), "s", (dim + 1) * (dim + 2))
+        for x, y in unpacked(batches):
+            for i, j, z in snap._mapped(x):
+                z1 = np.column_stack([z, np.ones(len(z))])
+                a += z1.T @ z1
+                b += z1.T @ y[i:j]
+        yield _one_array(np.concatenate([a.ravel(), b]))
+
+    sums = _summed(blocks.mapInArrow(gram, "s array<double>"), "s", (dim + 1) * (dim + 2))
     a, b = sums[:(dim + 1) ** 2].reshape(dim + 1, dim + 1), sums[(dim + 1) ** 2:]
     reg = np.eye(dim + 1) / max(C, 1e-12)
     reg[dim, dim] = 0.0
@@ -308,17 +374,16 @@ def fit_svr(train: DataFrame, feature_names, C: float = 1.0, epsilon: float = 0.
         def partial(batches, snap=snap):
             g = np.zeros(dim + 1)
             loss = 0.0
-            for pdf in batches:
-                x = pdf[names].to_numpy(dtype="float64")
-                z = snap._map(x)
-                r = pdf[LABEL].to_numpy(dtype="float64") - (z @ snap.coef + snap.intercept)
-                s = np.where(np.abs(r) > epsilon, -np.sign(r), 0.0)
-                loss += float(np.maximum(np.abs(r) - epsilon, 0.0).sum())
-                g[:dim] += z.T @ s
-                g[dim] += s.sum()
-            yield pd.DataFrame({"s": [[*g.tolist(), loss]]})
-
-        sums = _summed(data.mapInPandas(partial, "s array<double>"), "s", dim + 2)
+            for x, y in unpacked(batches):
+                for i, j, z in snap._mapped(x):
+                    r = y[i:j] - (z @ snap.coef + snap.intercept)
+                    s = np.where(np.abs(r) > epsilon, -np.sign(r), 0.0)
+                    loss += float(np.maximum(np.abs(r) - epsilon, 0.0).sum())
+                    g[:dim] += s @ z
+                    g[dim] += s.sum()
+            yield _one_array(np.append(g, loss))
+
+        sums = _summed(blocks.mapInArrow(partial, "s array<double>"), "s", dim + 2)
         objective = C * sums[-1] + 0.5 * float(snap.coef @ snap.coef)
         if objective < best[0]:
             best = (objective, snap.coef.copy(), snap.intercept)
@@ -337,7 +402,7 @@ def fit_svr(train: DataFrame, feature_names, C: float = 1.0, epsilon: float = 0.
         model.intercept = float(model.intercept - step[dim])
     # Keep the best iterate seen (subgradient steps are not monotone).
     model.coef, model.intercept = best[1], float(best[2])
-    data.unpersist()
+    blocks.unpersist()
     return model
 
 

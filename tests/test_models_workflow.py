@@ -170,3 +170,19 @@ def test_columns_beyond_the_one_hot_limit_are_fitted(spark, monkeypatch, tmp_pat
         assert scored(again, model) == pytest.approx(got, abs=1e-9)
     lacking = pre.transform(batch.drop("city"), ["id"])
     assert {r["city_onehot"].numNonzeros() for r in lacking.collect()} == {0}
+
+
+def test_cosines_and_mapped_rows(spark):
+    """The SVR maps few rows at a time with a cosine of its own; far values go to NumPy's."""
+    from regressa.plans.models import SvrModel, cosines
+
+    rng = np.random.default_rng(4)
+    t = rng.normal(size=(300, 9)) * np.array([0, 1e-9, 1, 3, 10, 50, 1e3, 1e5, 1e6])
+    assert np.abs(cosines(t.copy()) - np.cos(t)).max() < 4e-15
+    far = np.array([1.0, 1e9, np.inf, np.nan, 0.5])
+    with np.errstate(invalid="ignore"):
+        assert np.array_equal(cosines(far.copy()), np.cos(far), equal_nan=True)
+    m = SvrModel(["a"], "rbf", rng.normal(size=(1, 5)), rng.random(5), rng.normal(size=5), 1.5)
+    x = rng.normal(size=(1000, 1))
+    assert np.concatenate([z for _, _, z in m._mapped(x)]) == pytest.approx(
+        np.sqrt(2 / 5) * np.cos(x @ m.omega + m.phase), abs=1e-14)
