@@ -9,16 +9,18 @@ small matrices; so are the scores of the held-out folds, as squared errors are s
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regressa.functions.columns import col
+
 FAMILY = ("linear", "ridge", "lasso", "elastic_net")
 #: Features up to which a task's products stay small (a matrix a fold); wider frames are fitted by
 #: Spark's own solvers, a pass a fit.
@@ -55,13 +57,20 @@ class Moments:
                        self.cross + part.cross + self.n * part.n / n * np.outer(gap, gap))
 
 
-def fold_moments(train: DataFrame, features: str, label: str, width: int,
+def _values(features) -> list[Column]:
+    """Plain feature columns as doubles; a missing value is NaN, as in an assembled vector."""
+    return [F.coalesce(col(c).cast("double"), F.lit(float("nan"))) for c in features]
+
+
+def fold_moments(train: DataFrame, features: str | Sequence[str], label: str, width: int,
                  fold: str | None = "fold") -> dict[int, Moments]:
-    """Moments of each fold's rows (of all rows, as fold 0, without a fold column); rows without a
+    """Moments of each fold's rows (of all rows, as fold 0, without a fold column); ``features`` is
+    an assembled vector or a list of columns. Rows without a
     label are left out. Sums are taken around the overall means, so that large offsets cost no
     digits; the driver gets a matrix a fold."""
+    x = vector_to_array(F.col(features)) if isinstance(features, str) else F.array(*_values(features))
     rows = train.select((F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"),
-                        vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y")) \
+                        x.alias("x"), F.col(label).cast("double").alias("y")) \
         .where("y IS NOT NULL AND fold IS NOT NULL")
     means = rows.agg(F.array(*[F.avg(F.col("x")[i]) for i in range(width)], F.avg("y")).alias("m")).first()["m"]
     if means[-1] is None:
@@ -169,12 +178,18 @@ def cross_val_scores(folds: dict[int, Moments], name: str, hp: dict, metric: str
 
 @dataclass
 class LinearModel:
-    """A fitted linear model; ``transform`` adds the prediction from assembled features."""
+    """A fitted linear model; ``transform`` adds the prediction from assembled features or columns."""
 
     coefficients: DenseVector
     intercept: float
 
-    def transform(self, df: DataFrame, features: str = "features", name: str = "prediction") -> DataFrame:
+    def transform(self, df: DataFrame, features: str | Sequence[str] = "features",
+                  name: str = "prediction") -> DataFrame:
+        if not isinstance(features, str):  # plain columns
+            dot = F.lit(0.0)
+            for v, c in zip(_values(features), self.coefficients, strict=True):
+                dot = dot + v * F.lit(float(c))
+            return df.withColumn(name, dot + F.lit(self.intercept))
         products = F.zip_with(vector_to_array(F.col(features)), F.array(
             *[F.lit(float(c)) for c in self.coefficients]), lambda x, c: x * c)
         dot = F.aggregate(products, F.lit(0.0), lambda s, v: s + v)

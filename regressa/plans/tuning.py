@@ -82,8 +82,9 @@ def from_moments(train: DataFrame, feature_names, metric: str) -> bool:
 def _moments(train: DataFrame, feature_names, fold_col: str = "fold") -> dict:
     from regressa.plans import models
 
-    data = train if models.FEATURES in train.columns else models.assemble(train, feature_names)
-    return gram.fold_moments(data, models.FEATURES, models.LABEL, len(feature_names), fold_col)
+    known = all(c in train.columns for c in feature_names)
+    return gram.fold_moments(train, list(feature_names) if known else models.FEATURES, models.LABEL,
+                             len(feature_names), fold_col)
 
 
 def cross_val_scores(name: str, train: DataFrame, feature_names, hp: dict, k: int,

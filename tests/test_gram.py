@@ -68,3 +68,35 @@ def test_odd_tables(spark):
     assert gram.fold_moments(df.limit(0), "features", "y", 1) == {}
     m = gram.fit(gram.total(folds), "lasso", {"alpha": 1.0})
     assert m.transform(df).first()["prediction"] == 5.0
+
+
+def test_columns_give_what_an_assembled_vector_gives(spark):
+    """The linear family needs no assembled copy of the rows."""
+    from pyspark.sql import functions as F
+
+    from regressa.plans import gram, models
+
+    df = spark.range(300).select(
+        (F.col("id") % 5).cast("int").alias("fold"), F.rand(1).alias("a.b"), F.rand(2).alias("c"),
+        (F.rand(3) * 4).alias("y"))
+    vectors = models.assemble(df, ["a.b", "c"])
+    one = gram.fold_moments(vectors, "features", "y", 2)
+    two = gram.fold_moments(df, ["a.b", "c"], "y", 2)
+    assert all((one[f].cross == two[f].cross).all() and (one[f].mean == two[f].mean).all() for f in range(5))
+    fit = gram.fit(gram.total(two), "ridge", {})
+    a = fit.transform(vectors).select("prediction").collect()
+    assert a == fit.transform(df, ["a.b", "c"]).select("prediction").collect()
+
+
+def test_the_split_reads_given_hashes(spark):
+    """prepare hashes the keys once; the split took three passes of hashing before."""
+    from pyspark.sql import functions as F
+
+    from regressa.operators import clean, encode
+
+    df = spark.range(1000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") * 3).alias("k"))
+    hashed = df.withColumn("h", clean.hash_of_keys(df, ["id", "k"], 9))
+    a = encode.exact_split(df, ["id", "k"], 0.2, 9, folds=4)
+    b = encode.exact_split(hashed, ["id", "k"], 0.2, 9, folds=4, hashed="h")
+    assert a.columns == b.columns and sorted(a.collect(), key=lambda r: r["id"]) == sorted(
+        b.collect(), key=lambda r: r["id"])
