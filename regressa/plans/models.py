@@ -14,8 +14,8 @@ Parameter mapping to the reference's estimators (alpha = 1):
   (all four with the normal-equation solver: one pass over the data.)
   (standardization off: features are already scaled by the fitted scaler.)
 Deliberate deviations: tuning covers the whole pipeline (scaler included);
-boosted trees are MLlib's binned trees (statistical, not bitwise, parity). The
-forest grows without a depth limit in ``plans/forest.py``; only over sparse
+boosted trees are MLlib's binned trees (statistical, not bitwise, parity), fitted
+on rows that are counted by their bins (``plans/boosting.py``). The forest grows without a depth limit in ``plans/forest.py``; only over sparse
 one-hot vectors is it MLlib's, with at most 30 levels.
 """
 
@@ -42,7 +42,7 @@ from pyspark.sql.types import BooleanType
 from regressa.functions.columns import (categorical_columns, col, normalise_nan, numeric_columns,
                                         role_of)
 from regressa.operators import clean, encode
-from regressa.plans import forest
+from regressa.plans import boosting, forest
 
 # Levels of MLlib's trees, used for a forest over sparse one-hot vectors.
 MLLIB_MAX_DEPTH = 30
@@ -424,6 +424,8 @@ class FittedModel:
         if isinstance(self.model, forest.ForestModel):
             x = forest.feature_array(df, FEATURES, self.feature_names)
             return self.model.transform(df, x, PREDICTION)
+        if isinstance(self.model, boosting.BoostedModel):
+            return self.model.transform(df, forest.feature_array(df, FEATURES, self.feature_names))
         if FEATURES in df.columns:  # assembled once for several models
             return self.model.transform(df)
         return self.model.transform(assemble(df, self.feature_names)).drop(FEATURES)
@@ -533,6 +535,26 @@ def fit_random_forest(rows: DataFrame, feature_names, hp: dict, seed: int) -> fo
                              p, int(hp.get("n_estimators", 100)), how)
 
 
+def dealt(rows: DataFrame, feature_names) -> DataFrame:
+    """Trees draw their samples by partition: deal the rows by their content to
+    spark.sql.shuffle.partitions, so that a fit does not depend on the cores."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, LABEL, *[col(c) for c in feature_names])
+
+
+def fit_boosting(rows: DataFrame, feature_names, hp: dict, seed: int) -> boosting.BoostedModel | None:
+    """M6 on rows counted by their bins. None where MLlib takes the rows themselves: stages that draw
+    rows, sparse vectors, and rows that it refuses (none at all, or values that are not finite)."""
+    if float(hp.get("subsample", 1.0)) < 1.0 or not feature_names or any(
+            isinstance(rows.schema[c].dataType, VectorUDT) for c in feature_names if c in rows.columns):
+        return None
+    return boosting.fit(rows, lambda: dealt(rows, feature_names),
+                        lambda df: forest.feature_array(df, FEATURES, feature_names), F.col(LABEL),
+                        len(feature_names), int(hp.get("max_bins", DEFAULT_MAX_BINS)), seed,
+                        lambda **more: build_estimator("gradient_boosting", hp, {"n": 1}, seed, tree_memory_budget_mb(
+                            rows.sparkSession)).setParams(**more))
+
+
 def fit_model(name: str, train: DataFrame, feature_names, hp: dict | None = None,
               seed: int = 42) -> FittedModel:
     """Fit one model on a frame holding the feature columns and ``y``."""
@@ -547,11 +569,10 @@ def fit_model(name: str, train: DataFrame, feature_names, hp: dict | None = None
             isinstance(train.schema[c].dataType, VectorUDT) for c in feature_names):
         return FittedModel(name, list(feature_names),
                            fit_random_forest(rows, feature_names, hp, seed), hp)
+    if name == "gradient_boosting" and (m := fit_boosting(rows, feature_names, hp, seed)):
+        return FittedModel(name, list(feature_names), m, hp)
     if name in ("random_forest", "gradient_boosting"):
-        # Trees draw their samples by partition: deal the rows by their content to
-        # spark.sql.shuffle.partitions, so that a fit does not depend on the cores.
-        parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(parts, LABEL, *[col(c) for c in feature_names])
+        rows = dealt(rows, feature_names)
     data = rows if FEATURES in rows.columns else assemble(rows, feature_names)
     # Only the quadratic penalties are scaled by the label's deviation.
     moments = label_moments(train) if name in ("ridge", "elastic_net") else {"n": 1}

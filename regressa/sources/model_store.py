@@ -2,7 +2,7 @@
 path (Spark ML persistence, JSON and Parquet written by Spark).
 
 Layout under ``<dir>``: ``model/`` (Spark ML model, or the SVR's arrays as
-one JSON row), ``preprocessor/`` (fills, category lists, scaler, feature
+one JSON row), ``cuts/`` (bins of a boosted model), ``preprocessor/`` (fills, category lists, scaler, feature
 names as one JSON row), ``mappings/`` (label/target encoder tables),
 ``metadata/`` (type, features, target, metrics, steps, config and the
 version hash: md5 over the metadata and the coefficients, kept in one place).
@@ -22,7 +22,7 @@ from pyspark.ml.regression import (GBTRegressionModel, LinearRegressionModel,
 from pyspark.sql import SparkSession
 
 from regressa.operators import clean, encode
-from regressa.plans import forest, gram, models
+from regressa.plans import boosting, forest, gram, models
 
 _LOADERS = {"LinearRegressionModel": LinearRegressionModel,
             "RandomForestRegressionModel": RandomForestRegressionModel,
@@ -93,6 +93,10 @@ def save_model(path: str, spark: SparkSession, pre: models.Preprocessor, fitted:
     elif isinstance(m, forest.ForestModel):
         m.packed.write.mode("overwrite").parquet(f"{path}/model")
         coefs, model_class = m.featureImportances.toArray(), "ForestModel"
+    elif isinstance(m, boosting.BoostedModel):
+        m.trees.write().overwrite().save(f"{path}/model")
+        _json_row(spark, {"cuts": m.cuts}, f"{path}/cuts")
+        coefs, model_class = m.featureImportances.toArray(), "BoostedModel"
     else:
         m.write().overwrite().save(f"{path}/model")
         model_class = type(m).__name__
@@ -151,6 +155,9 @@ def load_model(path: str, spark: SparkSession):
         m = gram.LinearModel(DenseVector(s["coef"]), s["intercept"])
     elif meta["model_class"] == "ForestModel":
         m = forest.read_model(spark, f"{path}/model", len(meta["feature_names"]))
+    elif meta["model_class"] == "BoostedModel":
+        m = boosting.BoostedModel(_read_json_row(spark, f"{path}/cuts")["cuts"],
+                                  GBTRegressionModel.load(f"{path}/model"))
     else:
         m = _LOADERS[meta["model_class"]].load(f"{path}/model")
     return pre, models.FittedModel(meta["model_type"], meta["feature_names"], m,
