@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -197,12 +198,16 @@ def assemble(df: DataFrame, feature_names) -> DataFrame:
 # M7: support vector regression through random Fourier features
 # --------------------------------------------------------------------------
 
-#: Rows mapped at once, and rows of a cached block.
-MAPPED_ROWS, BLOCK_ROWS = 256, 65_536
+#: Rows mapped at once, rows of a kept block, and blocks that a task reads in a step.
+MAPPED_ROWS, BLOCK_ROWS, TASK_BLOCKS = 256, 8_192, 1_024
 # Pi in two parts (whole multiples of the first are exact), and cos(x) in powers of x^2 up to pi/4.
 _PI = float.fromhex("0x1.921fb544p+1")
 _PI_REST = math.pi - _PI + 1.2246467991473532e-16
 _COS = [(-1.0) ** i / math.factorial(2 * i) for i in range(9)]
+# cos(pi v) in powers of v^2 for v from -1/2 to 1/2: the polynomial through its values at nine Chebyshev nodes.
+_COS_PI = [float.fromhex(c) for c in (
+    "0x1.0p+0", "-0x1.3bd3cc9be45dbp+2", "0x1.03c1f081b5992p+2", "-0x1.55d3c7e3bfbdfp+0", "0x1.e1f5068139776p-3",
+    "-0x1.a6d1efc8822ccp-6", "0x1.f9d2543f36a63p-10", "-0x1.b69576a1fe612p-14", "0x1.1678a149f953dp-18")]
 
 
 def cosines(t: np.ndarray) -> np.ndarray:
@@ -231,6 +236,22 @@ def cosines(t: np.ndarray) -> np.ndarray:
     return r
 
 
+def squared_cosines(x1: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """cos(pi v)^2 of v = ``x1 @ turns``, so that cos(2 pi v) is twice that less 1; within a few units of the
+    last place, by about half the array steps of ``cosines``."""
+    v = x1 @ turns
+    out = np.rint(v)
+    v -= out
+    v *= v
+    np.multiply(v, _COS_PI[-1], out=out)
+    out += _COS_PI[-2]
+    for c in _COS_PI[-3::-1]:
+        out *= v
+        out += c
+    out *= out
+    return out
+
+
 @dataclass
 class SvrModel:
     feature_names: list
@@ -282,6 +303,13 @@ def _summed(parts: DataFrame, name: str, size: int) -> np.ndarray:
     return out
 
 
+def _evenly(blocks: RDD, rows: int) -> RDD:
+    """The blocks dealt by turns, as many to each partition: one a core, more where these would be large."""
+    cores = blocks.context.defaultParallelism
+    parts = cores * max(1, -(-rows // (cores * TASK_BLOCKS * BLOCK_ROWS)))
+    return blocks.zipWithIndex().map(lambda b: (b[1], b[0])).partitionBy(parts, int).values()
+
+
 def fit_svr(train: DataFrame, feature_names, C: float = 1.0, epsilon: float = 0.1,
             kernel: str = "rbf", gamma: float | None = None, n_components: int = 100,
             iterations: int = 200, seed: int = 42, lr: float = 0.01, tol: float = 1e-4,
@@ -292,9 +320,9 @@ def fit_svr(train: DataFrame, feature_names, C: float = 1.0, epsilon: float = 0.
     per-partition Gram blocks), then full-batch Adam steps on the
     epsilon-insensitive loss, until the best objective has improved by less
     than ``tol`` of itself over ``patience`` steps (``converged``) or
-    ``iterations`` steps are done. Each step is one Spark job: partial
-    subgradients are summed on the executors, and the driver receives
-    ``n_components + 2`` numbers."""
+    ``iterations`` steps are done. Each step is one Spark job of a stage with a
+    task a core (more on large inputs), over blocks of rows that are packed and
+    dealt evenly once; the driver receives ``n_components + 2`` numbers from each task."""
     given = list(feature_names)
     if wide := [c for c in given if isinstance(train.schema[c].dataType, VectorUDT)]:
         raise ValueError(f"the SVR takes no vector columns: {wide}")
@@ -314,8 +342,7 @@ def fit_svr(train: DataFrame, feature_names, C: float = 1.0, epsilon: float = 0.
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["b"])
                 held, rows = [], 0
 
-    # Every step reads the rows as blocks of numbers, packed once.
-    blocks = data.mapInArrow(pack, "b binary").cache()
+    blocks = data.mapInArrow(pack, "b binary")
 
     def unpacked(batches):
         for batch in batches:
@@ -323,6 +350,11 @@ def fit_svr(train: DataFrame, feature_names, C: float = 1.0, epsilon: float = 0.
                 block = np.frombuffer(b.as_buffer()).reshape(-1, width)
                 yield np.ascontiguousarray(block[:, :p]), block[:, p]
 
+    def in_columns(row):
+        """The features with a column of ones, then the labels."""
+        block = np.frombuffer(row[0]).reshape(-1, width)
+        return np.column_stack([block[:, :p], np.ones(len(block))]).tobytes() + block[:, p].tobytes()
+
     n = data.count()
     rng = np.random.default_rng(seed)
     if kernel == "linear":
@@ -368,22 +400,33 @@ def fit_svr(train: DataFrame, feature_names, C: float = 1.0, epsilon: float = 0.
     scale_y = float(data.agg(F.stddev_pop(LABEL).alias("s")).first()["s"] or 1.0)
     best = (float("inf"), model.coef.copy(), model.intercept)
     history: list[float] = []
+    # A feature is ``twice`` times its raw value less ``less``; rows keep raw values only while they are mapped.
+    turns, twice, less = None, 1.0, 0.0
+    if kernel != "linear":
+        less = math.sqrt(2.0 / dim)
+        turns, twice = np.vstack([omega, phase]) / (2.0 * math.pi), 2.0 * less
+    kept = _evenly(blocks.rdd.map(in_columns), n).persist(StorageLevel.MEMORY_AND_DISK)
     for t in range(1, iterations + 2):
-        snap = SvrModel(names, kernel, omega, phase, model.coef.copy(), model.intercept)
-
-        def partial(batches, snap=snap):
-            g = np.zeros(dim + 1)
-            loss = 0.0
-            for x, y in unpacked(batches):
-                for i, j, z in snap._mapped(x):
-                    r = y[i:j] - (z @ snap.coef + snap.intercept)
+        snap = SvrModel(names, kernel, None, None, model.coef.copy(), model.intercept)
+
+        def partial(held, snap=snap):
+            g, loss = np.zeros(dim + 1), 0.0
+            coef, intercept = twice * snap.coef, snap.intercept - less * float(snap.coef.sum())
+            for b in held:
+                n = len(b) // (8 * (width + 1))
+                x1, y = np.frombuffer(b, count=n * width).reshape(n, width), np.frombuffer(b, offset=8 * n * width)
+                for i in range(0, n, MAPPED_ROWS):
+                    j = i + MAPPED_ROWS
+                    q = x1[i:j, :p] if turns is None else squared_cosines(x1[i:j], turns)
+                    r = y[i:j] - (q @ coef + intercept)
                     s = np.where(np.abs(r) > epsilon, -np.sign(r), 0.0)
                     loss += float(np.maximum(np.abs(r) - epsilon, 0.0).sum())
-                    g[:dim] += s @ z
+                    g[:dim] += s @ q
                     g[dim] += s.sum()
-            yield _one_array(np.append(g, loss))
+            g[:dim] = twice * g[:dim] - less * g[dim]
+            yield np.append(g, loss)
 
-        sums = _summed(blocks.mapInArrow(partial, "s array<double>"), "s", dim + 2)
+        sums = kept.mapPartitions(partial).reduce(np.add)
         objective = C * sums[-1] + 0.5 * float(snap.coef @ snap.coef)
         if objective < best[0]:
             best = (objective, snap.coef.copy(), snap.intercept)
@@ -402,7 +445,7 @@ def fit_svr(train: DataFrame, feature_names, C: float = 1.0, epsilon: float = 0.
         model.intercept = float(model.intercept - step[dim])
     # Keep the best iterate seen (subgradient steps are not monotone).
     model.coef, model.intercept = best[1], float(best[2])
-    blocks.unpersist()
+    kept.unpersist()
     return model
 
 

@@ -186,3 +186,23 @@ def test_cosines_and_mapped_rows(spark):
     x = rng.normal(size=(1000, 1))
     assert np.concatenate([z for _, _, z in m._mapped(x)]) == pytest.approx(
         np.sqrt(2 / 5) * np.cos(x @ m.omega + m.phase), abs=1e-14)
+
+
+def test_svr_steps_read_evenly_dealt_blocks(spark):
+    """Rows that lay in one partition were read by one task in every step."""
+    from regressa.plans import models
+
+    cores = spark.sparkContext.defaultParallelism
+    held = models._evenly(spark.sparkContext.parallelize(range(6 * cores), 1), 6 * cores).glom().map(len).collect()
+    assert held == [6] * cores
+    large = models._evenly(spark.sparkContext.parallelize([0], 1), (cores + 1) * models.TASK_BLOCKS * models.BLOCK_ROWS)
+    assert large.getNumPartitions() == 2 * cores
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.normal(size=(300, 3)) * 5, np.ones(300)])
+    turns = rng.normal(size=(4, 40))
+    assert np.abs(2 * models.squared_cosines(x, turns) - 1 - np.cos(2 * np.pi * (x @ turns))).max() < 1e-13
+    df = _synthetic(spark, 400).select("feature_1", "feature_2", F.col("target").alias("y")).cache()
+    for kernel in ("rbf", "linear"):
+        one, many = (models.fit_svr(df.repartition(k), ["feature_1", "feature_2"], kernel=kernel, iterations=15)
+                     for k in (1, 7))
+        assert one.coef == pytest.approx(many.coef, rel=1e-6) and one.intercept == pytest.approx(many.intercept, rel=1e-6)
