@@ -195,3 +195,20 @@ def test_missing_values_are_never_cut_off():
     nodes = grow(x, np.array([1.0, 2.0, 8.0, 3.0, 9.0]), np.ones(5), Growth(), 0, 0).packed()
     assert sorted(t for t in nodes[1] if not np.isnan(t)) == [1.5, 3.5]
     assert walk(x, *nodes[:4]).tolist() == [1.0, 2.0, pytest.approx(20 / 3), pytest.approx(20 / 3), pytest.approx(20 / 3)]
+
+
+def test_two_batches_run_at_once(spark, monkeypatch):
+    """Cores that a batch left idle while its last parts were grown had nothing to do."""
+    import threading
+
+    both, fit = threading.Barrier(2), forest._fit_batch
+
+    def met(*args):
+        both.wait(timeout=60)
+        return fit(*args)
+
+    df = table(spark, 200)
+    alone = fit_forest(df, features(), F.col("y"), 3, 4, Growth(), batch=4)
+    monkeypatch.setattr(forest, "_fit_batch", met)
+    model = fit_forest(df, features(), F.col("y"), 3, 4, Growth(), batch=2)
+    assert model.trees == 4 and predictions(df, model) == predictions(df, alone)
