@@ -212,3 +212,12 @@ def test_two_batches_run_at_once(spark, monkeypatch):
     monkeypatch.setattr(forest, "_fit_batch", met)
     model = fit_forest(df, features(), F.col("y"), 3, 4, Growth(), batch=2)
     assert model.trees == 4 and predictions(df, model) == predictions(df, alone)
+
+
+def test_importances_are_summed_once(spark, monkeypatch):
+    """Asking whether a forest has importances summed up all its nodes, and taking them did so again."""
+    fit = models.fit_model("random_forest", table(spark, 100).withColumnRenamed("b.c", "c"), ["a", "c", "d"],
+                           {"n_estimators": 2})
+    calls, rows = [], forest.ForestModel.importance_rows
+    monkeypatch.setattr(forest.ForestModel, "importance_rows", lambda self: calls.append(1) or rows(self))
+    assert fit.importances()[0].sum() == pytest.approx(1.0) and len(calls) == 1
